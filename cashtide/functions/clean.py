@@ -17,8 +17,7 @@ def strip(value):
 
 def blank_to_null(value):
     """Empty text counts as absent."""
-    value = text(value)
-    return F.when(value != "", value)
+    return F.nullif(text(value), F.lit(""))
 
 
 def first_filled(*values):

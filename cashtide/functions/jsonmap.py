@@ -16,6 +16,12 @@ def decode(value):
     return F.from_json(blank_to_null(text(value)), _MAP)
 
 
+def inner_label(value):
+    """``type`` or else ``direction`` of a JSON object in text; reads just those two fields."""
+    fields = F.from_json(blank_to_null(text(value)), "type string, direction string")
+    return _bind(lambda f: F.coalesce(_some(f["type"]), _some(f["direction"])), fields)
+
+
 def encode(value):
     return F.to_json(text(value))
 
@@ -28,6 +34,10 @@ def _without_nulls(value):
     return F.map_filter(value, lambda _, v: v.isNotNull())
 
 
+def _some(value):
+    return F.when(value != "", value)
+
+
 def _or_null(value):
     return F.when(F.size(value) > 0, value)
 

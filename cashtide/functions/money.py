@@ -23,17 +23,13 @@ def currency_code(value):
 
 def vnd_rate(value):
     """Rate of a currency, null when unsupported; a literal lookup inside the projection."""
-    code = currency_code(value)
-    rate = F.when(code == DEFAULT_CURRENCY, F.lit(1))
-    for name, factor in VND_RATES.items():
-        if name != DEFAULT_CURRENCY:
-            rate = rate.when(code == name, F.lit(factor))
-    return rate
+    pairs = [F.lit(part) for pair in VND_RATES.items() for part in pair]
+    return F.create_map(*pairs)[currency_code(value)]
 
 
 def amount_vnd(amount, currency):
     """Absolute amount in VND, exact; null when the currency is unsupported."""
-    units = F.coalesce(F.abs(to_money(amount)), F.lit(0).cast(MONEY))
+    units = F.abs(F.coalesce(to_money(amount), F.lit(0).cast(MONEY)))
     return (units * vnd_rate(currency).cast("decimal(10,0)")).cast(MONEY_SUM)
 
 

@@ -20,7 +20,8 @@ from cashtide.schemas import DEFAULT_CURRENCY, LEDGER
 def normalize_payload(payload):
     """Fill account, ids, type and currency, and copy the form fields into ``extra``.
 
-    ``extra_json`` text becomes the map column ``extra``. Rows without any account stay
+    ``extra_json`` text becomes the map column ``extra``; the one label that decides the
+    direction is read into ``inner_label``, so that roll-ups never build the map. Rows without any account stay
     in, with a null ``account_id``, for ``reject_reason`` to name.
     """
     account = blank_to_null("account_id")
@@ -48,6 +49,7 @@ def normalize_payload(payload):
             ),
             "currency": first_filled("currency", F.lit(DEFAULT_CURRENCY)),
             "extra": jsonmap.merge(jsonmap.decode("extra_json"), form),
+            "inner_label": jsonmap.inner_label("extra_json"),
         }
     ).drop("extra_json", "client_transfer_id")
 
@@ -98,7 +100,7 @@ def classify(rows):
     )
     rows = rows.withColumns(
         {
-            "cash_direction": infer_direction("transaction_type", "extra", "amount"),
+            "cash_direction": infer_direction("transaction_type", "inner_label", "amount"),
             "amount_vnd": amount_vnd("amount", "currency"),
             "channel": channel_or_default("merchant"),
         }
@@ -148,6 +150,7 @@ def decode_ledger(ledger):
     direction = first_filled("direction", extra["direction"])
     return rows.withColumns(
         {
+            "inner_label": first_filled(extra["type"], extra["direction"]),
             "client_tx_id": first_filled(extra["client_tx_id"], extra["clientTxId"]),
             "transaction_type": kind,
             "type": first_filled(extra["form_type"], kind, direction),
@@ -196,8 +199,9 @@ def require_cash_columns(df):
         for name in ("account_id", "currency", "merchant", "event_ts", "event_date")
         if name not in df.columns
     }
-    if "extra" not in df.columns:
-        optional["extra"] = jsonmap.empty_map()
+    if "inner_label" not in df.columns:
+        raw = F.col("extra_json") if "extra_json" in df.columns else F.lit(None).cast("string")
+        optional["inner_label"] = jsonmap.inner_label(raw)
     if "date" in df.columns:
         optional["event_date"] = F.col("date")
     return split_in_out(classify(df.withColumns(optional))).filter(F.col("date").isNotNull())

@@ -1,8 +1,8 @@
 """All registered queries and oracles."""
 
-from cashtide.plans import daily_queries, ledger_queries
+from cashtide.plans import daily_queries, ledger_queries, stream_queries, tree_queries
 
-_MODULES = [ledger_queries, daily_queries]
+_MODULES = [ledger_queries, daily_queries, stream_queries, tree_queries]
 
 
 def queries():

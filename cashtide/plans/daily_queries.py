@@ -215,16 +215,15 @@ def _lag_sql(fill="NULL"):
     return ", ".join(parts)
 
 
-def _mean_sql(*sizes):
+def _mean_sql(*sizes, digits=4):
     frame = "(PARTITION BY {p} ORDER BY date ROWS BETWEEN {k} PRECEDING AND CURRENT ROW)"
     parts = []
     for size in sizes:
         for tag, column in X.DIRECTIONS:
             over = frame.format(p="channel", k=size - 1)
-            parts.append(
-                f"round(CAST(sum({column}) OVER {over} AS DOUBLE) / count(*) OVER {over}, 4) "
-                f"AS roll_mean_{size}_{tag}"
-            )
+            mean = f"CAST(sum({column}) OVER {over} AS DOUBLE) / count(*) OVER {over}"
+            mean = mean if digits is None else f"round({mean}, {digits})"
+            parts.append(f"{mean} AS roll_mean_{size}_{tag}")
     return ", ".join(parts)
 
 
@@ -242,8 +241,9 @@ def daily_features(spark, sf):
     )
 
 
-_BACKFILLED = f"""{DAILY_BY_CHANNEL},
-wide AS (SELECT channel, date, cash_in, cash_out, {_lag_sql()}, {_mean_sql(7)}
+def backfilled_sql(daily, digits=4):
+    return f"""{daily},
+wide AS (SELECT channel, date, cash_in, cash_out, {_lag_sql()}, {_mean_sql(7, digits=digits)}
   FROM daily WINDOW w AS (PARTITION BY channel ORDER BY date)),
 firsts AS (SELECT channel, arg_min(cash_in, date) AS first_in, arg_min(cash_out, date) AS first_out,
   count(*) AS n FROM daily GROUP BY channel),
@@ -264,13 +264,16 @@ feat AS (SELECT w.channel, date, CAST(cash_in AS DOUBLE) AS cash_in_d0,
 FROM wide w JOIN firsts USING (channel))"""
 
 
+_BACKFILLED = backfilled_sql(DAILY_BY_CHANNEL)
+
+
 @query(f"WITH {_BACKFILLED} SELECT channel, date, lag1_in, lag7_in, lag1_out, lag7_out FROM feat")
 def lag_backfill(spark, sf):
     wide = X.lag_and_rolling(tables.daily(spark, sf, CHANNEL), CHANNEL, (7,), fill="backfill")
     return wide.select("channel", "date", *_LAGS)
 
 
-def _target_sql(strict):
+def target_sql(strict):
     parts = []
     for _, column in X.DIRECTIONS:
         parts.append(f"CAST(lead({column}) OVER w AS DOUBLE) AS {column}_next_day")
@@ -291,13 +294,13 @@ def _targets(spark, sf, strict):
     return days.select("channel", "date", *X.TARGETS)
 
 
-@query(f"""WITH {DAILY_BY_CHANNEL} SELECT channel, date, {_target_sql(False)} FROM daily
+@query(f"""WITH {DAILY_BY_CHANNEL} SELECT channel, date, {target_sql(False)} FROM daily
 WINDOW w AS (PARTITION BY channel ORDER BY date)""")
 def forward_targets(spark, sf):
     return _targets(spark, sf, strict=False)
 
 
-@query(f"""WITH {DAILY_BY_CHANNEL} SELECT channel, date, {_target_sql(True)} FROM daily
+@query(f"""WITH {DAILY_BY_CHANNEL} SELECT channel, date, {target_sql(True)} FROM daily
 WINDOW w AS (PARTITION BY channel ORDER BY date)""")
 def forward_targets_strict(spark, sf):
     return _targets(spark, sf, strict=True)
@@ -382,7 +385,7 @@ _FEATURE_NUMBERS = ("cash_in_d0", "cash_out_d0", "cash_net_d0", *_LAGS)
 _FLAGS = ("dow", "is_weekend", "is_month_end", "is_payday")
 
 
-@query(f"""WITH {_BACKFILLED}, tgt AS (SELECT channel, date, {_target_sql(True)} FROM daily
+@query(f"""WITH {_BACKFILLED}, tgt AS (SELECT channel, date, {target_sql(True)} FROM daily
   WINDOW w AS (PARTITION BY channel ORDER BY date))
 SELECT f.*, {", ".join(f"t.{n}" for n in X.TARGETS)} FROM feat f JOIN tgt t USING (channel, date)
 WHERE t.cash_out_h7_sum IS NOT NULL""")

@@ -9,7 +9,6 @@ from cashtide.plans.shared import (
     PAYLOAD,
     ROWS,
     SQL_TS,
-    TS,
     as_double,
     as_long,
     norm_sql,
@@ -684,6 +683,3 @@ def latency_p95(spark, sf):
     return rows.select(
         "endpoint", F.round("mean", 4).alias("mean"), *as_long("calls"), "p95"
     )
-
-
-__all__ = ["ORACLE", "QUERIES", "TS"]
