@@ -38,14 +38,24 @@ def candidates(values, params, banded=False):
     rows = rows.withColumn("_at", last * F.get(spots, F.col("k") - 1))
     floor = F.floor("_at")
     rows = rows.filter((floor >= first_rank) & (floor < end_rank))
-    gap, part = F.col("next_value") - F.col("value"), F.col("_at") - floor
-    between = F.when(part >= 0.5, F.col("next_value") - gap * (1 - part)).otherwise(
+    above = F.col("next")
+    gap, part = above["value"] - F.col("value"), F.col("_at") - floor
+    between = F.when(part >= 0.5, above["value"] - gap * (1 - part)).otherwise(
         F.col("value") + gap * part
     )
     inside = F.ceil("_at") < end_rank
-    # A threshold rounded up to the next value would move rows across; keep it below.
-    threshold = F.when(inside | (between >= F.col("next_value")), F.col("value")).otherwise(between)
-    return rows.withColumn("threshold", threshold).drop("_at")
+    rows = rows.withColumns(
+        {
+            "threshold": F.when(inside, F.col("value")).otherwise(between),
+            # Interpolation may round up to the next value, whose rows then go left too.
+            "_reaches": ~inside & (between >= above["value"]),
+        }
+    )
+    left = {
+        f"cum_{c}": F.col(f"cum_{c}") + F.when(F.col("_reaches"), above[c]).otherwise(0)
+        for c in ("n", "s1", "s2")
+    }
+    return rows.withColumns(left).drop("_at", "_reaches")
 
 
 def _deviation(n, s1, s2):
@@ -60,9 +70,7 @@ def score(cands, params):
     n, left = F.col("total_n"), F.col("cum_n")
     right = n - left
     cands = cands.filter(
-        (left >= params.min_samples_leaf)
-        & (right >= params.min_samples_leaf)
-        & F.col("next_value").isNotNull()
+        (left >= params.min_samples_leaf) & (right >= params.min_samples_leaf)
     )
     s1r, s2r = (F.col(f"total_{c}") - F.col(f"cum_{c}") for c in ("s1", "s2"))
     new = {

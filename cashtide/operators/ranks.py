@@ -21,21 +21,23 @@ def running_totals(rows, group, value, sums=(), banded=True):
     """Distinct values of each group with running totals.
 
     ``rows`` holds one row per (group, value) with the columns ``n`` and ``sums``. Adds
-    ``cum_<c>`` (inclusive) and ``total_<c>`` per column and ``next_value``. ``banded``
-    is for groups too large to sort in one task; the result is the same without it.
+    ``cum_<c>`` (inclusive) and ``total_<c>`` per column, and ``next``: the value and
+    columns of the next larger value. ``banded`` is for groups too large to sort in one
+    task; the result is the same without it.
     """
     group, columns = list(group), ["n", *sums]
     whole = Window.partitionBy(*group)
+    this = F.struct(value, *columns)
     if not banded:
         running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         new = {f"cum_{c}": F.sum(c).over(running) for c in columns}
         new |= {f"total_{c}": F.sum(c).over(whole) for c in columns}
-        new["next_value"] = F.lead(value).over(whole.orderBy(value))
+        new["next"] = F.lead(this).over(whole.orderBy(value))
         return rows.withColumns(new)
 
     rows = rows.withColumn("_band", value_band(value))
     bands = rows.groupBy(*group, "_band").agg(
-        *[F.sum(c).alias(f"_{c}") for c in columns], F.min(value).alias("_lowest")
+        *[F.sum(c).alias(f"_{c}") for c in columns], F.min(this).alias("_lowest")
     )
     below = whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     offsets = {
@@ -48,10 +50,10 @@ def running_totals(rows, group, value, sums=(), banded=True):
     inside = Window.partitionBy(*group, "_band").orderBy(value)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new = {f"_in_{c}": F.sum(c).over(running) for c in columns}
-    new["_next_in"] = F.lead(value).over(inside)
+    new["_next_in"] = F.lead(this).over(inside)
     joined = rows.withColumns(new).join(bands, [*group, "_band"])
     final = {f"cum_{c}": F.col(f"_in_{c}") + F.col(f"_below_{c}") for c in columns}
-    final["next_value"] = F.coalesce("_next_in", "_next_band")
+    final["next"] = F.coalesce("_next_in", "_next_band")
     helpers = ["_band", "_next_in", "_next_band"]
     helpers += [f"_in_{c}" for c in columns] + [f"_below_{c}" for c in columns]
     return joined.withColumns(final).drop(*helpers)

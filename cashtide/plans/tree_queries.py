@@ -188,7 +188,7 @@ def _rounded(*names):
   round(threshold, 3) AS threshold FROM th""")
 def split_candidates(spark, sf):
     cands = S.candidates(S.value_table(_root_rows(spark, sf)), PARAMS)
-    flat = F.col("next_value").isNull() & (F.col("n") == F.col("total_n"))
+    flat = F.col("n") == F.col("total_n")
     return cands.filter(~flat).select("model_id", "feature", *_rounded("threshold")).distinct()
 
 
