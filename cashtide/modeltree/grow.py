@@ -9,49 +9,58 @@ from pyspark.sql import functions as F
 
 from cashtide.modeltree.params import FLAT, ONE_TASK_ROWS
 from cashtide.modeltree.split import best_splits
-from cashtide.session import cut
+from cashtide.session import store
 
 
-def by_node(rows, value, name):
-    """One row per model with an array indexed by node number (null where absent)."""
-    entries = F.map_from_entries(F.collect_list(F.struct("node_id", value)))
+def by_node(rows, fields, name):
+    """One row per model with an array of structs indexed by node number (null = absent)."""
+    cell = ", ".join(f"'{f}', {f}" for f in fields)
     per_model = rows.groupBy("model_id").agg(
-        entries.alias("_entries"), F.max("node_id").alias("_last")
+        F.expr(
+            f"map_from_entries(collect_list(struct(node_id, named_struct({cell})))) AS _entries"
+        ),
+        F.expr("max(node_id) AS _last"),
     )
-    cells = F.transform(F.sequence(F.lit(1), F.col("_last")), lambda i: F.col("_entries")[i])
-    return per_model.select("model_id", cells.alias(name))
+    cells = f"transform(sequence(1, _last), i -> _entries[i]) AS {name}"
+    return per_model.selectExpr("model_id", cells)
 
 
-def route(splits, x, depth):
-    """Node reached from the root after at most ``depth`` splits (``x <= threshold`` left)."""
+def route(cells, x, max_depth):
+    """Node reached from the root (``x <= threshold`` goes left); stops where no split is."""
+    cell = f"get({cells}, node - 1)"
+    step = (
+        f"CASE WHEN {cell}.feature IS NULL THEN node "
+        f"WHEN get({x}, {cell}.feature) <= {cell}.threshold THEN node * 2 "
+        "ELSE node * 2 + 1 END"
+    )
+    return F.expr(f"aggregate(sequence(1, {max_depth}), 1, (node, i) -> {step})")
 
-    def step(node, _):
-        split = F.get(splits, node - 1)
-        right = F.when(F.get(x, split["feature"]) <= split["threshold"], 0).otherwise(1)
-        return F.when(split.isNull(), node).otherwise(node * 2 + right)
 
-    if depth == 0:
-        return F.lit(1)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
+def split_cells(splits):
+    return by_node(splits, ("feature", "threshold"), "splits")
 
 
-def split_cells(splits):
-    return by_node(splits, F.struct("feature", "threshold").alias("cell"), "splits")
-
-
-def locate(rows, frontier, splits, depth):
-    """Rows lying in a frontier node, with the target centred on that node's mean."""
-    cells = by_node(frontier, F.struct("mean").alias("cell"), "frontier")
-    if splits is None:
-        joined = rows.join(cells, "model_id").withColumn("node_id", F.lit(1))
-    else:
-        state = cells.join(split_cells(splits), "model_id")
-        joined = rows.join(state, "model_id").withColumn(
-            "node_id", route(F.col("splits"), F.col("x"), depth)
-        )
-    cell = F.get("frontier", F.col("node_id") - 1)
-    joined = joined.withColumn("_cell", cell).filter(F.col("_cell").isNotNull())
-    return joined.select("model_id", "node_id", (F.col("y") - F.col("_cell.mean")).alias("y"), "x")
+def locate(rows, frontier, splits, max_depth):
+    """Rows lying in a frontier node, with the target centred on that node's mean.
+
+    Splits and frontier are gathered in one array per model, joined to the rows by a
+    broadcast while it is small.
+    """
+    fields = ("feature", "threshold", "mean")
+    cells = frontier.selectExpr(
+        "model_id", "node_id", "int(null) AS feature", "double(null) AS threshold", "mean"
+    )
+    if splits is not None:
+        inner = ("model_id", "node_id", "feature", "threshold", "double(null) AS mean")
+        cells = cells.unionByName(splits.selectExpr(*inner))
+    state = by_node(cells, fields, "cells")
+    joined = rows.join(state, "model_id").withColumn("node_id", route("cells", "x", max_depth))
+    placed = joined.selectExpr(
+        "model_id", "node_id", "y", "x", "get(cells, node_id - 1).mean AS _mean"
+    )
+    return placed.filter("_mean IS NOT NULL").selectExpr(
+        "model_id", "node_id", "y - _mean AS y", "x"
+    )
 
 
 def root_nodes(prep):
@@ -65,53 +74,46 @@ def root_nodes(prep):
     )
 
 
-def child_nodes(splits, parents):
+def child_nodes(splits):
     """Both children of each split, with count, mean and spread."""
-    rows = splits.join(parents.select("model_id", "node_id", "mean"), ["model_id", "node_id"])
 
     def child(side, offset):
-        return F.struct(
-            (F.col("node_id") * 2 + offset).alias("child"),
-            F.col(f"n_{side}").alias("n"),
-            (F.col("mean") + F.col(f"mean_{side}")).alias("child_mean"),
-            F.col(f"sd_{side}").alias("child_sd"),
+        return (
+            f"struct(node_id * 2 + {offset} AS node_id, n_{side} AS n, "
+            f"mean + mean_{side} AS mean, sd_{side} AS sd)"
         )
 
-    both = rows.select(
-        "model_id", F.inline(F.array(child("left", 0), child("right", 1)))
-    )
-    return both.select(
-        "model_id",
-        F.col("child").alias("node_id"),
-        "n",
-        F.col("child_mean").alias("mean"),
-        F.col("child_sd").alias("sd"),
+    return splits.selectExpr(
+        "model_id", f"inline(array({child('left', 0)}, {child('right', 1)}))"
     )
 
 
 def growable(nodes, params):
-    return nodes.filter((F.col("n") >= 2 * params.min_samples_leaf) & (F.col("sd") >= FLAT))
+    return nodes.filter(f"n >= {2 * params.min_samples_leaf} AND sd >= {FLAT!r}D")
 
 
 def grow(rows, prep, params):
-    """All splits and all nodes of every model.
+    """All nodes and all splits of every model.
 
     The loop runs at most ``max_depth`` times, whatever the number of models or rows. The
     only value the driver sees per level is whether a split was found.
     """
+    spark = rows.sparkSession
     largest = prep.agg(F.max("n")).first()[0] or 0
     banded = largest > ONE_TASK_ROWS
-    level_nodes, level_splits, splits = [root_nodes(prep)], [], None
+    frontier, splits, paths = root_nodes(prep), None, []
     for depth in range(params.max_depth):
-        frontier = growable(level_nodes[-1], params)
-        located = locate(rows, frontier, splits, depth)
-        found = cut(best_splits(located, params, banded), f"splits-{depth}")
+        frontier = growable(frontier, params)
+        located = locate(rows, frontier, splits, params.max_depth)
+        best = best_splits(located, params, banded)
+        best = best.join(frontier.select("model_id", "node_id", "mean"), ["model_id", "node_id"])
+        paths.append(store(best, f"splits-{depth}"))
+        found = spark.read.schema(best.schema).parquet(paths[-1])
         if found.isEmpty():
             break
-        level_splits.append(found)
-        splits = found if splits is None else splits.unionByName(found)
-        level_nodes.append(cut(child_nodes(found, level_nodes[-1]), f"nodes-{depth}"))
-    nodes = level_nodes[0]
-    for level in level_nodes[1:]:
-        nodes = nodes.unionByName(level)
-    return nodes, splits, len(level_splits)
+        splits = spark.read.schema(best.schema).parquet(*paths)
+        frontier = child_nodes(found)
+    nodes = root_nodes(prep)
+    if splits is not None:
+        nodes = nodes.unionByName(child_nodes(splits))
+    return nodes, splits

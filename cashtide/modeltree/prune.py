@@ -13,9 +13,9 @@ def dot(coef, x):
     return F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
 
 
-def absolute_errors(rows, models, splits, depth):
+def absolute_errors(rows, models, splits, max_depth):
     """Mean absolute residual of every node over all rows below it (for ``mae`` pruning)."""
-    paths = deepest_nodes(rows, splits, depth).withColumn("node_id", F.explode(ancestors()))
+    paths = deepest_nodes(rows, splits, max_depth).withColumn("node_id", F.explode(ancestors()))
     fitted = paths.join(
         models.select("model_id", "node_id", "coef", "intercept"), ["model_id", "node_id"]
     )

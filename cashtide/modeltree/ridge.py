@@ -16,15 +16,13 @@ PARTIAL = "model_id string, node_id int, width int, sums array<double>"
 FLUSH_NODES = 4096
 
 
-def deepest_nodes(rows, splits, depth):
+def deepest_nodes(rows, splits, max_depth):
     """Rows with the leaf they reach in the unpruned tree."""
     if splits is None:
         return rows.withColumn("node_id", F.lit(1))
+    # A model without splits has no row here: its null array routes every row to the root.
     joined = rows.join(split_cells(splits), "model_id", "left")
-    node = F.when(F.col("splits").isNull(), 1).otherwise(
-        route(F.col("splits"), F.col("x"), depth)
-    )
-    return joined.withColumn("node_id", node).drop("splits")
+    return joined.withColumn("node_id", route("splits", "x", max_depth)).drop("splits")
 
 
 def _partial(x, y):
@@ -93,9 +91,9 @@ def ancestors(node="node_id"):
     )
 
 
-def gram_sums(rows, splits, depth):
+def gram_sums(rows, splits, max_depth):
     """Gram sums of every node, inner nodes included."""
-    leaves = deepest_nodes(rows, splits, depth).select("model_id", "node_id", "y", "x")
+    leaves = deepest_nodes(rows, splits, max_depth).select("model_id", "node_id", "y", "x")
     per_leaf = _add_up(leaves.mapInPandas(_fold, PARTIAL))
     paths = per_leaf.withColumn("node_id", F.explode(ancestors()))
     return _add_up(paths)
@@ -137,9 +135,9 @@ def _solve(p, sums, alpha):
     return coef, (sy - coef @ sx) / n, len(varying), int(n), sse
 
 
-def node_models(rows, splits, depth, params):
+def node_models(rows, splits, params):
     """Ridge model of every node; targets are still centred on the model mean."""
-    solved = gram_sums(rows, splits, depth).withColumn(
+    solved = gram_sums(rows, splits, params.max_depth).withColumn(
         "fit", solver(params.ridge_alpha)("width", "sums")
     )
     return solved.select("model_id", "node_id", "fit.*")

@@ -9,7 +9,7 @@ coefficient vector per leaf; scoring is a route and one dot product.
 from pyspark.sql import functions as F
 
 from cashtide.functions.clean import clip_non_negative
-from cashtide.modeltree.grow import by_node, route
+from cashtide.modeltree.grow import by_node, route, split_cells
 from cashtide.modeltree.prep import encode, scoring_rows
 from cashtide.modeltree.prune import dot
 from cashtide.modeltree.ridge import ancestors
@@ -53,23 +53,17 @@ def smoothed_leaves(nodes, smoothing):
 
 def compile_models(prep, nodes, params):
     """One row per model: preparation, split array and leaf array."""
-    leaf = F.struct("coef", "intercept", "raw_coef", "raw_intercept").alias("cell")
-    leaves = by_node(smoothed_leaves(nodes, params.smoothing), leaf, "leaves")
-    inner = nodes.filter(~F.col("is_leaf"))
-    splits = by_node(inner, F.struct("feature", "threshold").alias("cell"), "splits")
+    equation = ("coef", "intercept", "raw_coef", "raw_intercept")
+    leaves = by_node(smoothed_leaves(nodes, params.smoothing), equation, "leaves")
+    splits = split_cells(nodes.filter("NOT is_leaf"))
     base = prep.select("model_id", "n", "y_mean", "scales", "categories")
-    no_splits = F.array().cast("array<struct<feature:int,threshold:double>>")
-    return (
-        base.join(leaves, "model_id")
-        .join(splits, "model_id", "left")
-        .withColumn("splits", F.coalesce("splits", no_splits))
-    )
+    return base.join(leaves, "model_id").join(splits, "model_id", "left")
 
 
 def predict(rows, models, max_depth, smooth=True):
     """Add ``node_id`` and ``prediction``; the join adapts to the size of the model table."""
     joined = rows.join(models.drop("n"), "model_id").withColumn("x", encode())
-    joined = joined.withColumn("node_id", route(F.col("splits"), F.col("x"), max_depth))
+    joined = joined.withColumn("node_id", route("splits", "x", max_depth))
     leaf = F.get("leaves", F.col("node_id") - 1)
     prefix = "" if smooth else "raw_"
     joined = joined.withColumn("_leaf", leaf)

@@ -17,83 +17,77 @@ FEATURE = (*NODE, "feature")
 
 def value_table(located):
     """Distinct feature values of each node with count, sum and squared sum of the target."""
-    long = located.select(*NODE, "y", F.posexplode("x").alias("feature", "value"))
-    y = F.col("y")
+    long = located.selectExpr(*NODE, "y", "posexplode(x) AS (feature, value)")
     return long.groupBy(*FEATURE, "value").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("s1"), F.sum(y * y).alias("s2")
+        F.expr("count(1) AS n"), F.expr("sum(y) AS s1"), F.expr("sum(y * y) AS s2")
     )
 
 
 def candidates(values, params, banded=False):
-    """Percentile thresholds (linear interpolation) with left-side running totals."""
+    """Percentile thresholds (linear interpolation) with left-side running totals.
+
+    A value covers the ranks [cum_n - n, cum_n); it yields the percentiles whose lower
+    rank falls there. Interpolation may round up to the next value, whose rows then go
+    left too.
+    """
     totals = running_totals(values, FEATURE, "value", ("s1", "s2"), banded)
-    spots = F.array(*[F.lit(q) for q in params.quantiles()])
-    steps, last = params.percentiles + 1, F.col("total_n") - 1
-    first_rank, end_rank = F.col("cum_n") - F.col("n"), F.col("cum_n")
-    low = F.greatest(F.ceil(steps * first_rank / last) - 1, F.lit(1))
-    high = F.least(F.floor(steps * end_rank / last) + 1, F.lit(params.percentiles))
-    numbers = F.when((last > 0) & (low <= high), F.sequence(low.cast("int"), high.cast("int")))
-
-    rows = totals.withColumn("k", F.explode(numbers))
-    rows = rows.withColumn("_at", last * F.get(spots, F.col("k") - 1))
-    floor = F.floor("_at")
-    rows = rows.filter((floor >= first_rank) & (floor < end_rank))
-    above = F.col("next")
-    gap, part = above["value"] - F.col("value"), F.col("_at") - floor
-    between = F.when(part >= 0.5, above["value"] - gap * (1 - part)).otherwise(
-        F.col("value") + gap * part
+    spots = ", ".join(f"{q!r}D" for q in params.quantiles())
+    steps, last = params.percentiles + 1, "nullif(total_n - 1, 0)"
+    low = f"int(greatest(ceil({steps} * (cum_n - n) / {last}) - 1, 1))"
+    high = f"int(least(floor({steps} * cum_n / {last}) + 1, {params.percentiles}))"
+    numbers = f"CASE WHEN {low} <= {high} THEN sequence({low}, {high}) END"
+    rows = totals.selectExpr("*", f"explode({numbers}) AS k")
+    rows = rows.selectExpr("*", f"(total_n - 1) * get(array({spots}), k - 1) AS _at")
+    rows = rows.filter("floor(_at) >= cum_n - n AND floor(_at) < cum_n")
+    rows = rows.selectExpr(
+        "*",
+        "ceil(_at) < cum_n AS _inside",
+        "CASE WHEN _at - floor(_at) >= 0.5 "
+        "THEN next.value - (next.value - value) * (1 - (_at - floor(_at))) "
+        "ELSE value + (next.value - value) * (_at - floor(_at)) END AS _between",
     )
-    inside = F.ceil("_at") < end_rank
-    rows = rows.withColumns(
-        {
-            "threshold": F.when(inside, F.col("value")).otherwise(between),
-            # Interpolation may round up to the next value, whose rows then go left too.
-            "_reaches": ~inside & (between >= above["value"]),
-        }
+    kept = [c for c in totals.columns if not c.startswith("cum_")]
+    return rows.selectExpr(
+        *kept,
+        "k",
+        "CASE WHEN _inside THEN value ELSE _between END AS threshold",
+        *[
+            f"cum_{c} + CASE WHEN NOT _inside AND _between >= next.value THEN next.{c} ELSE 0 END "
+            f"AS cum_{c}"
+            for c in ("n", "s1", "s2")
+        ],
     )
-    left = {
-        f"cum_{c}": F.col(f"cum_{c}") + F.when(F.col("_reaches"), above[c]).otherwise(0)
-        for c in ("n", "s1", "s2")
-    }
-    return rows.withColumns(left).drop("_at", "_reaches")
 
 
 def _deviation(n, s1, s2):
-    mean = s1 / n
-    variance = s2 / n - mean * mean
     # Below the rounding of the squared sums the spread is indistinguishable from zero.
-    return F.when(variance > s2 / n * 1e-14, F.sqrt(variance)).otherwise(0.0)
+    variance = f"{s2} / {n} - ({s1} / {n}) * ({s1} / {n})"
+    return f"CASE WHEN {variance} > {s2} / {n} * 1e-14D THEN sqrt({variance}) ELSE 0D END"
+
+
+MEASURES = (
+    "sdr", "sd", "n", "n_left", "n_right", "mean_left", "mean_right", "sd_left", "sd_right",
+)
 
 
 def score(cands, params):
     """Standard-deviation reduction of each candidate that leaves enough rows per side."""
-    n, left = F.col("total_n"), F.col("cum_n")
-    right = n - left
-    cands = cands.filter(
-        (left >= params.min_samples_leaf) & (right >= params.min_samples_leaf)
+    sides = cands.selectExpr(
+        *FEATURE, "threshold", "total_n AS n", "total_s1", "total_s2", "cum_n AS n_left",
+        "cum_s1 AS s1_left", "cum_s2 AS s2_left", "total_n - cum_n AS n_right",
+        "total_s1 - cum_s1 AS s1_right", "total_s2 - cum_s2 AS s2_right",
     )
-    s1r, s2r = (F.col(f"total_{c}") - F.col(f"cum_{c}") for c in ("s1", "s2"))
-    new = {
-        "sd": _deviation(n, F.col("total_s1"), F.col("total_s2")),
-        "sd_left": _deviation(left, F.col("cum_s1"), F.col("cum_s2")),
-        "sd_right": _deviation(right, s1r, s2r),
-        "mean_left": F.col("cum_s1") / left,
-        "mean_right": s1r / right,
-    }
-    sdr = F.col("sd") - (left / n * F.col("sd_left") + right / n * F.col("sd_right"))
-    return cands.withColumns(new).select(
-        *FEATURE,
-        "threshold",
-        sdr.alias("sdr"),
-        "sd",
-        n.alias("n"),
-        left.alias("n_left"),
-        right.alias("n_right"),
-        "mean_left",
-        "mean_right",
-        "sd_left",
-        "sd_right",
+    least = params.min_samples_leaf
+    sides = sides.filter(f"n_left >= {least} AND n_right >= {least}").selectExpr(
+        "*",
+        _deviation("n", "total_s1", "total_s2") + " AS sd",
+        _deviation("n_left", "s1_left", "s2_left") + " AS sd_left",
+        _deviation("n_right", "s1_right", "s2_right") + " AS sd_right",
+        "s1_left / n_left AS mean_left",
+        "s1_right / n_right AS mean_right",
     )
+    sdr = "sd - (n_left / n * sd_left + n_right / n * sd_right) AS sdr"
+    return sides.selectExpr("*", sdr).select(*FEATURE, "threshold", *MEASURES)
 
 
 def best(scored):
@@ -102,14 +96,15 @@ def best(scored):
     The reduction is compared at 11 digits relative to the node's spread, so that the order
     in which partial sums were added cannot decide a tie.
     """
-    rank = -F.round(F.col("sdr") / F.greatest("sd", F.lit(FLAT)), 11)
-    columns = [c for c in scored.columns if c not in NODE and c not in ("feature", "threshold")]
-    top = F.min(F.struct(rank.alias("rank"), "feature", "threshold", *columns))
-    picked = scored.groupBy(*NODE).agg(top.alias("top"))
-    return picked.select(*NODE, "top.feature", "top.threshold", *[f"top.{c}" for c in columns])
+    rank = f"-round(sdr / greatest(sd, {FLAT!r}D), 11)"
+    fields = ["'rank'", rank]
+    fields += [part for c in ("feature", "threshold", *MEASURES) for part in (f"'{c}'", c)]
+    top = F.expr(f"min(named_struct({', '.join(fields)})) AS top")
+    picked = scored.groupBy(*NODE).agg(top)
+    return picked.select(*NODE, *[f"top.{c}" for c in ("feature", "threshold", *MEASURES)])
 
 
 def best_splits(located, params, banded=False):
     """Accepted splits of one level: the reduction reaches the share of the node's spread."""
     found = best(score(candidates(value_table(located), params, banded), params))
-    return found.filter(F.col("sdr") >= params.min_std_reduction * F.col("sd"))
+    return found.filter(f"sdr >= {params.min_std_reduction} * sd")

@@ -79,11 +79,11 @@ def fit(rows, params=None):
     """Train one tree per ``model_id`` present in ``rows``."""
     params = params or TreeParams()
     prep, ready = prepared(rows)
-    grown, splits, depth = grow(ready, prep, params)
-    models = cut(node_models(ready, splits, depth, params), "node-models")
+    grown, splits = grow(ready, prep, params)
+    models = cut(node_models(ready, splits, params), "node-models")
     absolute = None
     if params.prune and params.pruning_method == "mae":
-        absolute = prune.absolute_errors(ready, models, splits, depth)
+        absolute = prune.absolute_errors(ready, models, splits, params.max_depth)
     errors = prune.node_errors(models, params, absolute)
     kept = prune.prune(errors) if params.prune else prune.keep_all(errors)
     nodes = cut(node_table(kept, models, grown, splits, prep), "nodes")

@@ -47,12 +47,17 @@ def fresh_dir(spark, label):
     return f"{work_root(spark)}/cashtide/{label}-{uuid.uuid4().hex}"
 
 
+def store(df, label):
+    """Write ``df`` as Parquet in the shared folder; returns the path."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def cut(df, label):
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage durably and gives the optimizer real sizes, so later joins
     broadcast a table only when the written files are below the broadcast threshold.
     """
-    path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, label))
