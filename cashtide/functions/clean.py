@@ -37,8 +37,8 @@ def to_number(value, default=None):
 
 
 def to_money(value):
-    """Double to exact decimal through its shortest text form."""
-    return text(value).cast("string").try_cast(MONEY)
+    """Number or text to exact decimal; a double goes through its shortest text form."""
+    return text(value).try_cast(MONEY)
 
 
 def clip_non_negative(value):

@@ -105,12 +105,15 @@ def encode(num="num", scales="scales", categories="categories"):
     return F.concat(scaled, hot)
 
 
-def apply(rows, prep):
-    """Prepared rows; the per-model table is broadcast only while its files are small."""
-    params = prep.select("model_id", "scales", "categories", "y_mean")
+def apply(rows, prep, key="model_id"):
+    """Prepared rows under ``key``; the per-model table is broadcast only while it is small."""
+    params = prep.select(*dict.fromkeys(["model_id", key]), "scales", "categories", "y_mean")
     joined = rows.join(params, "model_id")
     return joined.select(
-        "model_id", "row_id", (F.col("y") - F.col("y_mean")).alias("y"), encode().alias("x")
+        F.col(key).alias("model_id"),
+        "row_id",
+        (F.col("y") - F.col("y_mean")).alias("y"),
+        encode().alias("x"),
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cashtide.modeltree.ridge import ancestors, deepest_nodes
 
-KEPT = "model_id string, node_id int, is_leaf boolean, error double"
+KEPT = "model_id bigint, node_id int, is_leaf boolean, error double"
 
 
 def dot(coef, x):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cashtide.modeltree.grow import route, split_cells
 from cashtide.modeltree.params import FLAT
 
-PARTIAL = "model_id string, node_id int, width int, sums array<double>"
+PARTIAL = "model_id bigint, node_id int, width int, sums array<double>"
 FLUSH_NODES = 4096
 
 

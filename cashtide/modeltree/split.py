@@ -35,8 +35,8 @@ def candidates(values, params, banded=False):
     steps, last = params.percentiles + 1, "nullif(total_n - 1, 0)"
     low = f"int(greatest(ceil({steps} * (cum_n - n) / {last}) - 1, 1))"
     high = f"int(least(floor({steps} * cum_n / {last}) + 1, {params.percentiles}))"
-    numbers = f"CASE WHEN {low} <= {high} THEN sequence({low}, {high}) END"
-    rows = totals.selectExpr("*", f"explode({numbers}) AS k")
+    rows = totals.selectExpr("*", f"{low} AS _low", f"{high} AS _high").filter("_low <= _high")
+    rows = rows.selectExpr("*", "explode(sequence(_low, _high)) AS k")
     rows = rows.selectExpr("*", f"(total_n - 1) * get(array({spots}), k - 1) AS _at")
     rows = rows.filter("floor(_at) >= cum_n - n AND floor(_at) < cum_n")
     rows = rows.selectExpr(

@@ -66,36 +66,46 @@ def has_models(spark, uri):
 def prepared(rows):
     """Preparation table and prepared rows, both written once for the loop to re-read.
 
+    Inside the loop a model goes by a number, given when the preparation table is written:
+    the rows that are sorted and shuffled at every level carry 8 bytes in place of a name.
     Rows are spread by hash over all cores, whatever the sizes of the models.
     """
     spark = rows.sparkSession
     rows = cut(rows, "training-rows")
-    prep = cut(P.fit(rows), "prep")
+    prep = cut(P.fit(rows).withColumn("number", F.monotonically_increasing_id()), "prep")
     spread = rows.repartition(spark.sparkContext.defaultParallelism, "model_id", "row_id")
-    return prep, cut(P.apply(spread, prep), "prepared-rows")
+    return prep, cut(P.apply(spread, prep, "number"), "prepared-rows")
 
 
 def fit(rows, params=None):
     """Train one tree per ``model_id`` present in ``rows``."""
     params = params or TreeParams()
     prep, ready = prepared(rows)
-    grown, splits = grow(ready, prep, params)
+    numbered = prep.drop("model_id").withColumnRenamed("number", "model_id")
+    grown, splits = grow(ready, numbered, params)
     models = cut(node_models(ready, splits, params), "node-models")
     absolute = None
     if params.prune and params.pruning_method == "mae":
         absolute = prune.absolute_errors(ready, models, splits, params.max_depth)
     errors = prune.node_errors(models, params, absolute)
     kept = prune.prune(errors) if params.prune else prune.keep_all(errors)
-    nodes = cut(node_table(kept, models, grown, splits, prep), "nodes")
+    nodes = node_table(kept, models, grown, splits, numbered)
+    nodes = cut(named(nodes, prep), "nodes")
     return TreeModels(
         nodes=nodes,
         models=cut(score.compile_models(prep, nodes, params), "models"),
-        grown=grown,
+        grown=named(grown, prep),
         names=P.feature_names(prep),
         max_depth=params.max_depth,
     )
 
 
+def named(rows, prep):
+    """Model numbers back to names."""
+    keys = prep.select("model_id", "number")
+    return rows.withColumnRenamed("model_id", "number").join(keys, "number").drop("number")
+
+
 def node_table(kept, models, grown, splits, prep):
     """Kept nodes with model, spread, split and reduction."""
     keys = ["model_id", "node_id"]

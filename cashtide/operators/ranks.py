@@ -26,30 +26,31 @@ def running_totals(rows, group, value, sums=(), banded=True):
     task; the result is the same without it.
     """
     group, columns = list(group), ["n", *sums]
-    whole = Window.partitionBy(*group)
+    start, end, here = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
     this = F.struct(value, *columns)
     if not banded:
-        running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        new = {f"cum_{c}": F.sum(c).over(running) for c in columns}
-        new |= {f"total_{c}": F.sum(c).over(whole) for c in columns}
-        new["next"] = F.lead(this).over(whole.orderBy(value))
+        # All frames share one order, so one sort serves them all.
+        order = Window.partitionBy(*group).orderBy(value)
+        new = {f"cum_{c}": F.sum(c).over(order.rowsBetween(start, here)) for c in columns}
+        new |= {f"total_{c}": F.sum(c).over(order.rowsBetween(start, end)) for c in columns}
+        new["next"] = F.lead(this).over(order)
         return rows.withColumns(new)
 
     rows = rows.withColumn("_band", value_band(value))
     bands = rows.groupBy(*group, "_band").agg(
         *[F.sum(c).alias(f"_{c}") for c in columns], F.min(this).alias("_lowest")
     )
-    below = whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    by_band = Window.partitionBy(*group).orderBy("_band")
+    below, whole = by_band.rowsBetween(start, -1), by_band.rowsBetween(start, end)
     offsets = {
         f"_below_{c}": F.coalesce(F.sum(f"_{c}").over(below), F.lit(0)) for c in columns
     }
     offsets |= {f"total_{c}": F.sum(f"_{c}").over(whole) for c in columns}
-    offsets["_next_band"] = F.lead("_lowest").over(whole.orderBy("_band"))
+    offsets["_next_band"] = F.lead("_lowest").over(by_band)
     bands = bands.withColumns(offsets).drop("_lowest", *[f"_{c}" for c in columns])
 
     inside = Window.partitionBy(*group, "_band").orderBy(value)
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    new = {f"_in_{c}": F.sum(c).over(running) for c in columns}
+    new = {f"_in_{c}": F.sum(c).over(inside.rowsBetween(start, here)) for c in columns}
     new["_next_in"] = F.lead(this).over(inside)
     joined = rows.withColumns(new).join(bands, [*group, "_band"])
     final = {f"cum_{c}": F.col(f"_in_{c}") + F.col(f"_below_{c}") for c in columns}

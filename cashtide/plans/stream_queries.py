@@ -57,8 +57,8 @@ def stream_dedup(spark, sf):
 FROM good GROUP BY event_date""")
 def stream_daily_rollup(spark, sf):
     uri, state = fresh_dir(spark, "stream-daily"), fresh_dir(spark, "state")
-    jobs.replace_days(jobs.daily_totals(_payloads(spark, sf)), uri, state)
-    rows = files.read_daily(spark, uri)
+    jobs.append_versions(jobs.daily_totals(_payloads(spark, sf)), uri, state)
+    rows = jobs.newest_versions(spark, uri, ["date"])
     return rows.select("date", *as_double("cash_in", "cash_out"), *as_long("transaction_count"))
 
 

@@ -87,7 +87,7 @@ def api_calls(spark, sf_dir):
 
 def staging_of(orders):
     """Orders as daily staging rows: status F and O are money in, P is money out."""
-    price = F.col("o_totalprice").cast("string").cast(MONEY)
+    price = F.col("o_totalprice").cast(MONEY)
     zero = F.lit(0).cast(MONEY)
     return orders.select(
         F.to_date("o_orderdate").alias("date"),

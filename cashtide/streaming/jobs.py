@@ -2,8 +2,9 @@
 
 All jobs use the column functions of the batch operators. Aggregates run in update mode
 without a watermark, so a row for any old day is accepted; their state is one row per
-(series, day) or per account. Each micro-batch hands over absolute totals, and the sinks
-replace by key, so a replayed batch changes nothing.
+(series, day) or per account. Each micro-batch hands over absolute totals of the keys it
+touched, stored as a version; a replayed batch overwrites its own version, and readers take
+the newest version of each key.
 """
 
 from pyspark.sql import functions as F
@@ -105,17 +106,11 @@ def append(stream, uri, checkpoint, partition_by):
     return _run(writer.partitionBy(partition_by).option("path", uri), checkpoint)
 
 
-def replace_days(stream, uri, checkpoint):
-    """Write the days touched by each micro-batch over their previous totals."""
-
-    def write(batch, _):
-        files.write_daily(batch, uri, unit="date")
-
-    return _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint)
-
-
 def append_versions(stream, uri, checkpoint):
-    """Keep each micro-batch as a version; a replayed batch overwrites its own version."""
+    """Keep each micro-batch as a version; a replayed batch overwrites its own version.
+
+    A version holds only the keys its batch touched, with their new totals.
+    """
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{uri}/version={batch_id}")
