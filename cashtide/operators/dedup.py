@@ -26,8 +26,14 @@ def first_wins(rows):
 
 
 def unseen(rows, seen):
-    """Rows whose key is not in the stored key table; rows with no client id always pass."""
-    return rows.join(seen.select(*KEYS), list(KEYS), "left_anti")
+    """Rows whose key is not in the stored key table; rows with no client id always pass.
+
+    Apply it after ``first_wins``, when a key has one row left. Rows with no client id
+    carry a key of their own, so they spread over all tasks.
+    """
+    known = seen.select("account_id", F.col("client_tx_id").alias("_key"))
+    keyed = rows.withColumn("_key", _key())
+    return keyed.join(known, ["account_id", "_key"], "left_anti").drop("_key").select(rows.columns)
 
 
 def winners(rows):
