@@ -48,20 +48,6 @@ def training_rows(features, series_keys=(), targets=TARGETS):
     return rows.filter(complete)
 
 
-def scoring_rows(features, series_keys=(), targets=TARGETS):
-    """One row per (series, date, target) to score; nulls stay and are imputed."""
-    wide = feature_arrays(features)
-    rows = wide.withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
-    return rows.select(
-        *series_keys,
-        "date",
-        "target",
-        model_name(series_keys).alias("model_id"),
-        _for_target().alias("num"),
-        *([] if "channel" in series_keys else ["channel"]),
-    )
-
-
 def _channel():
     return F.coalesce("channel", F.lit(MISSING))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cashtide.functions.clean import clip_non_negative
 from cashtide.modeltree.grow import by_node, route, split_cells
-from cashtide.modeltree.prep import encode, scoring_rows
+from cashtide.modeltree.prep import encode, feature_arrays
 from cashtide.modeltree.prune import dot
 from cashtide.modeltree.ridge import ancestors
 
@@ -77,10 +77,43 @@ def predict(rows, models, max_depth, smooth=True):
     )
 
 
+def by_series(models, targets):
+    """One row per series with one struct column per target."""
+    target = F.substring_index("model_id", "~", -1)
+    series = F.regexp_replace(F.col("model_id"), "~?[^~]*$", "")
+    packed = F.struct("y_mean", "scales", "categories", "splits", "leaves")
+    rows = models.select(series.alias("_series"), target.alias("_target"), packed.alias("_model"))
+    return rows.groupBy("_series").pivot("_target", list(targets)).agg(F.first("_model"))
+
+
 def predict_wide(features, models, series_keys, targets, max_depth):
-    """One column per target, clipped at 0."""
-    scored = predict(scoring_rows(features, series_keys, targets), models, max_depth)
-    clipped = scored.withColumn("prediction", clip_non_negative("prediction"))
-    return clipped.groupBy(*series_keys, "date").pivot("target", list(targets)).agg(
-        F.first("prediction")
-    )
+    """One column per target, clipped at 0; null where a series has no model for it.
+
+    All models of a series arrive in one join, and every target is an expression on the
+    row, so nothing is exploded by target or pivoted back.
+    """
+    table = by_series(models, targets)
+    if not series_keys:
+        table = F.broadcast(table)  # a single row
+    keys = [F.col(k).cast("string") for k in series_keys]
+    series = F.concat_ws("~", *keys) if keys else F.lit("")
+    kept = list(dict.fromkeys([*series_keys, "date", "channel", "num_in", "num_out"]))
+    rows = feature_arrays(features).select(*kept, series.alias("_series"))
+    joined = rows.join(table, "_series")
+    for name in targets:
+        num = "num_out" if "out" in name else "num_in"
+        x = encode(num, F.col(name)["scales"], F.col(name)["categories"])
+        joined = joined.withColumn(f"_x_{name}", x)
+    leaves = {
+        f"_leaf_{t}": F.get(
+            F.col(t)["leaves"], route(f"{t}.splits", f"_x_{t}", max_depth) - 1
+        )
+        for t in targets
+    }
+    joined = joined.withColumns(leaves)
+    values = []
+    for t in targets:
+        leaf = F.col(f"_leaf_{t}")
+        value = F.col(t)["y_mean"] + leaf["intercept"] + dot(leaf["coef"], F.col(f"_x_{t}"))
+        values.append(F.when(F.col(t).isNotNull(), clip_non_negative(value)).alias(t))
+    return joined.select(*series_keys, "date", *values)

@@ -256,6 +256,14 @@ def test_all_targets_of_all_series_train_together(spark):
     wide = model.predict_all(late, ("account",))
     assert wide.columns == ["account", "date", *TARGETS]
     assert wide.count() == late.count()
+    long = model.predict(P.training_rows(late, ("account",))).toPandas()
+    got = wide.toPandas().melt(["account", "date"], TARGETS, "target", "wide")
+    got["model_id"] = got["account"] + "~" + got["target"]
+    got["row_id"] = got["account"] + "~" + got["date"].astype(str)
+    both = long.merge(got, on=["model_id", "row_id"])
+    assert len(both) == len(long) > 0
+    np.testing.assert_allclose(both["wide"], both["prediction"].clip(lower=0), rtol=1e-12)
+    assert "Python" not in wide._jdf.queryExecution().executedPlan().toString()
     low = wide.select(F.least(*[F.min(t) for t in TARGETS])).first()[0]
     assert low >= 0
     report = T.metrics(model, early, ("account",)).toPandas()
