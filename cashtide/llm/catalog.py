@@ -1,13 +1,28 @@
 """The queries of this package, and their SQL where it can express them."""
 
-from cashtide.llm import bpe_count, token_records
+from cashtide.llm import (
+    bpe_count,
+    decontaminate,
+    language_id,
+    mixing,
+    pii,
+    secret_ledger,
+    token_records,
+    url_trust,
+)
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_records.op1_token_records,
+        url_trust.op2_url_trust,
         bpe_count.op3_token_counts,
+        decontaminate.op5_benchmark_overlap,
+        mixing.op7_source_mixing,
+        pii.op8_pii_spans,
+        language_id.op9_language_id,
+        secret_ledger.op10_secret_ledger,
     )
 }
 
-ORACLE = {}
+ORACLE = {"op10_secret_ledger": secret_ledger.OP10_SQL}
