@@ -7,7 +7,9 @@ from cashtide.llm import (
     mixing,
     pii,
     secret_ledger,
+    signature_join,
     token_records,
+    topk_search,
     url_trust,
 )
 
@@ -17,7 +19,9 @@ QUERIES = {
         token_records.op1_token_records,
         url_trust.op2_url_trust,
         bpe_count.op3_token_counts,
+        signature_join.op4_jaccard_components,
         decontaminate.op5_benchmark_overlap,
+        topk_search.op6_bm25_topk,
         mixing.op7_source_mixing,
         pii.op8_pii_spans,
         language_id.op9_language_id,

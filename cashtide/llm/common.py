@@ -33,7 +33,7 @@ def in_arrow(df, task, schema):
 
         wanted = to_arrow_schema(schema)
         for columns in task(batches):
-            arrays = [pa.array(columns[f.name], type=f.type) for f in wanted]
+            arrays = [as_array(columns[f.name], f.type) for f in wanted]
             yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
 
     if isinstance(schema, str):
@@ -43,6 +43,37 @@ def in_arrow(df, task, schema):
     return df.mapInArrow(run, schema)
 
 
+def as_array(values, kind):
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, type=kind)
+
+
+def filter_in_arrow(docs, make_decide):
+    """The rows of ``docs``, all columns kept, for which the decision on their text is true.
+
+    ``make_decide`` runs once in each task and returns a function from UTF-8 bytes or ``None``.
+    """
+    # Columns travel in a struct, so that no name of theirs can clash.
+    held = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+
+    def run(batches):
+        decide = make_decide()
+        for batch in batches:
+            keep = pa.array([decide(data) for data in utf8(batch.column(1))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=["row"])
+
+    return held.mapInArrow(run, held.select("row").schema).select("row.*")
+
+
+def row_key(text_hash):
+    """One text for a row's doc_id and the hash of its text, null ids included."""
+    hashed = F.col(text_hash) if isinstance(text_hash, str) else text_hash
+    return F.concat_ws(
+        ":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), hashed.cast("string")
+    )
+
+
 def utf8(column):
     """The UTF-8 bytes of a string column, ``None`` for nulls."""
     for value in column.cast(pa.binary()):

@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cashtide.llm.common import documents, in_arrow, utf8
 from cashtide.sources.tables import table
@@ -32,10 +33,10 @@ LETTERS = bytes(
     for b in range(256)
 )
 
-SCANNED = "doc_id bigint, text binary, n_words bigint, hits binary, items array<string>"
+#: The columns of a scan beside ``row``, which holds what the caller wants carried along.
+SCANNED = "text binary, n_words bigint, hits binary, items array<string>"
 RESULT = (
-    "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
-    "contaminated boolean"
+    "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 )
 
 
@@ -159,7 +160,7 @@ class Automaton:
 
 
 def item_blocks(items, block_words=BLOCK_WORDS):
-    """The benchmark in blocks of whole items, read one block at a time."""
+    """The benchmark in blocks of whole items, read one block at a time; at least one block."""
     block, size = [], 0
     for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         words = words_of(row[1].encode() if row[1] is not None else None)
@@ -169,8 +170,7 @@ def item_blocks(items, block_words=BLOCK_WORDS):
         if words:
             block.append((row[0] or "", b" ".join(words)))
             size += len(words)
-    if block:
-        yield block
+    yield block
 
 
 def _scan_task(held, window):
@@ -195,7 +195,7 @@ def _scan_task(held, window):
                 hits.append(mark)
                 items.append(sorted(found.union(old or ())))
             yield {
-                "doc_id": batch.column("doc_id"), "text": texts, "n_words": n_words,
+                "row": batch.column("row"), "text": texts, "n_words": n_words,
                 "hits": hits, "items": items,
             }
 
@@ -215,7 +215,7 @@ def _sum_task(coverage):
                 digest = hashlib.sha256(",".join(items or ()).encode()).hexdigest()
                 rows.append((hit, len(items or ()), digest, hit > 0 and coverage * hit >= n))
             yield {
-                "doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"),
+                "row": batch.column("row"), "n_words": batch.column("n_words"),
                 "n_hit": [r[0] for r in rows], "n_items": [r[1] for r in rows],
                 "items_sha256": [r[2] for r in rows], "contaminated": [r[3] for r in rows],
             }
@@ -223,26 +223,40 @@ def _sum_task(coverage):
     return task
 
 
-def scan(docs, items, window=WINDOW, block_words=BLOCK_WORDS):
-    """Documents with their number of words, a bit per hit word, and the items found."""
+def _with_row(found, columns):
+    """A result schema of ``found``'s carried row and further columns."""
+    return StructType([found.schema["row"], *StructType.fromDDL(columns).fields])
+
+
+def scan(docs, items, carry, window=WINDOW, block_words=BLOCK_WORDS):
+    """Documents with their number of words, a bit per hit word, and the items found.
+
+    The columns named in ``carry`` come along in ``row``, so that none can clash.
+    """
     spark = docs.sparkSession
     found = docs.select(
-        "doc_id",
+        F.struct(*carry).alias("row"),
         F.col("text").cast("binary").alias("text"),
         F.lit(0).cast("bigint").alias("n_words"),
         F.lit(b"").alias("hits"),
         F.array().cast("array<string>").alias("items"),
     )
-    blocks = list(item_blocks(items, block_words)) or [[]]
-    for block in blocks:
+    for block in item_blocks(items, block_words):
         held = spark.sparkContext.broadcast(block)
-        found = in_arrow(found, _scan_task(held, window), SCANNED)
+        found = in_arrow(found, _scan_task(held, window), _with_row(found, SCANNED))
     return found
 
 
-def contamination(docs, items, window=WINDOW, coverage=COVERAGE, block_words=BLOCK_WORDS):
-    """Per document: words, hit words, items, and whether it is contaminated."""
-    return in_arrow(scan(docs, items, window, block_words).drop("text"), _sum_task(coverage), RESULT)
+def contamination(docs, items, carry=("doc_id",), coverage=COVERAGE, **more):
+    """Per document: the carried ``row``, words, hit words, items, and the verdict."""
+    found = scan(docs, items, carry, **more).drop("text")
+    return in_arrow(found, _sum_task(coverage), _with_row(found, RESULT))
+
+
+def keep_clean(docs, items, **more):
+    """The rows of ``docs`` that are not contaminated."""
+    judged = contamination(docs, items, carry=docs.columns, **more)
+    return judged.filter("NOT contaminated").select("row.*")
 
 
 def _cut_task(coverage, least):
@@ -257,7 +271,7 @@ def _cut_task(coverage, least):
                 whole = coverage * flags.sum() >= len(words)
                 gone = [s for s in spans if whole or s[1] - s[0] > least]
                 out.append(_without(data, gone))
-            yield {"doc_id": batch.column("doc_id"), "text": out}
+            yield {"row": batch.column("row"), "text": out}
 
     return task
 
@@ -278,13 +292,14 @@ def _without(data, spans):
     return b"".join([*kept, data[begin:]])
 
 
-def remove_spans(docs, items, window=WINDOW, coverage=COVERAGE, least=WINDOW, **more):
+def remove_spans(docs, items, coverage=COVERAGE, least=WINDOW, **more):
     """(doc_id, text) without hit spans of more than ``least`` words, or without any hit span
     where the hits reach the coverage limit."""
-    found = scan(docs, items, window, **more)
-    cut = in_arrow(found, _cut_task(coverage, least), "doc_id bigint, text binary")
-    return cut.withColumn("text", F.col("text").cast("string"))
+    found = scan(docs, items, ("doc_id",), **more)
+    cut = in_arrow(found, _cut_task(coverage, least), _with_row(found, "text binary"))
+    return cut.select("row.doc_id", F.col("text").cast("string").alias("text"))
 
 
 def op5_benchmark_overlap(spark, sf_dir):
-    return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", *[c for c in found.columns if c != "row"])

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cashtide.llm.common import documents, in_arrow, utf8
+from cashtide.llm.common import documents, filter_in_arrow, in_arrow, utf8
 
 DICTIONARY = 96 * 1024
 SLICE = 256
@@ -99,7 +99,7 @@ class Classifier:
     def predict(self, data):
         """Language and score of the UTF-8 text."""
         words = letters(data.decode("utf-8", "replace")) if data else b""
-        if not words or not self.languages:
+        if not self.languages or not any(map(str.isalpha, words.decode())):
             return UNKNOWN, 0.0
         sums = self.sums(words)
         best = min(range(len(sums)), key=sums.__getitem__)
@@ -129,6 +129,22 @@ def predict(docs, dictionaries, margin=MARGIN):
     return in_arrow(docs.select("doc_id", "text"), _predict_task(held, margin), PREDICTED)
 
 
+def keep_decided(docs, dictionaries, margin=MARGIN):
+    """The rows of ``docs`` whose language is not rejected."""
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
+    def make():
+        classifier = Classifier(held.value)
+
+        def decided(data):
+            language, score = classifier.predict(data)
+            return language != UNKNOWN and score >= margin
+
+        return decided
+
+    return filter_in_arrow(docs, make)
+
+
 def learn_held_out(docs):
     """Dictionaries from all folds but the held-out one."""
     return learn(docs.filter(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", "text", "lang"))

@@ -22,7 +22,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cashtide import session
-from cashtide.llm.common import documents
+from cashtide.llm.common import documents, row_key
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 # Weights of the sources in order, the share of all words, and the most copies.
@@ -265,6 +265,24 @@ def mix(docs, weights=WEIGHTS, share=SHARE, most=MOST):
     return copies(sized, plan).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def take_copies(docs, **more):
+    """The rows of ``docs`` as often as the mix takes them; equal rows share their copies."""
+    key = F.concat_ws(":", row_key(F.xxhash64("text")), F.coalesce("source", F.lit("-")))
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    mixed = mix(docs.select(key.alias("doc_id"), "source", "text"), **more)
+    taken = mixed.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies"))
+    own = Window.partitionBy("key").orderBy(F.lit(1))
+    return (
+        keyed.join(
+            taken.filter("copies > 0").hint("shuffle_hash"), F.col("key") == F.col("doc_id")
+        )
+        .withColumn("place", F.row_number().over(own))
+        .filter("place = 1")
+        .select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+        .select("row.*")
+    )
+
+
 def op7_source_mixing(spark, sf_dir):
     mixed = mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
