@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cashtide.schemas import DEFAULT_CHANNEL, MONEY
+from cashtide.schemas import AMOUNT, DEFAULT_CHANNEL, MONEY
 
 WHITESPACE = " \t\n\r\f\x0b"
 
@@ -41,6 +41,11 @@ def to_money(value):
     return text(value).try_cast(MONEY)
 
 
+def to_amount(value):
+    """An amount with all its digits; null when unreadable or too large to hold."""
+    return text(value).try_cast(AMOUNT)
+
+
 def clip_non_negative(value):
     """Negative, missing and NaN become 0."""
     value = text(value)

@@ -5,6 +5,11 @@ from pyspark.sql import functions as F
 from cashtide.functions.clean import text
 
 
+def drawn_id():
+    """A random id, for rows that bring none; store the row before using it twice."""
+    return F.uuid()
+
+
 def hash_id(*parts):
     """UUID-shaped text from the SHA-256 of the parts."""
     columns = [F.coalesce(text(part).cast("string"), F.lit("")) for part in parts]

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from cashtide.functions.clean import first_filled, to_money
-from cashtide.schemas import DEFAULT_CURRENCY, MONEY, MONEY_SUM
+from cashtide.functions.clean import first_filled, to_amount, to_number
+from cashtide.schemas import AMOUNT, DEFAULT_CURRENCY, MONEY_SUM
 
 # VND per unit of currency.
 VND_RATES = {
@@ -28,9 +28,13 @@ def vnd_rate(value):
 
 
 def amount_vnd(amount, currency):
-    """Absolute amount in VND, exact; null when the currency is unsupported."""
-    units = F.abs(F.coalesce(to_money(amount), F.lit(0).cast(MONEY)))
-    return (units * vnd_rate(currency).cast("decimal(10,0)")).cast(MONEY_SUM)
+    """Absolute amount in VND: converted with all its digits, then rounded once.
+
+    Null when the currency is unsupported. Unreadable amounts count as 0, amounts too large
+    to hold give null; ``reject_reason`` names both.
+    """
+    units = F.when(to_number(amount).isNull(), F.lit(0).cast(AMOUNT)).otherwise(to_amount(amount))
+    return (F.abs(units) * vnd_rate(currency).cast("decimal(6,0)")).cast(MONEY_SUM)
 
 
 def rate_table(spark):

@@ -10,8 +10,14 @@ ORDER = ("event_ts", "tx_id")
 
 
 def _key(client_id="client_tx_id", row_id="tx_id"):
-    """Rows with no client id are never repeats: each gets a key of its own."""
-    return F.coalesce(blank_to_null(client_id), F.concat(F.lit("row:"), F.col(row_id)))
+    """Rows with no client id are never repeats: each gets a key of its own.
+
+    Rows with no id at all must be given one first (``ingest.draw_ids``); until then they
+    share a key with nothing but refuse to be grouped.
+    """
+    key = F.coalesce(blank_to_null(client_id), F.concat(F.lit("row:"), F.col(row_id)))
+    missing = F.raise_error(F.lit("rows without any id: apply ingest.draw_ids first"))
+    return F.coalesce(key, missing.cast("string"))
 
 
 def first_wins(rows):

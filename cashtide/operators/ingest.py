@@ -2,27 +2,46 @@
 
 from pyspark.sql import functions as F
 
+from cashtide import session
 from cashtide.functions import jsonmap
 from cashtide.functions.clean import (
     blank_to_null,
     channel_or_default,
     first_filled,
-    to_money,
+    to_amount,
     to_number,
 )
 from cashtide.functions.dates import event_date
-from cashtide.functions.ids import hash_id
+from cashtide.functions.ids import drawn_id, hash_id
 from cashtide.functions.labels import infer_direction, normalize_type
 from cashtide.functions.money import amount_vnd, vnd_rate
+from cashtide.operators.dedup import first_wins
 from cashtide.schemas import DEFAULT_CURRENCY, LEDGER
 
 
+def draw_ids(payload):
+    """Payloads with a ``tx_id`` for rows that bring no id of any kind.
+
+    Such rows are never repeats of each other. Their ids are random, so these rows are
+    written and read back before anything is derived from them.
+    """
+    named = [blank_to_null(c) for c in ("tx_id", "client_tx_id", "client_transfer_id")]
+    has_id = F.coalesce(*named).isNotNull()
+    without = payload.filter(~has_id).withColumn("tx_id", drawn_id())
+    if payload.isStreaming:
+        return payload.withColumn("tx_id", F.when(has_id, F.col("tx_id")).otherwise(drawn_id()))
+    return payload.filter(has_id).unionByName(session.cut(without, "drawn-ids"))
+
+
 def normalize_payload(payload):
     """Fill account, ids, type and currency, and copy the form fields into ``extra``.
 
     ``extra_json`` text becomes the map column ``extra``; the one label that decides the
     direction is read into ``inner_label``, so that roll-ups never build the map. Rows without any account stay
     in, with a null ``account_id``, for ``reject_reason`` to name.
+
+    A missing ``tx_id`` is derived from account and client id, so a repeat derives the same;
+    a missing client id from ``tx_id``. Rows with neither need ``draw_ids`` first.
     """
     account = blank_to_null("account_id")
     sender, receiver = blank_to_null("sender_id"), blank_to_null("receiver_id")
@@ -36,19 +55,21 @@ def normalize_payload(payload):
         form_type="type",
         description="description",
     )
+    owner = F.coalesce(account, sender, receiver)
+    client = F.coalesce(blank_to_null("client_tx_id"), blank_to_null("client_transfer_id"))
+    own = blank_to_null("tx_id")
     return payload.withColumns(
         {
-            "account_id": F.coalesce(account, sender, receiver),
+            "account_id": owner,
             "transaction_type": F.coalesce(
                 blank_to_null("transaction_type"), blank_to_null("type"), role
             ),
-            "client_tx_id": F.coalesce(
-                blank_to_null("client_tx_id"),
-                blank_to_null("client_transfer_id"),
-                hash_id("tx_id", F.lit("client")),
+            "client_tx_id": F.coalesce(client, F.when(own.isNotNull(), hash_id("tx_id", F.lit("client")))),
+            "tx_id": F.coalesce(
+                own, F.when(client.isNotNull(), hash_id(owner, client, F.lit("single")))
             ),
             "currency": first_filled("currency", F.lit(DEFAULT_CURRENCY)),
-            "extra": jsonmap.merge(jsonmap.decode("extra_json"), form),
+            "extra": jsonmap.merge(jsonmap.keep_raw("extra_json"), form),
             "inner_label": jsonmap.inner_label("extra_json"),
         }
     ).drop("extra_json", "client_transfer_id")
@@ -114,6 +135,7 @@ def reject_reason():
         .when(F.col("event_date").isNull(), "missing_date")
         .when(vnd_rate("currency").isNull(), "unsupported_currency")
         .when(to_number("amount", 0.0) == 0, "zero_amount")
+        .when(to_amount("amount").isNull(), "amount_out_of_range")
     )
 
 
@@ -126,19 +148,32 @@ def rejected(classified):
 
 
 def to_ledger(rows):
-    """Stored form: exact amount and one JSON text holding ids, type and direction."""
+    """Stored form: exact amount and one JSON text holding ids, type and direction.
+
+    What the row has in columns is the default for names the JSON text lacks. A direction of
+    its own counts only for rows without a type.
+    """
     kind = normalize_type("transaction_type")
+    own = {
+        name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+        for name in ("transfer_id", "direction", "counterparty_account_id")
+    }
+    peer = first_filled(own["counterparty_account_id"], F.col("extra")["counterparty_account_id"])
     defaults = jsonmap.additions(
-        client_tx_id="client_tx_id", transaction_type=kind, direction=kind
+        client_tx_id="client_tx_id",
+        transaction_type=kind,
+        direction=F.coalesce(kind, F.lower(blank_to_null(own["direction"]))),
+        transfer_id=own["transfer_id"],
+        counterparty_account_id=peer,
     )
     stored = {
         "event_date": F.to_date("event_ts"),
-        "amount": to_money("amount"),
+        "amount": to_amount("amount"),
         "extra_json": jsonmap.encode(jsonmap.set_default("extra", defaults)),
+        "transfer_id": own["transfer_id"],
+        "direction": own["direction"],
+        "counterparty_account_id": peer,
     }
-    for name in ("transfer_id", "direction", "counterparty_account_id"):
-        if name not in rows.columns:
-            stored[name] = F.lit(None).cast("string")
     return rows.withColumns(stored).select(*LEDGER.fieldNames())
 
 
@@ -166,9 +201,25 @@ def decode_ledger(ledger):
     ).drop("extra_json")
 
 
+def legs(payload):
+    """The one way from payloads to ledger legs: ids, defaults, first wins, both legs.
+
+    First wins runs on normalised rows, so that the key is the account that sends and the
+    client's id whichever field brought it.
+    """
+    return split_transfers(first_wins(normalize_payload(draw_ids(payload))))
+
+
+def cash_legs(payload):
+    """Classified legs; ``accepted`` and ``rejected`` part them."""
+    return classify(legs(payload))
+
+
 def ingest(payload):
-    """Payload to ledger rows, both legs of every transfer included."""
-    return to_ledger(split_transfers(normalize_payload(payload)))
+    """Payloads to (ledger rows, rejects): legs without account or date, with an unsupported
+    currency or without a usable amount are kept apart with their reason."""
+    classified = cash_legs(payload)
+    return to_ledger(accepted(classified)), rejected(classified)
 
 
 def split_in_out(rows):

@@ -10,14 +10,10 @@ def _newest_first():
     return [F.col("event_ts").desc(), F.col("tx_id").asc()]
 
 
-def _clamp(limit, high):
-    return max(1, min(int(limit), high))
-
-
 def account_day(ledger, account_id, day, limit=50):
     """Newest rows of one account on one day; both filters reach the scan."""
     hits = ledger.filter((F.col("account_id") == account_id) & (F.col("event_date") == F.lit(day)))
-    return hits.orderBy(*_newest_first()).limit(_clamp(limit, 100))
+    return hits.orderBy(*_newest_first()).limit(limit)
 
 
 def account_range(ledger, account_id, first_day, last_day, limit=200):
@@ -27,7 +23,7 @@ def account_range(ledger, account_id, first_day, last_day, limit=200):
         & F.col("event_date").between(F.lit(first_day), F.lit(last_day))
     )
     order = [F.col("event_date").desc(), *_newest_first()]
-    return hits.orderBy(*order).limit(_clamp(limit, 1000))
+    return hits.orderBy(*order).limit(limit)
 
 
 def by_tx_id(ledger, tx_id, account_id=None, day=None):
@@ -41,7 +37,7 @@ def by_tx_id(ledger, tx_id, account_id=None, day=None):
 
 
 def most_recent(ledger, limit=500):
-    return ledger.orderBy(*_newest_first()).limit(_clamp(limit, 5000))
+    return ledger.orderBy(*_newest_first()).limit(limit)
 
 
 def newest_per_account(ledger, k):

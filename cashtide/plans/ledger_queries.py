@@ -6,9 +6,12 @@ from cashtide.functions import clean, dates, jsonmap, labels, money
 from cashtide.operators import daily as D
 from cashtide.operators import dedup, ingest, kpi, ledger, profile, reports
 from cashtide.plans.shared import (
+    LEDGER_LEGS,
+    LEDGER_ROWS,
     PAYLOAD,
     ROWS,
     SQL_TS,
+    UUID_SQL,
     as_double,
     as_long,
     norm_sql,
@@ -54,8 +57,8 @@ SELECT tx_id, currency, CAST(rate AS DOUBLE) AS rate, CAST(amount_vnd AS DOUBLE)
 FROM classified WHERE amount_vnd IS NULL OR amount_vnd > 0""")
 def fx_to_vnd(spark, sf):
     rows = money.join_rates(tables.payloads(spark, sf), money.rate_table(spark))
-    vnd = F.abs(clean.to_money("amount")) * F.col("rate").cast("decimal(18,2)")
-    rows = rows.withColumn("amount_vnd", vnd.cast("double"))
+    vnd = F.abs(clean.to_amount("amount")) * F.col("rate").cast("decimal(6,0)")
+    rows = rows.withColumn("amount_vnd", vnd.cast("decimal(38,2)").cast("double"))
     keep = F.col("amount_vnd").isNull() | (F.col("amount_vnd") > 0)
     return rows.filter(keep).select("tx_id", "currency", "rate", "amount_vnd")
 
@@ -164,12 +167,6 @@ def _sparse_payloads(spark, sf):
     )
 
 
-_UUID = (
-    "substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) "
-    "|| '-' || substr(h,21,12)"
-)
-
-
 @query(f"""WITH {PAYLOAD}, gaps AS (
   SELECT tx_id, k, sender_id, sha256(tx_id || '~client') AS h,
     CASE WHEN k % 7 <> 0 AND k % 13 <> 1 THEN account_id END AS acc,
@@ -182,7 +179,7 @@ SELECT tx_id, coalesce(acc, sender_id, receiver_id) AS account_id,
   coalesce(tt, type, CASE WHEN acc IS NULL THEN
     CASE WHEN sender_id IS NOT NULL THEN 'cash_out' WHEN receiver_id IS NOT NULL THEN 'cash_in' END
   END) AS transaction_type,
-  coalesce(cid, CASE WHEN k % 2 = 0 THEN 'T' || tx_id END, {_UUID}) AS client_tx_id,
+  coalesce(cid, CASE WHEN k % 2 = 0 THEN 'T' || tx_id END, {UUID_SQL}) AS client_tx_id,
   currency, sender_id AS extra_sender, receiver_id AS extra_receiver, type AS extra_form_type,
   CASE WHEN k % 4 = 0 THEN 'note' END AS extra_description
 FROM gaps""")
@@ -211,7 +208,7 @@ legs AS (
          receiver_id AS counterparty, CAST(NULL AS VARCHAR) AS mirror_of, extra_json
   FROM base
   UNION ALL
-  SELECT receiver_id, NULL, 'cash_in', {_UUID}, amount, currency, event_ts, event_date, merchant,
+  SELECT receiver_id, NULL, 'cash_in', {UUID_SQL}, amount, currency, event_ts, event_date, merchant,
          status, type, k, 'receiver', sender_id, tx_id, extra_json
   FROM base WHERE receiver_id IS NOT NULL)"""
 
@@ -232,21 +229,17 @@ def p2p_split(spark, sf):
     )
 
 
-_STORED_TYPE = (
-    f"coalesce({norm_sql('transaction_type')}, json_extract_string(extra_json, '$.direction'))"
-)
+_STORED_TYPE = "coalesce(transaction_type, json_extract_string(extra_json, '$.direction'))"
 
 
-@query(f"""WITH {_LEGS}
-SELECT account_id, event_date, tx_id, CAST(CAST(amount AS DECIMAL(18,2)) AS DOUBLE) AS amount,
+@query(f"""WITH {LEDGER_ROWS}
+SELECT account_id, event_date, tx_id, CAST(CAST(amount AS DECIMAL(28,10)) AS DOUBLE) AS amount,
        currency, merchant, status, {_STORED_TYPE} AS transaction_type,
-       coalesce({norm_sql("json_extract_string(extra_json, '$.direction')")},
-                {norm_sql("transaction_type")}) AS direction_label,
-       type AS form_type
-FROM legs""")
+       coalesce(inner_type, transaction_type) AS direction_label, type AS form_type
+FROM good""")
 def decode_ledger_row(spark, sf):
     """Stored rows decoded again: names inside the JSON text come back as columns."""
-    rows = ingest.decode_ledger(ingest.ingest(tables.payloads(spark, sf)))
+    rows = ingest.decode_ledger(ingest.ingest(tables.payloads(spark, sf))[0])
     return rows.select(
         "account_id",
         "event_date",
@@ -298,7 +291,7 @@ def tx_class_label(spark, sf):
     return rows.select("tx_id", labels.class_label(form).alias("class"))
 
 
-@query(f"""WITH {ROWS}
+@query(f"""WITH {LEDGER_ROWS}
 SELECT event_date AS date, tx_id,
   CAST(CASE WHEN cash_direction = 'cash_in' THEN amount_vnd ELSE 0 END AS DOUBLE) AS cash_in,
   CAST(CASE WHEN cash_direction = 'cash_out' THEN amount_vnd ELSE 0 END AS DOUBLE) AS cash_out
@@ -311,27 +304,27 @@ def split_in_out(spark, sf):
 # ---------------------------------------------------------------- ingest and dedup
 
 
-@query(f"""WITH {_LEGS}
-SELECT account_id, event_date, tx_id, CAST(CAST(amount AS DECIMAL(18,2)) AS DOUBLE) AS amount,
-       currency, {_STORED_TYPE} AS transaction_type FROM legs""")
+@query(f"""WITH {LEDGER_ROWS}
+SELECT account_id, event_date, tx_id, CAST(CAST(amount AS DECIMAL(28,10)) AS DOUBLE) AS amount,
+       currency, {_STORED_TYPE} AS transaction_type FROM good""")
 def ingest_bulk(spark, sf):
     """Payloads written as JSON lines, read back with the payload schema and ingested."""
     uri = fresh_dir(spark, "payloads")
     tables.payloads(spark, sf).drop("k").write.json(uri)
-    stored = ingest.ingest(files.read_payloads(spark, uri))
+    stored, _ = ingest.ingest(files.read_payloads(spark, uri))
     rows = ingest.decode_ledger(stored)
     return rows.select("account_id", "event_date", "tx_id", "amount", "currency",
                        "transaction_type")
 
 
-@query(f"""WITH {_LEGS}
+@query(f"""WITH {LEDGER_ROWS}
 SELECT account_id, event_date, tx_id, strftime(event_ts, {SQL_TS}) AS event_ts,
-       CAST(CAST(amount AS DECIMAL(18,2)) AS DOUBLE) AS amount, currency, merchant, status,
+       CAST(CAST(amount AS DECIMAL(28,10)) AS DOUBLE) AS amount, currency, merchant, status,
        mirror_of
-FROM legs""")
+FROM good""")
 def ledger_write_read(spark, sf):
     uri = fresh_dir(spark, "ledger")
-    files.append_ledger(ingest.ingest(tables.payloads(spark, sf)), uri)
+    files.append_ledger(ingest.ingest(tables.payloads(spark, sf))[0], uri)
     back = files.read_ledger(spark, uri)
     return back.select(
         "account_id",
@@ -415,7 +408,7 @@ def p2p_pairing(spark, sf):
 _READ = ("account_id", "event_date", "tx_id", "amount", "transaction_type")
 _READ_SQL = (
     f"account_id, event_date, tx_id, strftime(event_ts, {SQL_TS}) AS event_ts, amount, "
-    "transaction_type"
+    f"{_STORED_TYPE} AS transaction_type"
 )
 
 
@@ -423,20 +416,31 @@ def _read(rows):
     return rows.select(*_READ, stamp("event_ts"))
 
 
-@query(f"""WITH {ROWS} SELECT {_READ_SQL} FROM classified c
+def _stored(spark, sf):
+    """The ledger as it is stored, by day and sorted by account."""
+    uri = fresh_dir(spark, "ledger")
+    files.append_ledger(ingest.ingest(tables.payloads(spark, sf))[0], uri)
+    return files.read_ledger(spark, uri)
+
+
+def _decoded(rows):
+    return _read(ingest.decode_ledger(rows))
+
+
+@query(f"""WITH {LEDGER_ROWS} SELECT {_READ_SQL} FROM good c
 WHERE account_id = 'ACC1' AND event_date = DATE '2024-01-10'
 ORDER BY c.event_ts DESC, tx_id LIMIT 50""")
 def tx_by_account_day(spark, sf):
-    rows = tables.cash_rows(spark, sf)
-    return _read(ledger.account_day(rows, "ACC1", _day("2024-01-10"), 50))
+    rows = _stored(spark, sf)
+    return _decoded(ledger.account_day(rows, "ACC1", _day("2024-01-10"), 50))
 
 
-@query(f"""WITH {ROWS} SELECT {_READ_SQL} FROM classified c
+@query(f"""WITH {LEDGER_ROWS} SELECT {_READ_SQL} FROM good c
 WHERE account_id = 'ACC1' AND event_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
 ORDER BY event_date DESC, c.event_ts DESC, tx_id LIMIT 200""")
 def tx_by_account_range(spark, sf):
-    rows = tables.cash_rows(spark, sf)
-    return _read(ledger.account_range(rows, "ACC1", _day("2024-01-05"), _day("2024-01-20"), 200))
+    rows = _stored(spark, sf)
+    return _decoded(ledger.account_range(rows, "ACC1", _day("2024-01-05"), _day("2024-01-20"), 200))
 
 
 def _day(text):
@@ -445,30 +449,29 @@ def _day(text):
     return datetime.date.fromisoformat(text)
 
 
-@query(f"""WITH {ROWS} SELECT {_READ_SQL} FROM classified c WHERE tx_id = '42'
-UNION ALL SELECT {_READ_SQL} FROM classified c WHERE tx_id = '42'""")
+@query(f"""WITH {LEDGER_ROWS} SELECT {_READ_SQL} FROM good c WHERE tx_id = '42'
+UNION ALL SELECT {_READ_SQL} FROM good c WHERE tx_id = '42'""")
 def tx_by_id(spark, sf):
     """The same row by id alone and by (account, day, id)."""
-    rows = tables.cash_rows(spark, sf)
+    rows = _stored(spark, sf)
     alone = ledger.by_tx_id(rows, "42")
-    key = rows.filter(F.col("tx_id") == "42")
-    account = key.select("account_id").scalar()
-    day = key.select("event_date").scalar()
+    found = alone.select("account_id", "event_date").collect()  # one row at most
+    account, day = found[0] if found else ("", _day("1970-01-01"))
     pruned = ledger.by_tx_id(rows, "42", account, day)
-    return _read(alone).unionByName(_read(pruned))
+    return _decoded(alone).unionByName(_decoded(pruned))
 
 
-@query(f"""WITH {ROWS} SELECT {_READ_SQL} FROM classified c
+@query(f"""WITH {LEDGER_ROWS} SELECT {_READ_SQL} FROM good c
 ORDER BY c.event_ts DESC, tx_id LIMIT 500""")
 def tx_all_recent(spark, sf):
-    return _read(ledger.most_recent(tables.cash_rows(spark, sf), 500))
+    return _decoded(ledger.most_recent(_stored(spark, sf), 500))
 
 
-@query(f"""WITH {ROWS}, r AS (SELECT *, row_number() OVER
-  (PARTITION BY account_id ORDER BY event_ts DESC, tx_id) AS rank FROM classified)
+@query(f"""WITH {LEDGER_ROWS}, r AS (SELECT *, row_number() OVER
+  (PARTITION BY account_id ORDER BY event_ts DESC, tx_id) AS rank FROM good)
 SELECT {_READ_SQL}, CAST(rank AS INTEGER) AS rank FROM r AS c WHERE rank <= 3""")
 def topk_per_account(spark, sf):
-    rows = ledger.newest_per_account(tables.cash_rows(spark, sf), 3)
+    rows = ledger.newest_per_account(ingest.decode_ledger(_stored(spark, sf)), 3)
     return rows.select(*_READ, stamp("event_ts"), "rank")
 
 
@@ -477,7 +480,7 @@ def topk_per_account(spark, sf):
 _SIGNED = "CASE WHEN cash_direction = 'cash_in' THEN amount_vnd ELSE -amount_vnd END"
 
 
-@query(f"""WITH {ROWS}
+@query(f"""WITH {LEDGER_ROWS}
 SELECT account_id, CAST(sum({_SIGNED}) AS DOUBLE) AS balance,
        strftime(max(event_ts), {SQL_TS}) AS updated_at FROM good GROUP BY account_id""")
 def account_balances(spark, sf):
@@ -485,7 +488,7 @@ def account_balances(spark, sf):
     return rows.select("account_id", *as_double("balance"), stamp("updated_at"))
 
 
-_STATEMENTS = f"""{ROWS}, days AS (
+_STATEMENTS = f"""{LEDGER_ROWS}, days AS (
   SELECT account_id, event_date AS day,
     sum(CASE WHEN cash_direction = 'cash_out' THEN amount_vnd ELSE 0 END) AS total_debit,
     sum(CASE WHEN cash_direction = 'cash_in' THEN amount_vnd ELSE 0 END) AS total_credit,
@@ -538,7 +541,7 @@ def account_stats_month(spark, sf):
 
 def _monthly_sql(keys):
     prefix = "".join(f"{k}, " for k in keys)
-    return f"""WITH {ROWS}, m AS (
+    return f"""WITH {LEDGER_ROWS}, m AS (
   SELECT {prefix}CAST(year(event_date) * 100 + month(event_date) AS INTEGER) AS month_yyyymm,
     CAST(sum(amount_vnd) AS DOUBLE) AS total_amount, CAST(count(*) AS DOUBLE) AS num_tx,
     CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS DOUBLE) AS failed
@@ -575,7 +578,7 @@ def _company_sql(period, label):
 FROM good GROUP BY 2"""
 
 
-@query(f"""WITH {ROWS}
+@query(f"""WITH {LEDGER_ROWS}
 {_company_sql('event_date', 'day')}
 UNION ALL {_company_sql("CAST(date_trunc('month', event_date) AS DATE)", 'month')}""")
 def company_stats(spark, sf):
@@ -594,7 +597,7 @@ def company_stats(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query(f"""WITH {ROWS}
+@query(f"""WITH {LEDGER_ROWS}
 SELECT event_date AS date, channel,
   CAST(sum(CASE WHEN cash_direction = 'cash_in' THEN amount_vnd ELSE 0 END) AS DOUBLE) AS cash_in,
   CAST(sum(CASE WHEN cash_direction = 'cash_out' THEN amount_vnd ELSE 0 END) AS DOUBLE)
@@ -607,7 +610,7 @@ def ledger_daily_channel(spark, sf):
     )
 
 
-@query(f"""WITH {ROWS}
+@query(f"""WITH {LEDGER_ROWS}
 SELECT CAST(date_trunc('month', event_date) AS DATE) AS month,
        CAST(sum(amount_vnd) AS DOUBLE) AS volume, count(*) AS num_tx FROM good GROUP BY 1""")
 def report_volume_by_month(spark, sf):
@@ -615,7 +618,7 @@ def report_volume_by_month(spark, sf):
     return rows.select("month", *as_double("volume"), *as_long("num_tx"))
 
 
-@query(f"""WITH {ROWS}
+@query(f"""WITH {LEDGER_ROWS}
 SELECT CASE WHEN coalesce(type, transaction_type) = 'p2p' THEN 'customer'
   WHEN coalesce(type, transaction_type) IN ('cash_in', 'cash_out') THEN 'treasury'
   ELSE 'unknown' END AS class, count(*) AS num_tx, CAST(sum(amount_vnd) AS DOUBLE) AS volume
@@ -626,7 +629,7 @@ def report_by_type(spark, sf):
     return rows.select("class", *as_long("num_tx"), *as_double("volume"))
 
 
-@query(f"""WITH {ROWS}, m AS (SELECT max(event_date) AS d FROM good),
+@query(f"""WITH {LEDGER_ROWS}, m AS (SELECT max(event_date) AS d FROM good),
 p AS (SELECT '30' AS period, CAST(d - INTERVAL 29 DAY AS DATE) AS s FROM m
   UNION ALL SELECT '90', CAST(d - INTERVAL 89 DAY AS DATE) FROM m
   UNION ALL SELECT 'year', CAST(date_trunc('year', d) AS DATE) FROM m)

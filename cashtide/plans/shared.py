@@ -62,23 +62,49 @@ payload AS (
          CASE WHEN k % 7 = 0 THEN 'p2p' END AS type, k
   FROM ev)"""
 
-ROWS = f"""{PAYLOAD},
+UUID_SQL = (
+    "substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) "
+    "|| '-' || substr(h,21,12)"
+)
+
+# First of repeated payloads, then one row for each leg of a transfer.
+LEDGER_LEGS = f"""{PAYLOAD},
+first_rows AS (
+  SELECT *, sha256(tx_id || '~receiver') AS h FROM payload QUALIFY row_number() OVER
+    (PARTITION BY account_id, client_tx_id ORDER BY event_ts, tx_id) = 1),
+leg AS (
+  SELECT * EXCLUDE (h), CASE WHEN receiver_id IS NOT NULL THEN 'sender' END AS p2p_role,
+         CAST(NULL AS VARCHAR) AS mirror_of
+  FROM first_rows
+  UNION ALL
+  SELECT * EXCLUDE (h) REPLACE (receiver_id AS account_id, {UUID_SQL} AS tx_id,
+                                'cash_in' AS raw_type), 'receiver', tx_id
+  FROM first_rows WHERE receiver_id IS NOT NULL)"""
+
+
+def _rows(source, steps):
+    return f"""{steps},
 typed AS (
   SELECT *, {norm_sql("coalesce(raw_type, type)")} AS transaction_type,
          {norm_sql("json_extract_string(extra_json, '$.direction')")} AS inner_type,
          {_RATE} AS rate, coalesce(merchant, 'DEFAULT') AS channel
-  FROM payload),
+  FROM {source}),
 classified AS (
   SELECT *,
     CASE WHEN transaction_type IN ('cash_in','cash_out') THEN transaction_type
          WHEN inner_type IN ('cash_in','cash_out') THEN inner_type
          WHEN amount < 0 THEN 'cash_out' ELSE 'cash_in' END AS cash_direction,
-    CAST(CAST(abs(amount) AS DECIMAL(18,2)) * rate AS DECIMAL(38,2)) AS amount_vnd,
+    CAST(CAST(abs(amount) AS DECIMAL(28,10)) * rate AS DECIMAL(38,2)) AS amount_vnd,
     CASE WHEN rate IS NULL THEN 'unsupported_currency'
          WHEN amount = 0 THEN 'zero_amount' END AS reject_reason
   FROM typed),
 good AS (SELECT * FROM classified WHERE reject_reason IS NULL)"""
 
+
+#: Payloads as they came, classified; and the legs that the ledger counts.
+ROWS = _rows("payload", PAYLOAD)
+LEDGER_ROWS = _rows("leg", LEDGER_LEGS)
+
 STAGING = """
 staging AS (
   SELECT CAST(o_orderdate AS DATE) AS date,

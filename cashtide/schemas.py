@@ -6,6 +6,8 @@ _STR, _DBL, _INT = T.StringType(), T.DoubleType(), T.IntegerType()
 _DATE, _TS = T.DateType(), T.TimestampType()
 MONEY = T.DecimalType(18, 2)
 MONEY_SUM = T.DecimalType(38, 2)
+#: An amount as it came, before conversion: more digits than any currency has.
+AMOUNT = T.DecimalType(28, 10)
 
 
 def _struct(**fields):
@@ -20,7 +22,7 @@ PAYLOAD = _struct(
 
 LEDGER = _struct(
     account_id=_STR, event_date=_DATE, event_ts=_TS, tx_id=_STR, transfer_id=_STR, direction=_STR,
-    counterparty_account_id=_STR, amount=MONEY, currency=_STR, merchant=_STR, status=_STR,
+    counterparty_account_id=_STR, amount=AMOUNT, currency=_STR, merchant=_STR, status=_STR,
     extra_json=_STR,
 )
 

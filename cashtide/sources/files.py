@@ -2,9 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from cashtide import session
 from cashtide.schemas import API_CALLS, DAILY_STAGING, LEDGER, PAYLOAD
 
 
+def _exists(spark, uri):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def read_daily_csv(spark, uri, schema=DAILY_STAGING):
     """Daily staging CSV with a header, on any Hadoop URI; no inference pass."""
     return spark.read.schema(schema).option("header", True).csv(uri)
@@ -16,8 +22,8 @@ def write_csv(df, uri):
 
 
 def preview(df, order, n=5):
-    """First ``n`` (1 to 50) rows in a stated order."""
-    return df.orderBy(*order).limit(max(1, min(int(n), 50)))
+    """First ``n`` rows in a stated order."""
+    return df.orderBy(*order).limit(n)
 
 
 def read_payloads(spark, uri):
@@ -39,19 +45,30 @@ def append_ledger(ledger, uri, mode="append"):
 
 
 def read_ledger(spark, uri):
-    return spark.read.schema(LEDGER).parquet(uri)
+    return spark.read.schema(LEDGER).parquet(uri).select(*LEDGER.fieldNames())
+
+
+def append_rejects(rejected, uri, mode="append"):
+    """Refused rows with their reason; maps are stored as JSON text."""
+    plain = {c: F.to_json(c) for c, kind in rejected.dtypes if kind.startswith("map")}
+    rejected.withColumns(plain).write.mode(mode).parquet(uri)
 
 
-def write_daily(daily, uri, unit="month"):
-    """Replace exactly the months (or dates) present in ``daily``; others stay untouched.
+def write_daily(daily, uri):
+    """Replace exactly the dates present in ``daily``; all others stay untouched.
 
-    With ``unit="month"`` pass whole months. ``unit="date"`` suits tables with many series
-    per day.
+    Files lie by month. Of the months that ``daily`` touches, the stored dates it does not
+    bring are read first and written again with it.
     """
-    unit_column = {"month": F.trunc("date", "MM"), "date": F.col("date")}[unit]
+    daily = daily.withColumn("part", F.trunc("date", "MM"))
+    if _exists(daily.sparkSession, uri):
+        stored = daily.sparkSession.read.parquet(uri)
+        kept = stored.join(daily.select("part").distinct(), "part", "left_semi").join(
+            daily.select("date").distinct(), "date", "left_anti"
+        )
+        daily = daily.unionByName(session.cut(kept, "kept-days"), allowMissingColumns=True)
     (
-        daily.withColumn("part", unit_column)
-        .hint("rebalance", F.col("part"))
+        daily.hint("rebalance", F.col("part"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("part")

@@ -65,12 +65,16 @@ def cash_rows(spark, sf_dir):
 
 
 def accepted_rows(spark, sf_dir):
-    return ingest.accepted(cash_rows(spark, sf_dir))
+    """What the ledger counts: the first of repeated payloads, both legs, refused rows out."""
+    return ingest.accepted(ingest.cash_legs(payloads(spark, sf_dir)))
 
 
 def api_calls(spark, sf_dir):
+    return api_calls_of(table(spark, sf_dir, "events"))
+
+
+def api_calls_of(events):
     """Events as API calls: the day is absent on every third row."""
-    events = table(spark, sf_dir, "events")
     ts = F.col("ts").cast("timestamp")
     return events.select(
         F.when(F.col("event_id") % 3 != 0, F.to_date(ts)).alias("day"),

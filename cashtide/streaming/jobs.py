@@ -9,9 +9,10 @@ the newest version of each key.
 
 from pyspark.sql import functions as F
 
+from cashtide import session
 from cashtide.operators import ingest
-from cashtide.operators.dedup import KEYS
-from cashtide.schemas import PAYLOAD
+from cashtide.operators.dedup import KEYS, first_wins, unseen
+from cashtide.schemas import DEDUP_KEYS, LEDGER, PAYLOAD
 from cashtide.sources import files
 
 
@@ -40,32 +41,73 @@ def table_stream(spark, sf_dir, name, files_per_trigger=None):
     return reader.parquet(sf_dir)
 
 
-def dedup(payloads, delay=None):
-    """First arrival per (account, client id).
+def dedup(payloads, delay):
+    """First arrival per (account, client id) with bounded state: keys are kept for ``delay``
+    behind the newest event. ``ingest`` remembers keys for ever, in a stored table."""
+    rows = ingest.normalize_payload(ingest.draw_ids(payloads))
+    return rows.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(list(KEYS))
 
-    With ``delay`` the state is bounded: keys are kept that long behind the newest event.
-    Without it keys are remembered forever, one state row per key.
+
+def ingest_batches(payloads, uri, checkpoint):
+    """Payloads to the ledger, through the same steps as the batch ingest.
+
+    Each micro-batch drops keys that earlier batches have stored, and writes the legs it
+    accepts under ``uri/ledger``, those it refuses, with their reason, under ``uri/rejects``
+    and its keys under ``uri/keys``. A replayed batch overwrites its own parts.
     """
-    if delay is None:
-        return payloads.dropDuplicates(list(KEYS))
-    return payloads.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(list(KEYS))
+
+    def write(batch, batch_id):
+        spark = batch.sparkSession
+        rows = first_wins(ingest.normalize_payload(ingest.draw_ids(batch)))
+        earlier = _parts(spark, f"{uri}/keys", "batch", lambda n: n < batch_id)
+        if earlier:
+            seen = spark.read.schema(DEDUP_KEYS).parquet(*earlier)
+            rows = unseen(rows, seen)
+        rows = session.cut(rows, "stream-batch")
+        keys = rows.select(
+            "account_id", "client_tx_id", "tx_id", F.col("event_ts").alias("created_at")
+        )
+        legs = ingest.classify(ingest.split_transfers(rows))
+        part = f"batch={batch_id}"
+        files.append_ledger(
+            ingest.to_ledger(ingest.accepted(legs)), f"{uri}/ledger/{part}", "overwrite"
+        )
+        files.append_rejects(ingest.rejected(legs), f"{uri}/rejects/{part}", "overwrite")
+        keys.write.mode("overwrite").parquet(f"{uri}/keys/{part}")
+
+    return _run(payloads.writeStream.foreachBatch(write), checkpoint)
+
+
+def _parts(spark, uri, name, wanted):
+    """Folders ``name=<number>`` below ``uri`` whose number is wanted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    found = [s.getPath() for s in system.listStatus(path)]
+    numbers = {str(p.getName()): str(p.toString()) for p in found}
+    return sorted(
+        p for n, p in numbers.items() if n.startswith(f"{name}=") and wanted(int(n.split("=")[1]))
+    )
 
 
-def ledger_rows(payloads):
-    """Both legs of each payload in stored form; rows with no account or date are left out."""
-    legs = ingest.split_transfers(ingest.normalize_payload(payloads))
-    usable = legs.filter(F.col("account_id").isNotNull() & F.col("event_ts").isNotNull())
-    return ingest.to_ledger(usable)
+def ledger_stream(spark, uri, files_per_trigger=None):
+    """The ledger that ``ingest_batches`` writes, as a stream of decoded rows."""
+    reader = spark.readStream.schema(LEDGER)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    rows = reader.parquet(f"{uri}/ledger").select(*LEDGER.fieldNames())
+    return ingest.decode_ledger(rows)
 
 
-def cash_rows(payloads):
-    """Accepted rows with direction, VND amount and channel."""
-    return ingest.accepted(ingest.classify(ingest.normalize_payload(payloads)))
+def cash_rows(ledger):
+    """Ledger rows with direction, VND amount and channel."""
+    return ingest.classify(ledger)
 
 
-def daily_totals(payloads, series_keys=()):
+def daily_totals(ledger, series_keys=()):
     """Totals per UTC calendar day, as a tumbling one-day window."""
-    rows = ingest.split_in_out(cash_rows(payloads))
+    rows = ingest.split_in_out(cash_rows(ledger))
     day = F.window("event_ts", "1 day")
     totals = rows.groupBy(*series_keys, day.alias("_day")).agg(
         F.sum("cash_in").cast("decimal(38,2)").alias("cash_in"),
@@ -75,12 +117,12 @@ def daily_totals(payloads, series_keys=()):
     return totals.withColumn("date", F.to_date("_day.start")).drop("_day")
 
 
-def account_totals(payloads):
+def account_totals(ledger):
     """Current balance and last update per account."""
     signed = F.when(F.col("cash_direction") == "cash_in", F.col("amount_vnd")).otherwise(
         -F.col("amount_vnd")
     )
-    return cash_rows(payloads).groupBy("account_id").agg(
+    return cash_rows(ledger).groupBy("account_id").agg(
         F.sum(signed).cast("decimal(38,2)").alias("balance"),
         F.max("event_ts").alias("updated_at"),
     )
@@ -109,17 +151,30 @@ def append(stream, uri, checkpoint, partition_by):
 def append_versions(stream, uri, checkpoint):
     """Keep each micro-batch as a version; a replayed batch overwrites its own version.
 
-    A version holds only the keys its batch touched, with their new totals.
+    A version holds only the keys its batch touched, with their new totals. Versions carry on
+    from the highest one there, so a new checkpoint on an old folder overwrites nothing.
     """
+    spark = stream.sparkSession
+    state = _parts(spark, checkpoint, "offset", lambda n: True)
+    base = int(state[0].rsplit("=", 1)[1]) if state else 1 + max(
+        [-1] + [int(p.rsplit("=", 1)[1]) for p in _parts(spark, uri, "version", lambda n: True)]
+    )
+    if not state:
+        # The offset belongs to the checkpoint: its batches keep their numbers on a restart.
+        spark.range(0).write.parquet(f"{checkpoint}/offset={base}")
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{uri}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{uri}/version={base + batch_id}")
 
     return _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
-def newest_versions(spark, uri, keys):
-    """Newest version of every key."""
+def newest_versions(spark, uri, keys, schema=None):
+    """Newest version of every key; an empty table of ``schema`` when none was written."""
+    if not _parts(spark, uri, "version", lambda n: True):
+        if schema is None:
+            raise ValueError(f"nothing was written to {uri}; pass the schema of its rows")
+        return spark.createDataFrame([], schema)
     rows = spark.read.parquet(uri)
     values = [c for c in rows.columns if c not in keys and c != "version"]
     newest = F.max(F.struct("version", *values)).alias("newest")
@@ -127,5 +182,15 @@ def newest_versions(spark, uri, keys):
     return picked.select(*keys, *[f"newest.{c}" for c in values])
 
 
+def compact(spark, uri, keys):
+    """One version of all keys under a new folder; returns it for readers to switch to."""
+    folder = session.fresh_dir(spark, "compacted")
+    newest = _parts(spark, uri, "version", lambda n: True)
+    if newest:
+        last = max(int(p.rsplit("=", 1)[1]) for p in newest)
+        newest_versions(spark, uri, keys).write.parquet(f"{folder}/version={last}")
+    return folder
+
+
 def append_api_calls(calls, uri, checkpoint):
     return append(files.api_call_rows(calls), uri, checkpoint, "day")

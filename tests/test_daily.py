@@ -96,6 +96,10 @@ def test_daily_sink_replaces_only_what_it_is_given(spark):
     back = files.read_daily(spark, uri)
     assert back.count() == 60
     assert back.filter("cash_in = 0").count() == 28 + 1
+    # A batch with one day of a month leaves the month's other days as they are.
+    files.write_daily(days.limit(1).withColumn("cash_in", F.lit(-5.0)), uri)
+    back = files.read_daily(spark, uri)
+    assert back.count() == 60 and back.filter("cash_in = -5").count() == 1
 
 
 def test_kpi_last_write_wins(spark):

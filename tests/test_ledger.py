@@ -62,8 +62,8 @@ def test_stored_row_decodes_to_the_same_names(spark):
         {"account_id": "A", "client_tx_id": "c1", "transaction_type": " Deposit ", "amount": 1.1,
          "extra_json": '{"direction":"keep"}', "description": "d"},
     )
-    stored = ingest.ingest(rows)
-    assert str(stored.first().amount) == "1.10"
+    stored, refused = ingest.ingest(rows)
+    assert str(stored.first().amount) == "1.1000000000" and refused.count() == 0
     back = ingest.decode_ledger(stored).first()
     assert (back.client_tx_id, back.transaction_type, back.direction) == ("c1", "cash_in", "keep")
     assert (back.description, back.type, back.amount) == ("d", "cash_in", 1.1)
@@ -193,11 +193,12 @@ def test_ledger_table_is_pruned_by_day_and_account(spark):
     rows = payload(
         spark,
         *[
-            {"account_id": f"A{i % 3}", "event_ts": T0 + datetime.timedelta(days=i % 4, minutes=i)}
+            {"account_id": f"A{i % 3}", "amount": 1.0,
+             "event_ts": T0 + datetime.timedelta(days=i % 4, minutes=i)}
             for i in range(24)
         ],
     )
-    files.append_ledger(ingest.ingest(rows), uri)
+    files.append_ledger(ingest.ingest(rows)[0], uri)
     table = files.read_ledger(spark, uri)
     hits = ledger.account_day(table, "A1", T0.date(), limit=2)
     plan = hits._jdf.queryExecution().executedPlan().toString()
@@ -208,10 +209,80 @@ def test_ledger_table_is_pruned_by_day_and_account(spark):
     assert len(got) == 2 and got == sorted(got, reverse=True)
 
 
-def test_limits_are_clamped(spark):
-    rows = ingest.ingest(payload(spark, {"account_id": "A"}, {"account_id": "A"}))
-    assert ledger.most_recent(rows, 0).count() == 1
-    assert ledger.account_day(rows, "A", T0.date(), 1000).count() == 2
+def test_limits_are_the_callers(spark):
+    rows, _ = ingest.ingest(payload(spark, *[{"account_id": "A", "amount": 1.0}] * 120))
+    assert ledger.account_day(rows, "A", T0.date(), 110).count() == 110
+    assert ledger.account_range(rows, "A", T0.date(), T0.date(), 119).count() == 119
+    assert ledger.most_recent(rows, 6000).count() == 120
+
+
+def test_rows_without_ids_are_all_kept(spark):
+    rows = payload(
+        spark, *[{"account_id": "A", "tx_id": None, "amount": 3.0}] * 5,
+        {"sender_id": "A", "receiver_id": "B", "tx_id": None, "amount": 4.0},
+    )
+    stored, refused = ingest.ingest(rows)
+    got = stored.collect()
+    assert len(got) == 7 and refused.count() == 0
+    assert len({r.tx_id for r in got}) == 7 and None not in {r.tx_id for r in got}
+    with pytest.raises(Exception, match="draw_ids"):
+        dedup.first_wins(ingest.normalize_payload(rows)).collect()
+
+
+def test_client_ids_count_per_sender_whichever_field_brings_them(spark):
+    def sent(**row):
+        return {"amount": 1.0, "tx_id": None, **row}
+
+    rows = payload(
+        spark,
+        sent(sender_id="A", client_tx_id="X"),
+        sent(sender_id="B", client_tx_id="X"),
+        sent(account_id="C", client_transfer_id="T"),
+        sent(account_id="C", client_transfer_id="T"),
+        sent(account_id="C", client_transfer_id="T", event_ts=T0 + datetime.timedelta(days=1)),
+        sent(sender_id="D", receiver_id="E", client_tx_id="P"),
+        sent(sender_id="D", receiver_id="E", client_tx_id="P"),
+    )
+    got = ingest.ingest(rows)[0].collect()
+    assert sorted(r.account_id for r in got) == ["A", "B", "C", "D", "E"]
+    again = ingest.ingest(rows)[0].collect()
+    assert {r.tx_id for r in got} == {r.tx_id for r in again}
+
+
+def test_money_is_converted_before_it_is_rounded(spark):
+    rows = payload(
+        spark,
+        {"account_id": "A", "amount": 1.999, "currency": "EUR"},
+        {"account_id": "A", "amount": 0.004, "currency": "USD"},
+        {"account_id": "A", "amount": 1e19},
+    )
+    stored, refused = ingest.ingest(rows)
+    vnd = ingest.accepted(ingest.cash_legs(rows)).orderBy("tx_id").collect()
+    assert [float(r.amount_vnd) for r in vnd] == [51574.20, 94.60]
+    assert sorted(float(r.amount) for r in stored.collect()) == [0.004, 1.999]
+    assert [r.reject_reason for r in refused.collect()] == ["amount_out_of_range"]
+
+
+def test_refused_rows_are_kept_with_their_reason(spark):
+    rows = payload(spark, {"amount": 1.0}, {"account_id": "A", "amount": 1.0, "event_ts": None})
+    stored, refused = ingest.ingest(rows)
+    assert stored.count() == 0
+    uri = fresh_dir(spark, "rejects")
+    files.append_rejects(refused, uri)
+    back = spark.read.parquet(uri).orderBy("tx_id").collect()
+    assert [r.reject_reason for r in back] == ["missing_account", "missing_date"]
+
+
+def test_text_that_is_no_object_and_columns_reach_the_ledger(spark):
+    rows = payload(
+        spark, {"account_id": "A", "amount": 1.0, "extra_json": "just text"}
+    ).withColumns(
+        {"transfer_id": F.lit("TR"), "counterparty_account_id": F.lit("Z"), "direction": F.lit("OUT")}
+    )
+    row = ingest.ingest(rows)[0].select("*", jsonmap.decode("extra_json").alias("m")).first()
+    assert row.m["raw_extra"] == "just text" and row.m["transfer_id"] == "TR"
+    assert row.m["counterparty_account_id"] == "Z" and row.m["direction"] == "out"
+    assert (row.transfer_id, row.counterparty_account_id, row.direction) == ("TR", "Z", "OUT")
 
 
 def test_bad_payload_lines_are_rejected_not_lost(spark, tmp_path):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cashtide.operators import daily as D
 from cashtide.operators import dedup, ingest, kpi, ledger
-from cashtide.schemas import PAYLOAD
+from cashtide.schemas import DEDUP_KEYS, PAYLOAD
 from cashtide.session import fresh_dir
 from cashtide.sources import files, tables
 from cashtide.streaming import jobs
@@ -26,86 +26,112 @@ def as_set(df, *columns):
     return {tuple(r) for r in df.select(*columns).collect()}
 
 
-def test_ingest_across_batches(spark, sf):
-    uri, rows = payload_files(spark, sf)
-    out, state = fresh_dir(spark, "ledger"), fresh_dir(spark, "state")
+def ingested(spark, source):
+    """The folder of a ledger written by a stream over the payload files of ``source``."""
+    uri, state = fresh_dir(spark, "ledger"), fresh_dir(spark, "state")
     for _ in range(2):  # the second run finds nothing new
-        stream = jobs.payload_stream(spark, uri, files_per_trigger=1)
-        jobs.append(jobs.ledger_rows(stream), out, state, "event_date")
+        jobs.ingest_batches(jobs.payload_stream(spark, source, files_per_trigger=1), uri, state)
+    return uri
+
+
+def test_ingest_of_one_batch_is_the_batch_ingest(spark, sf):
+    source, rows = payload_files(spark, sf, parts=1)
+    uri = ingested(spark, source)
     columns = ("account_id", "event_date", "event_ts", "tx_id", "amount", "extra_json")
-    got = files.read_ledger(spark, out)
-    expected = ingest.ingest(rows)
+    got = files.read_ledger(spark, f"{uri}/ledger")
+    expected, refused = ingest.ingest(rows)
     assert got.count() == expected.count()
     assert as_set(got, *columns) == as_set(expected, *columns)
+    reasons = ("account_id", "tx_id", "reject_reason")
+    assert as_set(spark.read.parquet(f"{uri}/rejects"), *reasons) == as_set(refused, *reasons)
+
+
+def test_ingest_remembers_keys_across_batches(spark, sf):
+    source, rows = payload_files(spark, sf)
+    uri = ingested(spark, source)
+    keys = spark.read.schema(DEDUP_KEYS).parquet(f"{uri}/keys")
+    expected = as_set(dedup.first_wins(rows), *dedup.KEYS)
+    assert keys.count() == len(expected)
+    assert as_set(keys, *dedup.KEYS) == expected
+    legs = files.read_ledger(spark, f"{uri}/ledger").select("tx_id")
+    assert legs.count() == legs.distinct().count()
+
+
+def totals_match(spark, uri):
+    ledger_rows = ingest.classify(ingest.decode_ledger(files.read_ledger(spark, f"{uri}/ledger")))
+    return ledger_rows.cache()
 
 
-def test_daily_totals_across_batches(spark, sf):
-    uri, rows = payload_files(spark, sf)
+def test_totals_across_batches(spark, sf):
+    source, _ = payload_files(spark, sf)
+    uri = ingested(spark, source)
+    rows = totals_match(spark, uri)
     out, state = fresh_dir(spark, "daily"), fresh_dir(spark, "state")
-    stream = jobs.payload_stream(spark, uri, files_per_trigger=1)
+    stream = jobs.ledger_stream(spark, uri, files_per_trigger=1)
     jobs.append_versions(jobs.daily_totals(stream, ("channel",)), out, state)
-    cash = ingest.split_in_out(
-        ingest.accepted(ingest.classify(ingest.normalize_payload(rows)))
-    )
     columns = ("channel", "date", "cash_in", "cash_out", "transaction_count")
     got = jobs.newest_versions(spark, out, ["channel", "date"])
-    expected = D.roll_up(cash, ("channel",))
-    assert as_set(got, *columns) == as_set(expected, *columns)
+    assert as_set(got, *columns) == as_set(D.roll_up(ingest.split_in_out(rows), ("channel",)), *columns)
+    compacted = jobs.compact(spark, out, ["channel", "date"])
+    again = jobs.newest_versions(spark, compacted, ["channel", "date"])
+    assert as_set(again, *columns) == as_set(got, *columns)
 
+    out, state = fresh_dir(spark, "balances"), fresh_dir(spark, "state")
+    stream = jobs.ledger_stream(spark, uri, files_per_trigger=3)
+    jobs.append_versions(jobs.account_totals(stream), out, state)
+    got = jobs.newest_versions(spark, out, ["account_id"])
+    columns = ("account_id", "balance", "updated_at")
+    assert as_set(got, *columns) == as_set(ledger.account_balances(rows), *columns)
+    rows.unpersist()
 
-def test_late_rows_for_an_old_day_are_added(spark):
-    uri, out, state = (fresh_dir(spark, n) for n in ("in", "daily", "state"))
+
+def send(spark, uri, account, day, amount, tx):
     names = PAYLOAD.fieldNames()
+    row = {"account_id": account, "client_tx_id": tx, "tx_id": tx, "amount": amount,
+           "transaction_type": "in", "event_ts": datetime.datetime(2024, 1, day)}
+    df = spark.createDataFrame([tuple(row.get(n) for n in names)], PAYLOAD)
+    df.coalesce(1).write.mode("append").json(uri)
 
-    def send(day, amount, tx):
-        row = {"account_id": "A", "client_tx_id": tx, "tx_id": tx, "amount": amount,
-               "transaction_type": "in", "event_ts": datetime.datetime(2024, 1, day)}
-        df = spark.createDataFrame([tuple(row.get(n) for n in names)], PAYLOAD)
-        df.coalesce(1).write.mode("append").json(uri)
-        jobs.append_versions(jobs.daily_totals(jobs.payload_stream(spark, uri)), out, state)
 
-    send(1, 5.0, "a")
-    send(28, 7.0, "b")
-    send(1, 6.0, "c")
+def test_late_rows_for_an_old_day_are_added(spark):
+    source, uri, out = (fresh_dir(spark, n) for n in ("in", "ledger", "daily"))
+    states = [fresh_dir(spark, "state") for _ in range(2)]
+    for day, amount, tx in ((1, 5.0, "a"), (28, 7.0, "b"), (1, 6.0, "c"), (1, 9.0, "c")):
+        send(spark, source, "A", day, amount, tx)
+        jobs.ingest_batches(jobs.payload_stream(spark, source), uri, states[0])
+        jobs.append_versions(jobs.daily_totals(jobs.ledger_stream(spark, uri)), out, states[1])
     rows = jobs.newest_versions(spark, out, ["date"]).collect()
     got = {r.date.day: float(r.cash_in) for r in rows}
     assert got == {1: 11.0, 28: 7.0}
 
 
-def test_balances_across_batches(spark, sf):
-    uri, rows = payload_files(spark, sf)
-    out, state = fresh_dir(spark, "balances"), fresh_dir(spark, "state")
-    stream = jobs.payload_stream(spark, uri, files_per_trigger=1)
-    jobs.append_versions(jobs.account_totals(stream), out, state)
+def test_a_new_checkpoint_overwrites_nothing(spark):
+    out = fresh_dir(spark, "balances")
+    for account in ("A", "B"):
+        source, uri = fresh_dir(spark, "in"), fresh_dir(spark, "ledger")
+        send(spark, source, account, 1, 5.0, "x")
+        jobs.ingest_batches(jobs.payload_stream(spark, source), uri, fresh_dir(spark, "state"))
+        stream = jobs.account_totals(jobs.ledger_stream(spark, uri))
+        jobs.append_versions(stream, out, fresh_dir(spark, "state"))
     got = jobs.newest_versions(spark, out, ["account_id"])
-    cash = ingest.accepted(ingest.classify(ingest.normalize_payload(rows)))
-    columns = ("account_id", "balance", "updated_at")
-    assert as_set(got, *columns) == as_set(ledger.account_balances(cash), *columns)
-    assert spark.read.parquet(out).select("version").distinct().count() > 1
+    assert {r.account_id for r in got.collect()} == {"A", "B"}
+
 
+def test_a_stream_without_input_gives_an_empty_table(spark):
+    schema = "account_id string, balance decimal(38,2), updated_at timestamp"
+    out = fresh_dir(spark, "balances")
+    assert jobs.newest_versions(spark, out, ["account_id"], schema).count() == 0
 
-def test_dedup_remembers_keys_across_batches(spark, sf):
-    uri, rows = payload_files(spark, sf)
+
+def test_bounded_dedup(spark, sf):
+    source, rows = payload_files(spark, sf)
     keys = as_set(dedup.first_wins(rows), *dedup.KEYS)
-    for delay in (None, "40 days"):
-        out, state = fresh_dir(spark, "keys"), fresh_dir(spark, "state")
-        stream = jobs.dedup(jobs.payload_stream(spark, uri, files_per_trigger=1), delay)
-        kept = stream.select(*dedup.KEYS, F.to_date("event_ts").alias("day"))
-        jobs.append(kept, out, state, "day")
-        got = spark.read.parquet(out)
-        assert got.count() == len(keys)
-        assert as_set(got, *dedup.KEYS) == keys
-
-
-def test_deduplicated_daily_totals(spark, sf):
-    uri, rows = payload_files(spark, sf, parts=1)
-    out, state = fresh_dir(spark, "daily"), fresh_dir(spark, "state")
-    stream = jobs.dedup(jobs.payload_stream(spark, uri))
-    jobs.append_versions(jobs.daily_totals(stream), out, state)
-    got = jobs.newest_versions(spark, out, ["date"])
-    refused = ingest.classify(ingest.normalize_payload(dedup.first_wins(rows)))
-    total = got.agg(F.sum("transaction_count")).first()[0]
-    assert total == ingest.accepted(refused).count()
+    out, state = fresh_dir(spark, "keys"), fresh_dir(spark, "state")
+    stream = jobs.dedup(jobs.payload_stream(spark, source, files_per_trigger=1), "40 days")
+    kept = stream.select(*dedup.KEYS, F.to_date("event_ts").alias("day"))
+    jobs.append(kept, out, state, "day")
+    got = spark.read.parquet(out)
+    assert got.count() == len(keys) and as_set(got, *dedup.KEYS) == keys
 
 
 def test_kpi_stream_keeps_the_newest_write(spark, sf):
