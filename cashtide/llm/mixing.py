@@ -33,7 +33,7 @@ MOST = 2
 RANKED = 1000
 STEPS = 60
 TOLERANCE = 1e-9
-REPAIRS = 8
+REPAIRS = 12
 EXACT = "decimal(38,9)"
 
 
@@ -188,12 +188,19 @@ def whole(histogram, dual, most=MOST, repairs=REPAIRS):
             (F.round(F.first("target")) - taken).cast("bigint").alias("gap")
         )
         can = F.when(F.col("gap") > 0, F.col("n") - F.col("up")).otherwise(F.col("up"))
-        fits = free & (can > 0) & (F.col("size") <= F.abs("gap"))
+        gain = F.abs("gap") - F.abs(F.abs(F.col("gap")) - F.col("size"))
         near = table.join(gaps, F.col("source").eqNullSafe(F.col("s")))
-        chosen = near.filter(fits).groupBy("s", "gap").agg(F.max("size").alias("chosen"))
+        # The size nearest to the gap; moving one document of it brings the source closer.
+        chosen = (
+            near.filter(free & (can > 0) & (gain > 0))
+            .groupBy("s", "gap")
+            .agg(F.max(F.struct(gain.alias("gain"), "size")).alias("best"))
+            .select("s", "gap", F.col("best.size").alias("chosen"))
+        )
         if chosen.isEmpty():
             break
-        step = F.least(can, F.floor(F.abs("gap") / F.col("size"))) * F.signum("gap")
+        many = F.greatest(F.floor(F.abs("gap") / F.col("size")), F.lit(1))
+        step = F.least(can, many) * F.signum("gap")
         hit = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("chosen"))
         table = session.cut(
             table.join(chosen, hit, "left")

@@ -5,9 +5,10 @@ below. URLs that no rule fits are judged by their host. Two scores spread over t
 whose edges are absolute links between pages of different hosts: trust starts at hosts with
 allowed pages and follows links, distrust starts at hosts with blocked pages and follows links
 backwards, to the hosts that link there. Both are personalised PageRanks whose seeds weigh the
-share of the host's pages that the rules allow or block. A host without links in a
-score's direction keeps what it holds, so an unlinked host keeps its own weight. A host is
-blocked when its distrust reaches the threshold and exceeds its trust.
+share of the host's pages that the rules allow or block. Scores are given in units of a seed: a
+seed holds its weight and, from any host, the damped share arrives over each link, which is
+the PageRank divided by its restart probability. A host is blocked when its distrust reaches
+the threshold and exceeds its trust.
 
 A null url, or one without ``://``, has an empty host and path and is allowed. Null html has no
 links. Each input row gives one result row; an empty table gives an empty result; further
@@ -23,7 +24,7 @@ from cashtide import session
 from cashtide.sources.tables import table
 
 DAMPING = 0.85
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 ITERATIONS = 50
 #: The spreading ends when the scores change by less than this share of all seed weight.
 SETTLED = 1e-4
@@ -125,16 +126,14 @@ def spread(links, start, damping=DAMPING, iterations=ITERATIONS, settled=SETTLED
     held = start
     if not total or edges.isEmpty():
         return held
-    linked = edges.select("score", F.col("a").alias("host")).distinct()
-    base = start.withColumn("weight", F.col("weight") * (1 - damping))
     for _ in range(iterations):
-        kept = held.join(linked, ["score", "host"], "left_anti").select("host", "score", "weight")
-        moved = held.join(
-            edges.withColumnRenamed("a", "host"), ["score", "host"]
-        ).select(F.col("b").alias("host"), "score", (F.col("weight") * F.col("share")).alias("weight"))
-        inflow = kept.unionByName(moved).withColumn("weight", F.col("weight") * damping)
+        moved = held.join(edges.withColumnRenamed("a", "host"), ["score", "host"]).select(
+            F.col("b").alias("host"),
+            "score",
+            (F.col("weight") * F.col("share") * damping).alias("weight"),
+        )
         after = session.cut(
-            inflow.unionByName(base).groupBy("host", "score").agg(F.sum("weight").alias("weight")),
+            moved.unionByName(start).groupBy("host", "score").agg(F.sum("weight").alias("weight")),
             "host-scores",
         )
         change = (
