@@ -7,7 +7,7 @@ model. Only split tables are written between levels, so an executor loss costs o
 
 from pyspark.sql import functions as F
 
-from cashtide.modeltree.params import FLAT, ONE_TASK_ROWS
+from cashtide.modeltree.params import FLAT
 from cashtide.modeltree.split import best_splits
 from cashtide.session import store
 
@@ -99,13 +99,11 @@ def grow(rows, prep, params):
     only value the driver sees per level is whether a split was found.
     """
     spark = rows.sparkSession
-    largest = prep.agg(F.max("n")).first()[0] or 0
-    banded = largest > ONE_TASK_ROWS
     frontier, splits, paths = root_nodes(prep), None, []
     for depth in range(params.max_depth):
         frontier = growable(frontier, params)
         located = locate(rows, frontier, splits, params.max_depth)
-        best = best_splits(located, params, banded)
+        best = best_splits(located, params)
         best = best.join(frontier.select("model_id", "node_id", "mean"), ["model_id", "node_id"])
         paths.append(store(best, f"splits-{depth}"))
         found = spark.read.schema(best.schema).parquet(paths[-1])

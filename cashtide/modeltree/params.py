@@ -17,7 +17,6 @@ class TreeParams:
     ridge_alpha: float = 0.01
     percentiles: int = 32
     prune: bool = True
-    smooth: bool = True
 
     def quantiles(self):
         """Interior percentiles as fractions, lowest first."""
@@ -26,5 +25,3 @@ class TreeParams:
 
 # A node whose target or feature spread is below this is constant.
 FLAT = 1e-10
-# Groups up to this many rows are sorted in one task; larger ones are split into bands.
-ONE_TASK_ROWS = 2_000_000

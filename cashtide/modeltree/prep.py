@@ -13,8 +13,20 @@ MISSING = "__MISSING__"
 WIDTH = len(numeric_features_for(""))
 
 
+def series_name(series_keys):
+    """Series keys as one text that no other keys give: the separator is escaped and null
+    has a mark of its own. Empty without keys."""
+
+    def part(key):
+        value = F.replace(F.col(key).cast("string"), F.lit("%"), F.lit("%25"))
+        return F.coalesce(F.replace(value, F.lit("~"), F.lit("%7E")), F.lit("%00"))
+
+    return F.concat_ws("~", *[part(k) for k in series_keys])
+
+
 def model_name(series_keys, target="target"):
-    return F.concat_ws("~", *[F.col(k).cast("string") for k in series_keys], F.col(target))
+    """Series name and target, told apart by the last separator."""
+    return F.concat_ws("~", *([series_name(series_keys)] if series_keys else []), F.col(target))
 
 
 def _numeric(features):
@@ -39,7 +51,7 @@ def training_rows(features, series_keys=(), targets=TARGETS):
     long = unpivot_targets(wide.select(*ids, *targets), ids, targets)
     rows = long.select(
         model_name(series_keys).alias("model_id"),
-        F.concat_ws("~", *[F.col(k).cast("string") for k in series_keys], "date").alias("row_id"),
+        model_name(series_keys, "date").alias("row_id"),
         "y",
         _for_target().alias("num"),
         "channel",

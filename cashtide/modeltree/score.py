@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cashtide.functions.clean import clip_non_negative
 from cashtide.modeltree.grow import by_node, route, split_cells
-from cashtide.modeltree.prep import encode, feature_arrays
+from cashtide.modeltree.prep import encode, feature_arrays, series_name
 from cashtide.modeltree.prune import dot
 from cashtide.modeltree.ridge import ancestors
 
@@ -95,8 +95,7 @@ def predict_wide(features, models, series_keys, targets, max_depth):
     table = by_series(models, targets)
     if not series_keys:
         table = F.broadcast(table)  # a single row
-    keys = [F.col(k).cast("string") for k in series_keys]
-    series = F.concat_ws("~", *keys) if keys else F.lit("")
+    series = series_name(series_keys) if series_keys else F.lit("")
     kept = list(dict.fromkeys([*series_keys, "date", "channel", "num_in", "num_out"]))
     rows = feature_arrays(features).select(*kept, series.alias("_series"))
     joined = rows.join(table, "_series")

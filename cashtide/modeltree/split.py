@@ -23,14 +23,14 @@ def value_table(located):
     )
 
 
-def candidates(values, params, banded=False):
+def candidates(values, params):
     """Percentile thresholds (linear interpolation) with left-side running totals.
 
     A value covers the ranks [cum_n - n, cum_n); it yields the percentiles whose lower
     rank falls there. Interpolation may round up to the next value, whose rows then go
     left too.
     """
-    totals = running_totals(values, FEATURE, "value", ("s1", "s2"), banded)
+    totals = running_totals(values, FEATURE, "value", ("s1", "s2"))
     spots = ", ".join(f"{q!r}D" for q in params.quantiles())
     steps, last = params.percentiles + 1, "nullif(total_n - 1, 0)"
     low = f"int(greatest(ceil({steps} * (cum_n - n) / {last}) - 1, 1))"
@@ -104,7 +104,7 @@ def best(scored):
     return picked.select(*NODE, *[f"top.{c}" for c in ("feature", "threshold", *MEASURES)])
 
 
-def best_splits(located, params, banded=False):
+def best_splits(located, params):
     """Accepted splits of one level: the reduction reaches the share of the node's spread."""
-    found = best(score(candidates(value_table(located), params, banded), params))
+    found = best(score(candidates(value_table(located), params), params))
     return found.filter(f"sdr >= {params.min_std_reduction} * sd")

@@ -1,5 +1,7 @@
 """Training, artefacts and metrics."""
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -11,9 +13,13 @@ from cashtide.modeltree import prep as P
 from cashtide.modeltree.grow import grow
 from cashtide.modeltree.params import TreeParams
 from cashtide.modeltree.ridge import node_models
+from cashtide.operators import daily
+from cashtide.operators.features import training_set
+from cashtide.operators.ingest import require_cash_columns
 from cashtide.operators.profile import regression_metrics
-from cashtide.schemas import TARGETS
+from cashtide.schemas import FEATURES_IN, FEATURES_OUT, TARGETS
 from cashtide.session import cut
+from cashtide.sources.files import read_daily_csv
 
 PARTS = ("nodes", "models", "grown", "names")
 
@@ -44,23 +50,77 @@ class TreeModels:
         return explain.rules(self.nodes, self.names)
 
     def save(self, uri):
+        """Write a new version and publish it last; readers see the old one until then."""
+        spark = self.nodes.sparkSession
+        version = uuid.uuid4().hex
         for part in PARTS:
-            getattr(self, part).write.mode("overwrite").parquet(f"{uri}/{part}")
+            getattr(self, part).write.parquet(f"{uri}/versions/{version}/{part}")
+        about = {"version": version, "max_depth": self.max_depth}
+        spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode(
+            "append"
+        ).text(f"{uri}/published")
+
+    def schema(self):
+        """Per model: target, ordered features and the names of the encoded ones."""
+        target = F.substring_index("model_id", "~", -1)
+        required = F.when(F.contains(F.lower(target), F.lit("out")), _texts(FEATURES_OUT)).otherwise(
+            _texts(FEATURES_IN)
+        )
+        ordered = F.sort_array(F.collect_list(F.struct("feature", "name")))
+        encoded = self.names.groupBy("model_id").agg(
+            F.transform(ordered, lambda f: f["name"]).alias("all_feature_names")
+        )
+        return encoded.select(
+            "model_id",
+            target.alias("target_column"),
+            required.alias("required_features"),
+            "all_feature_names",
+        )
+
+    def targets(self):
+        """Targets of the models held."""
+        rows = self.models.select(F.substring_index("model_id", "~", -1).alias("target"))
+        return {r["target"] for r in rows.distinct().collect()}  # a handful of names
+
+    def joined(self, newer):
+        """These models, with those of ``newer`` in place of the same targets."""
+        replaced = sorted(newer.targets())
+        target = F.substring_index("model_id", "~", -1)
+        parts = {
+            part: getattr(self, part).filter(~target.isin(replaced)).unionByName(getattr(newer, part))
+            for part in PARTS
+        }
+        return TreeModels(**parts, max_depth=max(self.max_depth, newer.max_depth))
+
+
+def _texts(names):
+    return F.array(*[F.lit(name) for name in names])
+
+
+def published(spark, uri):
+    """What the newest published version says of itself, ``None`` when there is none."""
+    try:
+        rows = spark.read.text(f"{uri}/published").select(
+            "value", F.col("_metadata.file_modification_time").alias("time")
+        )
+    except AnalysisException:
+        return None
+    newest = rows.orderBy(F.desc("time"), F.desc("value")).first()
+    return json.loads(newest["value"]) if newest else None
 
 
-def load(spark, uri, params=None):
-    tables = {part: spark.read.parquet(f"{uri}/{part}") for part in PARTS}
-    return TreeModels(**tables, max_depth=(params or TreeParams()).max_depth)
+def load(spark, uri):
+    """The newest published version, with the depth it was grown to."""
+    about = published(spark, uri)
+    if about is None:
+        raise ValueError(f"no models are published in {uri}")
+    folder = f"{uri}/versions/{about['version']}"
+    tables = {part: spark.read.parquet(f"{folder}/{part}") for part in PARTS}
+    return TreeModels(**tables, max_depth=about["max_depth"])
 
 
 def has_models(spark, uri):
-    """True when all parts of an artefact can be read."""
-    try:
-        for part in PARTS:
-            spark.read.parquet(f"{uri}/{part}")
-    except AnalysisException:
-        return False
-    return True
+    return published(spark, uri) is not None
 
 
 def prepared(rows):
@@ -146,8 +206,32 @@ def metrics(model, features, series_keys=(), targets=TARGETS):
 
 
 def ensure(features, uri, series_keys=(), targets=TARGETS, params=None, force=False):
-    """Load the artefact when it exists, else train and save it; ``force`` retrains."""
+    """Models of all ``targets``: stored ones are loaded, missing ones are trained and stored
+    with them; ``force`` retrains all."""
     spark = features.sparkSession
-    if force or not has_models(spark, uri):
-        train(features, series_keys, targets, params).save(uri)
-    return load(spark, uri, params)
+    held = load(spark, uri) if not force and has_models(spark, uri) else None
+    missing = [t for t in targets if held is None or t not in held.targets()]
+    if missing:
+        newer = train(features, series_keys, missing, params)
+        (newer if held is None else held.joined(newer)).save(uri)
+    return load(spark, uri)
+
+
+def train_from_csv(spark, uri, series_keys=(), targets=TARGETS, params=None):
+    """Models from a CSV file of daily rows (or raw transactions), as the reader finds it."""
+    rows = require_cash_columns(read_daily_csv(spark, uri))
+    days = daily.roll_up(rows, series_keys).join(
+        daily.common_channel(rows, (*series_keys, "date")), [*series_keys, "date"]
+    )
+    features = training_set(days.withColumnRenamed("channel_mode", "channel"), series_keys)
+    return train(features, series_keys, targets, params)
+
+
+def daily_job(history, batch, models_uri, series_keys=(), targets=TARGETS, params=None):
+    """The day's work: merge a batch into the daily table, rebuild features, retrain, publish.
+
+    Returns the merged table and the models.
+    """
+    merged = cut(daily.merge_additive(history, batch, series_keys), "daily-merged")
+    features = training_set(merged, series_keys)
+    return merged, ensure(features, models_uri, series_keys, targets, params, force=True)

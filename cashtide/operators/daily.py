@@ -87,9 +87,17 @@ def merge_additive(history, batch, series_keys=()):
     return with_net(merged)
 
 
-def merge_replace(history, batch, series_keys=()):
-    """The new batch replaces whole dates of the history; columns are aligned by name."""
+def merge_replace(history, batch, series_keys=(), prefer=None):
+    """The new batch replaces whole dates of the history; columns are aligned by name.
+
+    A batch that repeats a date counts with its first row in ``prefer`` order, by default the
+    one with most rows behind it, then the larger amounts.
+    """
     keys = [*series_keys, "date"]
+    if prefer is None:
+        ranked = ("transaction_count", "cash_in", "cash_out")
+        prefer = [F.col(c).desc_nulls_last() for c in ranked if c in batch.columns]
+    batch = one_row_per_date(batch, prefer, series_keys)
     kept = history.join(batch.select(*keys), keys, "left_anti")
     return kept.unionByName(batch, allowMissingColumns=True)
 

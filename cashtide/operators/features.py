@@ -217,18 +217,3 @@ def require_vnd(rows):
             F.raise_error(F.concat(F.lit("currency not supported: "), code)).cast("boolean")
         )
     )
-
-
-# Weekday and pay-day factors of the seasonal profile.
-WEEKEND_FACTOR = 0.2
-PAYDAY_FACTOR = 1.5
-
-
-def seasonal(daily):
-    """Scale a daily table by a weekday / pay-day pattern."""
-    factor = F.when(F.weekday("date") >= 5, WEEKEND_FACTOR).otherwise(1.0)
-    factor = factor * F.when(dates.is_fixed_payday("date") == 1, PAYDAY_FACTOR).otherwise(1.0)
-    return daily.withColumns(
-        {c: F.round(F.col(c).cast("double") * factor, 2).cast("decimal(38,2)")
-         for c in ("cash_in", "cash_out")}
-    )

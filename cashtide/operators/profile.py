@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from cashtide.operators.ranks import nearest_rank
+from cashtide import session
+from cashtide.operators.ranks import counted_values, rank_of_counted
 
 
 def dataset_profile(df, day, numeric):
@@ -37,9 +38,13 @@ def value_counts(df, column):
 
 def latency_summary(calls, group, value):
     """Exact mean and nearest-rank p95 per group."""
-    p95 = nearest_rank(calls, group, value, 0.95).withColumnRenamed(value, "p95")
-    mean = calls.groupBy(*group).agg(
-        F.avg(value).alias("mean"), F.count(F.lit(1)).alias("calls")
+    counted = session.cut(counted_values(calls, group, value), "latency-values")
+    known = counted.filter(F.col(value).isNotNull())
+    p95 = rank_of_counted(known, group, value, 0.95).withColumnRenamed(value, "p95")
+    weighted = F.sum(F.col(value) * F.col("n"))
+    mean = counted.groupBy(*group).agg(
+        (weighted / F.sum(F.when(F.col(value).isNotNull(), F.col("n")))).alias("mean"),
+        F.sum("n").alias("calls"),
     )
     return mean.join(p95, list(group))
 

@@ -1,42 +1,41 @@
 """Exact order statistics of groups of any size.
 
 Values are first counted per (group, value). Running counts are then taken inside value
-bands, and bands are offset by the totals of the bands below them. A group holding a
-third of the table is thus sorted by many tasks, one per band, and no row is dropped.
+bands, and bands are offset by the totals of the bands below them. A group's band limits are
+approximate percentiles of its own values, so bands hold about as many values each however
+close together these lie; results are exact whatever the limits. A group holding a third of
+the table is thus sorted by many tasks, one per band, and no row is dropped.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-BANDS_PER_UNIT = 64
+BANDS = 256
 
 
-def value_band(value):
-    """Order-preserving integer band of a number: even steps on a signed log scale."""
-    value = F.col(value)
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * BANDS_PER_UNIT).cast("int")
+def with_bands(rows, group, value):
+    """Add ``_band``: how many of its group's limits lie below a value."""
+    shares = F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)])
+    limits = rows.groupBy(*group).agg(
+        F.array_distinct(F.percentile_approx(value, shares, F.lit(4 * BANDS))).alias("_limits")
+    )
+    keys = [F.col(f"_g{i}").eqNullSafe(F.col(c)) for i, c in enumerate(group)]
+    named = limits.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_limits")
+    below = F.size(F.filter("_limits", lambda limit: limit < F.col(value)))
+    return rows.join(named, keys).select(*rows.columns, below.alias("_band"))
 
 
-def running_totals(rows, group, value, sums=(), banded=True):
+def running_totals(rows, group, value, sums=()):
     """Distinct values of each group with running totals.
 
     ``rows`` holds one row per (group, value) with the columns ``n`` and ``sums``. Adds
     ``cum_<c>`` (inclusive) and ``total_<c>`` per column, and ``next``: the value and
-    columns of the next larger value. ``banded`` is for groups too large to sort in one
-    task; the result is the same without it.
+    columns of the next larger value.
     """
     group, columns = list(group), ["n", *sums]
     start, end, here = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
     this = F.struct(value, *columns)
-    if not banded:
-        # All frames share one order, so one sort serves them all.
-        order = Window.partitionBy(*group).orderBy(value)
-        new = {f"cum_{c}": F.sum(c).over(order.rowsBetween(start, here)) for c in columns}
-        new |= {f"total_{c}": F.sum(c).over(order.rowsBetween(start, end)) for c in columns}
-        new["next"] = F.lead(this).over(order)
-        return rows.withColumns(new)
-
-    rows = rows.withColumn("_band", value_band(value))
+    rows = with_bands(rows, group, value)
     bands = rows.groupBy(*group, "_band").agg(
         *[F.sum(c).alias(f"_{c}") for c in columns], F.min(this).alias("_lowest")
     )
@@ -60,12 +59,20 @@ def running_totals(rows, group, value, sums=(), banded=True):
     return joined.withColumns(final).drop(*helpers)
 
 
+def counted_values(rows, group, value):
+    """Distinct values of each group with their number of rows."""
+    return rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+
+
 def nearest_rank(rows, group, value, q):
     """The value at position floor(q * n) of each sorted group (at least the first)."""
+    known = rows.filter(F.col(value).isNotNull())
+    return rank_of_counted(counted_values(known, group, value), group, value, q)
+
+
+def rank_of_counted(counted, group, value, q):
+    """As ``nearest_rank``, of values that are counted already."""
     group = list(group)
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(
-        F.count(F.lit(1)).alias("n")
-    )
     ranked = running_totals(counted, group, value)
     position = F.greatest(F.floor(F.col("total_n") * F.lit(q)), F.lit(1))
     hit = (F.col("cum_n") >= position) & (F.col("cum_n") - F.col("n") < position)

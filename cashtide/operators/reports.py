@@ -27,14 +27,19 @@ def period_start(last_day, period):
 def totals(rows, periods=("30", "90", "year")):
     """Volume, count, active accounts and success rate per period up to the newest day.
 
-    One pass: rows are reduced to (day, account) before the periods are applied.
+    Rows before the earliest start are cut first, so that days are pruned; the others are
+    reduced to (day, account) before the periods are applied.
     """
+    last_day = rows.agg(F.max("event_date")).scalar()
+    earliest = F.least(*[period_start(last_day, p) for p in periods]) if len(periods) > 1 else (
+        period_start(last_day, periods[0])
+    )
+    rows = rows.filter(F.col("event_date") >= earliest)
     per_account_day = rows.groupBy("event_date", "account_id").agg(
         F.sum("amount_vnd").alias("volume"),
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("status") == "SETTLED").alias("settled"),
     )
-    last_day = rows.agg(F.max("event_date")).scalar()
     labels = F.explode(
         F.array(
             *[

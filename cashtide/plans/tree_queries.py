@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cashtide.functions import dates
 from cashtide.modeltree import prep as P
 from cashtide.modeltree import split as S
 from cashtide.modeltree import train as T
@@ -12,7 +13,7 @@ from cashtide.plans import daily_queries as DQ
 from cashtide.plans.shared import DAILY_BY_CHANNEL, as_long
 from cashtide.schemas import TARGETS, numeric_features_for
 from cashtide.session import fresh_dir
-from cashtide.sources import tables
+from cashtide.sources import files, tables
 
 QUERIES, ORACLE = {}, {}
 PARAMS = TreeParams()
@@ -28,11 +29,26 @@ def query(sql=None):
     return register
 
 
+# Weekday and pay-day factors of the seasonal profile.
+WEEKEND_FACTOR = 0.2
+PAYDAY_FACTOR = 1.5
+
+
+def seasonal_fixture(daily):
+    """A daily table scaled by a weekday / pay-day pattern, so that trees have something to split."""
+    factor = F.when(F.weekday("date") >= 5, WEEKEND_FACTOR).otherwise(1.0)
+    factor = factor * F.when(dates.is_fixed_payday("date") == 1, PAYDAY_FACTOR).otherwise(1.0)
+    return daily.withColumns(
+        {c: F.round(F.col(c).cast("double") * factor, 2).cast("decimal(38,2)")
+         for c in ("cash_in", "cash_out")}
+    )
+
+
 def series(spark, sf, seasonal=False):
     """The daily series of the whole table with each day's most common channel."""
     rows = tables.staging(spark, sf)
     days = D.roll_up(rows)
-    days = X.seasonal(days) if seasonal else days
+    days = seasonal_fixture(days) if seasonal else days
     return days.join(D.common_channel(rows), "date").withColumnRenamed("channel_mode", "channel")
 
 
@@ -195,8 +211,7 @@ def split_candidates(spark, sf):
 @query(f"""WITH {_SDR} SELECT DISTINCT model_id, feature, round(threshold, 3) AS threshold, n_left,
   n_right, round(sdr, 3) AS sdr FROM sdr""")
 def split_sdr(spark, sf):
-    """Scored candidates; value bands on, as for nodes too large for one task."""
-    cands = S.candidates(S.value_table(_root_rows(spark, sf)), PARAMS, banded=True)
+    cands = S.candidates(S.value_table(_root_rows(spark, sf)), PARAMS)
     rows = S.score(cands, PARAMS)
     return rows.select(
         "model_id", "feature", *_rounded("threshold"), *as_long("n_left", "n_right"),
@@ -221,9 +236,20 @@ def split_best(spark, sf):
 _trained = {}
 
 
+def _stamp(spark, df):
+    """Names, lengths and times of the files of a table: other data have another stamp."""
+    jvm, found = spark._jvm, []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def trained(spark, sf):
-    """Models of the seasonal series, trained once per session and read back from disk."""
-    key = (spark.sparkContext.applicationId, sf)
+    """Models of the seasonal series, trained once for each state of its input files."""
+    stamp = _stamp(spark, tables.table(spark, sf, "orders"))
+    key = (spark.sparkContext.applicationId, stamp)
     if key not in _trained:
         uri = fresh_dir(spark, "tree-models")
         T.ensure(training(spark, sf, seasonal=True), uri)
@@ -234,7 +260,7 @@ def trained(spark, sf):
 @query()
 def m5p_train_all_targets(spark, sf):
     """Six targets of every channel's series, grown together in the same jobs."""
-    days = X.seasonal(D.roll_up(tables.staging(spark, sf), ("channel",)))
+    days = seasonal_fixture(D.roll_up(tables.staging(spark, sf), ("channel",)))
     models = T.train(X.training_set(days, ("channel",)), ("channel",))
     return models.stats()
 
@@ -314,3 +340,40 @@ def model_save_load(spark, sf):
         for part in T.PARTS
     ]
     return D.union_evolving(*counts)
+
+
+@query()
+def m5p_unaltered(spark, sf):
+    """Statistics of the trees of the amounts as they are, where a split is rare."""
+    return T.train(training(spark, sf)).stats()
+
+
+_TRAIN_ROWS = " UNION ALL ".join(
+    f"SELECT '{t}' AS model_id, count(*) AS n FROM full_rows WHERE {t} IS NOT NULL" for t in TARGETS
+)
+
+
+@query(f"WITH {_SERIES} {_TRAIN_ROWS}")
+def train_from_csv(spark, sf):
+    """Staging rows exported as CSV; models trained from the file, with their training rows."""
+    uri = fresh_dir(spark, "staging-csv")
+    rows = tables.staging(spark, sf).select(
+        "date", F.col("cash_in").cast("double"), F.col("cash_out").cast("double"), "channel",
+        *dates.date_parts("date"), F.lit(0.0).alias("balance"),
+        F.col("tx_id").cast("string").alias("client_tx_id"),
+    )
+    files.write_csv(rows, uri)
+    models = T.train_from_csv(spark, uri, params=TreeParams(max_depth=2))
+    return models.models.select("model_id", "n")
+
+
+@query(f"WITH {_SERIES} {_TRAIN_ROWS}")
+def daily_job_retrain(spark, sf):
+    """The daily table cut in two, the later part merged back as a batch and all retrained."""
+    days = series(spark, sf)
+    early = F.col("date") < F.lit("1998-01-01").cast("date")
+    uri = fresh_dir(spark, "job-models")
+    _, models = T.daily_job(
+        days.filter(early), days.filter(~early), uri, params=TreeParams(max_depth=2)
+    )
+    return models.models.select("model_id", "n")

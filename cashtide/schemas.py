@@ -46,10 +46,14 @@ API_CALLS = _struct(
 )
 
 # The feature columns of each direction and the six targets.
-SHARED_HEAD = ("cash_in_d0", "cash_out_d0", "cash_net_d0")
-SHARED_TAIL = ("dow", "is_weekend", "is_month_end", "is_payday", "channel")
-FEATURES_IN = SHARED_HEAD + ("lag1_in", "lag7_in", "roll_mean_7_in") + SHARED_TAIL
-FEATURES_OUT = SHARED_HEAD + ("lag1_out", "lag7_out", "roll_mean_7_out") + SHARED_TAIL
+FEATURES_IN = (
+    "cash_in_d0", "cash_out_d0", "cash_net_d0", "lag1_in", "lag7_in", "roll_mean_7_in",
+    "dow", "is_weekend", "is_month_end", "is_payday", "channel",
+)
+FEATURES_OUT = (
+    "cash_in_d0", "cash_out_d0", "cash_net_d0", "lag1_out", "lag7_out", "roll_mean_7_out",
+    "dow", "is_weekend", "is_month_end", "is_payday", "channel",
+)
 TARGETS = (
     "cash_in_next_day",
     "cash_out_next_day",
@@ -58,7 +62,6 @@ TARGETS = (
     "cash_in_next_month_sum",
     "cash_out_next_month_sum",
 )
-DEFAULT_TARGET = "amount_next_day"
 DEFAULT_CURRENCY = "VND"
 DEFAULT_CHANNEL = "DEFAULT"
 

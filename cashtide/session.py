@@ -1,5 +1,6 @@
 """Session defaults and the shared folder for intermediate tables."""
 
+import re
 import tempfile
 import uuid
 
@@ -35,7 +36,7 @@ def work_root(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:

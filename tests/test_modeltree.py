@@ -14,7 +14,7 @@ from cashtide.modeltree import split as S
 from cashtide.modeltree import train as T
 from cashtide.modeltree.params import TreeParams
 from cashtide.operators import features as X
-from cashtide.schemas import FEATURES_IN, TARGETS
+from cashtide.schemas import FEATURES_IN, FEATURES_OUT, TARGETS
 from cashtide.session import fresh_dir
 
 CHANNELS = ["ATM", "ONLINE", "POS"]
@@ -126,21 +126,6 @@ def test_depth_limit(spark, data):
     assert nodes.agg(F.max("depth")).first()[0] == 1
 
 
-def test_banded_search_equals_plain(spark, data):
-    rows = rows_frame(spark, data)
-    prep = P.fit(rows)
-    located = P.apply(rows, prep).withColumn("node_id", F.lit(1))
-    values = S.value_table(located.select("model_id", "node_id", "y", "x"))
-
-    def table(banded):
-        scored = S.score(S.candidates(values, PARAMS, banded), PARAMS).toPandas()
-        return scored.sort_values(["model_id", "feature", "threshold"]).reset_index(drop=True)
-
-    plain, split = table(False), table(True)
-    assert len(plain) == len(split) > 100
-    pd.testing.assert_frame_equal(plain, split, rtol=1e-9)
-
-
 def test_thresholds_are_numpy_percentiles(spark):
     rng = np.random.default_rng(5)
     v = np.round(rng.normal(size=101), 1)
@@ -271,14 +256,52 @@ def test_all_targets_of_all_series_train_together(spark):
     assert T.metrics(model, late, ("account",)).count() >= 4
 
 
-def test_ensure_trains_once(spark):
+def test_ensure_trains_what_is_missing(spark):
     uri = fresh_dir(spark, "models")
     features = X.training_set(_daily(spark, 60), ("account",))
-    first = T.ensure(features, uri, ("account",), ("cash_in_next_day",))
+    wanted = ("cash_in_next_day", "cash_out_next_day")
+    first = T.ensure(features, uri, ("account",), wanted[:1])
     files = set(first.nodes.inputFiles())
-    assert set(T.ensure(features, uri, ("account",)).nodes.inputFiles()) == files
-    forced = T.ensure(features, uri, ("account",), ("cash_in_next_day",), force=True)
-    assert set(forced.nodes.inputFiles()) != files
+    assert set(T.ensure(features, uri, ("account",), wanted[:1]).nodes.inputFiles()) == files
+    both = T.ensure(features, uri, ("account",), wanted)
+    assert both.targets() == set(wanted)
+    names = both.schema().filter("target_column = 'cash_out_next_day'").first()
+    assert tuple(names["required_features"]) == FEATURES_OUT
+    assert names["all_feature_names"][:3] == ["cash_in_d0", "cash_out_d0", "cash_net_d0"]
+    wide = both.predict_all(features, ("account",), wanted)
+    assert wide.filter(f"{wanted[0]} IS NULL OR {wanted[1]} IS NULL").count() == 0
+    forced = T.ensure(features, uri, ("account",), wanted[:1], force=True)
+    assert set(forced.nodes.inputFiles()).isdisjoint(files)
+    # A save that broke off before publishing leaves the old version in place.
+    first.nodes.write.parquet(f"{uri}/versions/broken/nodes")
+    assert set(T.load(spark, uri).nodes.inputFiles()) == set(forced.nodes.inputFiles())
+
+
+def test_a_loaded_tree_keeps_its_depth(spark, data):
+    deep = T.fit(rows_frame(spark, data), replace(PARAMS, max_depth=12, prune=False))
+    uri = fresh_dir(spark, "models")
+    deep.save(uri)
+    back = T.load(spark, uri)
+    assert back.max_depth == 12
+    scored = back.predict(rows_frame(spark, data))
+    assert scored.filter("prediction IS NULL").count() == 0
+
+
+def test_series_of_odd_names_stay_apart(spark):
+    keys = [(None, "x"), ("x", None), ("a~b", "c"), ("a", "b~c"), ("a%7Eb", "c"), ("", "x")]
+    frame = spark.createDataFrame(keys, "k string, l string").select(
+        "k", "l", P.series_name(("k", "l")).alias("name")
+    )
+    assert frame.select("name").distinct().count() == len(keys)
+    days = _daily(spark, 60).filter("account = 'A'")
+    named = spark.createDataFrame(keys, "k string, l string")
+    features = X.training_set(days.drop("account").crossJoin(named), ("k", "l"))
+    target = ("cash_in_next_day",)
+    model = T.train(features, ("k", "l"), target, replace(PARAMS, max_depth=1))
+    assert model.models.count() == len(keys)
+    wide = model.predict_all(features, ("k", "l"), target)
+    assert wide.count() == features.count()
+    assert wide.filter("cash_in_next_day IS NULL").count() == 0
 
 
 def test_feature_columns_of_each_direction(spark):
