@@ -6,6 +6,7 @@ from cashtide.functions import dates
 from cashtide.modeltree import prep as P
 from cashtide.modeltree import split as S
 from cashtide.modeltree import train as T
+from cashtide.modeltree.grow import grow
 from cashtide.modeltree.params import TreeParams
 from cashtide.operators import daily as D
 from cashtide.operators import features as X
@@ -36,10 +37,12 @@ PAYDAY_FACTOR = 1.5
 
 def seasonal_fixture(daily):
     """A daily table scaled by a weekday / pay-day pattern, so that trees have something to split."""
-    factor = F.when(F.weekday("date") >= 5, WEEKEND_FACTOR).otherwise(1.0)
-    factor = factor * F.when(dates.is_fixed_payday("date") == 1, PAYDAY_FACTOR).otherwise(1.0)
+    weekend, payday = (F.lit(f).cast("decimal(3,2)") for f in (WEEKEND_FACTOR, PAYDAY_FACTOR))
+    one = F.lit(1).cast("decimal(3,2)")
+    factor = F.when(F.weekday("date") >= 5, weekend).otherwise(one)
+    factor = factor * F.when(dates.is_fixed_payday("date") == 1, payday).otherwise(one)
     return daily.withColumns(
-        {c: F.round(F.col(c).cast("double") * factor, 2).cast("decimal(38,2)")
+        {c: (F.col(c).cast("decimal(28,2)") * factor).cast("decimal(38,2)")
          for c in ("cash_in", "cash_out")}
     )
 
@@ -272,9 +275,101 @@ def node_ridge(spark, sf):
     return nodes.select("model_id", "node_id", "n", "used", "coef", "level")
 
 
-@query()
+def _grown_sql(least, depth):
+    """The nodes of all six trees: split search unrolled level by level."""
+    factor = (
+        "CASE WHEN isodow(date) >= 6 THEN CAST(0.2 AS DECIMAL(3,2)) ELSE 1 END * "
+        "CASE WHEN day(date) IN (15, 25, 26, 27, 28, 29, 30, 31) THEN CAST(1.5 AS DECIMAL(3,2)) ELSE 1 END"
+    )
+    scaled = ", ".join(
+        f"CAST(CAST({c} AS DECIMAL(28,2)) * ({factor}) AS DECIMAL(38,2)) AS {c}"
+        for c in ("cash_in", "cash_out")
+    )
+    whole = _ALL.replace("daily AS (", "plain AS (") + (
+        f", daily AS (SELECT channel, date, {scaled}, transaction_count FROM plain)"
+    )
+    base = _SERIES.replace(_ALL, whole)
+
+    def hot(target):
+        width = len(numeric_features_for(target))
+        return (
+            f"SELECT '{target}' AS model_id, r.date, r.{target} AS y, {width} - 1 + c.at AS feature, "
+            f"CASE WHEN r.channel_mode = c.c THEN 1.0 ELSE 0.0 END AS value FROM full_rows r "
+            f"CROSS JOIN (SELECT c, row_number() OVER (ORDER BY c) AS at FROM (SELECT DISTINCT "
+            f"channel_mode AS c FROM full_rows WHERE {target} IS NOT NULL)) c "
+            f"WHERE r.{target} IS NOT NULL"
+        )
+
+    steps = [
+        f"{base}, raw AS MATERIALIZED ({_per_target(_long_features)}), "
+        f"num AS (SELECT model_id, date, y, feature, (value - avg(value) OVER w) / "
+        "CASE WHEN stddev_pop(value) OVER w > 0 THEN stddev_pop(value) OVER w ELSE 1 END AS value "
+        "FROM raw WINDOW w AS (PARTITION BY model_id, feature)), "
+        f"x AS MATERIALIZED (SELECT model_id, date, feature, value FROM num UNION ALL "
+        f"SELECT model_id, date, feature, value FROM ({_per_target(hot)})), "
+        "at0 AS MATERIALIZED (SELECT model_id, date, 1 AS node_id, "
+        "y - avg(y) OVER (PARTITION BY model_id) AS y FROM raw WHERE feature = 0), "
+        "nodes0 AS MATERIALIZED (SELECT model_id, 1 AS node_id, count(*) AS n, 0.0 AS mean, "
+        "stddev_pop(y) AS sd FROM at0 GROUP BY model_id)"
+    ]
+    for d in range(depth):
+        steps.append(
+            f"in{d} AS MATERIALIZED (SELECT a.model_id, a.date, a.node_id, a.y - n.mean AS y, "
+            f"n.sd, n.mean, n.n FROM at{d} a JOIN nodes{d} n USING (model_id, node_id) "
+            "WHERE n.n >= 8 AND n.sd >= 1e-10), "
+            f"v{d} AS MATERIALIZED (SELECT i.*, x.feature, x.value FROM in{d} i JOIN x "
+            "USING (model_id, date)), "
+            f"th{d} AS (SELECT DISTINCT model_id, node_id, feature, threshold FROM (SELECT model_id, "
+            f"node_id, feature, unnest(quantile_cont(value, {_Q})) AS threshold FROM v{d} "
+            "GROUP BY model_id, node_id, feature HAVING max(value) > min(value))), "
+            f"sides{d} AS (SELECT t.model_id, t.node_id, t.feature, t.threshold, any_value(v.n) AS n, "
+            "any_value(v.sd) AS sd, count(*) FILTER (v.value <= t.threshold) AS n_left, "
+            "coalesce(stddev_pop(v.y) FILTER (v.value <= t.threshold), 0) AS sd_left, "
+            "coalesce(stddev_pop(v.y) FILTER (v.value > t.threshold), 0) AS sd_right "
+            f"FROM th{d} t JOIN v{d} v ON v.model_id = t.model_id AND v.node_id = t.node_id "
+            "AND v.feature = t.feature GROUP BY 1, 2, 3, 4), "
+            f"best{d} AS MATERIALIZED (SELECT * FROM (SELECT *, sd - (n_left / n * sd_left + "
+            f"(n - n_left) / n * sd_right) AS sdr FROM sides{d} WHERE n_left >= 4 AND n - n_left >= 4) "
+            "QUALIFY row_number() OVER (PARTITION BY model_id, node_id ORDER BY "
+            "round(sdr / greatest(sd, 1e-10), 11) DESC, feature, threshold) = 1), "
+            f"cut{d} AS MATERIALIZED (SELECT * FROM best{d} WHERE sdr >= {least} * sd), "
+            f"at{d + 1} AS MATERIALIZED (SELECT v.model_id, v.date, v.node_id * 2 + "
+            "CASE WHEN v.value <= c.threshold THEN 0 ELSE 1 END AS node_id, v.y + v.mean AS y "
+            f"FROM v{d} v JOIN cut{d} c ON c.model_id = v.model_id AND c.node_id = v.node_id "
+            "AND c.feature = v.feature), "
+            f"nodes{d + 1} AS MATERIALIZED (SELECT model_id, node_id, count(*) AS n, avg(y) AS mean, "
+            f"stddev_pop(y) AS sd FROM at{d + 1} GROUP BY ALL)"
+        )
+    every = " UNION ALL ".join(
+        "SELECT model_id, node_id, CAST(n AS BIGINT) AS n, round(mean, 2) AS mean, "
+        f"round(sd, 2) AS sd FROM nodes{d}"
+        for d in range(depth + 1)
+    )
+    return f"WITH {', '.join(steps)} {every}"
+
+
+def _node_table(grown):
+    return grown.select(
+        "model_id", "node_id", *as_long("n"), F.round("mean", 2).alias("mean"),
+        F.round("sd", 2).alias("sd"),
+    )
+
+
+@query(_grown_sql(PARAMS.min_std_reduction, PARAMS.max_depth))
 def m5p_tree_nodes(spark, sf):
-    return trained(spark, sf).grown
+    return _node_table(trained(spark, sf).grown)
+
+
+DEEP = TreeParams(min_std_reduction=0.002, max_depth=4)
+
+
+@query(_grown_sql(DEEP.min_std_reduction, DEEP.max_depth))
+def m5p_deep_nodes(spark, sf):
+    """Trees grown four levels down, where almost any reduction is accepted."""
+    prep, ready = T.prepared(P.training_rows(training(spark, sf, seasonal=True)))
+    numbered = prep.drop("model_id").withColumnRenamed("number", "model_id")
+    grown, _ = grow(ready, numbered, DEEP)
+    return _node_table(T.named(grown, prep))
 
 
 @query()
