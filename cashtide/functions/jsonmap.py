@@ -1,14 +1,27 @@
-"""JSON objects kept in text columns, handled as ``map<string,string>``."""
+"""JSON objects kept in text columns, handled as ``map<string,variant>``.
+
+Variants keep numbers, booleans, nulls and nested values as they came.
+"""
 
 from pyspark.sql import functions as F
 
 from cashtide.functions.clean import blank_to_null, text
 
-_MAP = "map<string,string>"
+_MAP = "map<string,variant>"
 
 
 def empty_map():
-    return F.create_map().cast(_MAP)
+    return F.from_json(F.lit("{}"), _MAP)
+
+
+def of_texts(value):
+    """A map of texts as a JSON map."""
+    return text(value).cast(_MAP)
+
+
+def text_at(value, key):
+    """The value under a key as text: null for an absent key and for a JSON null."""
+    return text(value)[key].cast("string")
 
 
 def decode(value):
@@ -31,7 +44,7 @@ def _filled(value):
 
 
 def _without_nulls(value):
-    return F.map_filter(value, lambda _, v: v.isNotNull())
+    return F.map_filter(value, lambda _, v: v.isNotNull() & ~F.is_variant_null(v))
 
 
 def _some(value):
@@ -45,7 +58,8 @@ def _or_null(value):
 def additions(**pairs):
     """A map of additions with null and empty values left out."""
     entries = [part for key, v in pairs.items() for part in (F.lit(key), blank_to_null(v))]
-    return _without_nulls(F.create_map(*entries))
+    filled = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
+    return of_texts(filled)
 
 
 def _bind(fn, *values):
@@ -84,5 +98,5 @@ def set_default(base, defaults):
 def keep_raw(value):
     """Decoded object, or the raw text under ``raw_extra`` when it is not an object."""
     raw = blank_to_null(text(value))
-    wrapped = F.create_map(F.lit("raw_extra"), raw)
+    wrapped = of_texts(F.create_map(F.lit("raw_extra"), raw))
     return F.coalesce(decode(value), F.when(raw.isNotNull(), wrapped))

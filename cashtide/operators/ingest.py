@@ -158,7 +158,7 @@ def to_ledger(rows):
         name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
         for name in ("transfer_id", "direction", "counterparty_account_id")
     }
-    peer = first_filled(own["counterparty_account_id"], F.col("extra")["counterparty_account_id"])
+    peer = first_filled(own["counterparty_account_id"], jsonmap.text_at("extra", "counterparty_account_id"))
     defaults = jsonmap.additions(
         client_tx_id="client_tx_id",
         transaction_type=kind,
@@ -180,19 +180,18 @@ def to_ledger(rows):
 def decode_ledger(ledger):
     """Read form: the names kept inside ``extra_json`` become columns, with fallbacks."""
     rows = ledger.withColumn("extra", jsonmap.decode("extra_json"))
-    extra = F.col("extra")
-    kind = first_filled(extra["transaction_type"], extra["direction"])
-    direction = first_filled("direction", extra["direction"])
+    kind = first_filled(jsonmap.text_at("extra", "transaction_type"), jsonmap.text_at("extra", "direction"))
+    direction = first_filled("direction", jsonmap.text_at("extra", "direction"))
     return rows.withColumns(
         {
-            "inner_label": first_filled(extra["type"], extra["direction"]),
-            "client_tx_id": first_filled(extra["client_tx_id"], extra["clientTxId"]),
+            "inner_label": first_filled(jsonmap.text_at("extra", "type"), jsonmap.text_at("extra", "direction")),
+            "client_tx_id": first_filled(jsonmap.text_at("extra", "client_tx_id"), jsonmap.text_at("extra", "clientTxId")),
             "transaction_type": kind,
-            "type": first_filled(extra["form_type"], kind, direction),
-            "description": extra["description"],
-            "transfer_id": first_filled("transfer_id", extra["transfer_id"]),
+            "type": first_filled(jsonmap.text_at("extra", "form_type"), kind, direction),
+            "description": jsonmap.text_at("extra", "description"),
+            "transfer_id": first_filled("transfer_id", jsonmap.text_at("extra", "transfer_id")),
             "counterparty_account_id": first_filled(
-                "counterparty_account_id", extra["counterparty_account_id"]
+                "counterparty_account_id", jsonmap.text_at("extra", "counterparty_account_id")
             ),
             "direction": direction,
             "event_date": F.coalesce("event_date", F.to_date("event_ts")),

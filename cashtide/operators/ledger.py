@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cashtide.functions import jsonmap
 from cashtide.functions.clean import first_filled
 
 
@@ -49,12 +50,13 @@ def newest_per_account(ledger, k):
 
 def paired_transfers(legs):
     """One row per transfer from its two legs (``extra.mirror_of`` names the sender leg)."""
-    receiver = legs.filter(F.col("extra")["mirror_of"].isNotNull()).select(
-        F.col("extra")["mirror_of"].alias("sender_tx_id"),
+    mirror_of = jsonmap.text_at("extra", "mirror_of")
+    receiver = legs.filter(mirror_of.isNotNull()).select(
+        mirror_of.alias("sender_tx_id"),
         F.col("tx_id").alias("receiver_tx_id"),
         F.col("account_id").alias("to_account"),
     )
-    sender = legs.filter(F.col("extra")["p2p_role"] == "sender").select(
+    sender = legs.filter(jsonmap.text_at("extra", "p2p_role") == "sender").select(
         F.col("tx_id").alias("sender_tx_id"),
         F.col("account_id").alias("from_account"),
         "amount",

@@ -108,15 +108,16 @@ def _odd_json(k, props):
 @query(f"""WITH {PAYLOAD}
 SELECT tx_id, CASE WHEN k % 6 > 2 THEN CAST(k AS VARCHAR) END AS k_text,
        CASE WHEN k % 6 > 2 THEN 1 ELSE 0 END AS is_object,
-       CASE WHEN k % 6 > 2 THEN '{{"k":"' || k || '"}}' END AS encoded
+       CASE WHEN k % 6 > 2 THEN '{{"k":' || k || ',"o":{{"a":[1,true,null]}},"t":"x"}}' END AS encoded
 FROM payload""")
 def json_decode(spark, sf):
     rows = tables.payloads(spark, sf)
-    raw = _odd_json(F.col("k"), F.concat(F.lit('{"k": '), "k", F.lit("}")))
+    whole = F.concat(F.lit('{"k": '), "k", F.lit(', "o": {"a": [1, true, null]}, "t": "x"}'))
+    raw = _odd_json(F.col("k"), whole)
     rows = rows.withColumn("m", jsonmap.decode(raw))
     return rows.select(
         "tx_id",
-        F.col("m")["k"].alias("k_text"),
+        jsonmap.text_at("m", "k").alias("k_text"),
         F.col("m").isNotNull().cast("int").alias("is_object"),
         jsonmap.encode("m").alias("encoded"),
     )
@@ -130,9 +131,9 @@ SELECT tx_id,
 FROM payload""")
 def json_merge(spark, sf):
     """Additions win in ``merge``; existing keys win in ``set_default``."""
-    base = F.create_map(F.lit("k"), F.col("k").cast("string"))
-    added = F.create_map(F.lit("k"), F.col("merchant"), F.lit("peer"), F.col("receiver_id"))
-    defaults = F.create_map(F.lit("k"), F.lit("x"), F.lit("status"), F.col("status"))
+    base = jsonmap.of_texts(F.create_map(F.lit("k"), F.col("k").cast("string")))
+    added = jsonmap.additions(k="merchant", peer="receiver_id")
+    defaults = jsonmap.additions(k=F.lit("x"), status="status")
     rows = tables.payloads(spark, sf).select(
         "tx_id",
         jsonmap.merge(base, added).alias("merged"),
@@ -140,10 +141,10 @@ def json_merge(spark, sf):
     )
     return rows.select(
         "tx_id",
-        F.col("merged")["k"].alias("merged_k"),
-        F.col("merged")["peer"].alias("merged_peer"),
-        F.col("kept")["k"].alias("kept_k"),
-        F.col("kept")["status"].alias("kept_status"),
+        jsonmap.text_at("merged", "k").alias("merged_k"),
+        jsonmap.text_at("merged", "peer").alias("merged_peer"),
+        jsonmap.text_at("kept", "k").alias("kept_k"),
+        jsonmap.text_at("kept", "status").alias("kept_status"),
         F.size("merged").alias("merged_size"),
     )
 
@@ -185,17 +186,16 @@ SELECT tx_id, coalesce(acc, sender_id, receiver_id) AS account_id,
 FROM gaps""")
 def normalize_payload(spark, sf):
     rows = ingest.normalize_payload(_sparse_payloads(spark, sf))
-    extra = F.col("extra")
     return rows.select(
         "tx_id",
         "account_id",
         "transaction_type",
         "client_tx_id",
         "currency",
-        extra["sender_id"].alias("extra_sender"),
-        extra["receiver_id"].alias("extra_receiver"),
-        extra["form_type"].alias("extra_form_type"),
-        extra["description"].alias("extra_description"),
+        jsonmap.text_at("extra", "sender_id").alias("extra_sender"),
+        jsonmap.text_at("extra", "receiver_id").alias("extra_receiver"),
+        jsonmap.text_at("extra", "form_type").alias("extra_form_type"),
+        jsonmap.text_at("extra", "description").alias("extra_description"),
     )
 
 
@@ -217,15 +217,14 @@ legs AS (
 SELECT account_id, transaction_type, tx_id, amount, p2p_role, counterparty, mirror_of FROM legs""")
 def p2p_split(spark, sf):
     legs = ingest.split_transfers(ingest.normalize_payload(tables.payloads(spark, sf)))
-    extra = F.col("extra")
     return legs.select(
         "account_id",
         "transaction_type",
         "tx_id",
         "amount",
-        extra["p2p_role"].alias("p2p_role"),
-        extra["counterparty_account_id"].alias("counterparty"),
-        extra["mirror_of"].alias("mirror_of"),
+        jsonmap.text_at("extra", "p2p_role").alias("p2p_role"),
+        jsonmap.text_at("extra", "counterparty_account_id").alias("counterparty"),
+        jsonmap.text_at("extra", "mirror_of").alias("mirror_of"),
     )
 
 
@@ -250,7 +249,7 @@ def decode_ledger_row(spark, sf):
         "status",
         "transaction_type",
         labels.normalize_type("direction").alias("direction_label"),
-        F.col("extra")["form_type"].alias("form_type"),
+        jsonmap.text_at("extra", "form_type").alias("form_type"),
     )
 
 
@@ -335,7 +334,7 @@ def ledger_write_read(spark, sf):
         "currency",
         "merchant",
         "status",
-        jsonmap.decode("extra_json")["mirror_of"].alias("mirror_of"),
+        jsonmap.text_at(jsonmap.decode("extra_json"), "mirror_of").alias("mirror_of"),
     )
 
 

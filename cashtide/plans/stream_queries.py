@@ -48,7 +48,7 @@ SELECT account_id, event_date, tx_id, CAST(CAST(amount AS DECIMAL(28,10)) AS DOU
        currency, p2p_role FROM good""")
 def stream_ingest(spark, sf):
     rows = files.read_ledger(spark, f"{_ledger(spark, sf)}/ledger")
-    role = jsonmap.decode("extra_json")["p2p_role"].alias("p2p_role")
+    role = jsonmap.text_at(jsonmap.decode("extra_json"), "p2p_role").alias("p2p_role")
     return rows.select(
         "account_id", "event_date", "tx_id", *as_double("amount"), "currency", role
     )
