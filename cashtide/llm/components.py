@@ -12,13 +12,12 @@ from cashtide import session
 
 def components(edges):
     """Rows (node, root) for every node of ``edges`` (a, b); ``root`` is the component's least node."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
-    both = session.cut(both, "edges")
+    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b")
     held = session.cut(
         both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")),
         "labels",
     )
-    while True:
+    while not held.isEmpty():
         seen = held.select(F.col("node").alias("b"), F.col("root").alias("near"))
         nearest = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         lower = held.join(nearest, "node").select(
@@ -31,4 +30,5 @@ def components(edges):
         found = session.cut(jumped, "labels")
         held = found.drop("old")
         if found.filter("old <> root").isEmpty():
-            return held
+            break
+    return held

@@ -12,7 +12,9 @@
    bitmaps below and their range of sizes. A traversal of pairs of nodes drops a pair when the
    sizes are too far apart, when the largest overlap the bitmaps allow is too small, or when
    all sets below are connected already. What remains is compared exactly.
-4. A first round puts each set into one shard, the one with its least leader, which connects
+4. Shards of up to one block are first traversed with the sets' bitmaps alone: a set without
+   any possible partner leaves the shard, most for good. Whole sets travel for the others only.
+5. A first round puts each set into one shard, the one with its least leader, which connects
    almost all near copies. The second round visits the shards that still hold several
    components, so that no link between components is lost. Large shards are dealt in blocks: the
    sets of the shard's largest component in blocks against all others, which suffices as sets
@@ -73,6 +75,17 @@ def digest(tokens):
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def bitmap(tokens, bits):
+    """A bit for each token's place in the hash range; ``bits`` is a power of two."""
+    flags = np.zeros(bits, bool)
+    flags[tokens >> np.uint64(65 - bits.bit_length())] = True
+    return np.packbits(flags)
+
+
+def bits_for(n):
+    return 1 << max(6, (4 * n - 1).bit_length())
+
+
 class Bands:
     """Size bands and the parts of each."""
 
@@ -120,6 +133,7 @@ def _digest_task(words, bands):
                 "digest": [digest(s) for s in sets],
                 "n": [len(s) for s in sets],
                 "band": [bands.of_size(len(s)) for s in sets],
+                "map": [bitmap(s, bits_for(len(s))).tobytes() for s in sets],
             }
 
     return task
@@ -133,7 +147,7 @@ def set_digests(docs, words, bands):
     return in_arrow(
         hashed(docs),
         _digest_task(words, bands),
-        "doc_id bigint, text_hash bigint, digest binary, n bigint, band int",
+        "doc_id bigint, text_hash bigint, digest binary, n bigint, band int, map binary",
     )
 
 
@@ -229,21 +243,15 @@ def shard_members(docs, classes, words, bands):
 # --- 3. trees -------------------------------------------------------------------------------
 
 
-class Shard:
-    """A signature tree over the sets of one shard."""
+class Tree:
+    """A signature tree over sets in order of size."""
 
-    def __init__(self, sets, labels, number=NUMBER, of=OF):
-        """``sets``: sorted token arrays in order of size; ``labels``: numbers of their components."""
-        self.sets, self.number, self.of = sets, number, of
+    def __init__(self, sizes, maps, labels, number=NUMBER, of=OF):
+        """``maps``: bitmaps as rows of bytes; ``labels``: numbers of the sets' components."""
+        self.number, self.of = number, of
         self.label = np.array(labels)
-        self.size = np.array([len(s) for s in sets])
-        bits = 1 << max(6, (4 * int(self.size.max()) - 1).bit_length())
-        shift = np.uint64(64 - bits.bit_length() + 1)
-        flags = np.zeros((len(sets), bits), bool)
-        for row, tokens in zip(flags, sets):
-            row[tokens >> shift] = True
-        maps = np.packbits(flags, axis=1).view(np.uint64)
-        del flags
+        self.size = np.array(sizes)
+        maps = np.ascontiguousarray(maps).view(np.uint64)
         spare = self.size - np.bitwise_count(maps).sum(axis=1)
         self.maps, self.spare = maps, spare
         # Levels from the leaves' blocks up to one root: (bitmaps, least, largest, spare, step).
@@ -279,40 +287,41 @@ class Shard:
         same = self.label[a * step : (a + 1) * step] == first
         return not (same.all() and (self.label[b * step : (b + 1) * step] == first).all())
 
-    def links(self):
-        """Pairs of similar sets, enough to connect all that are similar."""
-        found = []
+    def pairs(self):
+        """Pairs of places that may be similar and have different labels when they come."""
         stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             depth, a, b = stack.pop()
             if not self.may_match(self.levels[depth], a, b):
                 continue
             if depth == 0:
-                found += self._compare(a * LEAF, b * LEAF)
+                yield from self._leaves(a * LEAF, b * LEAF)
                 continue
             n = len(self.levels[depth - 1][0])
             left = range(a * FAN, min(n, (a + 1) * FAN))
             right = range(b * FAN, min(n, (b + 1) * FAN))
-            pairs = [(depth - 1, x, y) for x in left for y in right if x <= y]
+            below = [(depth - 1, x, y) for x in left for y in right if x <= y]
             # Neighbours come first from the stack: what they connect spares the others.
-            stack += sorted(pairs, key=lambda p: p[1] - p[2])
-        return found
+            stack += sorted(below, key=lambda p: p[1] - p[2])
 
-    def _compare(self, a, b):
+    def _leaves(self, a, b):
         x, y = slice(a, a + LEAF), slice(b, b + LEAF)
         common = np.bitwise_count(self.maps[x][:, None] & self.maps[y][None]).sum(axis=2)
         bound = common + np.minimum(self.spare[x][:, None], self.spare[y][None])
         sizes = self.size[x][:, None] + self.size[y][None]
         fits = (bound >= self.needed(sizes)) & (self.label[x][:, None] != self.label[y][None])
-        found = []
         for i, j in np.argwhere(fits).tolist():
             i, j = i + a, j + b
-            if i >= j or self.label[i] == self.label[j]:
-                continue
-            if self._similar(self.sets[i], self.sets[j]):
-                found.append((i, j))
-                self.label[self.label == self.label[j]] = self.label[i]
-        return found
+            if i < j and self.label[i] != self.label[j]:
+                yield i, j
+
+    def connect(self, sets):
+        """Labels after all similar sets are connected; the smaller label stays."""
+        for i, j in self.pairs():
+            if self._similar(sets[i], sets[j]):
+                low, high = sorted((self.label[i], self.label[j]))
+                self.label[self.label == high] = low
+        return self.label
 
     def _similar(self, x, y):
         if len(x) > len(y):
@@ -323,36 +332,99 @@ class Shard:
         return self.of * both >= self.number * (len(x) + len(y) - both)
 
 
-def _tree_task(number, of):
-    def shard(rows):
-        """Links of one group; rows (digest, label, tokens), repeated ones counted once."""
-        once = {r[0]: r for r in rows}
-        rows = sorted(once.values(), key=lambda r: (len(r[2]), r[0]))
+def same_width(maps):
+    """Bitmaps of several widths as rows of the least width, neighbouring bits folded."""
+    width = min(map(len, maps))
+    rows = np.empty((len(maps), width), np.uint8)
+    for row, data in zip(rows, maps):
+        flags = np.frombuffer(data, np.uint8)
+        if len(data) > width:
+            bits = np.unpackbits(flags).reshape(width * 8, -1)
+            flags = np.packbits(bits.any(axis=1))
+        row[:] = flags
+    return rows
+
+
+def _grouped(batches, columns):
+    """The rows of each group, of batches sorted by ``group``; ``None`` after each batch."""
+    group, rows = None, []
+    for batch in batches:
+        keys = batch.column("group").to_pylist()
+        for key, *row in zip(keys, *(list(utf8(batch.column(c))) if c != "n" else
+                                     batch.column(c).to_pylist() for c in columns)):
+            if key != group:
+                if rows:
+                    yield group, rows
+                group, rows = key, []
+            rows.append(row)
+        yield None, None
+    if rows:
+        yield group, rows
+
+
+def _partner_task(number, of):
+    def partners(rows):
         if len(rows) < 2:
             return []
-        number_of = {}
-        labels = [number_of.setdefault(r[1], len(number_of)) for r in rows]
-        if len(number_of) < 2:
+        maps = same_width([r[2] for r in rows])
+        tree = Tree([r[1] for r in rows], maps, range(len(rows)), number, of)
+        return sorted({at for pair in tree.pairs() for at in pair})
+
+    def task(batches):
+        names, leaders = [], []
+        for group, rows in _grouped(batches, ("digest", "n", "map")):
+            if rows is None:
+                yield {"digest": names, "leader": leaders}
+                names, leaders = [], []
+                continue
+            rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[1], r[0]))
+            found = partners(rows)
+            names += [rows[at][0] for at in found]
+            leaders += [group] * len(found)
+        yield {"digest": names, "leader": leaders}
+
+    return task
+
+
+def with_partners(members, classes, number=NUMBER, of=OF):
+    """Members that their bitmaps do not rule out; shards of more than a block stay whole."""
+    counted = members.groupBy("leader").agg(F.count(F.lit(1)).alias("sets"))
+    known = members.join(counted, "leader")
+    small = known.filter(F.col("sets") <= BLOCK_SETS).drop("sets")
+    maps = classes.select(name_of(F.col("digest")).alias("name"), "digest", "n", "map")
+    rows = small.join(maps, "name").select(F.col("leader").alias("group"), "digest", "n", "map")
+    dealt = rows.repartition("group").sortWithinPartitions("group")
+    found = in_arrow(dealt, _partner_task(number, of), "digest binary, leader bigint")
+    kept = found.select(name_of(F.col("digest")).alias("name"), "leader").distinct()
+    large = known.filter(F.col("sets") > BLOCK_SETS).select("name", "leader")
+    return session.cut(kept.unionByName(large), "partners")
+
+
+def _tree_task(number, of):
+    def shard(rows):
+        """Links of one group between labels, each to the smallest it is connected with; rows
+        (digest, label, tokens), repeated ones counted once."""
+        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (len(r[2]), r[0]))
+        names = sorted({r[1] for r in rows})
+        if len(names) < 2:
             return []
-        tree = Shard([np.frombuffer(r[2], "<u8") for r in rows], labels, number, of)
-        return [(rows[i][0], rows[j][0]) for i, j in tree.links()]
+        number_of = {name: i for i, name in enumerate(names)}
+        labels = [number_of[r[1]] for r in rows]
+        sets = [np.frombuffer(r[2], "<u8") for r in rows]
+        bits = bits_for(len(sets[-1]))
+        maps = np.stack([bitmap(s, bits) for s in sets])
+        tree = Tree([len(s) for s in sets], maps, labels, number, of)
+        found = set(zip(tree.connect(sets).tolist(), labels))
+        return [(names[a], names[b]) for a, b in found if a != b]
 
     def task(batches):
-        group, rows = None, []
-        for batch in batches:
-            found = []
-            for key, name, label, tokens in zip(
-                batch.column("group").to_pylist(),
-                utf8(batch.column("digest")),
-                utf8(batch.column("label")),
-                utf8(batch.column("tokens")),
-            ):
-                if key != group:
-                    found += shard(rows)
-                    group, rows = key, []
-                rows.append((name, label, tokens))
-            yield {"a": [f[0] for f in found], "b": [f[1] for f in found]}
-        found = shard(rows)
+        found = []
+        for _, rows in _grouped(batches, ("digest", "label", "tokens")):
+            if rows is None:
+                yield {"a": [f[0] for f in found], "b": [f[1] for f in found]}
+                found = []
+            else:
+                found += shard(rows)
         yield {"a": [f[0] for f in found], "b": [f[1] for f in found]}
 
     return task
@@ -367,7 +439,7 @@ def tree_links(assigned, sets, number=NUMBER, of=OF):
     return session.cut(in_arrow(dealt, _tree_task(number, of), "a binary, b binary"), "links")
 
 
-# --- 4. rounds ------------------------------------------------------------------------------
+# --- 5. rounds ------------------------------------------------------------------------------
 
 
 def _set_task(words):
@@ -499,11 +571,13 @@ def similarity_components(docs, words=WORDS, number=NUMBER, of=OF):
         digests.groupBy("digest").agg(
             F.first("n").alias("n"),
             F.first("band").alias("band"),
+            F.first("map").alias("map"),
             F.min(place).alias("copy"),
         ),
         "set-classes",
     )
     members = session.cut(shard_members(docs, classes, words, bands), "members")
+    members = with_partners(members, classes, number, of)
     sets = candidate_sets(docs, classes, members, words)
     sizes = sets.select("name", "n").distinct()
     links = tree_links(first_round(members, sizes), sets, number, of)
@@ -511,13 +585,21 @@ def similarity_components(docs, words=WORDS, number=NUMBER, of=OF):
     labels = sets.select("name", "digest").distinct().join(
         rooted.withColumnRenamed("node", "digest"), "digest", "left"
     )
-    labels = labels.select("name", F.coalesce("root", "digest").alias("label"))
-    rest = tree_links(second_round(members, sizes, labels), sets, number, of)
-    # Links of the second round join components of the first.
-    roots = components(links.unionByName(rest))
-    named = classes.join(roots, F.col("digest") == F.col("node"), "left").select(
-        "digest", "copy", F.coalesce("root", "digest").alias("root")
+    labels = session.cut(
+        labels.select("name", "digest", F.coalesce("root", "digest").alias("label")), "set-labels"
+    )
+    rest = tree_links(
+        second_round(members, sizes, labels.select("name", "label")), sets, number, of
+    )
+    # Links of the second round join components of the first, by their roots.
+    final = components(rest).withColumnRenamed("node", "label")
+    roots = labels.join(final, "label", "left").select(
+        F.col("digest").alias("node"), F.coalesce("root", "label").alias("root")
+    )
+    named = classes.select("digest", "copy").join(
+        roots.distinct(), F.col("digest") == F.col("node"), "left"
     )
+    named = named.select("digest", "copy", F.coalesce("root", "digest").alias("root"))
     least = named.groupBy("root").agg(F.min("copy").alias("least"))
     of_class = session.cut(named.join(least, "root").select("digest", "least"), "of-class")
     empty = F.col("n") == 0
