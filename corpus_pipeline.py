@@ -54,6 +54,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = session.cut(stage(spark, docs, sf_dir), "stage")
+    for _, stage in STAGES:
+        with session.scratch(spark):  # what a stage stores for itself goes with it
+            docs = session.cut(stage(spark, docs, sf_dir), "stage", lasting=True)
     return docs
