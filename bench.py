@@ -34,6 +34,8 @@ HEADLINE = [
     "kpi_upsert",
     "split_best",
     "m5p_train_all_targets",
+    "m5p_unaltered",
+    "m5p_deep_nodes",
     "m5p_predict_all",
     "stream_daily_rollup",
 ]

@@ -18,7 +18,7 @@ from cashtide.operators.features import training_set
 from cashtide.operators.ingest import require_cash_columns
 from cashtide.operators.profile import regression_metrics
 from cashtide.schemas import FEATURES_IN, FEATURES_OUT, TARGETS
-from cashtide.session import cut
+from cashtide.session import cut, scratch
 from cashtide.sources.files import read_daily_csv
 
 PARTS = ("nodes", "models", "grown", "names")
@@ -212,8 +212,9 @@ def ensure(features, uri, series_keys=(), targets=TARGETS, params=None, force=Fa
     held = load(spark, uri) if not force and has_models(spark, uri) else None
     missing = [t for t in targets if held is None or t not in held.targets()]
     if missing:
-        newer = train(features, series_keys, missing, params)
-        (newer if held is None else held.joined(newer)).save(uri)
+        with scratch(spark):
+            newer = train(features, series_keys, missing, params)
+            (newer if held is None else held.joined(newer)).save(uri)
     return load(spark, uri)
 
 

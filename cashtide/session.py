@@ -3,6 +3,7 @@
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -48,17 +49,45 @@ def fresh_dir(spark, label):
     return f"{work_root(spark)}/cashtide/{label}-{uuid.uuid4().hex}"
 
 
-def store(df, label):
-    """Write ``df`` as Parquet in the shared folder; returns the path."""
+_scratch = []
+
+
+@contextmanager
+def scratch(spark):
+    """Tables that ``store`` writes inside the block are removed when it ends.
+
+    For jobs that finish inside the block: what they return must not read those tables.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            discard(spark, path)
+
+
+def discard(spark, path):
+    """Remove a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def store(df, label, lasting=False):
+    """Write ``df`` as Parquet in the shared folder; returns the path.
+
+    A ``lasting`` table outlives the ``scratch`` block it is written in.
+    """
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
+    if _scratch and not lasting:
+        _scratch[-1].append(path)
     return path
 
 
-def cut(df, label):
+def cut(df, label, lasting=False):
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage durably and gives the optimizer real sizes, so later joins
     broadcast a table only when the written files are below the broadcast threshold.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(store(df, label))
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, label, lasting))

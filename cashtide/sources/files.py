@@ -61,19 +61,21 @@ def write_daily(daily, uri):
     bring are read first and written again with it.
     """
     daily = daily.withColumn("part", F.trunc("date", "MM"))
-    if _exists(daily.sparkSession, uri):
-        stored = daily.sparkSession.read.parquet(uri)
-        kept = stored.join(daily.select("part").distinct(), "part", "left_semi").join(
-            daily.select("date").distinct(), "date", "left_anti"
+    spark = daily.sparkSession
+    with session.scratch(spark):
+        if _exists(spark, uri):
+            stored = spark.read.parquet(uri)
+            kept = stored.join(daily.select("part").distinct(), "part", "left_semi").join(
+                daily.select("date").distinct(), "date", "left_anti"
+            )
+            daily = daily.unionByName(session.cut(kept, "kept-days"), allowMissingColumns=True)
+        (
+            daily.hint("rebalance", F.col("part"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("part")
+            .parquet(uri)
         )
-        daily = daily.unionByName(session.cut(kept, "kept-days"), allowMissingColumns=True)
-    (
-        daily.hint("rebalance", F.col("part"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("part")
-        .parquet(uri)
-    )
 
 
 def read_daily(spark, uri):

@@ -58,22 +58,23 @@ def ingest_batches(payloads, uri, checkpoint):
 
     def write(batch, batch_id):
         spark = batch.sparkSession
-        rows = first_wins(ingest.normalize_payload(ingest.draw_ids(batch)))
-        earlier = _parts(spark, f"{uri}/keys", "batch", lambda n: n < batch_id)
-        if earlier:
-            seen = spark.read.schema(DEDUP_KEYS).parquet(*earlier)
-            rows = unseen(rows, seen)
-        rows = session.cut(rows, "stream-batch")
-        keys = rows.select(
-            "account_id", "client_tx_id", "tx_id", F.col("event_ts").alias("created_at")
-        )
-        legs = ingest.classify(ingest.split_transfers(rows))
-        part = f"batch={batch_id}"
-        files.append_ledger(
-            ingest.to_ledger(ingest.accepted(legs)), f"{uri}/ledger/{part}", "overwrite"
-        )
-        files.append_rejects(ingest.rejected(legs), f"{uri}/rejects/{part}", "overwrite")
-        keys.write.mode("overwrite").parquet(f"{uri}/keys/{part}")
+        with session.scratch(spark):
+            rows = first_wins(ingest.normalize_payload(ingest.draw_ids(batch)))
+            earlier = _parts(spark, f"{uri}/keys", "batch", lambda n: n < batch_id)
+            if earlier:
+                seen = spark.read.schema(DEDUP_KEYS).parquet(*earlier)
+                rows = unseen(rows, seen)
+            rows = session.cut(rows, "stream-batch")
+            keys = rows.select(
+                "account_id", "client_tx_id", "tx_id", F.col("event_ts").alias("created_at")
+            )
+            legs = ingest.classify(ingest.split_transfers(rows))
+            part = f"batch={batch_id}"
+            files.append_ledger(
+                ingest.to_ledger(ingest.accepted(legs)), f"{uri}/ledger/{part}", "overwrite"
+            )
+            files.append_rejects(ingest.rejected(legs), f"{uri}/rejects/{part}", "overwrite")
+            keys.write.mode("overwrite").parquet(f"{uri}/keys/{part}")
 
     return _run(payloads.writeStream.foreachBatch(write), checkpoint)
 
