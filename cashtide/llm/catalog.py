@@ -5,6 +5,7 @@ from cashtide.llm import (
     decontaminate,
     language_id,
     mixing,
+    oracles,
     pii,
     secret_ledger,
     signature_join,
@@ -29,4 +30,4 @@ QUERIES = {
     )
 }
 
-ORACLE = {"op10_secret_ledger": secret_ledger.OP10_SQL}
+ORACLE = oracles.ORACLE
