@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cashtide import session
 from cashtide.functions.clean import blank_to_null
 
 KEYS = ("account_id", "client_tx_id")
@@ -57,7 +58,7 @@ def duplicates_report(rows, max_hot=10_000):
     at most ``max_hot`` such keys can exist, whatever the size of the table. All other
     keys go through an ordinary join.
     """
-    repeated = winners(rows).filter(F.col("copies") > 1)
+    repeated = session.cut(winners(rows).filter(F.col("copies") > 1), "repeated")
     total = repeated.agg(F.sum("copies")).scalar()
     is_hot = F.col("copies") * max_hot > total
     hot = repeated.filter(is_hot).select(*KEYS, F.col("first_tx_id").alias("hot_tx_id"))

@@ -78,17 +78,24 @@ def monthly_by_account(rows):
     return _monthly(rows, ("account_id",))
 
 
-def company_statistics(rows, by="day"):
-    """Totals, count and active accounts per day or month.
+def account_days(rows):
+    """Totals in and out and count per (day, account), from one pass over the ledger."""
+    credit = F.when(F.col("cash_direction") == "cash_in", F.col("amount_vnd")).otherwise(0)
+    debit = F.when(F.col("cash_direction") == "cash_out", F.col("amount_vnd")).otherwise(0)
+    return rows.groupBy("event_date", "account_id").agg(
+        F.sum(credit).alias("in_"), F.sum(debit).alias("out_"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def company_statistics(days, by="day"):
+    """Totals, count and active accounts per day or month, from ``account_days``.
 
     Accounts are first reduced to one row per (period, account), so counting them never
     gathers the transactions of a busy period in one task.
     """
     period = F.col("event_date") if by == "day" else F.trunc("event_date", "MM")
-    credit = F.when(F.col("cash_direction") == "cash_in", F.col("amount_vnd")).otherwise(0)
-    debit = F.when(F.col("cash_direction") == "cash_out", F.col("amount_vnd")).otherwise(0)
-    per_account = rows.groupBy(period.alias("period"), "account_id").agg(
-        F.sum(credit).alias("in_"), F.sum(debit).alias("out_"), F.count(F.lit(1)).alias("n")
+    per_account = days.groupBy(period.alias("period"), "account_id").agg(
+        F.sum("in_").alias("in_"), F.sum("out_").alias("out_"), F.sum("n").alias("n")
     )
     return per_account.groupBy("period").agg(
         F.sum("in_").alias("total_in"),

@@ -17,7 +17,7 @@ from cashtide.plans.shared import (
 )
 from cashtide.schemas import DAILY as DAILY_SCHEMA
 from cashtide.schemas import FEATURES_OUT
-from cashtide.session import fresh_dir
+from cashtide.session import cut, fresh_dir
 from cashtide.sources import files, tables
 
 QUERIES, ORACLE = {}, {}
@@ -519,7 +519,7 @@ def kpi_get_list(spark, sf):
     import datetime
 
     day = datetime.date(1997, 5, 5)
-    kpis = _kpis(spark, sf)
+    kpis = cut(_kpis(spark, sf), "kpis")
     months = kpi.between(kpis, datetime.date(1997, 1, 1), datetime.date(1997, 3, 31))
     parts = {"range": months, "day": kpi.get(kpis, day), "point": kpi.get(kpis, day, "num_tx")}
     named = [part.withColumn("kind", F.lit(name)) for name, part in parts.items()]

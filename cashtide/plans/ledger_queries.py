@@ -17,7 +17,7 @@ from cashtide.plans.shared import (
     norm_sql,
     stamp,
 )
-from cashtide.session import fresh_dir
+from cashtide.session import cut, fresh_dir
 from cashtide.sources import files, tables
 
 QUERIES, ORACLE = {}, {}
@@ -581,10 +581,10 @@ FROM good GROUP BY 2"""
 {_company_sql('event_date', 'day')}
 UNION ALL {_company_sql("CAST(date_trunc('month', event_date) AS DATE)", 'month')}""")
 def company_stats(spark, sf):
-    rows = tables.accepted_rows(spark, sf)
+    days = cut(kpi.account_days(tables.accepted_rows(spark, sf)), "account-days")
     parts = []
     for by in ("day", "month"):
-        stats = kpi.company_statistics(rows, by)
+        stats = kpi.company_statistics(days, by)
         parts.append(
             stats.select(
                 F.lit(by).alias("granularity"),
