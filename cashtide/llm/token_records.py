@@ -18,9 +18,11 @@ come; an empty table gives an empty index; further columns are ignored.
 import json
 import re
 import struct
+import sys
 import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark import TaskContext
@@ -91,6 +93,7 @@ class Encoder:
         spec = json.load(open(path, encoding="utf-8"))
         self.width = 2 if len(spec["model"]["vocab"]) + len(spec["added_tokens"]) < 65536 else 4
         self.type = np.dtype(f"<u{self.width}")
+        self.code = "H" if self.width == 2 else "I"
         pattern = next(
             p["pattern"]["Regex"]
             for p in spec["pre_tokenizer"]["pretokenizers"]
@@ -110,8 +113,14 @@ class Encoder:
                 text = unicodedata.normalize("NFC", text)
             tokenize, letters, ids = self.library.model.tokenize, self.letters, []
             for word in self.words(text.lower()):
-                ids += [t.id for t in tokenize("".join([letters[b] for b in word.encode()]))]
-        return np.array(ids, self.type).tobytes()
+                # Printable ASCII stands for itself.
+                if not (word.isascii() and word.isprintable()):
+                    word = "".join([letters[b] for b in word.encode()])
+                ids += [t.id for t in tokenize(word)]
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def encode(self, data):
         """The ids of a whole text as little-endian bytes."""
