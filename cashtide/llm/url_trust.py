@@ -92,13 +92,12 @@ def host_links(pages):
 
 def seeds(judged):
     """Per host and score the share of its pages that a rule allows or blocks."""
-    share = F.avg
     return (
         judged.filter("host <> ''")
         .groupBy("host")
         .agg(
-            share((F.coalesce("verdict", F.lit("")) == "allow").cast("int")).alias("trust"),
-            share((F.coalesce("verdict", F.lit("")) == "block").cast("int")).alias("distrust"),
+            F.avg((F.coalesce("verdict", F.lit("")) == "allow").cast("int")).alias("trust"),
+            F.avg((F.coalesce("verdict", F.lit("")) == "block").cast("int")).alias("distrust"),
         )
         .unpivot("host", ["trust", "distrust"], "score", "weight")
         .filter("weight > 0")
