@@ -83,12 +83,14 @@ def utf8(column):
 def worker_state(name, make):
     """An object built once in each Python worker process and kept between its tasks.
 
-    Task functions are shipped by value, so their own globals do not outlive a task.
+    Task functions are shipped by value, so their own globals do not outlive a task. A worker
+    keeps one object at a time: what the operator before has remembered goes.
     """
     home = sys.modules.setdefault("cashtide_worker_state", types.ModuleType("state"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, "name", None) != name:
+        home.held = None
+        home.held, home.name = make(), name
+    return home.held
 
 
 class Memo(dict):

@@ -38,8 +38,8 @@ WORDS = 5
 #: Similarity of at least NUMBER / OF.
 NUMBER, OF = 80, 100
 #: Keys compared in one task, and sets and shingles of one tree.
-SLICE_KEYS = 4_000_000
-BLOCK_SETS = 512
+SLICE_KEYS = 1_000_000
+BLOCK_SETS = 2048
 BLOCK_SHINGLES = 4_000_000
 #: Sets below the lowest nodes of a tree, and nodes below each other node.
 LEAF, FAN = 16, 8
@@ -347,11 +347,14 @@ def same_width(maps):
 
 def _grouped(batches, columns):
     """The rows of each group, of batches sorted by ``group``; ``None`` after each batch."""
+
+    def values(batch, name):
+        column = batch.column(name)
+        return column.to_pylist() if name in ("group", "n") else utf8(column)
+
     group, rows = None, []
     for batch in batches:
-        keys = batch.column("group").to_pylist()
-        for key, *row in zip(keys, *(list(utf8(batch.column(c))) if c != "n" else
-                                     batch.column(c).to_pylist() for c in columns)):
+        for key, *row in zip(*(values(batch, c) for c in ("group", *columns))):
             if key != group:
                 if rows:
                     yield group, rows
