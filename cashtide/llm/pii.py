@@ -2,7 +2,8 @@
 
 Plain identifiers are found by the base patterns. For the disguised ones a chain of
 transducers rewrites the text: homoglyphs and look-alike digits to ASCII, invisible
-characters away, spelled digits to digits, and "at" / "dot" in words or brackets to the signs. Each
+characters away, spelled digits to digits (three words in a row, or fewer beside a numeral, a
+spelled dot or further digit words), and "at" / "dot" in words or brackets to the signs. Each
 transducer keeps for every character it writes the range of source characters it came from, so
 that what the same patterns find in the rewritten text is mapped back to the source. Such a
 span is added when it touches no base span and no earlier added one.
@@ -46,8 +47,17 @@ DIGITS = {
     "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
 _DIGIT = "(?:" + "|".join(DIGITS) + ")"
-#: Three or more digit words in a row, with a leading plus where there is one.
-SPELLED = re.compile(f"(?i)(?:\\bplus[\\x20-]+)?\\b{_DIGIT}(?:[\\x20,-]+{_DIGIT}){{2,}}\\b")
+_BEGIN, _END = "(?<![^\\W\\d])", "(?![^\\W\\d])"
+#: What digit words may stand in a row with: digit words with a leading plus where there is one,
+#: numerals, spelled dots.
+SPELLED = re.compile(
+    f"(?i)(?P<words>(?:\\bplus[\\x20-]+)?{_BEGIN}{_DIGIT}(?:[\\x20,-]+{_DIGIT})*{_END})|[0-9]+|"
+    "\\bdot\\b|[\\[({<][\\x20]*(?:dot|\\.)[\\x20]*[\\])}>]"
+)
+_BETWEEN = "(?:[\\x20,()-]*|\\.)"
+BETWEEN = re.compile(_BETWEEN)
+#: So many digit words in a row are rewritten wherever they stand.
+ALONE = 3
 SPELLED_WORD = re.compile(f"(?i)plus|{_DIGIT}")
 AT_BRACKET = re.compile("(?i)[\\x20]*[\\[({<][\\x20]*(?:at|@)[\\x20]*[\\])}>][\\x20]*")
 DOT_BRACKET = re.compile("(?i)[\\x20]*[\\[({<][\\x20]*(?:dot|\\.)[\\x20]*[\\])}>][\\x20]*")
@@ -58,7 +68,7 @@ DOT_WORD = re.compile("(?i)(?<=[a-z0-9])[\\x20]+dot[\\x20]+(?=[a-z0-9])")
 #: A text without any of these has nothing to rewrite.
 DISGUISED = re.compile(
     f"[^\\x00-\\u00ac\\u00ae-\\u0250\\u2014]|(?i:[\\[({{<]\\s*(?:at|dot|@|\\.)\\s*[\\])}}>]|\\sdot\\s|"
-    f"\\b{_DIGIT}[\\x20,-]+{_DIGIT}[\\x20,-]+{_DIGIT}\\b)"
+    f"[0-9]{_BETWEEN}{_DIGIT}|{_BEGIN}{_DIGIT}{_BETWEEN}(?:[0-9]|{_DIGIT}))"
 )
 
 FOUND = (
@@ -126,10 +136,10 @@ class Rewriting:
         self.begin = range(len(text))
         self.end = range(1, len(text) + 1)
 
-    def replace(self, pattern, write):
+    def replace(self, find, write):
         """Rewrite every match. ``write`` gives pairs (character, from, to) within the match."""
         parts, begin, end, done = [], [], [], 0
-        for m in pattern.finditer(self.text):
+        for m in find(self.text):
             parts.append(self.text[done : m.start()])
             begin += self.begin[done : m.start()]
             end += self.end[done : m.start()]
@@ -152,6 +162,24 @@ def _sign(sign):
     return lambda m: [(sign, 0, len(m[0]))]
 
 
+def spelled(text):
+    """Matches of digit words: three or more in a row, fewer beside a numeral, a spelled dot or
+    further digit words."""
+    before, joined = None, False
+    for m in SPELLED.finditer(text):
+        joins = before is not None and bool(BETWEEN.fullmatch(text, before.end(), m.start()))
+        if before is not None and _counts(before, joined or joins):
+            yield before
+        before, joined = m, joins
+    if before is not None and _counts(before, joined):
+        yield before
+
+
+def _counts(m, joined):
+    words = m["words"]
+    return bool(words) and (joined or len(re.findall(_DIGIT, words.lower())) >= ALONE)
+
+
 def _spelled(m):
     for w in SPELLED_WORD.finditer(m[0]):
         yield DIGITS.get(w[0].lower(), "+"), w.start(), w.end()
@@ -160,12 +188,12 @@ def _spelled(m):
 def normalise(text):
     """The text with its disguises undone."""
     out = Rewriting(text.translate(HOMOGLYPHS))
-    out.replace(INVISIBLE, lambda m: ())
-    out.replace(SPELLED, _spelled)
-    out.replace(AT_BRACKET, _sign("@"))
-    out.replace(AT_WORD, _sign("@"))
-    out.replace(DOT_BRACKET, _sign("."))
-    out.replace(DOT_WORD, _sign("."))
+    out.replace(INVISIBLE.finditer, lambda m: ())
+    out.replace(spelled, _spelled)
+    out.replace(AT_BRACKET.finditer, _sign("@"))
+    out.replace(AT_WORD.finditer, _sign("@"))
+    out.replace(DOT_BRACKET.finditer, _sign("."))
+    out.replace(DOT_WORD.finditer, _sign("."))
     return out
 
 

@@ -248,6 +248,27 @@ def test_disguised(text, kind, part):
         assert [(k, text[s:e]) for k, s, e in added] == [(kind, part)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("ping one nine two dot one six eight dot one dot one now", "ip",
+         "one nine two dot one six eight dot one dot one"),
+        ("ping ten, 10 dot zero dot 0 dot one two now", "ip", "10 dot zero dot 0 dot one two"),
+        ("ping one.two.three.four now", "ip", "one.two.three.four"),
+        ("ping 10.0.0.one now", "ip", "10.0.0.one"),
+        ("ping eight[dot]8[dot]eight[dot]8 now", "ip", "eight[dot]8[dot]eight[dot]8"),
+        ("call +1 555 five five 0100 22 now", "phone", "+1 555 five five 0100 22"),
+        ("call plus one 743 555 01 two two now", "phone", "plus one 743 555 01 two two"),
+        ("pay 4111 one 111 1111 11 one one x", "card", "4111 one 111 1111 11 one one"),
+        ("4 one@x of 3 phones two 5 times, one dot or two", "email", None),
+    ],
+)
+def test_few_spelled_digits(text, kind, part):
+    assert pii.detect(text) == []
+    added = pii.disguised(text, [])
+    assert [(k, text[s:e]) for k, s, e in added] == ([(kind, part)] if part else [])
+
+
 def test_base_spans_stay_where_disguise_overlaps():
     text = "write to joe@example.com [dot] org or x [at] y.org"
     base = pii.detect(text)
