@@ -7,8 +7,13 @@ allowed pages and follows links, distrust starts at hosts with blocked pages and
 backwards, to the hosts that link there. Both are personalised PageRanks whose seeds weigh the
 share of the host's pages that the rules allow or block. Scores are given in units of a seed: a
 seed holds its weight and, from any host, the damped share arrives over each link, which is
-the PageRank divided by its restart probability. A host is blocked when its distrust reaches
-the threshold and exceeds its trust.
+the PageRank divided by its restart probability.
+
+Distrust is dealt out among a host's linkers, so what each gets shrinks as a blocked host becomes
+popular. Beside it goes the exposure, which starts at the same seeds and goes the same way, but
+weighs a link by its share of the linker's links: it is the damped chance to get to blocked
+pages by following a host's links, before any allowed ones and however many others link there.
+A host is blocked when its distrust or its exposure reaches the threshold and exceeds its trust.
 
 A null url, or one without ``://``, has an empty host and path and is allowed. Null html has no
 links. Each input row gives one result row; an empty table gives an empty result; further
@@ -91,7 +96,7 @@ def host_links(pages):
 
 
 def seeds(judged):
-    """Per host and score the share of its pages that a rule allows or blocks."""
+    """Per host and score the share of its pages that a rule allows or, for both others, blocks."""
     return (
         judged.filter("host <> ''")
         .groupBy("host")
@@ -99,28 +104,37 @@ def seeds(judged):
             F.avg((F.coalesce("verdict", F.lit("")) == "allow").cast("int")).alias("trust"),
             F.avg((F.coalesce("verdict", F.lit("")) == "block").cast("int")).alias("distrust"),
         )
-        .unpivot("host", ["trust", "distrust"], "score", "weight")
+        .withColumn("exposure", F.col("distrust"))
+        .unpivot("host", ["trust", "distrust", "exposure"], "score", "weight")
         .filter("weight > 0")
     )
 
 
-def steps(links):
-    """Edges of both scores with the share each carries: forward for trust, else backward."""
+def steps(links, start):
+    """Edges of all scores with the share each carries: forward for trust, else backward.
+
+    Exposure weighs a link among the links of its page's host, the others among those of the
+    host that passes the score on. A host takes on exposure by its pages that no rule allows.
+    """
     forward = links.select(
         F.lit("trust").alias("score"), F.col("src").alias("a"), F.col("dst").alias("b"), "links"
     )
     backward = links.select(F.lit("distrust").alias("score"), "dst", "src", "links")
     both = forward.union(backward)
     total = both.groupBy("score", "a").agg(F.sum("links").alias("total"))
-    return both.join(total, ["score", "a"]).select(
+    shares = both.join(total, ["score", "a"]).select(
         "score", "a", "b", (F.col("links") / F.col("total")).alias("share")
     )
+    allowed = start.filter("score = 'trust'").select(F.col("host").alias("a"), "weight")
+    open_share = F.col("share") * (1 - F.coalesce("weight", F.lit(0.0)))
+    turned = shares.filter("score = 'trust'").join(allowed, "a", "left")
+    return shares.union(turned.select(F.lit("exposure"), "b", "a", open_share))
 
 
 def spread(links, start, damping=DAMPING, iterations=ITERATIONS, settled=SETTLED):
-    """Personalised PageRank of both scores: rows (host, score, weight)."""
-    edges = session.cut(steps(links), "host-steps")
+    """The scores spread over the links: rows (host, score, weight)."""
     start = session.cut(start, "host-seeds")
+    edges = session.cut(steps(links, start), "host-steps")
     total = start.agg(F.sum("weight")).first()[0]
     held = start
     if not total or edges.isEmpty():
@@ -149,11 +163,12 @@ def spread(links, start, damping=DAMPING, iterations=ITERATIONS, settled=SETTLED
 
 
 def host_verdicts(scores, threshold=THRESHOLD):
-    by_host = scores.groupBy("host").agg(
-        F.coalesce(F.sum(F.when(F.col("score") == "trust", F.col("weight"))), F.lit(0.0)).alias("trust"),
-        F.coalesce(F.sum(F.when(F.col("score") == "distrust", F.col("weight"))), F.lit(0.0)).alias("distrust"),
-    )
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    by_host = scores.groupBy("host").agg(*[
+        F.coalesce(F.sum(F.when(F.col("score") == s, F.col("weight"))), F.lit(0.0)).alias(s)
+        for s in ("trust", "distrust", "exposure")
+    ])
+    worst = F.greatest("distrust", "exposure")
+    bad = (worst >= threshold) & (worst > F.col("trust"))
     return by_host.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
 
 

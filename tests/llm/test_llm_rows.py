@@ -92,6 +92,28 @@ def test_trust_spreads_forward_and_distrust_backward(spark):
         assert r["distrust"] == pytest.approx(held[r["host"]], abs=2e-3)
 
 
+def test_linkers_of_a_popular_blocked_host(spark):
+    """At the production threshold, however many others link to the blocked host."""
+
+    def page(i, host, *links):
+        return i, f"http://{host}/de/{i}", "".join(f'<a href="http://{h}/">y</a>' for h in links)
+
+    good = [f"good{i}.com" for i in range(8)]
+    rows = [(1, "http://bad.net/fr/1", ""), (2, "http://half.net/fr/1", "")]
+    rows += [page(i, "half.net") for i in (3, 4)]
+    rows += [page(10 + i, f"farm{i}.org", "bad.net") for i in range(40)]
+    rows += [page(60, "boss.org", "farm1.org", "farm2.org")]
+    rows += [page(61, "news.org", "bad.net", *good), page(62, "lax.org", "half.net")]
+    rows += [page(70 + i, h, "listed.org") for i, h in enumerate(good)]
+    rows += [page(90, "listed.org", "bad.net"), page(91, "alone.org")]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r for r in url_trust.judge(frame).collect()}
+    blocked = {i for i, r in found.items() if r["verdict"] == "block"}
+    assert blocked == {1, 2, 60, *range(10, 50)}
+    assert all(found[i]["distrust"] < 0.05 for i in range(10, 50))
+    assert found[90]["trust"] > 1 and found[90]["distrust"] > 0
+
+
 def words(text):
     return len(re.findall("[^\x20\x09-\x0d]+", text or ""))
 
