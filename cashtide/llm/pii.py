@@ -6,7 +6,8 @@ characters away, spelled digits to digits (three words in a row, or fewer beside
 spelled dot or further digit words), and "at" / "dot" in words or brackets to the signs. Each
 transducer keeps for every character it writes the range of source characters it came from, so
 that what the same patterns find in the rewritten text is mapped back to the source. Such a
-span is added when it touches no base span and no earlier added one.
+span is added when it touches no earlier added one and each base span it touches is a fragment of
+it, cut off by a disguise; the fragment stays beside it.
 
 Null text counts as empty. Each input row gives one result row, repeated rows and null ids
 included; an empty table gives an empty result; further columns are ignored.
@@ -15,6 +16,7 @@ included; an empty table gives an empty result; further columns are ignored.
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 from cashtide.llm.common import documents, in_arrow, utf8
 
@@ -65,9 +67,12 @@ _DOT = "(?:[\\x20]+dot[\\x20]+|[\\x20]*[\\[({<][\\x20]*(?:dot|\\.)[\\x20]*[\\])}
 #: A bare "at" counts only in front of a host whose dots are spelled too.
 AT_WORD = re.compile(f"(?i)(?<=[a-z0-9])[\\x20]+at[\\x20]+(?=[a-z0-9-]+{_DOT}[a-z0-9-])")
 DOT_WORD = re.compile("(?i)(?<=[a-z0-9])[\\x20]+dot[\\x20]+(?=[a-z0-9])")
+#: Kinds whose patterns run over blanks. Any other identifier is over at a blank.
+SPACED = ("card", "phone")
+LONG_DASH = "‒–—"
 #: A text without any of these has nothing to rewrite.
 DISGUISED = re.compile(
-    f"[^\\x00-\\u00ac\\u00ae-\\u0250\\u2014]|(?i:[\\[({{<]\\s*(?:at|dot|@|\\.)\\s*[\\])}}>]|\\sdot\\s|"
+    f"[^\\x00-\\u00ac\\u00ae-\\u0250]|(?i:[\\[({{<]\\s*(?:at|dot|@|\\.)\\s*[\\])}}>]|\\sdot\\s|"
     f"[0-9]{_BETWEEN}{_DIGIT}|{_BEGIN}{_DIGIT}{_BETWEEN}(?:[0-9]|{_DIGIT}))"
 )
 
@@ -198,23 +203,50 @@ def normalise(text):
 
 
 def disguised(text, base):
-    """Added spans: what the patterns find after rewriting, clear of all spans so far."""
+    """Added spans: what the patterns find after rewriting, clear of all earlier added spans, and
+    of base spans but for their own fragments."""
     if not DISGUISED.search(text):
         return []
     out = normalise(text)
     if out.text == text:
         return []
-    taken, added = sorted((s, e) for _, s, e in base), []
-    for kind, start, end in detect(out.text):
-        start, end = out.span(start, end)
+    known = sorted((s, e) for _, s, e in base)
+    ends = list(accumulate((e for _, e in known), max))
+    taken, added = [], []
+    for kind, a, b in detect(out.text):
+        start, end = out.span(a, b)
         i = bisect_left(taken, (start, end))
         clear = (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= end)
+        i = bisect_left(known, (end,))
+        while clear and i and ends[i - 1] > start:
+            i -= 1
+            if known[i][1] > start:
+                same = text[start:end] == out.text[a:b]
+                clear = not same and fragment(text, kind, known[i], (start, end))
         if clear:
-            taken.insert(i, (start, end))
+            taken.insert(bisect_left(taken, (start, end)), (start, end))
             added.append((kind, start, end))
     return added
 
 
+def fragment(text, kind, part, whole):
+    """Whether a base span is only a part of a rewritten one, not a whole identifier with other
+    text behind or before it.
+
+    An address is over at a blank, and at a long dash unless further host labels follow it.
+    """
+    (start, end), (begin, over) = part, whole
+    if not (begin <= start and end <= over) or part == whole:
+        return False
+    if kind in SPACED:
+        return True
+    if begin < start and (text[start - 1].isspace() or text[start - 1] in LONG_DASH):
+        return False
+    if end < over and text[end] in LONG_DASH:
+        return "." in text[end:over].translate(HOMOGLYPHS)
+    return end == over or not text[end].isspace()
+
+
 def written(spans):
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 

@@ -291,6 +291,29 @@ def test_few_spelled_digits(text, kind, part):
     assert [(k, text[s:e]) for k, s, e in added] == ([(kind, part)] if part else [])
 
 
+@pytest.mark.parametrize(
+    ("text", "base", "added"),
+    [
+        ("pay 4111\u20141111\u20141111\u20141111 now", [], ["4111\u20141111\u20141111\u20141111"]),
+        ("call +1 743\u2014555\u20143824 now", [], ["+1 743\u2014555\u20143824"]),
+        ("mail joe@mail\u2014host.com now", [], ["joe@mail\u2014host.com"]),
+        ("mail joe@mail.ex\u0430mple.com now", ["joe@mail.ex"], ["joe@mail.ex\u0430mple.com"]),
+        ("mail j\u043ee@mail.com now", ["e@mail.com"], ["j\u043ee@mail.com"]),
+        ("mail joe@mail.ex\u2014ample.com now", ["joe@mail.ex"], ["joe@mail.ex\u2014ample.com"]),
+        ("mail joe@mail.a\u200bb.c\u043em now", ["joe@mail.a"], ["joe@mail.a\u200bb.c\u043em"]),
+        ("ping 10.0.0.1\uff15 now", ["10.0.0.1"], ["10.0.0.1\uff15"]),
+        ("call +1 743 555 38 two four now", ["+1 743 555 38"], ["+1 743 555 38 two four"]),
+        ("\u0430 mail joe@mail.com and 10.0.0.1", ["joe@mail.com", "10.0.0.1"], []),
+        ("write joe@mail.com\u2014or call\u2014jim@mail.com", ["joe@mail.com", "jim@mail.com"], []),
+        ("+4111 1111 1111 1111\u2014x", ["4111 1111 1111 1111"], []),
+    ],
+)
+def test_dashes_and_fragments(text, base, added):
+    found = pii.detect(text)
+    assert [text[s:e] for _, s, e in found] == base
+    assert [text[s:e] for _, s, e in pii.disguised(text, found)] == added
+
+
 def test_base_spans_stay_where_disguise_overlaps():
     text = "write to joe@example.com [dot] org or x [at] y.org"
     base = pii.detect(text)
