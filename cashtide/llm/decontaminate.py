@@ -53,6 +53,7 @@ class Automaton:
         self.number = {}
         self.step, self.link, self.length = [{}], [-1], [0]
         self.items = [()]
+        # Whole short items by the state that they end in, whose longest sequence they are.
         ends = {}
         shortest = window
         sequences = []
@@ -76,13 +77,13 @@ class Automaton:
                     found[at].add(item)
                     at = self.link[at]
             if len(ids) < window:
-                ends[state] = len(ids)
+                ends.setdefault(state, set()).add(item)
         self.full, self.short = {}, {}
         for state in range(1, len(self.step)):
             at, short = state, []
             while at > 0:
                 if at in ends:
-                    short.append((ends[at], frozenset(found[at])))
+                    short.append((self.length[at], frozenset(ends[at])))
                 if self.length[self.link[at]] < window <= self.length[at]:
                     self.full[state] = at
                 at = self.link[at]

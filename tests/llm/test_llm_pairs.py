@@ -143,6 +143,23 @@ def test_contamination_of_awkward_rows(spark):
     assert decontaminate.contamination(X.empty(spark), items).count() == 0
 
 
+def test_short_items_inside_others(spark):
+    long = "x y a b c " + " ".join(f"w{i}" for i in range(12))
+    texts = ["a b c", long, "z a b c d", "b c", "b c", "c", "a b c d e f"]
+    pairs = list(enumerate(texts, 1))
+    items = spark.createDataFrame(pairs, "item_id bigint, text string")
+    rows = [(1, "a b c"), (2, long), (3, "q z a b c d q"), (4, "b c"), (5, "c"), (6, "y a b d")]
+    rows += [(7, "a b c d e f"), (8, "b a b c c b c"), (9, "z a b c")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    columns = ["row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    expected = order(X.contamination(rows, pairs))
+    for most in (decontaminate.BLOCK_WORDS, 5):
+        found = decontaminate.contamination(frame, items, block_words=most).select(*columns)
+        assert order(map(tuple, found.collect())) == expected
+    one = decontaminate.contamination(frame, items.limit(2)).filter("row.doc_id = 1").collect()
+    assert [(r["n_items"], r["items_sha256"]) for r in one] == [(1, X.sha("1"))]
+
+
 def test_spans_are_removed(spark):
     items = spark.createDataFrame(ITEMS[:1], "item_id bigint, text string")
     passage = ITEMS[0][1]
