@@ -5,8 +5,9 @@ documents' words through it and follows the length of the longest match that end
 word: where it reaches a window's length, the window's words are hit. Words that no item has
 reset the match, so only runs of known words are walked.
 
-Items are read in blocks of at most ``BLOCK_WORDS`` words, each block with an automaton of its
-own that the documents pass in turn, so that memory per task is bounded whatever the benchmark.
+Items are dealt by hash into blocks of about ``BLOCK_WORDS`` words or fewer, each with an
+automaton of its own. The documents pass them one after another and are written between passes,
+so that the driver holds one block at a time and each task one automaton, whatever the benchmark.
 
 Null or wordless items have no windows; an item that is repeated counts once. Null or
 wordless documents have no hits and are clean. Repeated rows and null ids pass through; an empty
@@ -19,6 +20,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cashtide import session
 from cashtide.llm.common import documents, in_arrow, utf8
 from cashtide.sources.tables import table
 
@@ -160,18 +162,28 @@ class Automaton:
         return spans, items
 
 
+def _words_task(batches):
+    for batch in batches:
+        words = [words_of(data) for data in utf8(batch.column(1))]
+        yield {
+            "item": batch.column(0), "words": [b" ".join(w) for w in words],
+            "n": [len(w) for w in words],
+        }
+
+
 def item_blocks(items, block_words=BLOCK_WORDS):
     """The benchmark in blocks of whole items, read one block at a time; at least one block."""
-    block, size = [], 0
-    for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        words = words_of(row[1].encode() if row[1] is not None else None)
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        if words:
-            block.append((row[0] or "", b" ".join(words)))
-            size += len(words)
-    yield block
+    held = items.select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
+    words = in_arrow(held, _words_task, "item string, words binary, n bigint")
+    words = words.filter("n > 0").distinct()
+    total = words.agg(F.sum("n")).first()[0] or 0
+    # Twice as many blocks as needed, since a hash deals them out unevenly.
+    blocks = 1 if total <= block_words else -(-2 * total // block_words)
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
+    for k in range(blocks):
+        rows = words.filter(block == k).select("item", "words").collect()
+        if rows or blocks == 1:
+            yield [(r[0] or "", bytes(r[1])) for r in rows]
 
 
 def _scan_task(held, window):
@@ -242,7 +254,14 @@ def scan(docs, items, carry, window=WINDOW, block_words=BLOCK_WORDS):
         F.lit(b"").alias("hits"),
         F.array().cast("array<string>").alias("items"),
     )
+    held = path = None
     for block in item_blocks(items, block_words):
+        if held:
+            before, path = path, session.store(found, "scanned")
+            found = spark.read.schema(found.schema).parquet(path)
+            held.destroy()
+            if before:
+                session.discard(spark, before)
         held = spark.sparkContext.broadcast(block)
         found = in_arrow(found, _scan_task(held, window), _with_row(found, SCANNED))
     return found

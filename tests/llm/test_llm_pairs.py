@@ -154,6 +154,9 @@ def test_short_items_inside_others(spark):
     columns = ["row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     expected = order(X.contamination(rows, pairs))
     for most in (decontaminate.BLOCK_WORDS, 5):
+        scanned = decontaminate.scan(frame, items, ("doc_id",), block_words=most)
+        # However many blocks, a task holds the automaton of one.
+        assert scanned._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
         found = decontaminate.contamination(frame, items, block_words=most).select(*columns)
         assert order(map(tuple, found.collect())) == expected
     one = decontaminate.contamination(frame, items.limit(2)).filter("row.doc_id = 1").collect()
