@@ -448,9 +448,8 @@ _TRAIN_ROWS = " UNION ALL ".join(
 )
 
 
-@query(f"WITH {_SERIES} {_TRAIN_ROWS}")
-def train_from_csv(spark, sf):
-    """Staging rows exported as CSV; models trained from the file, with their training rows."""
+def csv_models(spark, sf):
+    """Models of the default depth, trained from staging rows exported as CSV."""
     uri = fresh_dir(spark, "staging-csv")
     rows = tables.staging(spark, sf).select(
         "date", F.col("cash_in").cast("double"), F.col("cash_out").cast("double"), "channel",
@@ -458,17 +457,25 @@ def train_from_csv(spark, sf):
         F.col("tx_id").cast("string").alias("client_tx_id"),
     )
     files.write_csv(rows, uri)
-    models = T.train_from_csv(spark, uri, params=TreeParams(max_depth=2))
-    return models.models.select("model_id", "n")
+    return T.train_from_csv(spark, uri, params=PARAMS)
 
 
 @query(f"WITH {_SERIES} {_TRAIN_ROWS}")
-def daily_job_retrain(spark, sf):
-    """The daily table cut in two, the later part merged back as a batch and all retrained."""
+def train_from_csv(spark, sf):
+    """Staging rows exported as CSV; models trained from the file, with their training rows."""
+    return csv_models(spark, sf).models.select("model_id", "n")
+
+
+def daily_models(spark, sf):
+    """Models of the default depth, retrained on a daily table cut in two and merged back."""
     days = series(spark, sf)
     early = F.col("date") < F.lit("1998-01-01").cast("date")
     uri = fresh_dir(spark, "job-models")
-    _, models = T.daily_job(
-        days.filter(early), days.filter(~early), uri, params=TreeParams(max_depth=2)
-    )
-    return models.models.select("model_id", "n")
+    _, models = T.daily_job(days.filter(early), days.filter(~early), uri, params=PARAMS)
+    return models
+
+
+@query(f"WITH {_SERIES} {_TRAIN_ROWS}")
+def daily_job_retrain(spark, sf):
+    """The daily table cut in two, the later part merged back as a batch and all retrained."""
+    return daily_models(spark, sf).models.select("model_id", "n")

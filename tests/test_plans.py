@@ -66,3 +66,17 @@ def test_work_folder_comes_from_the_session(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_root(session)
     assert work_root(spark) == work_root(spark)
+
+
+def test_retrained_trees_are_those_of_plain_training(spark, sf):
+    """Both retraining queries grow to the default depth; their trees are compared."""
+    from cashtide.modeltree.params import TreeParams
+    from cashtide.plans import tree_queries as Q
+
+    def nodes(models):
+        return sorted(map(tuple, models.stats().collect()))
+
+    plain = Q.T.train(Q.training(spark, sf))
+    for models in (Q.csv_models(spark, sf), Q.daily_models(spark, sf)):
+        assert models.max_depth == TreeParams().max_depth
+        assert nodes(models) == nodes(plain) != []
