@@ -66,12 +66,30 @@ def filter_in_arrow(docs, make_decide):
     return held.mapInArrow(run, held.select("row").schema).select("row.*")
 
 
-def row_key(text_hash):
-    """One text for a row's doc_id and the hash of its text, null ids included."""
+def marked(column):
+    """A column as text behind its length; null has a mark that no value gives."""
+    value = F.col(column).cast("string")
+    return F.coalesce(F.concat(F.length(value).cast("string"), F.lit("="), value), F.lit("-"))
+
+
+def row_key(text_hash, *more):
+    """One text for the hash of a row's text, its doc_id and ``more`` columns, nulls included."""
     hashed = F.col(text_hash) if isinstance(text_hash, str) else text_hash
-    return F.concat_ws(
-        ":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), hashed.cast("string")
-    )
+    return F.concat_ws(":", hashed.cast("string"), *map(marked, ("doc_id", *more)))
+
+
+def row_order(schema, row="row"):
+    """Sort keys over all columns of the struct ``row`` but the text.
+
+    Rows that are equal in them and in their text are the same, so any of them may be taken.
+    """
+    keys = []
+    for field in schema:
+        column = F.col(row)[field.name]
+        if field.name != "text":
+            plain = not any(kind in field.dataType.simpleString() for kind in ("map<", "variant"))
+            keys.append(column if plain else F.to_json(F.struct(column)))
+    return keys
 
 
 def utf8(column):
@@ -89,21 +107,32 @@ def worker_state(name, make):
     home = sys.modules.setdefault("cashtide_worker_state", types.ModuleType("state"))
     if getattr(home, "name", None) != name:
         home.held = None
+        pa.default_memory_pool().release_unused()
         home.held, home.name = make(), name
     return home.held
 
 
+#: Longer keys are not remembered, so that a number of entries bounds the bytes they hold.
+LONGEST_KEY = 32
+
+
 class Memo(dict):
-    """A dict that fills itself by ``make`` and starts over when it holds ``most`` entries."""
+    """A dict that fills itself by ``make`` and starts over when it holds ``most`` entries.
+
+    Keys are texts or bytes and values no longer than a few bytes for each of the key's, so an
+    entry takes less than 400 bytes.
+    """
 
     def __init__(self, make, most):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONGEST_KEY:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cashtide import session
-from cashtide.llm.common import documents, row_key
+from cashtide.llm.common import documents, row_key, row_order
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 # Weights of the sources in order, the share of all words, and the most copies.
@@ -273,12 +273,15 @@ def mix(docs, weights=WEIGHTS, share=SHARE, most=MOST):
 
 
 def take_copies(docs, **more):
-    """The rows of ``docs`` as often as the mix takes them; equal rows share their copies."""
-    key = F.concat_ws(":", row_key(F.xxhash64("text")), F.coalesce("source", F.lit("-")))
+    """The rows of ``docs`` as often as the mix takes them.
+
+    Rows of one id, source and text share their copies; the least of them by all columns is taken.
+    """
+    key = row_key(F.xxhash64("text"), "source")
     keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))
     mixed = mix(docs.select(key.alias("doc_id"), "source", "text"), **more)
     taken = mixed.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies"))
-    own = Window.partitionBy("key").orderBy(F.lit(1))
+    own = Window.partitionBy("key").orderBy(*row_order(docs.schema))
     return (
         keyed.join(
             taken.filter("copies > 0").hint("shuffle_hash"), F.col("key") == F.col("doc_id")

@@ -31,7 +31,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cashtide import session
-from cashtide.llm.common import Memo, documents, in_arrow, row_key, utf8, worker_state
+from cashtide.llm.common import (
+    Memo,
+    documents,
+    in_arrow,
+    row_key,
+    row_order,
+    utf8,
+    worker_state,
+)
 from cashtide.llm.components import components
 
 WORDS = 5
@@ -43,7 +51,7 @@ BLOCK_SETS = 2048
 BLOCK_SHINGLES = 4_000_000
 #: Sets below the lowest nodes of a tree, and nodes below each other node.
 LEAF, FAN = 16, 8
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -616,11 +624,11 @@ def similarity_components(docs, words=WORDS, number=NUMBER, of=OF):
 
 
 def keep_one(docs, **more):
-    """The first document of each component, of its repeated rows one."""
+    """The first document of each component, of its repeated rows the least by all columns."""
     kept = similarity_components(docs, **more).filter("first")
     keys = kept.select(row_key("text_hash").alias("kept_key")).distinct()
     keyed = docs.select(F.struct("*").alias("row"), row_key(F.xxhash64("text")).alias("key"))
-    own = Window.partitionBy("key").orderBy(F.lit(1))
+    own = Window.partitionBy("key").orderBy(*row_order(docs.schema))
     return (
         keyed.join(keys.hint("shuffle_hash"), F.col("key") == F.col("kept_key"), "left_semi")
         .withColumn("copy", F.row_number().over(own))

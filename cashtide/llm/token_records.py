@@ -35,8 +35,11 @@ from cashtide.llm.common import Memo, documents, in_arrow, utf8, worker_state
 
 MARK = b"TOKREC1"
 END_ID = 1
-#: Chunks of text whose ids one Python worker remembers.
-REMEMBERED = 600_000
+#: Chunks of text whose ids one Python worker remembers, and chunks that are signs alone.
+REMEMBERED = 450_000
+REMEMBERED_SIGNS = 10_000
+#: ASCII signs that often stand behind a word.
+SIGNS = ".,;:!?*#$%&|)"
 
 INDEX = (
     "part int, file string, position bigint, doc_id bigint, byte_offset bigint, "
@@ -102,25 +105,35 @@ class Encoder:
         self.words = regex.compile(pattern).findall
         self.special = re.compile("[^\\x00-\\u024f]|<").search
         self.letters = byte_letters()
+        self.tokenize = self.library.model.tokenize
+        self.of_signs = Memo(self.word, REMEMBERED_SIGNS)
         self.of_chunk = Memo(self.chunk, REMEMBERED)
 
     def chunk(self, data):
         text = data.decode("utf-8", "replace")
         if self.special(text):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        else:
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-            tokenize, letters, ids = self.library.model.tokenize, self.letters, []
-            for word in self.words(text.lower()):
-                # Printable ASCII stands for itself.
-                if not (word.isascii() and word.isprintable()):
-                    word = "".join([letters[b] for b in word.encode()])
-                ids += [t.id for t in tokenize(word)]
-        packed = array(self.code, ids)
+            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        text = text.lower()
+        # Letters alone are one word by any rule, and so are the signs behind them.
+        bare = text.rstrip(SIGNS)
+        if bare.isalpha():
+            signs = text[len(bare) :]
+            return self.word(bare) + (self.of_signs[signs] if signs else b"")
+        return b"".join(map(self.word, self.words(text)))
+
+    def word(self, word):
+        # Printable ASCII stands for itself.
+        if not (word.isascii() and word.isprintable()):
+            word = "".join([self.letters[b] for b in word.encode()])
+        return self.packed([t.id for t in self.tokenize(word)])
+
+    def packed(self, ids):
+        held = array(self.code, ids)
         if sys.byteorder == "big":
-            packed.byteswap()
-        return packed.tobytes()
+            held.byteswap()
+        return held.tobytes()
 
     def encode(self, data):
         """The ids of a whole text as little-endian bytes."""
