@@ -3,7 +3,9 @@
 from cashtide.llm import (
     bpe_count,
     decontaminate,
+    filter_audit,
     language_id,
+    line_runs,
     mixing,
     oracles,
     pii,
@@ -12,6 +14,7 @@ from cashtide.llm import (
     token_records,
     topk_search,
     url_trust,
+    vector_clusters,
 )
 
 QUERIES = {
@@ -27,6 +30,9 @@ QUERIES = {
         pii.op8_pii_spans,
         language_id.op9_language_id,
         secret_ledger.op10_secret_ledger,
+        line_runs.op11_line_dedup,
+        filter_audit.op12_filter_audit,
+        vector_clusters.op13_vector_clusters,
     )
 }
 

@@ -1,6 +1,9 @@
 """DuckDB SQL of those queries that SQL can express over whole tables."""
 
+from cashtide.llm.filter_audit import OP12_SQL
+from cashtide.llm.line_runs import OP11_SQL
 from cashtide.llm.secret_ledger import OP10_SQL
+from cashtide.llm.vector_clusters import OP13_SQL
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
@@ -69,4 +72,7 @@ ORACLE = {
     "op5_benchmark_overlap": OP5_SQL,
     "op6_bm25_topk": OP6_SQL,
     "op10_secret_ledger": OP10_SQL,
+    "op11_line_dedup": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_vector_clusters": OP13_SQL,
 }
