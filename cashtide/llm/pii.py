@@ -1,9 +1,10 @@
 """Personal data in plain and in disguised form, at its place in the source text.
 
 Plain identifiers are found by the base patterns. For the disguised ones a chain of
-transducers rewrites the text: homoglyphs and look-alike digits to ASCII, invisible
-characters away, spelled digits to digits (three words in a row, or fewer beside a numeral, a
-spelled dot or further digit words), and "at" / "dot" in words or brackets to the signs. Each
+transducers rewrites the text: homoglyphs and special blanks to ASCII, letters that stand for
+digits within a numeral (O, o, l, I) to these, invisible characters away, spelled digits to digits
+(three words in a row, or fewer beside a numeral, a spelled dot or further digit words), "at" /
+"dot" in words or brackets to the signs, also over a line end, and signs between blanks. Each
 transducer keeps for every character it writes the range of source characters it came from, so
 that what the same patterns find in the rewritten text is mapped back to the source. Such a
 span is added when it touches no earlier added one and each base span it touches is a fragment of
@@ -38,6 +39,7 @@ HOMOGLYPHS = (
     | dict.fromkeys(map(ord, "．﹒。․"), ".")
     | dict.fromkeys(map(ord, "－‐‑‒–—﹣"), "-")
 )
+HOMOGLYPHS |= dict.fromkeys(map(ord, "\u00a0\u2002\u2003\u2007\u2008\u2009\u200a\u202f\u3000"), " ")
 HOMOGLYPHS |= {0xFF21 + i: chr(65 + i) for i in range(26)}
 HOMOGLYPHS |= {0xFF41 + i: chr(97 + i) for i in range(26)}
 for _zero in (0xFF10, 0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6):
@@ -53,32 +55,53 @@ _BEGIN, _END = "(?<![^\\W\\d])", "(?![^\\W\\d])"
 #: What digit words may stand in a row with: digit words with a leading plus where there is one,
 #: numerals, spelled dots.
 SPELLED = re.compile(
-    f"(?i)(?P<words>(?:\\bplus[\\x20-]+)?{_BEGIN}{_DIGIT}(?:[\\x20,-]+{_DIGIT})*{_END})|[0-9]+|"
+    f"(?i)(?P<words>(?:(?:\\bplus|\\+)[\\x20-]+)?{_BEGIN}{_DIGIT}(?:[\\x20,-]+{_DIGIT})*{_END})|[0-9]+|"
     "\\bdot\\b|[\\[({<][\\x20]*(?:dot|\\.)[\\x20]*[\\])}>]"
 )
 _BETWEEN = "(?:[\\x20,()-]*|\\.)"
 BETWEEN = re.compile(_BETWEEN)
 #: So many digit words in a row are rewritten wherever they stand.
 ALONE = 3
-SPELLED_WORD = re.compile(f"(?i)plus|{_DIGIT}")
-AT_BRACKET = re.compile("(?i)[\\x20]*[\\[({<][\\x20]*(?:at|@)[\\x20]*[\\])}>][\\x20]*")
-DOT_BRACKET = re.compile("(?i)[\\x20]*[\\[({<][\\x20]*(?:dot|\\.)[\\x20]*[\\])}>][\\x20]*")
-_DOT = "(?:[\\x20]+dot[\\x20]+|[\\x20]*[\\[({<][\\x20]*(?:dot|\\.)[\\x20]*[\\])}>][\\x20]*)"
+SPELLED_WORD = re.compile(f"(?i)plus|\\+|{_DIGIT}")
+# Every pattern begins at a sign, a letter or a digit, never at a blank: a long run of blanks is read
+# once. The blanks before a bracket are taken in by ``bracketed``.
+_GAP = "[\\x20\\t\\r\\n]"
+_OPEN, _CLOSE = f"[\\[({{<]{_GAP}*", f"{_GAP}*[\\])}}>]"
+AT_BRACKET = re.compile(f"(?i){_OPEN}(?:at|@){_CLOSE}{_GAP}*")
+DOT_BRACKET = re.compile(f"(?i){_OPEN}(?:dot|\\.){_CLOSE}{_GAP}*")
+_DOT = f"(?:{_GAP}+(?:dot|\\.){_GAP}+|{_GAP}*{_OPEN}(?:dot|\\.){_CLOSE}{_GAP}*)"
 #: A bare "at" counts only in front of a host whose dots are spelled too.
-AT_WORD = re.compile(f"(?i)(?<=[a-z0-9])[\\x20]+at[\\x20]+(?=[a-z0-9-]+{_DOT}[a-z0-9-])")
-DOT_WORD = re.compile("(?i)(?<=[a-z0-9])[\\x20]+dot[\\x20]+(?=[a-z0-9])")
+AT_WORD = re.compile(f"(?i)(?<=[a-z0-9]){_GAP}+at{_GAP}+(?=[a-z0-9-]+{_DOT}[a-z0-9-])")
+DOT_WORD = re.compile(f"(?i)(?<=[a-z0-9]){_GAP}+dot{_GAP}+(?=[a-z0-9])")
+#: Signs between blanks; a full stop that ends a sentence has none before it.
+AT_SIGN = re.compile(f"(?<=[A-Za-z0-9]){_GAP}+@{_GAP}*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@{_GAP}+(?=[A-Za-z0-9])")
+DOT_SIGN = re.compile("(?<=[A-Za-z0-9])[\\x20]+\\.[\\x20]+(?=[a-z0-9])")
+#: Numerals with letters that look like digits, alone or between dots.
+LIKE_DIGITS = re.compile("(?<![A-Za-z0-9.])(?=[OolI.]*[0-9])[0-9OolI]+(?:\\.[0-9OolI]+)*(?![A-Za-z0-9])")
+LIKE = {"O": "0", "o": "0", "l": "1", "I": "1"}
+# Words after which a bare "at" is prose.
+BEFORE_AT = frozenset(
+    "look looks looked looking stare stared point pointed arrive arrived meet met meeting stay stayed "
+    "work works worked working live lives lived sit stand stood laugh laughed shout shouted aim aimed "
+    "good bad is was are were be been am me you him her it us them here there not and or up back "
+    "only available hosted site page visit".split()
+)
 #: Kinds whose patterns run over blanks. Any other identifier is over at a blank.
 SPACED = ("card", "phone")
 LONG_DASH = "‒–—"
 #: A text without any of these has nothing to rewrite.
 DISGUISED = re.compile(
-    f"[^\\x00-\\u00ac\\u00ae-\\u0250]|(?i:[\\[({{<]\\s*(?:at|dot|@|\\.)\\s*[\\])}}>]|\\sdot\\s|"
+    f"[^\\x00-\\u009f\\u00a1-\\u00ac\\u00ae-\\u0250]|[0-9]\\.?[OolI]|[OolI]\\.?[0-9]|\\x20\\.\\x20|{_GAP}@|@{_GAP}|"
+    f"(?i:[\\[({{<]\\s*(?:at|dot|@|\\.)\\s*[\\])}}>]|\\sdot\\s|"
     f"[0-9]{_BETWEEN}{_DIGIT}|{_BEGIN}{_DIGIT}{_BETWEEN}(?:[0-9]|{_DIGIT}))"
 )
 
+#: Letters of the longest word that is compared with those before a bare "at".
+LONGEST = max(map(len, BEFORE_AT))
+
 FOUND = (
     "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
-    "base_sha256 string, spans string, n_added bigint"
+    "base_sha256 string, spans string, n_added bigint, found boolean"
 )
 
 
@@ -164,7 +187,43 @@ class Rewriting:
 
 
 def _sign(sign):
-    return lambda m: [(sign, 0, len(m[0]))]
+    return lambda m: [(sign, 0, m.end() - m.start())]
+
+
+class Stretch:
+    """A part of a text, as far as ``Rewriting.replace`` needs a match."""
+
+    def __init__(self, begin, end):
+        self.start, self.end = (lambda: begin), (lambda: end)
+
+
+def bracketed(pattern):
+    """Matches of a bracket, together with the blanks before it."""
+
+    def find(text):
+        done = 0
+        for m in pattern.finditer(text):
+            begin = m.start()
+            while begin > done and text[begin - 1] in " \t\r\n":
+                begin -= 1
+            yield Stretch(begin, m.end())
+            done = m.end()
+
+    return find
+
+
+def at_words(text):
+    """Bare "at" behind a word that may be a name."""
+    for m in AT_WORD.finditer(text):
+        begin = m.start()
+        while begin > 0 and m.start() - begin <= LONGEST and text[begin - 1].isalpha():
+            begin -= 1
+        if text[begin : m.start()].lower() not in BEFORE_AT:
+            yield m
+
+
+def _digits(m):
+    return [(LIKE.get(c, c), i, i + 1) for i, c in enumerate(m[0])]
 
 
 def spelled(text):
@@ -194,11 +253,14 @@ def normalise(text):
     """The text with its disguises undone."""
     out = Rewriting(text.translate(HOMOGLYPHS))
     out.replace(INVISIBLE.finditer, lambda m: ())
+    out.replace(LIKE_DIGITS.finditer, _digits)
     out.replace(spelled, _spelled)
-    out.replace(AT_BRACKET.finditer, _sign("@"))
-    out.replace(AT_WORD.finditer, _sign("@"))
-    out.replace(DOT_BRACKET.finditer, _sign("."))
+    out.replace(bracketed(AT_BRACKET), _sign("@"))
+    out.replace(at_words, _sign("@"))
+    out.replace(AT_SIGN.finditer, _sign("@"))
+    out.replace(bracketed(DOT_BRACKET), _sign("."))
     out.replace(DOT_WORD.finditer, _sign("."))
+    out.replace(DOT_SIGN.finditer, _sign("."))
     return out
 
 
@@ -260,16 +322,16 @@ def _find_task(batches):
             added = disguised(text, base)
             counts = [sum(s[0] == k for s in base) for k in KINDS]
             digest = hashlib.sha256(written(base).encode()).hexdigest()
-            rows.append((*counts, digest, written(in_order(base + added)), len(added)))
-        names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+            rows.append((*counts, digest, written(in_order(base + added)), len(added), bool(base or added)))
+        names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "found")
         yield {"doc_id": batch.column(0)} | {
             name: [r[i] for r in rows] for i, name in enumerate(names)
         }
 
 
 def find(docs):
-    """Per document: base matches of each kind and their checksum, all spans, and how many
-    of them the rewriting added."""
+    """Per document: base matches of each kind and their checksum, all spans, how many of them the
+    rewriting added, and whether there is any."""
     return in_arrow(docs.select("doc_id", "text"), _find_task, FOUND)
 
 

@@ -411,3 +411,113 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secret_ledger.unseen(every, grown, newer).count() == 4
     _, both = secret_ledger.update(every, newer, grown)
     assert both.count() == 8
+
+
+@pytest.mark.parametrize("head", ["я", "я at", "я (at", "я one ", "я 1", "я joe at", "я +1", "я [dot]", "я x@"])
+def test_long_blanks_take_linear_time(head):
+    import time
+
+    blanks, began = " " * 1_000_000, time.process_time()
+    text = head + blanks + "x"
+    assert pii.disguised(text, pii.detect(text)) == []
+    assert time.process_time() - began < 3  # seconds of work; quadratic code takes hours
+
+
+DISGUISES = {
+    "homoglyphs": lambda t: t.replace("e", "\u0435").replace("a", "\u0430"),
+    "full width": lambda t: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() or c == "@" else c for c in t),
+    "invisible": lambda t: "\u200b".join(t),
+    "brackets": lambda t: t.replace("@", " [at] ").replace(".", " [dot] "),
+    "words": lambda t: t.replace("@", " at ").replace(".", " dot "),
+    "no-break blanks": lambda t: t.replace("@", "\u00a0at\u00a0").replace(".", "\u00a0dot\u00a0"),
+    "line ends": lambda t: t.replace("@", "\nat\n").replace(".", "\ndot "),
+    "spaced signs": lambda t: t.replace("@", " @ ").replace(".", " . "),
+    "spelled": lambda t: " ".join(SPELL.get(c, c) for c in t).replace("@", "at").replace(" . ", " dot "),
+    "look-alikes": lambda t: t.replace("0", "O", 1).replace("1", "l", 1),
+}
+SPELL = dict(zip("0123456789", "zero one two three four five six seven eight nine".split(), strict=True))
+FITTING = {
+    "email": ["homoglyphs", "full width", "invisible", "brackets", "words", "no-break blanks", "line ends", "spaced signs"],
+    "ip": ["full width", "invisible", "brackets", "words", "spaced signs", "spelled", "look-alikes", "no-break blanks"],
+    "card": ["full width", "invisible", "spelled"],
+    "phone": ["full width", "invisible", "spelled"],
+}
+
+
+def plain_identifier(kind, rng):
+    name = "".join(rng.choice("bcdfgklmnprstvaeiou") for _ in range(6))
+    if kind == "email":
+        return f"{name}{rng.randrange(100)}@{name[::-1]}mail.com"
+    if kind == "ip":
+        return ".".join(str(n) for n in (10, rng.randrange(100, 256), rng.randrange(256), 101))
+    if kind == "phone":
+        return "+4" + "".join(rng.choice("0123456789") for _ in range(10))
+    digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    return next(digits + c for c in "0123456789" if pii.luhn([int(d) for d in digits + c]))
+
+
+@pytest.mark.parametrize(("kind", "name"), [(k, n) for k, names in FITTING.items() for n in names])
+def test_recall_of_each_disguise(kind, name):
+    import random
+
+    rng, hits, many = random.Random(f"{kind}{name}"), 0, 60
+    for _ in range(many):
+        secret = DISGUISES[name](plain_identifier(kind, rng))
+        text = f"Please reply soon: {secret} ; thanks"
+        base = pii.detect(text)
+        begin = text.index(secret)
+        hits += any(
+            k == kind and s <= begin + 1 and e >= begin + len(secret) - 1
+            for k, s, e in base + pii.disguised(text, base)
+        )
+    assert hits >= 0.9 * many
+
+
+@pytest.mark.parametrize("text", ["I looked at example dot com", "meet @ cafe. Then", "10l items and 5 . Then go"])
+def test_prose_is_left_alone(text):
+    assert pii.detect(text) + pii.disguised(text, pii.detect(text)) == []
+
+
+def test_found_says_whether_there_is_any(spark):
+    texts = ["nothing", "joe@a.com", "joe at a dot com", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["found"] for r in pii.find(frame).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: False}
+
+
+def test_languages_equal_plain_compression(spark, docs):
+    """Every prediction from plain zstandard, one fresh compressor for each language and piece."""
+    import zstandard
+
+    learned = language_id.learn_held_out(docs)
+
+    def size(data, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=language_id.LEVEL)
+        plain = zstandard.ZstdCompressor(
+            level=language_id.LEVEL, dict_data=held, write_checksum=False, write_content_size=False,
+            write_dict_id=False,
+        )
+        at = range(0, len(data), language_id.PIECE)
+        return sum(len(plain.compress(data[i : i + language_id.PIECE])) for i in at)
+
+    rows = docs.orderBy("doc_id").limit(60)
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    for r in language_id.predict(rows, learned).collect():
+        data = language_id.letters(texts[r["doc_id"]] or "")
+        if not any(map(str.isalpha, data.decode())):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        sizes = sorted((size(data, content), lang) for lang, content in learned.items())
+        assert r["lang_pred"] == sizes[0][1]
+        assert r["score"] == pytest.approx(1 - sizes[0][0] / sizes[1][0], abs=1e-12)
+
+
+def test_slices_come_from_the_whole_text(spark):
+    """Texts that all open alike teach what follows; repeated rows teach once."""
+    head, bodies = "<div>" * 400 + "same head " * 100, ("uno dos tres ", "one two three ")
+    rows = [(i, head + bodies[i % 2] * 400, ("es", "en")[i % 2]) for i in range(300)]
+    rows += [(None, "vier fünf sechs " * 50, "de")] * 5000
+    learned = language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert b"tres" in learned["es"] and b"three" in learned["en"] and b"tres" not in learned["en"]
+    assert len(learned["de"]) < 2 * language_id.SLICE
