@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cashtide.modeltree.prep import WIDTH
 from cashtide.modeltree.ridge import ancestors
 
 
@@ -34,8 +35,20 @@ def tree_stats(nodes, grown):
     return kept.join(built, "model_id")
 
 
-def rules(nodes, names):
+def coefficients(nodes, effects):
+    """(model_id, node_id, feature, value): numerics and channels of every kept node."""
+    numerics = nodes.select("model_id", "node_id", F.posexplode("coef").alias("feature", "value"))
+    channels = effects.select(
+        "model_id", "node_id", (F.col("c") + WIDTH).cast("int").alias("feature"),
+        F.col("coef").alias("value"),
+    )
+    kept = nodes.select("model_id", "node_id")
+    return numerics.unionByName(channels.join(kept, ["model_id", "node_id"], "left_semi"))
+
+
+def rules(nodes, names, effects, digits=3):
     """One row per leaf: conditions from the root and the linear equation."""
+    number = f"%.{digits}f"
     path = nodes.filter("is_leaf").select(
         "model_id",
         F.col("node_id").alias("leaf"),
@@ -53,13 +66,13 @@ def rules(nodes, names):
     )
 
     leaves = nodes.filter("is_leaf").select("model_id", "node_id", "n", "coef", "level", "used")
-    terms = leaves.select("model_id", "node_id", F.posexplode("coef").alias("feature", "value"))
+    terms = coefficients(leaves, effects)
     terms = terms.filter(F.col("value") != 0).join(names, ["model_id", "feature"])
-    term = F.concat(F.col("name"), F.lit("="), F.format_string("%.3f", "value"))
+    term = F.concat(F.col("name"), F.lit("="), F.format_string(number, "value"))
     terms = terms.groupBy("model_id", "node_id").agg(
         F.sort_array(F.collect_list(F.struct("feature", term.alias("text")))).alias("terms")
     )
-    level = F.format_string("%.3f", "level")
+    level = F.format_string(number, "level")
     linear = F.concat_ws(", ", F.transform("terms", lambda t: t["text"]))
     equation = F.when(F.col("used") == 0, F.concat(level, F.lit(" (constant)"))).otherwise(
         F.concat(linear, F.lit(" + "), level)

@@ -8,30 +8,37 @@ model. Only split tables are written between levels, so an executor loss costs o
 from pyspark.sql import functions as F
 
 from cashtide.modeltree.params import FLAT
+from cashtide.modeltree.prep import WIDTH
 from cashtide.modeltree.split import best_splits
-from cashtide.session import store
+from cashtide.session import cut, store
 
 
-def by_node(rows, fields, name):
+def by_node(rows, fields, name, keys=("model_id",)):
     """One row per model with an array of structs indexed by node number (null = absent)."""
     cell = ", ".join(f"'{f}', {f}" for f in fields)
-    per_model = rows.groupBy("model_id").agg(
+    per_model = rows.groupBy(*keys).agg(
         F.expr(
             f"map_from_entries(collect_list(struct(node_id, named_struct({cell})))) AS _entries"
         ),
         F.expr("max(node_id) AS _last"),
     )
     cells = f"transform(sequence(1, _last), i -> _entries[i]) AS {name}"
-    return per_model.selectExpr("model_id", cells)
+    return per_model.selectExpr(*keys, cells)
 
 
-def route(cells, x, max_depth):
-    """Node reached from the root (``x <= threshold`` goes left); stops where no split is."""
+def route(cells, x, c, max_depth):
+    """Node reached from the root (``x <= threshold`` goes left); stops where no split is.
+
+    A feature beyond the numerics is 1 for the rows of its channel ``c`` and 0 for all others.
+    """
     cell = f"get({cells}, node - 1)"
+    value = (
+        f"CASE WHEN {cell}.feature < {WIDTH} THEN get({x}, {cell}.feature) "
+        f"ELSE double({c} <=> {cell}.feature - {WIDTH}) END"
+    )
     step = (
         f"CASE WHEN {cell}.feature IS NULL THEN node "
-        f"WHEN get({x}, {cell}.feature) <= {cell}.threshold THEN node * 2 "
-        "ELSE node * 2 + 1 END"
+        f"WHEN {value} <= {cell}.threshold THEN node * 2 ELSE node * 2 + 1 END"
     )
     return F.expr(f"aggregate(sequence(1, {max_depth}), 1, (node, i) -> {step})")
 
@@ -53,13 +60,13 @@ def locate(rows, frontier, splits, max_depth):
     if splits is not None:
         inner = ("model_id", "node_id", "feature", "threshold", "double(null) AS mean")
         cells = cells.unionByName(splits.selectExpr(*inner))
-    state = by_node(cells, fields, "cells")
-    joined = rows.join(state, "model_id").withColumn("node_id", route("cells", "x", max_depth))
+    state = cut(by_node(cells, fields, "cells"), "tree-cells")
+    joined = rows.join(state, "model_id").withColumn("node_id", route("cells", "x", "c", max_depth))
     placed = joined.selectExpr(
-        "model_id", "node_id", "y", "x", "get(cells, node_id - 1).mean AS _mean"
+        "model_id", "node_id", "y", "x", "c", "b", "get(cells, node_id - 1).mean AS _mean"
     )
     return placed.filter("_mean IS NOT NULL").selectExpr(
-        "model_id", "node_id", "y - _mean AS y", "x"
+        "model_id", "node_id", "y - _mean AS y", "x", "c", "b", "_mean AS mean"
     )
 
 
@@ -104,7 +111,6 @@ def grow(rows, prep, params):
         frontier = growable(frontier, params)
         located = locate(rows, frontier, splits, params.max_depth)
         best = best_splits(located, params)
-        best = best.join(frontier.select("model_id", "node_id", "mean"), ["model_id", "node_id"])
         paths.append(store(best, f"splits-{depth}"))
         found = spark.read.schema(best.schema).parquet(paths[-1])
         if found.isEmpty():

@@ -1,9 +1,12 @@
-"""Training rows per model, and imputation, scaling and one-hot encoding.
+"""Training rows per model, and imputation, scaling and the channel's index.
 
-Rows are ``(model_id, row_id, y, num array<double>, channel)``; a prepared row holds
-``x``: scaled numerics followed by one 0/1 entry per channel of the model.
+Rows are ``(model_id, row_id, y, num array<double>, channel)``. A prepared row holds ``x``, the
+scaled numerics; ``c``, the number of its channel among those of the model; and ``b``, the band of
+each numeric. Feature ``WIDTH + c`` is the 0/1 entry of channel ``c``: it is never written out, so
+no row grows with the number of channels.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cashtide.operators.features import unpivot_targets
@@ -11,6 +14,9 @@ from cashtide.schemas import FEATURES_IN, FEATURES_OUT, TARGETS, numeric_feature
 
 MISSING = "__MISSING__"
 WIDTH = len(numeric_features_for(""))
+#: Bands of a numeric within a model, and the limits of a block that are searched together.
+BANDS = 256
+BLOCK = 16
 
 
 def series_name(series_keys):
@@ -60,70 +66,117 @@ def training_rows(features, series_keys=(), targets=TARGETS):
     return rows.filter(complete)
 
 
-def _channel():
+def channel_key():
     return F.coalesce("channel", F.lit(MISSING))
 
 
+def limits_of(value):
+    """About ``BANDS`` percentiles of a column, lowest first; bands hold what lies between two."""
+    # One text in place of hundreds of literals keeps the plan small.
+    shares = F.split(F.lit(" ".join(str(i / BANDS) for i in range(1, BANDS))), " ").cast("array<double>")
+    found = F.array_distinct(F.percentile_approx(value, shares, F.lit(4 * BANDS)))
+    return F.coalesce(found, F.array().cast("array<double>"))
+
+
+def searchable(limits):
+    """Limits of each numeric with the last of every block of them, for ``bands``."""
+    last = F.transform(
+        limits, lambda ls: F.filter(ls, lambda _, at: at % BLOCK == BLOCK - 1)
+    )
+    return F.arrays_zip(limits.alias("limits"), last.alias("lasts"))
+
+
+def bands(x="x", limits="limits"):
+    """Per numeric the number of its limits below the value, found by blocks."""
+    blocks = f"size(filter({limits}[i].lasts, l -> l < v))"
+    within = f"size(filter(slice({limits}[i].limits, k * {BLOCK} + 1, {BLOCK}), l -> l < v))"
+    # The one-element array names the block that was found.
+    found = f"transform(array({blocks}), k -> k * {BLOCK} + {within})[0]"
+    return F.expr(f"transform({x}, (v, i) -> {found})")
+
+
 def fit(rows):
-    """One row per model: mean and scale of each numeric, channel list, target moments.
+    """One row per model: mean and scale of each numeric, band limits, target moments.
 
-    One aggregation with map-side partials. A missing numeric counts as the mean, so its
-    squared deviation is 0 while it still counts as a row.
+    One aggregation with map-side partials, as wide as the numerics. A missing numeric counts as
+    the mean, so its squared deviation is 0 while it still counts as a row. Limits are those of the
+    scaled values; whatever they are, splits are exact.
     """
-    aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.avg("y").alias("y_mean"),
-        F.stddev_pop("y").alias("y_sd"),
-        F.array_sort(F.collect_set(_channel())).alias("categories"),
-    ]
+    aggs = ["count(1) AS n", "avg(y) AS y_mean", "stddev_pop(y) AS y_sd"]
     for i in range(WIDTH):
-        value = F.col("num")[i]
-        aggs += [
-            F.avg(value).alias(f"m{i}"),
-            F.stddev_pop(value).alias(f"s{i}"),
-            F.count(value).alias(f"c{i}"),
-        ]
+        value = f"get(num, {i})"
+        aggs += [f"avg({value}) AS m{i}", f"stddev_pop({value}) AS s{i}", f"count({value}) AS c{i}"]
+    limits = [limits_of(F.get("num", F.lit(i))).alias(f"l{i}") for i in range(WIDTH)]
+    stats = rows.groupBy("model_id").agg(*map(F.expr, aggs), *limits)
+    sds = [f"s{i} * sqrt(c{i} / n)" for i in range(WIDTH)]
+    scales = ", ".join(
+        f"struct(coalesce(m{i}, 0D) AS mean, IF({sd} > 0, {sd}, 1D) AS scale)"
+        for i, sd in enumerate(sds)
+    )
+    plain = ", ".join(f"l{i}" for i in range(WIDTH))
+    held = stats.selectExpr(
+        "model_id", "n", "y_mean", "y_sd", f"array({scales}) AS scales", f"array({plain}) AS plain"
+    )
+    scaled = F.zip_with(
+        "plain",
+        "scales",
+        lambda ls, s: F.array_distinct(F.transform(ls, lambda v: (v - s["mean"]) / s["scale"])),
+    )
+    held = held.withColumn("plain", scaled)
+    return held.withColumn("limits", searchable(F.col("plain"))).drop("plain")
 
-    def scale(i):
-        sd = F.col(f"s{i}") * F.sqrt(F.col(f"c{i}") / F.col("n"))
-        mean = F.coalesce(f"m{i}", F.lit(0.0)).alias("mean")
-        return F.struct(mean, F.when(sd > 0, sd).otherwise(1.0).alias("scale"))
 
-    stats = rows.groupBy("model_id").agg(*aggs)
-    scales = F.array(*[scale(i) for i in range(WIDTH)]).alias("scales")
-    return stats.select("model_id", "n", "y_mean", "y_sd", scales, "categories")
+def channels(rows):
+    """(model_id, channel, c): the channels of each model, numbered in their order."""
+    found = rows.select("model_id", channel_key().alias("channel")).distinct()
+    order = Window.partitionBy("model_id").orderBy("channel")
+    return found.withColumn("c", F.row_number().over(order) - 1)
 
 
-def encode(num="num", scales="scales", categories="categories"):
-    """Imputed, scaled and one-hot encoded vector; an unseen channel is all zeros."""
-    scaled = F.zip_with(
+def scaled(num="num", scales="scales"):
+    """Imputed and scaled numerics."""
+    return F.zip_with(
         num, scales, lambda v, s: (F.coalesce(v, s["mean"]) - s["mean"]) / s["scale"]
     )
-    hot = F.transform(categories, lambda c: F.when(c == _channel(), 1.0).otherwise(0.0))
-    return F.concat(scaled, hot)
-
-
-def apply(rows, prep, key="model_id"):
-    """Prepared rows under ``key``; the per-model table is broadcast only while it is small."""
-    params = prep.select(*dict.fromkeys(["model_id", key]), "scales", "categories", "y_mean")
-    joined = rows.join(params, "model_id")
-    return joined.select(
-        F.col(key).alias("model_id"),
-        "row_id",
-        (F.col("y") - F.col("y_mean")).alias("y"),
-        encode().alias("x"),
-    )
 
 
-def feature_names(prep):
+def with_channel(rows, numbered, *columns):
+    """``rows`` with ``columns`` of their model's channel, null for one that it has not seen."""
+    held = numbered.select("model_id", F.col("channel").alias("_channel"), *columns)
+    keyed = rows.withColumn("_channel", channel_key())
+    return keyed.join(held, ["model_id", "_channel"], "left").drop("_channel")
+
+
+#: Rows of a model that stay together; a larger model is dealt to several tasks.
+ROWS_TOGETHER = 50_000
+
+
+def apply(rows, prep, numbered, key="model_id"):
+    """Prepared rows under ``key``, dealt by model so that sums combine before they move."""
+    params = prep.select(*dict.fromkeys(["model_id", key]), "n", "scales", "limits", "y_mean")
+    joined = with_channel(rows, numbered, "c").join(params, "model_id")
+    salt = F.pmod(F.xxhash64("row_id"), F.ceil(F.col("n") / ROWS_TOGETHER))
+    dealt = joined.withColumn("salt", salt).repartition(key, "salt")
+    # The band comes from the stored scale, once the scaled values are there.
+    ready = dealt.select(
+        F.col(key).alias("model_id"), (F.col("y") - F.col("y_mean")).alias("y"),
+        scaled().alias("x"), "c", "limits",
+    )
+    return ready.select("model_id", "y", "x", "c", bands().alias("b"))
+
+
+def feature_names(prep, numbered):
     """(model_id, feature, name): numerics first, then ``channel_<value>``."""
     target = F.substring_index("model_id", "~", -1)
     is_out = F.contains(F.lower(target), F.lit("out"))
     names = F.when(is_out, _literal(FEATURES_OUT)).otherwise(_literal(FEATURES_IN))
-    hot = F.transform("categories", lambda c: F.concat(F.lit("channel_"), c))
-    return prep.select(
-        "model_id", F.posexplode(F.concat(names, hot)).alias("feature", "name")
+    numerics = prep.select("model_id", F.posexplode(names).alias("feature", "name"))
+    hot = numbered.select(
+        "model_id",
+        (F.col("c") + WIDTH).cast("int").alias("feature"),
+        F.concat(F.lit("channel_"), "channel").alias("name"),
     )
+    return numerics.unionByName(hot)
 
 
 def _literal(features):

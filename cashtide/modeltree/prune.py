@@ -13,13 +13,16 @@ def dot(coef, x):
     return F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
 
 
-def absolute_errors(rows, models, splits, max_depth):
+def absolute_errors(rows, models, effects, splits, max_depth):
     """Mean absolute residual of every node over all rows below it (for ``mae`` pruning)."""
     paths = deepest_nodes(rows, splits, max_depth).withColumn("node_id", F.explode(ancestors()))
     fitted = paths.join(
         models.select("model_id", "node_id", "coef", "intercept"), ["model_id", "node_id"]
     )
-    residual = F.abs(F.col("y") - F.col("intercept") - dot("coef", "x"))
+    of_channel = effects.withColumnRenamed("coef", "effect")
+    fitted = fitted.join(of_channel, ["model_id", "node_id", "c"], "left")
+    level = F.col("intercept") + F.coalesce("effect", F.lit(0.0))
+    residual = F.abs(F.col("y") - level - dot("coef", "x"))
     return fitted.groupBy("model_id", "node_id").agg(F.avg(residual).alias("raw_error"))
 
 

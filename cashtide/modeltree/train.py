@@ -1,10 +1,8 @@
 """Training, artefacts and metrics."""
 
-import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +12,15 @@ from cashtide.modeltree.grow import grow
 from cashtide.modeltree.params import TreeParams
 from cashtide.modeltree.ridge import node_models
 from cashtide.operators import daily
-from cashtide.operators.features import training_set
+from cashtide.operators.features import by_date, training_set
 from cashtide.operators.ingest import require_cash_columns
 from cashtide.operators.profile import regression_metrics
 from cashtide.schemas import FEATURES_IN, FEATURES_OUT, TARGETS
 from cashtide.session import cut, scratch
+from cashtide.sources import commits
 from cashtide.sources.files import read_daily_csv
 
-PARTS = ("nodes", "models", "grown", "names")
+PARTS = ("nodes", "models", "grown", "names", "effects", "lookup")
 
 
 @dataclass
@@ -32,13 +31,17 @@ class TreeModels:
     models: DataFrame
     grown: DataFrame
     names: DataFrame
+    effects: DataFrame
+    lookup: DataFrame
     max_depth: int
 
     def predict(self, rows, smooth=True):
-        return score.predict(rows, self.models, self.max_depth, smooth)
+        return score.predict(rows, self.models, self.lookup, self.max_depth, smooth)
 
     def predict_all(self, features, series_keys=(), targets=TARGETS):
-        return score.predict_wide(features, self.models, series_keys, targets, self.max_depth)
+        return score.predict_wide(
+            features, self.models, self.lookup, series_keys, targets, self.max_depth
+        )
 
     def top_importances(self, k=10):
         return explain.top_importances(self.nodes, self.names, k)
@@ -46,19 +49,26 @@ class TreeModels:
     def stats(self):
         return explain.tree_stats(self.nodes, self.grown)
 
-    def rules(self):
-        return explain.rules(self.nodes, self.names)
+    def rules(self, digits=3):
+        return explain.rules(self.nodes, self.names, self.effects, digits)
+
+    def coefficients(self):
+        """The equation of every kept node, one row per feature."""
+        found = explain.coefficients(self.nodes, self.effects)
+        return found.join(self.names, ["model_id", "feature"])
 
     def save(self, uri):
-        """Write a new version and publish it last; readers see the old one until then."""
+        """Write a new version and commit it last; readers see the old one until then.
+
+        Of several writers that start from the same version one wins; the others get a
+        ``commits.Conflict`` and leave it in place.
+        """
         spark = self.nodes.sparkSession
+        number, _ = commits.newest(spark, uri)
         version = uuid.uuid4().hex
         for part in PARTS:
             getattr(self, part).write.parquet(f"{uri}/versions/{version}/{part}")
-        about = {"version": version, "max_depth": self.max_depth}
-        spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode(
-            "append"
-        ).text(f"{uri}/published")
+        commits.commit(spark, uri, number + 1, {"version": version, "max_depth": self.max_depth})
 
     def schema(self):
         """Per model: target, ordered features and the names of the encoded ones."""
@@ -98,15 +108,8 @@ def _texts(names):
 
 
 def published(spark, uri):
-    """What the newest published version says of itself, ``None`` when there is none."""
-    try:
-        rows = spark.read.text(f"{uri}/published").select(
-            "value", F.col("_metadata.file_modification_time").alias("time")
-        )
-    except AnalysisException:
-        return None
-    newest = rows.orderBy(F.desc("time"), F.desc("value")).first()
-    return json.loads(newest["value"]) if newest else None
+    """What the newest committed version says of itself, ``None`` when there is none."""
+    return commits.newest(spark, uri)[1]
 
 
 def load(spark, uri):
@@ -124,38 +127,40 @@ def has_models(spark, uri):
 
 
 def prepared(rows):
-    """Preparation table and prepared rows, both written once for the loop to re-read.
+    """Preparation table, channels and prepared rows, written once for the loop to re-read.
 
     Inside the loop a model goes by a number, given when the preparation table is written:
-    the rows that are sorted and shuffled at every level carry 8 bytes in place of a name.
-    Rows are spread by hash over all cores, whatever the sizes of the models.
+    the rows that are read at every level carry 8 bytes in place of a name.
     """
-    spark = rows.sparkSession
     rows = cut(rows, "training-rows")
     prep = cut(P.fit(rows).withColumn("number", F.monotonically_increasing_id()), "prep")
-    spread = rows.repartition(spark.sparkContext.defaultParallelism, "model_id", "row_id")
-    return prep, cut(P.apply(spread, prep, "number"), "prepared-rows")
+    numbered = cut(P.channels(rows), "channels")
+    return prep, numbered, cut(P.apply(rows, prep, numbered, "number"), "prepared-rows")
 
 
 def fit(rows, params=None):
     """Train one tree per ``model_id`` present in ``rows``."""
     params = params or TreeParams()
-    prep, ready = prepared(rows)
-    numbered = prep.drop("model_id").withColumnRenamed("number", "model_id")
-    grown, splits = grow(ready, numbered, params)
-    models = cut(node_models(ready, splits, params), "node-models")
+    prep, channels, ready = prepared(rows)
+    by_number = prep.drop("model_id").withColumnRenamed("number", "model_id")
+    grown, splits = grow(ready, by_number, params)
+    models, effects = node_models(ready, splits, params)
+    models = cut(models, "node-models")
     absolute = None
     if params.prune and params.pruning_method == "mae":
-        absolute = prune.absolute_errors(ready, models, splits, params.max_depth)
+        absolute = prune.absolute_errors(ready, models, effects, splits, params.max_depth)
     errors = prune.node_errors(models, params, absolute)
     kept = prune.prune(errors) if params.prune else prune.keep_all(errors)
-    nodes = node_table(kept, models, grown, splits, numbered)
+    nodes = node_table(kept, models, grown, splits, by_number)
     nodes = cut(named(nodes, prep), "nodes")
+    effects = named(effects, prep)
     return TreeModels(
         nodes=nodes,
         models=cut(score.compile_models(prep, nodes, params), "models"),
         grown=named(grown, prep),
-        names=P.feature_names(prep),
+        names=P.feature_names(prep, channels),
+        effects=effects,
+        lookup=cut(score.compile_channels(channels, nodes, effects, params), "channel-lookup"),
         max_depth=params.max_depth,
     )
 
@@ -205,6 +210,57 @@ def metrics(model, features, series_keys=(), targets=TARGETS):
     return regression_metrics(model.predict(rows), ("model_id",))
 
 
+#: Rows that a target looks ahead, by the end of its name.
+AHEAD = {"next_day": 1, "h7_sum": 7, "next_month_sum": 30}
+
+
+def folds_of(features, folds, series_keys=()):
+    """Expanding windows by date: (train, test), each with a ``fold`` from 1 on.
+
+    The days of a series are cut into ``folds + 1`` equal spans. Fold k trains on the rows whose
+    target is known before the end of span k, so nothing it learns from lies in its future, and
+    is tested on span k + 1. All cuts follow from the first and last day of the series.
+    """
+    keys = [*series_keys, "_all"]
+    known = {
+        f"_known_{name}": F.lead("date", ahead).over(by_date(series_keys))
+        for name, ahead in AHEAD.items()
+    }
+    rows = features.withColumns({**known, "_all": F.lit(0)})
+    days = rows.groupBy(*keys).agg(
+        F.min("date").alias("_first"), (F.datediff(F.max("date"), F.min("date")) + 1).alias("_days")
+    )
+    cuts = days.select("*", F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold"))
+
+    def cut_at(k):
+        return F.date_add("_first", F.floor(F.col("_days") * k / (folds + 1)).cast("int"))
+
+    cuts = cuts.select(
+        *keys, "fold", cut_at(F.col("fold")).alias("_cut"), cut_at(F.col("fold") + 1).alias("_until")
+    )
+    joined = rows.join(cuts, keys)
+
+    def seen(target):
+        known = next(f"_known_{name}" for name in AHEAD if target.endswith(name))
+        return F.when(F.col(known) < F.col("_cut"), F.col(target))
+
+    held = [c for c in features.columns if c not in TARGETS]
+    train_rows = joined.filter("date < _cut").select("fold", *held, *[seen(t).alias(t) for t in TARGETS])
+    test_rows = joined.filter("date >= _cut AND date < _until").select("fold", *features.columns)
+    return train_rows, test_rows
+
+
+def rolling_origin(features, folds=3, series_keys=(), targets=TARGETS, params=None):
+    """rmse, r2 and mae of each fold's models on the days after those it was trained on.
+
+    The folds of all series and targets are trained together, as so many more models.
+    """
+    early, late = folds_of(features, folds, series_keys)
+    keys = ("fold", *series_keys)
+    model = train(early, keys, targets, params)
+    return metrics(model, late, keys, targets)
+
+
 def ensure(features, uri, series_keys=(), targets=TARGETS, params=None, force=False):
     """Models of all ``targets``: stored ones are loaded, missing ones are trained and stored
     with them; ``force`` retrains all."""

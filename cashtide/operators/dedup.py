@@ -10,7 +10,7 @@ KEYS = ("account_id", "client_tx_id")
 ORDER = ("event_ts", "tx_id")
 
 
-def _key(client_id="client_tx_id", row_id="tx_id"):
+def key_of(client_id="client_tx_id", row_id="tx_id"):
     """Rows with no client id are never repeats: each gets a key of its own.
 
     Rows with no id at all must be given one first (``ingest.draw_ids``); until then they
@@ -27,7 +27,7 @@ def first_wins(rows):
     The rank filter lets Spark keep one row per key inside each map task before the
     shuffle, so a key holding a large share of the rows costs one row per task.
     """
-    order = Window.partitionBy("account_id", _key()).orderBy(*ORDER)
+    order = Window.partitionBy("account_id", key_of()).orderBy(*ORDER)
     ranked = rows.withColumn("_rank", F.row_number().over(order))
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
@@ -39,7 +39,7 @@ def unseen(rows, seen):
     carry a key of their own, so they spread over all tasks.
     """
     known = seen.select("account_id", F.col("client_tx_id").alias("_key"))
-    keyed = rows.withColumn("_key", _key())
+    keyed = rows.withColumn("_key", key_of())
     return keyed.join(known, ["account_id", "_key"], "left_anti").drop("_key").select(rows.columns)
 
 

@@ -126,12 +126,15 @@ def classify(rows):
             "channel": channel_or_default("merchant"),
         }
     )
-    return rows.withColumn("reject_reason", reject_reason())
+    return rows.withColumn("reject_reason", reject_reason("raw_line" in rows.columns))
 
 
-def reject_reason():
+def reject_reason(lines=False):
+    """Why a row is refused; with ``lines``, a line that did not parse is a reason of its own."""
+    unreadable = F.col("raw_line").isNotNull() if lines else F.lit(False)
     return (
-        F.when(blank_to_null("account_id").isNull(), "missing_account")
+        F.when(unreadable, "unreadable_line")
+        .when(blank_to_null("account_id").isNull(), "missing_account")
         .when(F.col("event_date").isNull(), "missing_date")
         .when(vnd_rate("currency").isNull(), "unsupported_currency")
         .when(to_number("amount", 0.0) == 0, "zero_amount")

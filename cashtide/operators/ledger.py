@@ -28,13 +28,17 @@ def account_range(ledger, account_id, first_day, last_day, limit=200):
 
 
 def by_tx_id(ledger, tx_id, account_id=None, day=None):
-    """One row by id; account and day, when known, prune the scan."""
+    """One row by id, the newest where an id was given twice.
+
+    Account and day, when known, prune the scan; the id alone skips row groups by their bloom
+    filters.
+    """
     hits = ledger.filter(F.col("tx_id") == tx_id)
     if account_id is not None:
         hits = hits.filter(F.col("account_id") == account_id)
     if day is not None:
         hits = hits.filter(F.col("event_date") == F.lit(day))
-    return hits.limit(1)
+    return hits.orderBy(*_newest_first(), "account_id").limit(1)
 
 
 def most_recent(ledger, limit=500):

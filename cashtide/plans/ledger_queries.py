@@ -6,6 +6,7 @@ from cashtide.functions import clean, dates, jsonmap, labels, money
 from cashtide.operators import daily as D
 from cashtide.operators import dedup, ingest, kpi, ledger, profile, reports
 from cashtide.plans.shared import (
+    BROKEN_LINE_SQL,
     LEDGER_LEGS,
     LEDGER_ROWS,
     PAYLOAD,
@@ -342,8 +343,11 @@ def ledger_write_read(spark, sf):
   SELECT *, CASE WHEN k % 19 = 0 AND k % 7 <> 0 THEN 'missing_account'
                  WHEN k % 23 = 0 THEN 'missing_date' WHEN k % 29 = 0 AND rate IS NOT NULL
                  THEN 'zero_amount' ELSE reject_reason END AS reason FROM classified)
-SELECT tx_id, reason AS reject_reason FROM gaps WHERE reason IS NOT NULL""")
+SELECT tx_id, reason AS reject_reason, NULL AS raw_line FROM gaps WHERE reason IS NOT NULL
+UNION ALL SELECT NULL, 'unreadable_line', {BROKEN_LINE_SQL} FROM payload WHERE k % 13 = 0""")
 def ingest_rejects(spark, sf):
+    """Payload lines with gaps, and lines that are cut off: each comes back with its reason, an
+    unreadable one with its text."""
     k = F.col("k")
     rows = tables.payloads(spark, sf).withColumns(
         {
@@ -352,8 +356,10 @@ def ingest_rejects(spark, sf):
             "amount": F.when(k % 29 != 0, F.col("amount")).otherwise(0.0),
         }
     )
-    classified = ingest.classify(ingest.normalize_payload(rows))
-    return ingest.rejected(classified).select("tx_id", "reject_reason")
+    uri = fresh_dir(spark, "payload-lines")
+    tables.payload_lines(rows).write.text(uri)
+    classified = ingest.classify(ingest.normalize_payload(files.read_payloads(spark, uri)))
+    return ingest.rejected(classified).select("tx_id", "reject_reason", "raw_line")
 
 
 _FIRST = """first AS (

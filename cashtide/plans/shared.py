@@ -29,6 +29,9 @@ def _cases(subject, pairs, quote=True):
     return f"CASE {subject} {arms} END"
 
 
+#: A payload line that breaks off, as ``tables.payload_lines`` adds for every 13th key.
+BROKEN_LINE_SQL = """'{"tx_id":"' || tx_id || '","amount":'"""
+
 SQL_TS = "'%Y-%m-%d %H:%M:%S.%f'"
 _KIND = _cases("event_type", TYPE_BY_EVENT.items())
 _CODES = "CASE user_id % 8 " + " ".join(

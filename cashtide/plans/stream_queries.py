@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cashtide.functions import jsonmap
 from cashtide.operators import kpi
 from cashtide.plans.shared import (
+    BROKEN_LINE_SQL,
     DAILY,
     LEDGER_LEGS,
     LEDGER_ROWS,
@@ -55,11 +56,19 @@ def stream_ingest(spark, sf):
 
 
 @query(f"""WITH {LEDGER_ROWS}
-SELECT account_id, tx_id, reject_reason FROM classified WHERE reject_reason IS NOT NULL""")
+SELECT account_id, tx_id, reject_reason, NULL AS raw_line FROM classified
+WHERE reject_reason IS NOT NULL
+UNION ALL SELECT NULL, NULL, 'unreadable_line', {BROKEN_LINE_SQL} FROM payload WHERE k % 13 = 0""")
 def stream_rejects(spark, sf):
-    """Legs that the stream refused, with their reason."""
-    rows = spark.read.parquet(f"{_ledger(spark, sf)}/rejects")
-    return rows.select("account_id", "tx_id", "reject_reason")
+    """Legs that a stream of payload lines refused, with their reason, and the text of lines that
+    break off."""
+    source = fresh_dir(spark, "payload-lines")
+    tables.payload_lines(tables.payloads(spark, sf)).write.text(source)
+    uri, state = fresh_dir(spark, "stream-ledger"), fresh_dir(spark, "state")
+    jobs.ingest_batches(jobs.payload_stream(spark, source), uri, state)
+    rows = spark.read.parquet(f"{uri}/rejects")
+    known = F.when(F.col("raw_line").isNull(), F.col("tx_id")).alias("tx_id")
+    return rows.select("account_id", known, "reject_reason", "raw_line")
 
 
 @query(f"""WITH {LEDGER_LEGS}
@@ -79,7 +88,7 @@ FROM good GROUP BY event_date""")
 def stream_daily_rollup(spark, sf):
     uri, state = fresh_dir(spark, "stream-daily"), fresh_dir(spark, "state")
     ledger = jobs.ledger_stream(spark, _ledger(spark, sf))
-    jobs.append_versions(jobs.daily_totals(ledger), uri, state)
+    jobs.append_versions(jobs.daily_totals(ledger), uri, state, ["date"])
     rows = jobs.newest_versions(spark, uri, ["date"])
     return rows.select("date", *as_double("cash_in", "cash_out"), *as_long("transaction_count"))
 
@@ -91,7 +100,7 @@ FROM good GROUP BY account_id""")
 def stream_account_balance(spark, sf):
     uri, state = fresh_dir(spark, "stream-balances"), fresh_dir(spark, "state")
     ledger = jobs.ledger_stream(spark, _ledger(spark, sf))
-    jobs.append_versions(jobs.account_totals(ledger), uri, state)
+    jobs.append_versions(jobs.account_totals(ledger), uri, state, ["account_id"])
     rows = jobs.newest_versions(spark, uri, ["account_id"])
     return rows.select("account_id", *as_double("balance"), stamp("updated_at"))
 
@@ -114,7 +123,7 @@ def stream_kpi(spark, sf):
     for rows in (later, first):
         rows.write.mode("append").parquet(source)
     stream = spark.readStream.schema(first.schema).parquet(source)
-    jobs.append_versions(jobs.kpi_totals(stream), uri, state)
+    jobs.append_versions(jobs.kpi_totals(stream), uri, state, ["event_date", "metric"])
     newest = jobs.newest_versions(spark, uri, ["event_date", "metric"])
     return newest.select("event_date", "metric", "value")
 

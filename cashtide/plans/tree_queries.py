@@ -10,10 +10,10 @@ from cashtide.modeltree.grow import grow
 from cashtide.modeltree.params import TreeParams
 from cashtide.operators import daily as D
 from cashtide.operators import features as X
-from cashtide.plans import daily_queries as DQ
-from cashtide.plans.shared import DAILY_BY_CHANNEL, as_long
+from cashtide.plans import tree_sql as Q
+from cashtide.plans.shared import as_long
 from cashtide.schemas import TARGETS, numeric_features_for
-from cashtide.session import fresh_dir
+from cashtide.session import cut, fresh_dir
 from cashtide.sources import files, tables
 
 QUERIES, ORACLE = {}, {}
@@ -61,34 +61,8 @@ def training(spark, sf, seasonal=False):
 
 # ---------------------------------------------------------------- oracle pieces
 
-_ALL = DAILY_BY_CHANNEL.replace("SELECT channel, date", "SELECT 'ALL' AS channel, date").replace(
-    "GROUP BY channel, date", "GROUP BY date"
-)
-_SERIES = f"""{DQ.backfilled_sql(_ALL, digits=None)},
-counts AS (SELECT date, channel, count(*) AS n FROM staging GROUP BY ALL),
-modes AS (SELECT date, channel AS channel_mode FROM counts QUALIFY row_number() OVER
-  (PARTITION BY date ORDER BY n DESC, channel) = 1),
-tgt AS (SELECT date, {DQ.target_sql(True)} FROM daily
-  WINDOW w AS (PARTITION BY channel ORDER BY date)),
-full_rows AS (SELECT f.* EXCLUDE (channel), m.channel_mode, t.* EXCLUDE (date)
-  FROM feat f JOIN modes m USING (date) JOIN tgt t USING (date))"""
-
-
-def _per_target(select):
-    """UNION ALL of one SELECT per target; ``select`` maps a target to SQL."""
-    return " UNION ALL ".join(select(target) for target in TARGETS)
-
-
-def _long_features(target):
-    """(model_id, date, y, feature, value) for the numeric features of one target."""
-    return " UNION ALL ".join(
-        f"SELECT '{target}' AS model_id, date, {target} AS y, {i} AS feature, "
-        f"CAST({name} AS DOUBLE) AS value FROM full_rows WHERE {target} IS NOT NULL"
-        for i, name in enumerate(numeric_features_for(target))
-    )
-
-
-_LONG = f"{_SERIES}, long AS ({_per_target(_long_features)})"
+_SERIES, _per_target = Q.SERIES, Q.per_target
+_LONG = f"{_SERIES}, long AS ({_per_target(Q.long_features)})"
 
 
 # ---------------------------------------------------------------- preparation
@@ -109,8 +83,8 @@ def _mapping_sql(target):
 
 @query(f"WITH {_SERIES} {_per_target(_mapping_sql)}")
 def feature_mapping(spark, sf):
-    prep = P.fit(P.training_rows(training(spark, sf)))
-    return P.feature_names(prep)
+    rows = P.training_rows(training(spark, sf))
+    return P.feature_names(P.fit(rows), P.channels(rows))
 
 
 _GAPS = """, gappy AS (SELECT model_id, date, feature,
@@ -154,23 +128,21 @@ def _one_hot_sql(target):
 
 @query(f"WITH {_SERIES} {_per_target(_one_hot_sql)}")
 def prep_one_hot(spark, sf):
+    """Spread out for the reader; the trees keep a channel as one number."""
     rows = P.training_rows(training(spark, sf))
-    prep = P.fit(rows)
-    joined = rows.join(prep.select("model_id", "scales", "categories"), "model_id")
-    hot = F.slice(P.encode(), P.WIDTH + 1, F.size("categories"))
-    cells = joined.select(
+    every = P.channels(rows).withColumnRenamed("channel", "category")
+    is_own = P.channel_key() == F.col("category")
+    return rows.join(every, "model_id").select(
         "model_id",
         F.col("row_id").cast("date").alias("date"),
-        F.explode(F.arrays_zip(F.col("categories").alias("category"), hot.alias("value"))).alias(
-            "cell"
-        ),
+        "category",
+        F.when(is_own, 1.0).otherwise(0.0).alias("value"),
     )
-    return cells.select("model_id", "date", "cell.category", "cell.value")
 
 
 # ---------------------------------------------------------------- split search at the root
 
-_Q = "[" + ", ".join(repr(q) for q in PARAMS.quantiles()) + "]"
+_Q = Q.QUANTILES
 _THRESHOLDS = f"""{_LONG}, th AS (SELECT DISTINCT model_id, feature, threshold FROM (
   SELECT model_id, feature, unnest(quantile_cont(value, {_Q})) AS threshold
   FROM long GROUP BY model_id, feature HAVING max(value) > min(value)))"""
@@ -189,14 +161,14 @@ sdr AS (SELECT model_id, CAST(feature AS INTEGER) AS feature, threshold,
 
 
 def _root_rows(spark, sf):
-    """Every training row in the root of its model, numerics unscaled."""
+    """Every training row in the root of its model, numerics unscaled, with their bands."""
     rows = P.training_rows(training(spark, sf))
     means = rows.groupBy("model_id").agg(F.avg("y").alias("mean"))
-    joined = rows.join(means, "model_id")
-    return joined.select(
+    joined = rows.join(means, "model_id").select(
         "model_id", F.lit(1).alias("node_id"), (F.col("y") - F.col("mean")).alias("y"),
         F.col("num").alias("x"),
-    )
+    )
+    return cut(S.with_bands(cut(joined, "root-rows")), "root-bands")
 
 
 def _rounded(*names):
@@ -206,7 +178,7 @@ def _rounded(*names):
 @query(f"""WITH {_THRESHOLDS} SELECT DISTINCT model_id, CAST(feature AS INTEGER) AS feature,
   round(threshold, 3) AS threshold FROM th""")
 def split_candidates(spark, sf):
-    cands = S.candidates(S.value_table(_root_rows(spark, sf)), PARAMS)
+    cands = S.candidates(_root_rows(spark, sf), PARAMS)
     flat = F.col("n") == F.col("total_n")
     return cands.filter(~flat).select("model_id", "feature", *_rounded("threshold")).distinct()
 
@@ -214,7 +186,7 @@ def split_candidates(spark, sf):
 @query(f"""WITH {_SDR} SELECT DISTINCT model_id, feature, round(threshold, 3) AS threshold, n_left,
   n_right, round(sdr, 3) AS sdr FROM sdr""")
 def split_sdr(spark, sf):
-    cands = S.candidates(S.value_table(_root_rows(spark, sf)), PARAMS)
+    cands = S.candidates(_root_rows(spark, sf), PARAMS)
     rows = S.score(cands, PARAMS)
     return rows.select(
         "model_id", "feature", *_rounded("threshold"), *as_long("n_left", "n_right"),
@@ -226,7 +198,7 @@ def split_sdr(spark, sf):
   round(sdr, 3) AS sdr FROM sdr QUALIFY row_number() OVER
   (PARTITION BY model_id ORDER BY round(sdr, 6) DESC, feature, threshold) = 1""")
 def split_best(spark, sf):
-    cands = S.candidates(S.value_table(_root_rows(spark, sf)), PARAMS)
+    cands = S.candidates(_root_rows(spark, sf), PARAMS)
     rows = S.best(S.score(cands, PARAMS))
     return rows.select(
         "model_id", "feature", *_rounded("threshold"), *as_long("n_left", "n_right"),
@@ -268,84 +240,20 @@ def m5p_train_all_targets(spark, sf):
     return models.stats()
 
 
-@query()
+@query(Q.tree_sql(Q.RIDGE))
 def node_ridge(spark, sf):
-    """Coefficients of every kept node, inner nodes included."""
-    nodes = trained(spark, sf).nodes
-    return nodes.select("model_id", "node_id", "n", "used", "coef", "level")
-
-
-def _grown_sql(least, depth):
-    """The nodes of all six trees: split search unrolled level by level."""
-    factor = (
-        "CASE WHEN isodow(date) >= 6 THEN CAST(0.2 AS DECIMAL(3,2)) ELSE 1 END * "
-        "CASE WHEN day(date) IN (15, 25, 26, 27, 28, 29, 30, 31) THEN CAST(1.5 AS DECIMAL(3,2)) ELSE 1 END"
-    )
-    scaled = ", ".join(
-        f"CAST(CAST({c} AS DECIMAL(28,2)) * ({factor}) AS DECIMAL(38,2)) AS {c}"
-        for c in ("cash_in", "cash_out")
-    )
-    whole = _ALL.replace("daily AS (", "plain AS (") + (
-        f", daily AS (SELECT channel, date, {scaled}, transaction_count FROM plain)"
+    """Coefficients of every kept node, inner nodes included, one row per feature."""
+    models = trained(spark, sf)
+    about = models.nodes.select("model_id", "node_id", "n", "used", whole("level", -1))
+    terms = models.coefficients().filter("value <> 0")
+    return terms.join(about, ["model_id", "node_id"]).select(
+        "model_id", "node_id", "feature", "name", "n", "used", whole("value").alias("coef"), "level"
     )
-    base = _SERIES.replace(_ALL, whole)
-
-    def hot(target):
-        width = len(numeric_features_for(target))
-        return (
-            f"SELECT '{target}' AS model_id, r.date, r.{target} AS y, {width} - 1 + c.at AS feature, "
-            f"CASE WHEN r.channel_mode = c.c THEN 1.0 ELSE 0.0 END AS value FROM full_rows r "
-            f"CROSS JOIN (SELECT c, row_number() OVER (ORDER BY c) AS at FROM (SELECT DISTINCT "
-            f"channel_mode AS c FROM full_rows WHERE {target} IS NOT NULL)) c "
-            f"WHERE r.{target} IS NOT NULL"
-        )
 
-    steps = [
-        f"{base}, raw AS MATERIALIZED ({_per_target(_long_features)}), "
-        f"num AS (SELECT model_id, date, y, feature, (value - avg(value) OVER w) / "
-        "CASE WHEN stddev_pop(value) OVER w > 0 THEN stddev_pop(value) OVER w ELSE 1 END AS value "
-        "FROM raw WINDOW w AS (PARTITION BY model_id, feature)), "
-        f"x AS MATERIALIZED (SELECT model_id, date, feature, value FROM num UNION ALL "
-        f"SELECT model_id, date, feature, value FROM ({_per_target(hot)})), "
-        "at0 AS MATERIALIZED (SELECT model_id, date, 1 AS node_id, "
-        "y - avg(y) OVER (PARTITION BY model_id) AS y FROM raw WHERE feature = 0), "
-        "nodes0 AS MATERIALIZED (SELECT model_id, 1 AS node_id, count(*) AS n, 0.0 AS mean, "
-        "stddev_pop(y) AS sd FROM at0 GROUP BY model_id)"
-    ]
-    for d in range(depth):
-        steps.append(
-            f"in{d} AS MATERIALIZED (SELECT a.model_id, a.date, a.node_id, a.y - n.mean AS y, "
-            f"n.sd, n.mean, n.n FROM at{d} a JOIN nodes{d} n USING (model_id, node_id) "
-            "WHERE n.n >= 8 AND n.sd >= 1e-10), "
-            f"v{d} AS MATERIALIZED (SELECT i.*, x.feature, x.value FROM in{d} i JOIN x "
-            "USING (model_id, date)), "
-            f"th{d} AS (SELECT DISTINCT model_id, node_id, feature, threshold FROM (SELECT model_id, "
-            f"node_id, feature, unnest(quantile_cont(value, {_Q})) AS threshold FROM v{d} "
-            "GROUP BY model_id, node_id, feature HAVING max(value) > min(value))), "
-            f"sides{d} AS (SELECT t.model_id, t.node_id, t.feature, t.threshold, any_value(v.n) AS n, "
-            "any_value(v.sd) AS sd, count(*) FILTER (v.value <= t.threshold) AS n_left, "
-            "coalesce(stddev_pop(v.y) FILTER (v.value <= t.threshold), 0) AS sd_left, "
-            "coalesce(stddev_pop(v.y) FILTER (v.value > t.threshold), 0) AS sd_right "
-            f"FROM th{d} t JOIN v{d} v ON v.model_id = t.model_id AND v.node_id = t.node_id "
-            "AND v.feature = t.feature GROUP BY 1, 2, 3, 4), "
-            f"best{d} AS MATERIALIZED (SELECT * FROM (SELECT *, sd - (n_left / n * sd_left + "
-            f"(n - n_left) / n * sd_right) AS sdr FROM sides{d} WHERE n_left >= 4 AND n - n_left >= 4) "
-            "QUALIFY row_number() OVER (PARTITION BY model_id, node_id ORDER BY "
-            "round(sdr / greatest(sd, 1e-10), 11) DESC, feature, threshold) = 1), "
-            f"cut{d} AS MATERIALIZED (SELECT * FROM best{d} WHERE sdr >= {least} * sd), "
-            f"at{d + 1} AS MATERIALIZED (SELECT v.model_id, v.date, v.node_id * 2 + "
-            "CASE WHEN v.value <= c.threshold THEN 0 ELSE 1 END AS node_id, v.y + v.mean AS y "
-            f"FROM v{d} v JOIN cut{d} c ON c.model_id = v.model_id AND c.node_id = v.node_id "
-            "AND c.feature = v.feature), "
-            f"nodes{d + 1} AS MATERIALIZED (SELECT model_id, node_id, count(*) AS n, avg(y) AS mean, "
-            f"stddev_pop(y) AS sd FROM at{d + 1} GROUP BY ALL)"
-        )
-    every = " UNION ALL ".join(
-        "SELECT model_id, node_id, CAST(n AS BIGINT) AS n, round(mean, 2) AS mean, "
-        f"round(sd, 2) AS sd FROM nodes{d}"
-        for d in range(depth + 1)
-    )
-    return f"WITH {', '.join(steps)} {every}"
+
+def whole(name, digits=0):
+    """Rounded to whole units, without a negative zero."""
+    return (F.round(name, digits) + F.lit(0.0)).alias(name)
 
 
 def _node_table(grown):
@@ -355,7 +263,7 @@ def _node_table(grown):
     )
 
 
-@query(_grown_sql(PARAMS.min_std_reduction, PARAMS.max_depth))
+@query(Q.grown_sql(Q.NODES))
 def m5p_tree_nodes(spark, sf):
     return _node_table(trained(spark, sf).grown)
 
@@ -363,119 +271,138 @@ def m5p_tree_nodes(spark, sf):
 DEEP = TreeParams(min_std_reduction=0.002, max_depth=4)
 
 
-@query(_grown_sql(DEEP.min_std_reduction, DEEP.max_depth))
+@query(Q.grown_sql(Q.NODES, DEEP))
 def m5p_deep_nodes(spark, sf):
     """Trees grown four levels down, where almost any reduction is accepted."""
-    prep, ready = T.prepared(P.training_rows(training(spark, sf, seasonal=True)))
+    prep, _, ready = T.prepared(P.training_rows(training(spark, sf, seasonal=True)))
     numbered = prep.drop("model_id").withColumnRenamed("number", "model_id")
     grown, _ = grow(ready, numbered, DEEP)
     return _node_table(T.named(grown, prep))
 
 
-@query()
+def _kept_table(nodes):
+    return nodes.select(
+        "model_id", "node_id", "depth", "is_leaf", F.round(F.col("error") / 1e6).alias("error"),
+        "feature", F.round("threshold", 6).alias("threshold"), F.round("sdr", 2).alias("sdr"),
+        F.round("sd", 2).alias("sd"), "n",
+    )
+
+
+@query(Q.tree_sql(Q.PRUNED))
 def m5p_pruned_nodes(spark, sf):
-    columns = ("depth", "is_leaf", "error", "feature", "threshold", "sdr", "sd", "n")
-    return trained(spark, sf).nodes.select("model_id", "node_id", *columns)
+    return _kept_table(trained(spark, sf).nodes)
 
 
 def _scored(spark, sf, smooth):
     rows = P.training_rows(training(spark, sf, seasonal=True))
     scored = trained(spark, sf).predict(rows, smooth)
-    return scored.select("model_id", "row_id", "y", "node_id", "prediction")
+    return scored.select("model_id", "row_id", "y", "node_id", whole("prediction", -2))
 
 
-@query()
+@query(Q.tree_sql(Q.predicted("raw")))
 def m5p_predict_raw(spark, sf):
     return _scored(spark, sf, smooth=False)
 
 
-@query()
+@query(Q.tree_sql(Q.predicted("smooth")))
 def m5p_predict(spark, sf):
     return _scored(spark, sf, smooth=True)
 
 
-@query()
+@query(Q.tree_sql(Q.PREDICTED_ALL))
 def m5p_predict_all(spark, sf):
     """All six targets of every day as columns, never negative."""
-    return trained(spark, sf).predict_all(X.feature_frame(series(spark, sf, seasonal=True)))
+    wide = trained(spark, sf).predict_all(X.feature_frame(series(spark, sf, seasonal=True)))
+    return wide.select("date", *[whole(t, -2) for t in TARGETS])
 
 
-@query()
+@query(Q.tree_sql(Q.IMPORTANCES))
 def top_importances(spark, sf):
-    return trained(spark, sf).top_importances()
+    rows = trained(spark, sf).top_importances()
+    return rows.withColumn("importance", F.round("importance", 9))
 
 
-@query()
+@query(Q.tree_sql(Q.STATS))
 def m5p_tree_stats(spark, sf):
     return trained(spark, sf).stats()
 
 
-@query()
+@query(Q.tree_sql(Q.RULES))
 def m5p_rules(spark, sf):
-    return trained(spark, sf).rules()
+    return trained(spark, sf).rules(digits=0)
 
 
-@query()
+@query(Q.tree_sql(Q.METRICS))
 def m5p_train_metrics(spark, sf):
-    return T.metrics(trained(spark, sf), training(spark, sf, seasonal=True))
+    found = T.metrics(trained(spark, sf), training(spark, sf, seasonal=True))
+    return found.select("model_id", "n", whole("rmse", -1), F.round("r2", 6).alias("r2"), whole("mae", -1))
 
 
-@query()
+FOLD_PARAMS = TreeParams(max_depth=3)
+
+
+@query(Q.tree_sql(Q.FOLDS, FOLD_PARAMS, folds=3))
+def m5p_rolling_origin(spark, sf):
+    """Three expanding windows by date, all trained together, each tested on the days after it."""
+    found = T.rolling_origin(training(spark, sf, seasonal=True), 3, params=FOLD_PARAMS)
+    return found.select("model_id", "n", whole("rmse", -1), F.round("r2", 6).alias("r2"), whole("mae", -1))
+
+
+@query(Q.tree_sql(Q.SAVED))
 def model_save_load(spark, sf):
-    """A saved artefact read back: rows of each part and whether it is found."""
+    """A saved artefact read back: rows of each part, and whether they are the rows saved."""
     models = trained(spark, sf)
     uri = fresh_dir(spark, "saved-models")
     models.save(uri)
     back = T.load(spark, uri)
     found = F.lit(T.has_models(spark, uri)).alias("found")
-    counts = [
-        getattr(back, part).agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(part).alias("part"), "rows", found
+    parts = []
+    for part in T.PARTS:
+        saved, read = getattr(models, part), getattr(back, part)
+        read = read.select(*saved.columns)
+        sides = saved.withColumn("_side", F.lit(1)).unionByName(read.withColumn("_side", F.lit(-1)))
+        gaps = sides.groupBy(*saved.columns).agg(F.sum("_side").alias("gap"), F.expr("count_if(_side < 0) AS rows"))
+        parts.append(
+            gaps.agg(F.sum("rows").alias("rows"), F.max(F.abs("gap")).alias("gap")).select(
+                F.lit(part).alias("part"), "rows", (F.col("gap") == 0).alias("same"), found
+            )
         )
-        for part in T.PARTS
-    ]
-    return D.union_evolving(*counts)
+    return D.union_evolving(*parts)
 
 
-@query()
+@query(Q.tree_sql(Q.STATS, seasonal=False))
 def m5p_unaltered(spark, sf):
     """Statistics of the trees of the amounts as they are, where a split is rare."""
     return T.train(training(spark, sf)).stats()
 
 
-_TRAIN_ROWS = " UNION ALL ".join(
-    f"SELECT '{t}' AS model_id, count(*) AS n FROM full_rows WHERE {t} IS NOT NULL" for t in TARGETS
-)
-
-
 def csv_models(spark, sf):
-    """Models of the default depth, trained from staging rows exported as CSV."""
-    uri = fresh_dir(spark, "staging-csv")
-    rows = tables.staging(spark, sf).select(
-        "date", F.col("cash_in").cast("double"), F.col("cash_out").cast("double"), "channel",
-        *dates.date_parts("date"), F.lit(0.0).alias("balance"),
-        F.col("tx_id").cast("string").alias("client_tx_id"),
+    """Models of the default depth, trained from the seasonal days exported as CSV."""
+    uri = fresh_dir(spark, "daily-csv")
+    rows = series(spark, sf, seasonal=True).select(
+        "date", "cash_in", "cash_out", "channel", *dates.date_parts("date"), F.lit(0.0).alias("balance"),
+        F.col("date").cast("string").alias("client_tx_id"),
     )
     files.write_csv(rows, uri)
     return T.train_from_csv(spark, uri, params=PARAMS)
 
 
-@query(f"WITH {_SERIES} {_TRAIN_ROWS}")
+@query(Q.tree_sql(Q.PRUNED))
 def train_from_csv(spark, sf):
-    """Staging rows exported as CSV; models trained from the file, with their training rows."""
-    return csv_models(spark, sf).models.select("model_id", "n")
+    """Days exported as CSV, models trained from the file: the nodes of their trees."""
+    return _kept_table(csv_models(spark, sf).nodes)
 
 
 def daily_models(spark, sf):
     """Models of the default depth, retrained on a daily table cut in two and merged back."""
-    days = series(spark, sf)
+    days = series(spark, sf, seasonal=True)
     early = F.col("date") < F.lit("1998-01-01").cast("date")
     uri = fresh_dir(spark, "job-models")
     _, models = T.daily_job(days.filter(early), days.filter(~early), uri, params=PARAMS)
     return models
 
 
-@query(f"WITH {_SERIES} {_TRAIN_ROWS}")
+@query(Q.tree_sql(Q.PRUNED))
 def daily_job_retrain(spark, sf):
-    """The daily table cut in two, the later part merged back as a batch and all retrained."""
-    return daily_models(spark, sf).models.select("model_id", "n")
+    """The daily table cut in two, the later part merged back and all retrained: the trees' nodes."""
+    return _kept_table(daily_models(spark, sf).nodes)

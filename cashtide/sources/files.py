@@ -1,6 +1,7 @@
 """File readers and writers: CSV, JSON payloads, partitioned Parquet tables."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cashtide import session
 from cashtide.schemas import API_CALLS, DAILY_STAGING, LEDGER, PAYLOAD
@@ -26,22 +27,34 @@ def preview(df, order, n=5):
     return df.orderBy(*order).limit(n)
 
 
+#: Payloads with the text of each line that does not parse, null for all others.
+PAYLOAD_LINES = StructType([*PAYLOAD, StructField("raw_line", StringType())])
+
+
+def payload_lines(reader):
+    """A JSON reader, of a batch or a stream, that keeps the text of unreadable lines."""
+    return reader.schema(PAYLOAD_LINES).option("columnNameOfCorruptRecord", "raw_line")
+
+
 def read_payloads(spark, uri):
-    """Bulk payloads, one JSON object per line; bad lines come back as all-null rows."""
-    return spark.read.schema(PAYLOAD).json(uri)
+    """Bulk payloads, one JSON object per line; a line that does not parse is kept as text."""
+    return payload_lines(spark.read).json(uri)
 
 
 def append_ledger(ledger, uri, mode="append"):
     """Ledger table by day, sorted by account so that row groups can be skipped.
 
-    The rebalance hint lets AQE split a busy day over several tasks and merge quiet days,
+    Each row group carries a bloom filter of its ids, as large as they need, so that a lookup by
+    id alone reads the few groups that may hold it. The rebalance hint lets AQE split a busy day over several tasks and merge quiet days,
     so files come out near the advisory size whatever the skew between days.
     """
     by_day = ledger.hint("rebalance", F.col("event_date"))
     ordered = by_day.sortWithinPartitions(
         "event_date", "account_id", F.col("event_ts").desc(), "tx_id"
     )
-    ordered.write.mode(mode).partitionBy("event_date").parquet(uri)
+    writer = ordered.write.mode(mode).partitionBy("event_date")
+    writer = writer.option("parquet.bloom.filter.enabled#tx_id", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(uri)
 
 
 def read_ledger(spark, uri):

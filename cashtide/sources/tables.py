@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cashtide.operators import daily as D
 from cashtide.operators import ingest
-from cashtide.schemas import MONEY
+from cashtide.schemas import MONEY, PAYLOAD
 
 # How event rows are read as transactions.
 TYPE_BY_EVENT = {
@@ -110,3 +110,13 @@ def staging(spark, sf_dir):
 
 def daily(spark, sf_dir, series_keys=()):
     return D.roll_up(staging(spark, sf_dir), series_keys)
+
+
+def payload_lines(rows):
+    """Payloads as lines of JSON, and for every 13th key one more line that breaks off."""
+    names = [c for c in PAYLOAD.fieldNames() if c in rows.columns]
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    whole = F.to_json(F.struct(*names), options)
+    broken = F.concat(F.lit('{"tx_id":"'), "tx_id", F.lit('","amount":'))
+    lines = F.filter(F.array(whole, F.when(F.col("k") % 13 == 0, broken)), lambda x: x.isNotNull())
+    return rows.select(F.explode(lines).alias("value"))

@@ -2,31 +2,53 @@
 
 All jobs use the column functions of the batch operators. Aggregates run in update mode
 without a watermark, so a row for any old day is accepted; their state is one row per
-(series, day) or per account. Each micro-batch hands over absolute totals of the keys it
-touched, stored as a version; a replayed batch overwrites its own version, and readers take
-the newest version of each key.
+(series, day), per account or per key. Each micro-batch hands over absolute totals of the keys it
+touched, stored as a version. Commits name the versions that count, a bounded number of them: a
+stream merges them when they get many, and a merge from outside and a running stream leave each
+other's versions in place. Readers take the newest version of each key.
 """
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from cashtide import session
 from cashtide.operators import ingest
-from cashtide.operators.dedup import KEYS, first_wins, unseen
-from cashtide.schemas import DEDUP_KEYS, LEDGER, PAYLOAD
-from cashtide.sources import files
+from cashtide.operators.dedup import KEYS, key_of
+from cashtide.schemas import LEDGER
+from cashtide.sources import commits, files
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Versions that readers merge at most, before a stream merges them into one.
+MOST_LIVE = 8
 
 
 def use_rocksdb(spark):
     """Keep stream state on disk with RocksDB, for key sets larger than executor memory."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    spark.conf.set(PROVIDER, ROCKSDB)
+
+
+@contextmanager
+def on_rocksdb(spark):
+    """Streams started inside the block keep their state in RocksDB."""
+    before = spark.conf.get(PROVIDER, None)
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 def payload_stream(spark, uri, files_per_trigger=None):
-    """Payload files (JSON lines) as a stream; each file is consumed once."""
-    reader = spark.readStream.schema(PAYLOAD)
+    """Payload files (JSON lines) as a stream; each file is consumed once and unreadable lines
+    are kept as text."""
+    reader = files.payload_lines(spark.readStream)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(uri)
@@ -43,28 +65,48 @@ def table_stream(spark, sf_dir, name, files_per_trigger=None):
 
 def dedup(payloads, delay):
     """First arrival per (account, client id) with bounded state: keys are kept for ``delay``
-    behind the newest event. ``ingest`` remembers keys for ever, in a stored table."""
+    behind the newest event. ``ingest_batches`` remembers keys for ever."""
     rows = ingest.normalize_payload(ingest.draw_ids(payloads))
     return rows.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(list(KEYS))
 
 
+def first_arrivals(payloads):
+    """Per key the payload that came first, and whether the batch brought the key.
+
+    Keys are remembered for ever as keyed state: a batch looks up its own keys, whatever the
+    number of keys seen before. Of the rows that bring a key in one batch the first by
+    (event_ts, tx_id) wins. The arrival is the batch's own time, so a replayed batch gives the
+    same rows.
+    """
+    names = payloads.columns
+    rows = ingest.draw_ids(payloads).select(F.struct(*names).alias("payload"))
+    keyed = ingest.normalize_payload(rows.select("payload", "payload.*")).select(
+        "payload", "account_id", key_of().alias("key"), "event_ts", "tx_id",
+        F.current_timestamp().alias("arrival"),
+    )
+    order = F.struct("arrival", "event_ts", "tx_id")
+    held = keyed.groupBy("account_id", "key").agg(
+        F.min_by("payload", order).alias("payload"),
+        F.min("arrival").alias("first"),
+        F.max("arrival").alias("last"),
+    )
+    return held.select("payload.*", (F.col("first") == F.col("last")).alias("is_new"))
+
+
 def ingest_batches(payloads, uri, checkpoint):
     """Payloads to the ledger, through the same steps as the batch ingest.
 
-    Each micro-batch drops keys that earlier batches have stored, and writes the legs it
-    accepts under ``uri/ledger``, those it refuses, with their reason, under ``uri/rejects``
-    and its keys under ``uri/keys``. A replayed batch overwrites its own parts.
+    Each micro-batch drops rows whose key has come before, and writes the legs it
+    accepts under ``uri/ledger``, those it refuses, with their reason and the text of
+    unreadable lines, under ``uri/rejects`` and its keys under ``uri/keys``. A replayed batch
+    overwrites its own parts.
     """
 
     def write(batch, batch_id):
         spark = batch.sparkSession
         with session.scratch(spark):
-            rows = first_wins(ingest.normalize_payload(ingest.draw_ids(batch)))
-            earlier = _parts(spark, f"{uri}/keys", "batch", lambda n: n < batch_id)
-            if earlier:
-                seen = spark.read.schema(DEDUP_KEYS).parquet(*earlier)
-                rows = unseen(rows, seen)
-            rows = session.cut(rows, "stream-batch")
+            rows = session.cut(batch.filter("is_new").drop("is_new"), "stream-batch")
+            rows = ingest.normalize_payload(rows)
             keys = rows.select(
                 "account_id", "client_tx_id", "tx_id", F.col("event_ts").alias("created_at")
             )
@@ -76,7 +118,9 @@ def ingest_batches(payloads, uri, checkpoint):
             files.append_rejects(ingest.rejected(legs), f"{uri}/rejects/{part}", "overwrite")
             keys.write.mode("overwrite").parquet(f"{uri}/keys/{part}")
 
-    return _run(payloads.writeStream.foreachBatch(write), checkpoint)
+    with on_rocksdb(payloads.sparkSession):
+        stream = first_arrivals(payloads).writeStream.outputMode("update")
+        return _run(stream.foreachBatch(write), checkpoint)
 
 
 def _parts(spark, uri, name, wanted):
@@ -149,48 +193,102 @@ def append(stream, uri, checkpoint, partition_by):
     return _run(writer.partitionBy(partition_by).option("path", uri), checkpoint)
 
 
-def append_versions(stream, uri, checkpoint):
-    """Keep each micro-batch as a version; a replayed batch overwrites its own version.
+def append_versions(stream, uri, checkpoint, keys=None):
+    """Keep each micro-batch as a version; a replayed batch takes the place of its own version.
 
     A version holds only the keys its batch touched, with their new totals. Versions carry on
-    from the highest one there, so a new checkpoint on an old folder overwrites nothing.
+    from the highest one there, so a new checkpoint on an old folder overwrites nothing. With
+    ``keys``, versions are merged whenever there are more than ``MOST_LIVE``.
     """
     spark = stream.sparkSession
     state = _parts(spark, checkpoint, "offset", lambda n: True)
-    base = int(state[0].rsplit("=", 1)[1]) if state else 1 + max(
-        [-1] + [int(p.rsplit("=", 1)[1]) for p in _parts(spark, uri, "version", lambda n: True)]
-    )
+    held = commits.newest(spark, uri)[1] or {"last": -1}
+    base = int(state[0].rsplit("=", 1)[1]) if state else 1 + held["last"]
     if not state:
         # The offset belongs to the checkpoint: its batches keep their numbers on a restart.
         spark.range(0).write.parquet(f"{checkpoint}/offset={base}")
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{uri}/version={base + batch_id}")
+        version = {"version": base + batch_id, "path": _store_version(batch, uri)}
+
+        def added(old):
+            live = [v for v in _live(old) if v["version"] != version["version"]]
+            return _manifest(old, [*live, version])
+
+        now = commits.update(spark, uri, added)
+        if keys and len(now["live"]) > MOST_LIVE:
+            compact(spark, uri, keys)
 
     return _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
+def _store_version(rows, uri):
+    path = f"{uri}/versions/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return path
+
+
+def _live(state):
+    return (state or {}).get("live", [])
+
+
+def _manifest(old, live):
+    last = max([v["version"] for v in live] + [(old or {}).get("last", -1)])
+    return {"live": live, "last": last}
+
+
+def _merged(spark, live, keys):
+    """Newest row of every key in some versions."""
+    rows = None
+    for held in live:
+        each = spark.read.parquet(held["path"]).withColumn("version", F.lit(held["version"]))
+        rows = each if rows is None else rows.unionByName(each)
+    values = [c for c in rows.columns if c not in keys and c != "version"]
+    newest = F.max(F.struct("version", *values)).alias("newest")
+    return rows.groupBy(*keys).agg(newest).select(*keys, *[f"newest.{c}" for c in values])
+
+
 def newest_versions(spark, uri, keys, schema=None):
     """Newest version of every key; an empty table of ``schema`` when none was written."""
-    if not _parts(spark, uri, "version", lambda n: True):
+    live = _live(commits.newest(spark, uri)[1])
+    if not live:
         if schema is None:
             raise ValueError(f"nothing was written to {uri}; pass the schema of its rows")
         return spark.createDataFrame([], schema)
-    rows = spark.read.parquet(uri)
-    values = [c for c in rows.columns if c not in keys and c != "version"]
-    newest = F.max(F.struct("version", *values)).alias("newest")
-    picked = rows.groupBy(*keys).agg(newest)
-    return picked.select(*keys, *[f"newest.{c}" for c in values])
+    return _merged(spark, live, keys)
 
 
 def compact(spark, uri, keys):
-    """One version of all keys under a new folder; returns it for readers to switch to."""
-    folder = session.fresh_dir(spark, "compacted")
-    newest = _parts(spark, uri, "version", lambda n: True)
-    if newest:
-        last = max(int(p.rsplit("=", 1)[1]) for p in newest)
-        newest_versions(spark, uri, keys).write.parquet(f"{folder}/version={last}")
-    return folder
+    """Merge the versions that count now into one; a stream may go on writing meanwhile.
+
+    Versions that the stream adds before the merge is committed stay beside it. Files that no
+    commit names any more stay until ``vacuum``, for readers that began before.
+    """
+    live = _live(commits.newest(spark, uri)[1])
+    if len(live) < 2:
+        return
+    whole = {
+        "version": max(v["version"] for v in live),
+        "path": _store_version(_merged(spark, live, keys), uri),
+    }
+    gone = {v["path"] for v in live}
+
+    def merged(old):
+        if not gone <= {v["path"] for v in _live(old)}:
+            return old  # another merge was first
+        return _manifest(old, [whole, *[v for v in _live(old) if v["path"] not in gone]])
+
+    commits.update(spark, uri, merged)
+
+
+def vacuum(spark, uri):
+    """Remove versions that no longer count; for times when neither readers nor writers run."""
+    live = {v["path"].rsplit("/", 1)[1] for v in _live(commits.newest(spark, uri)[1])}
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{uri}/versions")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(path) if system.exists(path) else []:
+        if str(status.getPath().getName()) not in live:
+            system.delete(status.getPath(), True)
 
 
 def append_api_calls(calls, uri, checkpoint):

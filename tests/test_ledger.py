@@ -297,7 +297,52 @@ def test_bad_payload_lines_are_rejected_not_lost(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"account_id":"A","amount":1.5}\n{broken\n')
     rows = files.read_payloads(spark, str(tmp_path))
     classified = ingest.classify(ingest.normalize_payload(rows)).collect()
-    assert sorted(r.reject_reason for r in classified) == ["missing_account", "missing_date"]
+    assert {(r.reject_reason, r.raw_line) for r in classified} == {
+        ("missing_date", None), ("unreadable_line", "{broken"),
+    }
+    (tmp_path / "q.json").write_text('{"account_id":"A","amount":"much"}\n\n[1,2\n')
+    lines = files.read_payloads(spark, str(tmp_path / "q.json"))
+    refused = ingest.ingest(lines)[1]
+    assert {(r.reject_reason, r.raw_line) for r in refused.collect()} == {
+        ("unreadable_line", '{"account_id":"A","amount":"much"}'), ("unreadable_line", "[1,2"),
+    }
+
+
+def test_lookup_by_id_skips_row_groups(spark):
+    """Of many days the scan reads the row groups whose bloom filter holds the id."""
+    from cashtide.schemas import LEDGER
+
+    days, each = 40, 500
+    kinds = {f.name: f.dataType.simpleString() for f in LEDGER}
+    made = {
+        "account_id": "concat('A', id % 50)", "event_date": f"date_add(date'2024-01-01', int(id / {each}))",
+        "event_ts": f"timestamp_seconds(1704067200 + int(id / {each}) * 86400 + id % {each})",
+        "tx_id": "concat('tx-', hash(id), '-', id)", "amount": "cast(id AS decimal(28,10))",
+    }
+    rows = spark.range(days * each).selectExpr(
+        *[f"cast({made.get(n, 'null')} AS {k}) AS {n}" for n, k in kinds.items()], "id"
+    )
+    uri = fresh_dir(spark, "indexed-ledger")
+    files.append_ledger(rows.select(*kinds), uri)
+    wanted = rows.filter("id = 7777").first()["tx_id"]
+    found = ledger.by_tx_id(files.read_ledger(spark, uri), wanted)
+    assert [r.tx_id for r in found.collect()] == [wanted]
+    plan = found._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()
+        while plan.children().size():
+            plan = plan.children().head()
+    read = plan.metrics().apply("numOutputRows").value()
+    assert 0 < read <= 3 * each  # of 20,000 rows; a filter may be wrong now and then
+
+
+def test_an_id_given_twice_returns_the_newest(spark):
+    frame = spark.createDataFrame(
+        [("A", datetime.datetime(2024, 1, d), "x") for d in (1, 3, 2)], "account_id string, event_ts timestamp, tx_id string"
+    )
+    assert ledger.by_tx_id(frame, "x").first()["event_ts"].day == 3
 
 
 def test_extra_defaults_do_not_overwrite(spark):

@@ -81,6 +81,7 @@ def predictions(model, rows, smooth=True):
 def test_same_tree_as_numpy(fitted, data):
     nodes = fitted.nodes.toPandas()
     grown = fitted.grown.toPandas()
+    terms = fitted.coefficients().toPandas()
     for name, (num, channel, y) in data.items():
         x = encoded(num, channel)
         tree = B.fit(x, y - y.mean(), PARAMS)
@@ -92,7 +93,10 @@ def test_same_tree_as_numpy(fitted, data):
             row, ref = mine.loc[number], tree[number]
             assert row["n"] == ref["n"]
             assert row["is_leaf"] == ref["leaf"]
-            np.testing.assert_allclose(row["coef"], ref["coef"], rtol=1e-6, atol=1e-3)
+            mine_coef = np.zeros(x.shape[1])
+            own = terms[(terms.model_id == name) & (terms.node_id == number)]
+            mine_coef[own["feature"].to_numpy(int)] = own["value"]
+            np.testing.assert_allclose(mine_coef, ref["coef"], rtol=1e-6, atol=1e-3)
             np.testing.assert_allclose(row["level"], ref["intercept"] + y.mean(), rtol=1e-9)
             if not ref["leaf"]:
                 assert row["feature"] == ref["feature"]
@@ -129,9 +133,10 @@ def test_depth_limit(spark, data):
 def test_thresholds_are_numpy_percentiles(spark):
     rng = np.random.default_rng(5)
     v = np.round(rng.normal(size=101), 1)
-    pdf = pd.DataFrame({"y": rng.normal(size=101), "x": [[float(a)] for a in v]})
+    wide = [[float(a)] + [0.0] * (P.WIDTH - 1) for a in v]
+    pdf = pd.DataFrame({"y": rng.normal(size=101), "x": wide})
     located = spark.createDataFrame(pdf).selectExpr("'m' model_id", "1 node_id", "y", "x")
-    got = S.candidates(S.value_table(located), PARAMS).select("threshold").toPandas()
+    got = S.candidates(S.with_bands(located), PARAMS).filter("feature = 0").toPandas()
     np.testing.assert_allclose(
         np.unique(got["threshold"]), np.unique(np.quantile(v, PARAMS.quantiles())), atol=1e-12
     )
@@ -213,6 +218,31 @@ def test_save_load_and_reuse(spark, fitted, data):
         np.testing.assert_array_equal(a[name], b[name])
 
 
+def test_of_two_publishers_one_wins(spark, fitted):
+    import threading
+
+    from cashtide.sources import commits
+
+    uri, outcome = fresh_dir(spark, "models"), []
+
+    def publish():
+        try:
+            fitted.save(uri)
+            outcome.append("won")
+        except commits.Conflict:
+            outcome.append("lost")
+
+    threads = [threading.Thread(target=publish) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(outcome) == ["lost", "won"]
+    assert T.load(spark, uri).nodes.count() == fitted.nodes.count()
+    fitted.save(uri)
+    assert commits.newest(spark, uri)[0] == 1
+
+
 def test_scoring_uses_no_python(spark, fitted, data):
     plan = fitted.predict(rows_frame(spark, data))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan
@@ -306,6 +336,131 @@ def test_series_of_odd_names_stay_apart(spark):
 
 def test_feature_columns_of_each_direction(spark):
     rows = P.training_rows(X.training_set(_daily(spark, 60), ("account",)), ("account",))
-    names = P.feature_names(P.fit(rows)).filter("feature < 10").toPandas()
+    names = P.feature_names(P.fit(rows), P.channels(rows)).filter("feature < 10").toPandas()
     one = names[names.model_id == "A~cash_in_h7_sum"].sort_values("feature")["name"]
     assert list(one) == list(FEATURES_IN[:-1])
+
+
+def _located(spark, n, width=P.WIDTH):
+    """Rows of one node with distinct numerics."""
+    x = F.expr(f"transform(sequence(1, {width}), i -> double(hash(id, i)) / 1000)")
+    rows = spark.range(n).select(
+        F.expr("concat('m', id * 0)").alias("model_id"), F.expr("int(id * 0 + 1)").alias("node_id"),
+        F.expr("double(hash(id, 0)) / 1e6").alias("y"), x.alias("x"),
+    )
+    return S.with_bands(rows)
+
+
+def test_what_a_level_shuffles_does_not_grow_with_the_rows(spark):
+    sizes = []
+    for n in (20_000, 80_000):
+        located = _located(spark, n)
+        sums = S.band_sums(located)
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+        first = plan[plan.index("Exchange hashpartitioning(") :].splitlines()[1]
+        assert "HashAggregate" in first and "partial_sum" in first  # combined before it moves
+        wanted = S.looked_into(sums, PARAMS)
+        sizes.append((sums.count(), wanted.count()))
+        values = S.value_sums(located, wanted).count()
+        assert values < 0.3 * n * P.WIDTH
+    assert max(s[0] for s in sizes) <= P.BANDS * P.WIDTH
+    assert max(s[1] for s in sizes) <= 2 * PARAMS.percentiles * P.WIDTH
+
+
+def test_banded_splits_equal_brute_force(spark):
+    located = _located(spark, 3000)
+    rows = located.select("y", "x").toPandas()
+    x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy()
+    got = S.best(S.score(S.candidates(located, PARAMS), PARAMS)).first()
+    _, feature, threshold, gain = B.find_split(x, y, PARAMS)
+    assert (got["feature"], got["threshold"]) == (feature, pytest.approx(threshold, rel=1e-12))
+    assert got["sdr"] == pytest.approx(gain, rel=1e-8)
+
+
+def _gradients(num, channel, y, coef, effects, level, alpha):
+    """What is left of the normal equations of a ridge model."""
+    sd = num.std(axis=0)
+    x = (num - num.mean(axis=0)) / np.where(sd == 0, 1, sd)
+    names, index = np.unique(channel, return_inverse=True)
+    hot = np.array([effects.get(n, 0.0) for n in names])
+    miss = y - level - x @ coef - hot[index]
+    by_channel = np.bincount(index, miss)
+    return miss.sum(), x.T @ miss - alpha * coef, by_channel - alpha * hot
+
+
+def test_ten_thousand_channels(spark):
+    rng = np.random.default_rng(4)
+    n, many = 30_000, 10_000
+    num = np.round(rng.normal(size=(n, P.WIDTH)), 3)
+    channel = np.array([f"c{i:05d}" for i in np.arange(n) % many])
+    effect = rng.normal(scale=1e3, size=many)
+    y = 1e4 + 300 * num[:, 0] + effect[np.arange(n) % many] + rng.normal(size=n)
+    rows = rows_frame(spark, {"m~x_in": (num, channel, y)})
+    model = T.fit(rows, replace(PARAMS, max_depth=1))
+    assert model.names.count() == P.WIDTH + many
+    assert model.lookup.count() == many
+    assert model.nodes.select(F.max(F.size("coef"))).first()[0] == P.WIDTH
+    for table in (model.nodes, model.models, model.effects, model.lookup):
+        lists = [f.name for f in table.schema if f.dataType.typeName() == "array"]
+        widest = [table.select(F.max(F.size(c))).first()[0] or 0 for c in lists]
+        assert max(widest, default=0) <= P.BANDS
+    whole = T.fit(rows, replace(PARAMS, max_depth=0))
+    root = whole.nodes.first()
+    assert root["used"] == P.WIDTH + many
+    names = {r["feature"] - P.WIDTH: r["name"][8:] for r in whole.names.filter(f"feature >= {P.WIDTH}").collect()}
+    hot = {names[r["c"]]: r["coef"] for r in whole.effects.collect()}
+    parts = _gradients(num, channel, y, np.array(root["coef"]), hot, root["level"], PARAMS.ridge_alpha)
+    assert max(np.abs(p).max() for p in parts) < 1e-3
+    got = whole.predict(rows, smooth=False).select("row_id", "channel", "prediction").toPandas()
+    x = (num - num.mean(axis=0)) / num.std(axis=0)
+    expected = root["level"] + x @ np.array(root["coef"]) + np.array([hot[c] for c in channel])
+    np.testing.assert_allclose(got.sort_values("row_id")["prediction"], expected, rtol=1e-9)
+
+
+def test_ten_thousand_small_models(spark):
+    """No Python runs by model or node; each model equals plain ridge regression."""
+    from cashtide.modeltree import ridge
+
+    many, each = 10_000, 40
+    x = F.expr(f"transform(sequence(1, {P.WIDTH}), i -> double(hash(id, i) % 1000) / 250)")
+    rows = spark.range(many * each).select(
+        (F.col("id") % many).alias("model_id"), x.alias("x"),
+        F.expr("double(hash(id, 0) % 1000)").alias("y"), F.expr("int(pmod(hash(id, 99), 3))").alias("c"),
+        F.expr("array_repeat(0, 10)").alias("b"),
+    ).repartition("model_id")
+    models, effects = ridge.node_models(rows, None, PARAMS)
+    text = models._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in text and "MapInPandas" not in text
+    assert models.count() == many
+    sample = list(range(0, many, 997))
+    held = rows.filter(F.col("model_id").isin(sample)).toPandas()
+    found = models.filter(F.col("model_id").isin(sample)).toPandas().set_index("model_id")
+    hot = effects.filter(F.col("model_id").isin(sample)).toPandas()
+    for number in sample:
+        own = held[held.model_id == number]
+        wide = np.hstack([np.array(own["x"].tolist()), np.eye(3)[own["c"].to_numpy()]])
+        coef, level, used = B.ridge(wide, own["y"].to_numpy(), PARAMS.ridge_alpha)
+        mine = found.loc[number]
+        np.testing.assert_allclose(mine["coef"], coef[: P.WIDTH], rtol=1e-6, atol=1e-6)
+        assert mine["intercept"] == pytest.approx(level, rel=1e-6, abs=1e-6)
+        assert mine["used"] == len(used)
+        channels = hot[hot.model_id == number].sort_values("c")
+        np.testing.assert_allclose(channels["coef"], coef[P.WIDTH :], rtol=1e-5, atol=1e-6)
+        miss = own["y"].to_numpy() - wide @ coef - level
+        assert mine["sse"] == pytest.approx((miss**2).sum(), rel=1e-6)
+
+
+def test_rows_of_an_unknown_series_are_kept(spark, fitted, data):
+    known = rows_frame(spark, data)
+    unknown = known.limit(3).withColumn("model_id", F.lit("new~x_in"))
+    scored = fitted.predict(known.unionByName(unknown))
+    assert scored.count() == known.count() + 3
+    lost = scored.filter("model_id = 'new~x_in'")
+    assert lost.filter("prediction IS NULL AND node_id IS NULL").count() == 3
+    assert scored.filter("prediction IS NULL").count() == 3
+    features = X.training_set(_daily(spark, 60), ("account",))
+    model = T.train(features.filter("account = 'A'"), ("account",))
+    wide = model.predict_all(features, ("account",))
+    assert wide.count() == features.count()
+    nothing = " AND ".join(f"{t} IS NULL" for t in TARGETS)
+    assert wide.filter("account = 'B'").count() == wide.filter(nothing).count() > 0

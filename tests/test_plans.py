@@ -76,7 +76,7 @@ def test_retrained_trees_are_those_of_plain_training(spark, sf):
     def nodes(models):
         return sorted(map(tuple, models.stats().collect()))
 
-    plain = Q.T.train(Q.training(spark, sf))
+    plain = Q.T.train(Q.training(spark, sf, seasonal=True))
     for models in (Q.csv_models(spark, sf), Q.daily_models(spark, sf)):
         assert models.max_depth == TreeParams().max_depth
         assert nodes(models) == nodes(plain) != []

@@ -67,17 +67,19 @@ def test_totals_across_batches(spark, sf):
     uri = ingested(spark, source)
     rows = totals_match(spark, uri)
     out, state = fresh_dir(spark, "daily"), fresh_dir(spark, "state")
-    stream = jobs.ledger_stream(spark, uri, files_per_trigger=1)
-    jobs.append_versions(jobs.daily_totals(stream, ("channel",)), out, state)
+    stream = jobs.ledger_stream(spark, uri, files_per_trigger=25)
+    jobs.append_versions(jobs.daily_totals(stream, ("channel",)), out, state, ["channel", "date"])
     columns = ("channel", "date", "cash_in", "cash_out", "transaction_count")
     got = jobs.newest_versions(spark, out, ["channel", "date"])
     assert as_set(got, *columns) == as_set(D.roll_up(ingest.split_in_out(rows), ("channel",)), *columns)
-    compacted = jobs.compact(spark, out, ["channel", "date"])
-    again = jobs.newest_versions(spark, compacted, ["channel", "date"])
-    assert as_set(again, *columns) == as_set(got, *columns)
+    held = as_set(got, *columns)
+    jobs.compact(spark, out, ["channel", "date"])
+    jobs.vacuum(spark, out)
+    again = jobs.newest_versions(spark, out, ["channel", "date"])
+    assert as_set(again, *columns) == held
 
     out, state = fresh_dir(spark, "balances"), fresh_dir(spark, "state")
-    stream = jobs.ledger_stream(spark, uri, files_per_trigger=3)
+    stream = jobs.ledger_stream(spark, uri, files_per_trigger=25)
     jobs.append_versions(jobs.account_totals(stream), out, state)
     got = jobs.newest_versions(spark, out, ["account_id"])
     columns = ("account_id", "balance", "updated_at")
@@ -161,3 +163,101 @@ def test_api_log_stream(spark, sf):
     back = files.read_api_calls(spark, out)
     assert back.count() == calls.count()
     assert back.filter("day <> to_date(ts) OR status NOT IN (200, 500)").count() == 0
+
+
+def test_a_batch_reads_no_more_for_all_keys_before_it(spark):
+    """Fifty batches of new keys and one old one: what a batch looks up does not grow."""
+    batches, each = 50, 40
+    source, uri, state = (fresh_dir(spark, n) for n in ("in", "ledger", "state"))
+    names = PAYLOAD.fieldNames()
+    rows = []
+    for b in range(batches):
+        keys = [f"k{b}-{i}" for i in range(each)] + [f"k{max(b - 1, 0)}-0"]
+        for key in keys:
+            row = {"account_id": "A", "client_tx_id": key, "tx_id": f"{key}@{b}", "amount": 1.0,
+                   "transaction_type": "in", "event_ts": datetime.datetime(2024, 1, 1 + b % 28)}
+            rows.append((b, *[row.get(n) for n in names]))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PAYLOAD)
+    frame = spark.createDataFrame(rows, f"b int, {kinds}").repartitionByRange(batches, "b")
+    frame.drop("b").write.json(source)
+    run = jobs.ingest_batches(jobs.payload_stream(spark, source, files_per_trigger=1), uri, state)
+    keys = spark.read.schema(DEDUP_KEYS).parquet(f"{uri}/keys")
+    assert keys.count() == keys.select(*dedup.KEYS).distinct().count() == batches * each
+    assert files.read_ledger(spark, f"{uri}/ledger").count() == batches * each
+    parts = jobs._parts(spark, f"{uri}/keys", "batch", lambda n: True)
+    assert len(parts) >= batches - 2
+    looked = [
+        p["stateOperators"][0]["customMetrics"]["rocksdbTotalBytesRead"]
+        for p in run.recentProgress if p["numInputRows"]
+    ]
+    assert len(looked) >= batches - 2
+    late, early = max(looked[-5:]), max(looked[3:8])
+    assert late <= 1.5 * early + 1000
+    totals = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["numInputRows"]]
+    assert totals[-1] > 5 * totals[3]  # while what is remembered does
+
+
+def test_merging_under_a_running_stream(spark, monkeypatch):
+    """A merge between two batches, and one that a batch overtakes, lose and repeat nothing."""
+    source, uri, out, state = (fresh_dir(spark, n) for n in ("in", "ledger", "daily", "state"))
+    ingest_state = fresh_dir(spark, "state")
+    expected = {}
+    for n in range(jobs.MOST_LIVE + 3):
+        day = 1 + n % 3
+        send(spark, source, "A", day, 1.0 + n, f"t{n}")
+        expected[day] = expected.get(day, 0) + 1.0 + n
+        jobs.ingest_batches(jobs.payload_stream(spark, source), uri, ingest_state)
+        stream = jobs.daily_totals(jobs.ledger_stream(spark, uri))
+        if n == 2:
+            jobs.compact(spark, out, ["date"])
+        if n == 4:  # the stream commits while a merge is being written
+            real = jobs._store_version
+
+            def slow(rows, folder, real=real, stream=stream):
+                path = real(rows, folder)
+                monkeypatch.setattr(jobs, "_store_version", real)
+                jobs.append_versions(stream, out, state, ["date"])
+                return path
+
+            monkeypatch.setattr(jobs, "_store_version", slow)
+            jobs.compact(spark, out, ["date"])
+        else:
+            jobs.append_versions(stream, out, state, ["date"])
+        held = jobs._live(jobs.commits.newest(spark, out)[1])
+        assert len(held) <= jobs.MOST_LIVE
+        rows = jobs.newest_versions(spark, out, ["date"]).collect()
+        assert {r.date.day: float(r.cash_in) for r in rows} == expected
+    jobs.vacuum(spark, out)
+    again = jobs.newest_versions(spark, out, ["date"]).collect()
+    assert {r.date.day: float(r.cash_in) for r in again} == expected
+
+
+def test_of_two_writers_one_commits(spark):
+    import threading
+
+    from cashtide.sources import commits
+
+    uri, outcome = fresh_dir(spark, "commits"), []
+    assert commits.newest(spark, uri) == (-1, None)
+    commits.commit(spark, uri, 0, {"by": "first"})
+    ready = threading.Barrier(2)
+
+    def write(name):
+        number, _ = commits.newest(spark, uri)
+        ready.wait()
+        try:
+            commits.commit(spark, uri, number + 1, {"by": name})
+            outcome.append(name)
+        except commits.Conflict:
+            outcome.append("conflict")
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(outcome) in (["a", "conflict"], ["b", "conflict"])
+    winner = next(o for o in outcome if o != "conflict")
+    assert commits.newest(spark, uri) == (1, {"by": winner})
+    total = commits.update(spark, uri, lambda old: {**old, "n": old.get("n", 0) + 1})
+    assert total["n"] == 1 and commits.newest(spark, uri)[0] == 2
