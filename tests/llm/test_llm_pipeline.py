@@ -105,3 +105,32 @@ def test_the_rest_imports_without_this_package(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and 'pipeline' not in q"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_a_null_source_is_not_a_dash(spark):
+    """Rows of one id and text in the sources "-" and null keep the copies of their own source."""
+    text = "some words that are counted here"
+    rows = [(1, text, "en", "-", 1), (1, text, "en", None, 1), (2, text * 2, "en", "a", 1)]
+    frame = spark.createDataFrame(rows, X.SCHEMA)
+    wanted = {(r["source"], r["doc_id"]): r["copies"] for r in mixing.mix(frame).collect()}
+    taken = collections.Counter((r["source"], r["doc_id"]) for r in mixing.take_copies(frame).collect())
+    assert taken == {k: n for k, n in wanted.items() if n}
+    assert max(taken.values()) <= mixing.MOST
+
+
+def test_survivors_do_not_depend_on_the_order_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    from cashtide.llm import signature_join
+
+    text = "one two three four five six seven"
+    rows = [(1, text, lang, "a", n) for lang in ("fr", "de", "en") for n in (3, 2)]
+    rows += [(2, text, "en", "a", 1), (3, "quite other words in this text here", "en", "a", 1)]
+    frame = spark.createDataFrame(rows, X.SCHEMA).withColumn("more", F.create_map(F.lit("k"), "lang"))
+    for keep in (signature_join.keep_one, mixing.take_copies):
+        found = []
+        for order in ("lang", F.desc("lang"), F.desc("n_chars")):
+            kept = keep(frame.repartition(1).sortWithinPartitions(order))
+            found.append(sorted((r["doc_id"], r["lang"], r["n_chars"]) for r in kept.collect()))
+        assert found[0] == found[1] == found[2]
+        assert {r[1:] for r in found[0] if r[0] == 1} <= {("de", 2)}
