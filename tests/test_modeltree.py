@@ -18,7 +18,7 @@ from cashtide.schemas import FEATURES_IN, FEATURES_OUT, TARGETS
 from cashtide.session import fresh_dir
 
 CHANNELS = ["ATM", "ONLINE", "POS"]
-PARAMS = TreeParams()
+PARAMS = TreeParams(max_depth=5)
 
 
 def step_data(n=400, seed=0):
@@ -195,7 +195,7 @@ def test_row_order_and_partitions_do_not_matter(spark, fitted, data):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        again = T.fit(rows)
+        again = T.fit(rows, PARAMS)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     keys = ["model_id", "node_id"]
@@ -264,7 +264,7 @@ def _daily(spark, n=120):
 def test_all_targets_of_all_series_train_together(spark):
     features = X.training_set(_daily(spark), ("account",))
     early, late = T.holdout(features, datetime.date(2023, 4, 20))
-    model = T.train(early, ("account",))
+    model = T.train(early, ("account",), params=PARAMS)
     assert {r.model_id for r in model.stats().collect()} == {
         f"{s}~{t}" for s in ("A", "B") for t in TARGETS
     }
@@ -289,18 +289,18 @@ def test_all_targets_of_all_series_train_together(spark):
 def test_ensure_trains_what_is_missing(spark):
     uri = fresh_dir(spark, "models")
     features = X.training_set(_daily(spark, 60), ("account",))
-    wanted = ("cash_in_next_day", "cash_out_next_day")
-    first = T.ensure(features, uri, ("account",), wanted[:1])
+    wanted, small = ("cash_in_next_day", "cash_out_next_day"), replace(PARAMS, max_depth=2)
+    first = T.ensure(features, uri, ("account",), wanted[:1], small)
     files = set(first.nodes.inputFiles())
-    assert set(T.ensure(features, uri, ("account",), wanted[:1]).nodes.inputFiles()) == files
-    both = T.ensure(features, uri, ("account",), wanted)
+    assert set(T.ensure(features, uri, ("account",), wanted[:1], small).nodes.inputFiles()) == files
+    both = T.ensure(features, uri, ("account",), wanted, small)
     assert both.targets() == set(wanted)
     names = both.schema().filter("target_column = 'cash_out_next_day'").first()
     assert tuple(names["required_features"]) == FEATURES_OUT
     assert names["all_feature_names"][:3] == ["cash_in_d0", "cash_out_d0", "cash_net_d0"]
     wide = both.predict_all(features, ("account",), wanted)
     assert wide.filter(f"{wanted[0]} IS NULL OR {wanted[1]} IS NULL").count() == 0
-    forced = T.ensure(features, uri, ("account",), wanted[:1], force=True)
+    forced = T.ensure(features, uri, ("account",), wanted[:1], small, force=True)
     assert set(forced.nodes.inputFiles()).isdisjoint(files)
     # A save that broke off before publishing leaves the old version in place.
     first.nodes.write.parquet(f"{uri}/versions/broken/nodes")
@@ -459,7 +459,7 @@ def test_rows_of_an_unknown_series_are_kept(spark, fitted, data):
     assert lost.filter("prediction IS NULL AND node_id IS NULL").count() == 3
     assert scored.filter("prediction IS NULL").count() == 3
     features = X.training_set(_daily(spark, 60), ("account",))
-    model = T.train(features.filter("account = 'A'"), ("account",))
+    model = T.train(features.filter("account = 'A'"), ("account",), params=replace(PARAMS, max_depth=2))
     wide = model.predict_all(features, ("account",))
     assert wide.count() == features.count()
     nothing = " AND ".join(f"{t} IS NULL" for t in TARGETS)
