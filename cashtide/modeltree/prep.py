@@ -152,14 +152,22 @@ ROWS_TOGETHER = 50_000
 
 
 def apply(rows, prep, numbered, key="model_id"):
-    """Prepared rows under ``key``, dealt by model so that sums combine before they move."""
-    params = prep.select(*dict.fromkeys(["model_id", key]), "n", "scales", "limits", "y_mean")
-    joined = with_channel(rows, numbered, "c").join(params, "model_id")
-    salt = F.pmod(F.xxhash64("row_id"), F.ceil(F.col("n") / ROWS_TOGETHER))
-    dealt = joined.withColumn("salt", salt).repartition(key, "salt")
+    """Prepared rows under ``key``, dealt by model so that sums combine before they move.
+
+    Scales and limits of a model are hundreds of times as wide as a row, so they meet the rows only
+    where these are dealt to: one copy of them for each share of a model.
+    """
+    shares = F.ceil(F.col("n") / ROWS_TOGETHER)
+    sizes = prep.select(*dict.fromkeys(["model_id", key]), shares.alias("_shares"))
+    joined = with_channel(rows, numbered, "c").join(sizes, "model_id")
+    salt = F.pmod(F.xxhash64("row_id"), F.col("_shares"))
+    dealt = joined.select(F.col(key).alias("_key"), salt.alias("_salt"), "y", "num", "c")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)).alias("_salt")
+    params = prep.select(F.col(key).alias("_key"), each, "scales", "limits", "y_mean")
+    together = dealt.repartition("_key", "_salt").join(params, ["_key", "_salt"])
     # The band comes from the stored scale, once the scaled values are there.
-    ready = dealt.select(
-        F.col(key).alias("model_id"), (F.col("y") - F.col("y_mean")).alias("y"),
+    ready = together.select(
+        F.col("_key").alias("model_id"), (F.col("y") - F.col("y_mean")).alias("y"),
         scaled().alias("x"), "c", "limits",
     )
     return ready.select("model_id", "y", "x", "c", bands().alias("b"))

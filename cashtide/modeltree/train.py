@@ -130,9 +130,10 @@ def prepared(rows):
     """Preparation table, channels and prepared rows, written once for the loop to re-read.
 
     Inside the loop a model goes by a number, given when the preparation table is written:
-    the rows that are read at every level carry 8 bytes in place of a name.
+    the rows that are read at every level carry 8 bytes in place of a name. A series comes out of
+    its windows in one task, so its rows are dealt anew before they are written.
     """
-    rows = cut(rows, "training-rows")
+    rows = cut(rows.repartition("model_id", "row_id"), "training-rows")
     prep = cut(P.fit(rows).withColumn("number", F.monotonically_increasing_id()), "prep")
     numbered = cut(P.channels(rows), "channels")
     return prep, numbered, cut(P.apply(rows, prep, numbered, "number"), "prepared-rows")

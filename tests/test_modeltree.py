@@ -367,6 +367,41 @@ def test_what_a_level_shuffles_does_not_grow_with_the_rows(spark):
     assert max(s[1] for s in sizes) <= 2 * PARAMS.percentiles * P.WIDTH
 
 
+def test_limits_do_not_travel_with_the_rows(spark, data, monkeypatch):
+    """What deals the rows carries no limits, and each share of a model meets them, whatever the join."""
+    cut, written = T.cut, {}
+
+    def spy(df, label):
+        written[label] = df
+        return cut(df, label)
+
+    def inside(node):
+        below = node.children()
+        return [node] + [n for i in range(below.size()) for n in inside(below.apply(i))]
+
+    def dealt(df):
+        found = inside(df._jdf.queryExecution().optimizedPlan())
+        dealers = [n for n in found if n.nodeName() == "RepartitionByExpression"]
+        return [{n.output().apply(i).name() for i in range(n.output().size())} for n in dealers]
+
+    monkeypatch.setattr(T, "cut", spy)
+    rows = rows_frame(spark, data)
+    prep, numbered, ready = T.prepared(rows)
+    whole = sorted(map(tuple, ready.collect()))
+    (held,) = dealt(written["prepared-rows"])
+    assert "num" in held and not held & {"limits", "scales"}
+    assert len(dealt(written["training-rows"])) == 1  # rows of one series do not stay in one file
+    monkeypatch.setattr(P, "ROWS_TOGETHER", 30)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (threshold, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            shares = P.apply(rows, prep, numbered, "number").collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        assert sorted(map(tuple, shares)) == whole != []
+
+
 def test_banded_splits_equal_brute_force(spark):
     located = _located(spark, 3000)
     rows = located.select("y", "x").toPandas()
