@@ -19,6 +19,7 @@ documents but no queries. An empty table gives an empty result; further columns
 """
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16_384, 16_000_000, 64
 QUERY_WORDS, QUERY_ROWS = 4_000_000, 128
 #: Terms in at least this share of a shard are summed for all its documents at once.
 COMMON = 0.25
+#: Postings whose contributions are worked out at once.
+STRIP = 1 << 18
 REMEMBERED = 500_000
 
 SHARD = (
@@ -50,22 +53,30 @@ def words_of(data):
     return np.array([number[w] for w in (data or b"").lower().split()], np.uint64)
 
 
+def _cell(values, kind):
+    """An array of one binary value, over the bytes of ``values`` without a copy."""
+    data = pa.py_buffer(np.ascontiguousarray(values, kind))
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.size], "<i4")), data])
+
+
 def _packed(held):
-    """One shard row of (doc_id, length, terms, counts) entries."""
-    doc = np.repeat(np.arange(len(held), dtype="<u2"), [len(h[2]) for h in held])
-    terms = np.concatenate([h[2] for h in held])
-    counts = np.concatenate([h[3] for h in held])
+    """One shard row of (doc_id, length, terms, counts) entries, which are taken out of ``held``."""
+    doc_ids, lengths, terms, counts = zip(*held)
+    held.clear()
+    sizes = [len(t) for t in terms]
+    terms, counts = np.concatenate(terms), np.concatenate(counts)
     order = np.argsort(terms, kind="stable")
-    terms, doc, counts = terms[order], doc[order], counts[order]
+    terms, counts = terms[order], counts[order]
+    doc = np.repeat(np.arange(len(sizes), dtype="<u2"), sizes)[order]
     new = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1]))[: len(terms)])
     return {
-        "doc_ids": [np.array([h[0] or 0 for h in held], "<i8").tobytes()],
-        "known": [np.array([h[0] is not None for h in held], np.uint8).tobytes()],
-        "lengths": [np.array([h[1] for h in held], "<i8").tobytes()],
-        "terms": [terms[new].astype("<u8").tobytes()],
-        "starts": [np.append(new, len(terms)).astype("<i8").tobytes()],
-        "docs": [doc.tobytes()],
-        "counts": [counts.astype("<u4").tobytes()],
+        "doc_ids": _cell([i or 0 for i in doc_ids], "<i8"),
+        "known": _cell([i is not None for i in doc_ids], np.uint8),
+        "lengths": _cell(lengths, "<i8"),
+        "terms": _cell(terms[new], "<u8"),
+        "starts": _cell(np.append(new, len(terms)), "<i8"),
+        "docs": _cell(doc, "<u2"),
+        "counts": _cell(counts, "<u4"),
     }
 
 
@@ -75,11 +86,11 @@ def _index_task(batches):
         for doc_id, data in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
             words = words_of(data)
             terms, counts = np.unique(words, return_counts=True)
-            held.append((doc_id, len(words), terms, counts))
+            held.append((doc_id, len(words), terms, counts.astype("<u4")))
             postings += len(terms)
             if len(held) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
                 yield _packed(held)
-                held, postings = [], 0
+                postings = 0
     if held:
         yield _packed(held)
 
@@ -89,57 +100,84 @@ def build_index(docs):
     return session.cut(in_arrow(docs.select("doc_id", "text"), _index_task, SHARD), "index")
 
 
+def places(row, vocabulary):
+    """Where the words of a vocabulary are among a shard's terms (-1: nowhere), and where the
+    postings of its terms start."""
+    terms, starts = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["starts"], "<i8")
+    at = np.searchsorted(terms, vocabulary)
+    at[at == len(terms)] = 0
+    found = terms[at] == vocabulary if len(terms) else np.zeros(len(vocabulary), bool)
+    return np.where(found, at, -1), starts
+
+
+def document_counts(place, starts):
+    """(query word, documents of this shard that hold it)."""
+    held = np.flatnonzero(place >= 0)
+    at = place[held]
+    return held, starts[at + 1] - starts[at]
+
+
 class IndexShard:
-    """One shard with the vocabulary of a block of queries."""
+    """One shard with the vocabulary of a block of queries.
 
-    def __init__(self, row, vocabulary):
+    Postings outlive ``__init__`` as contributions alone: in a dense row for a common word, in cells
+    for a rare one. They are worked out a strip at a time, so that no step holds more than a strip.
+    """
+
+    def __init__(self, row, vocabulary, weight, mean_length):
         def column(name, kind):
             return np.frombuffer(row[name], kind)
 
         self.doc_ids = column("doc_ids", "<i8")
         self.known = column("known", np.uint8).astype(bool)
-        self.lengths = column("lengths", "<i8")
-        self.starts = column("starts", "<i8")
-        self.docs = column("docs", "<u2")
-        self.counts = column("counts", "<u4")
-        terms = column("terms", "<u8")
-        # Place of each query word among the shard's terms, or -1.
-        at = np.searchsorted(terms, vocabulary)
-        at[at == len(terms)] = 0
-        found = terms[at] == vocabulary if len(terms) else np.zeros(len(vocabulary), bool)
-        self.place = np.where(found, at, -1)
-
-    def document_counts(self):
-        """(query word, documents of this shard that hold it)."""
-        held = np.flatnonzero(self.place >= 0)
-        at = self.place[held]
-        return held, self.starts[at + 1] - self.starts[at]
-
-    def prepare(self, weight, mean_length):
-        """Contributions of all postings of query words, and their maxima by block."""
-        held, sizes = self.document_counts()
-        first = self.starts[self.place[held]]
-        self.docs, self.counts = (_ranges(x, first, sizes) for x in (self.docs, self.counts))
-        owner = np.repeat(np.arange(len(held)), sizes)
-        norm = K1 * (1 - B + B * self.lengths / mean_length)
-        tf = self.counts.astype(np.float64)
-        self.gain = weight[held][owner] * tf * (K1 + 1) / (tf + norm[self.docs])
+        place, starts = places(row, vocabulary)
+        held, sizes = document_counts(place, starts)
+        first = starts[place[held]]
+        norm = K1 * (1 - B + B * column("lengths", "<i8") / mean_length)
+        docs, counts = column("docs", "<u2"), column("counts", "<u4")
         self.row = np.full(len(weight), -1)
         self.row[held] = np.arange(len(held))
-        ends = np.cumsum(sizes)
         common = sizes >= COMMON * len(self.doc_ids)
         self.common_row = np.where(common, np.cumsum(common) - 1, -1)
         self.common = np.zeros((int(common.sum()), len(self.doc_ids)))
-        for at in np.flatnonzero(common).tolist():
-            part = slice(ends[at] - sizes[at], ends[at])
-            self.common[self.common_row[at], self.docs[part]] = self.gain[part]
+
+        def gains(words):
+            """Documents and contributions of all postings of some of the words held."""
+            at = _ranges(None, first[words], sizes[words])
+            doc, tf = docs[at], counts[at].astype(np.float64)
+            own = np.repeat(weight[held[words]], sizes[words])
+            return doc, own * tf * (K1 + 1) / (tf + norm[doc])
+
+        for word in np.flatnonzero(common).tolist():
+            doc, gain = gains(slice(word, word + 1))
+            self.common[self.common_row[word], doc] = gain
         # One cell for each (rare word, block) with postings: where they begin, their maximum.
-        cell = owner * (len(self.doc_ids) // BLOCK + 1) + self.docs // BLOCK
-        begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))[: len(cell)])
-        self.cell_start = np.append(begin, len(cell))
-        self.cell_max = np.maximum.reduceat(self.gain, begin) if len(begin) else self.gain
-        self.cell_block = self.docs[begin].astype(np.int64) // BLOCK
-        self.cells = np.searchsorted(begin, np.append(ends - sizes, len(cell)))
+        rare = np.flatnonzero(~common)
+        ends = np.cumsum(sizes[rare])
+        total = int(ends[-1]) if len(ends) else 0
+        self.docs, self.gain = np.empty(total, "<u2"), np.empty(total)
+        begins, maxima, blocks = [np.empty(0, "<i4")], [np.empty(0)], [np.empty(0, "<u2")]
+        cuts = np.searchsorted(ends, np.arange(STRIP, total + STRIP, STRIP), "left") + 1
+        low = 0
+        for high in np.minimum(cuts, len(rare)).tolist():
+            words = rare[low:high]
+            if len(words):
+                doc, gain = gains(words)
+                start = int(ends[low] - sizes[words[0]])
+                self.docs[start : start + len(doc)], self.gain[start : start + len(doc)] = doc, gain
+                block = doc // BLOCK
+                cell = np.repeat(words * (len(self.doc_ids) // BLOCK + 1), sizes[words]) + block
+                begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+                begins.append((begin + start).astype("<i4"))
+                maxima.append(np.maximum.reduceat(gain, begin))
+                blocks.append(block[begin])
+            low = high
+        begin = np.concatenate(begins)
+        self.cell_start = np.append(begin, np.int32(total))
+        self.cell_max, self.cell_block = np.concatenate(maxima), np.concatenate(blocks)
+        # Cells of a word held lie from its entry to the next; those of a common one are none.
+        upto = np.cumsum(np.where(common, 0, sizes))
+        self.cells = np.searchsorted(begin, np.append(0, upto))
 
     def best(self, queries, top):
         """For each query (word numbers): its best documents as (place, score)."""
@@ -208,14 +246,22 @@ def _ranges(values, first, sizes):
 
 
 def _rows(batches):
+    """Rows of binary columns as buffers over their batch."""
     for batch in batches:
-        yield from batch.to_pylist()
+        for at in range(len(batch)):
+            yield {name: batch.column(name)[at].as_buffer() for name in batch.schema.names}
+
+
+def _forget():
+    """Drop the words that this worker has remembered while it built the index."""
+    worker_state("search_shards", dict)
 
 
 def _count_task(block):
     def task(batches):
+        _forget()
         for row in _rows(batches):
-            word, docs = IndexShard(row, block.value[1]).document_counts()
+            word, docs = document_counts(*places(row, block.value[1]))
             yield {"word": word, "docs": docs}
 
     return task
@@ -223,10 +269,10 @@ def _count_task(block):
 
 def _search_task(block, weights, mean_length, top):
     def task(batches):
+        _forget()
         ids, vocabulary, queries = block.value
         for row in _rows(batches):
-            shard = IndexShard(row, vocabulary)
-            shard.prepare(weights.value, mean_length)
+            shard = IndexShard(row, vocabulary, weights.value, mean_length)
             out = [[], [], [], [], []]
             for number, (docs, scores) in enumerate(shard.best(queries, top)):
                 out[0] += [ids[number]] * len(docs)
@@ -245,7 +291,7 @@ def query_blocks(queries, most=QUERY_WORDS):
 
     def block():
         vocabulary = np.unique(np.concatenate(words))
-        return ids, vocabulary, [np.searchsorted(vocabulary, w) for w in words]
+        return ids, vocabulary, [np.searchsorted(vocabulary, w).astype("<i4") for w in words]
 
     for row in queries.select("doc_id", "text").toLocalIterator():
         terms = np.unique(words_of(row["text"].encode() if row["text"] is not None else None))
@@ -274,7 +320,7 @@ def search(index, queries, top=TOP):
     parts = []
     for block in query_blocks(queries):
         held = spark.sparkContext.broadcast(block)
-        counted = in_arrow(index, _count_task(held), "word bigint, docs bigint")
+        counted = in_arrow(index.select("terms", "starts"), _count_task(held), "word bigint, docs bigint")
         weights = np.zeros(len(block[1]))
         # At most one row per word of the block.
         sums = counted.groupBy("word").agg(F.sum("docs").alias("docs")).toPandas()

@@ -195,6 +195,42 @@ def test_search_in_many_shards_and_blocks(spark, docs, monkeypatch):
     assert order(map(tuple, one)) == order(map(tuple, many))
 
 
+def test_search_holds_few_bytes_for_a_posting(monkeypatch):
+    """Indexing and searching a shard need little beside its postings, and searching forgets the
+    words that indexing remembered."""
+    import sys
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(topk_search, "STRIP", 1 << 14, raising=False)
+    words = np.arange(20_000)
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{w}" for w in rng.choice(words, 250, replace=False)) for _ in range(2000)]
+    texts = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    vocabulary = np.unique(topk_search.words_of(b" ".join(b"w%d" % w for w in words)))
+    queries = [np.arange(at, at + 100) for at in range(0, len(vocabulary), 5000)]
+    block = SimpleNamespace(value=(list(range(len(queries))), vocabulary, queries))
+    weights = SimpleNamespace(value=np.ones(len(vocabulary)))
+
+    def peak(task, batch):
+        tracemalloc.start()
+        try:
+            (out,) = task(iter([batch]))
+            return out, tracemalloc.get_traced_memory()[1] / (2000 * 250)
+        finally:
+            tracemalloc.stop()
+
+    columns, indexing = peak(topk_search._index_task, texts)
+    cells = [c if isinstance(c, pa.Array) else pa.array(c, pa.binary()) for c in columns.values()]
+    shard = pa.RecordBatch.from_arrays(cells, names=list(columns))
+    found, searching = peak(topk_search._search_task(block, weights, 250.0, 10), shard)
+    assert len(found["doc_id"]) == 10 * len(queries)
+    assert not isinstance(sys.modules["cashtide_worker_state"].held, topk_search.Memo)
+    assert indexing < 46 and searching < 60
+
+
 def test_search_of_awkward_rows(spark):
     frame = X.awkward(spark)
     queries = frame.filter("doc_id is not null").select("doc_id", "text")
