@@ -73,9 +73,10 @@ def learn(labelled, sample=SAMPLE, size=DICTIONARY):
     known = labelled.filter(F.col("lang").isNotNull() & has_letter(F.col("text"))).withColumn(
         "hash", F.xxhash64("doc_id", "text")
     )
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # Of hashes, not of rows: a text that comes often has but one hash to stay below the limit.
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts"))
     spread = F.col("hash") / 2.0**64 + 0.5
-    near = known.join(F.broadcast(counts), "lang").filter(spread * F.col("rows") < 2 * sample)
+    near = known.join(F.broadcast(counts), "lang").filter(spread * F.col("texts") < 2 * sample)
     slices = near.groupBy("lang", "hash").agg(
         F.first(slice_of(F.col("text"), F.xxhash64("hash"))).alias("slice")
     )
