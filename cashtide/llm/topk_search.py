@@ -6,11 +6,13 @@ table and hold whole texts of all documents.
 
 Queries are answered in blocks of a bounded number of words. A first pass over the shards sums the
 number of documents of each query term, so that all shards score with the same global
-statistics. In the second pass a shard keeps, for each term and block of documents, the largest
-contribution. A query visits the blocks in order of the sum of its terms' maxima and stops
-where that sum falls below its k-th best score so far (the WAND condition on blocks). Terms that
-a large part of the shard holds are summed for all documents at once; their exact sums take the
-place of their maxima, which makes the bounds tight. The shards' best are merged by score.
+statistics. In the second pass a task takes shard after shard, and batch after batch of queries.
+Terms that a good part of the shard holds are rows of contributions, which one matrix product sums
+for all documents and queries of the batch. A query whose best sum there and the maxima of its other
+terms stay below its k-th best score in the task is done with the shard (the WAND condition); else
+the other terms' postings are added. Then the k-th best of the maxima over blocks of documents
+bounds the k-th best score, and only blocks that reach it are searched for documents. The best of a
+task's shards are merged in the task, those of the tasks by score.
 
 Scores are rounded to nine decimals; ties go to the smaller doc_id. A query's words count
 once. Null or wordless texts match nothing and, as queries, find nothing; so does a query none of
@@ -18,6 +20,8 @@ whose words occur. Repeated rows are documents, and queries, of their own; rows
 documents but no queries. An empty table gives an empty result; further columns are ignored.
 """
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,14 +34,18 @@ from cashtide.llm.common import Memo, documents, in_arrow, utf8, worker_state
 K1, B = 1.2, 0.75
 TOP = 10
 EVERY = 100
-#: Documents and postings of one shard, documents of one block.
+#: Documents and postings of one shard, documents of one block at most.
 SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16_384, 16_000_000, 64
 #: Query words answered together, and queries scored together in a shard.
 QUERY_WORDS, QUERY_ROWS = 4_000_000, 128
-#: Terms in at least this share of a shard are summed for all its documents at once.
-COMMON = 0.25
-#: Postings whose contributions are worked out at once.
-STRIP = 1 << 18
+#: Words in at least this share of a shard get a dense row; at most so many, and so many numbers.
+COMMON, COMMON_WORDS, COMMON_CELLS = 0.06, 4096, 1 << 23
+#: Postings that are worked out or added up at once.
+STRIP = 1 << 16
+#: Words whose counts travel together; partitions of the index for one task, beyond two tasks a core.
+COUNTED, TASK_PARTS = 1 << 14, 8
+#: Scores this much apart may be equal when rounded.
+SLACK = 2e-9
 REMEMBERED = 500_000
 
 SHARD = (
@@ -120,8 +128,9 @@ def document_counts(place, starts):
 class IndexShard:
     """One shard with the vocabulary of a block of queries.
 
-    Postings outlive ``__init__`` as contributions alone: in a dense row for a common word, in cells
-    for a rare one. They are worked out a strip at a time, so that no step holds more than a strip.
+    Postings outlive ``__init__`` as contributions alone: in a dense row for a common word, one after
+    the other for a rare one. They are worked out a strip at a time, so that no step holds more than
+    a strip.
     """
 
     def __init__(self, row, vocabulary, weight, mean_length):
@@ -130,119 +139,135 @@ class IndexShard:
 
         self.doc_ids = column("doc_ids", "<i8")
         self.known = column("known", np.uint8).astype(bool)
+        n = len(self.doc_ids)
         place, starts = places(row, vocabulary)
         held, sizes = document_counts(place, starts)
         first = starts[place[held]]
         norm = K1 * (1 - B + B * column("lengths", "<i8") / mean_length)
         docs, counts = column("docs", "<u2"), column("counts", "<u4")
-        self.row = np.full(len(weight), -1)
+        self.row = np.full(len(weight), -1, np.int32)
         self.row[held] = np.arange(len(held))
-        common = sizes >= COMMON * len(self.doc_ids)
-        self.common_row = np.where(common, np.cumsum(common) - 1, -1)
-        self.common = np.zeros((int(common.sum()), len(self.doc_ids)))
+        common = np.flatnonzero(sizes >= COMMON * n)
+        most = min(COMMON_WORDS, COMMON_CELLS // n)
+        if len(common) > most:
+            common = np.sort(common[np.argsort(-sizes[common], kind="stable")[:most]])
+        self.common_row = np.full(len(held), -1)
+        self.common_row[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), n))
 
         def gains(words):
             """Documents and contributions of all postings of some of the words held."""
-            at = _ranges(None, first[words], sizes[words])
+            at = _ranges(first[words], sizes[words])
             doc, tf = docs[at], counts[at].astype(np.float64)
             own = np.repeat(weight[held[words]], sizes[words])
             return doc, own * tf * (K1 + 1) / (tf + norm[doc])
 
-        for word in np.flatnonzero(common).tolist():
+        for at, word in enumerate(common.tolist()):
             doc, gain = gains(slice(word, word + 1))
-            self.common[self.common_row[word], doc] = gain
-        # One cell for each (rare word, block) with postings: where they begin, their maximum.
-        rare = np.flatnonzero(~common)
-        ends = np.cumsum(sizes[rare])
-        total = int(ends[-1]) if len(ends) else 0
-        self.docs, self.gain = np.empty(total, "<u2"), np.empty(total)
-        begins, maxima, blocks = [np.empty(0, "<i4")], [np.empty(0)], [np.empty(0, "<u2")]
-        cuts = np.searchsorted(ends, np.arange(STRIP, total + STRIP, STRIP), "left") + 1
-        low = 0
-        for high in np.minimum(cuts, len(rare)).tolist():
+            self.common[at, doc] = gain
+        # Postings of a rare word lie from its start on; a common one has none here.
+        rare = np.flatnonzero(self.common_row < 0)
+        self.sizes = np.where(self.common_row < 0, sizes, 0)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        self.docs, self.gain = np.empty(int(self.sizes.sum()), "<u2"), np.empty(int(self.sizes.sum()))
+        self.largest = np.zeros(len(held))
+        for low, high in _strips(sizes[rare]):
             words = rare[low:high]
-            if len(words):
-                doc, gain = gains(words)
-                start = int(ends[low] - sizes[words[0]])
-                self.docs[start : start + len(doc)], self.gain[start : start + len(doc)] = doc, gain
-                block = doc // BLOCK
-                cell = np.repeat(words * (len(self.doc_ids) // BLOCK + 1), sizes[words]) + block
-                begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-                begins.append((begin + start).astype("<i4"))
-                maxima.append(np.maximum.reduceat(gain, begin))
-                blocks.append(block[begin])
-            low = high
-        begin = np.concatenate(begins)
-        self.cell_start = np.append(begin, np.int32(total))
-        self.cell_max, self.cell_block = np.concatenate(maxima), np.concatenate(blocks)
-        # Cells of a word held lie from its entry to the next; those of a common one are none.
-        upto = np.cumsum(np.where(common, 0, sizes))
-        self.cells = np.searchsorted(begin, np.append(0, upto))
-
-    def best(self, queries, top):
-        """For each query (word numbers): its best documents as (place, score)."""
+            doc, gain = gains(words)
+            start = int(self.start[words[0]])
+            self.docs[start : start + len(doc)], self.gain[start : start + len(doc)] = doc, gain
+            self.largest[words] = np.maximum.reduceat(gain, self.start[words] - start)
+
+    def best(self, queries, top, floor):
+        """For a batch of queries (word numbers) at a time: their numbers, places and scores of what
+        may be among their best documents.
+
+        ``floor`` has a score for each query that ``top`` documents are known to reach; it is raised.
+        """
         n = len(self.doc_ids)
-        n_blocks = -(-n // BLOCK)
+        size = max(1, min(BLOCK, n // (4 * top)))
+        n_blocks = -(-n // size)
         for at in range(0, len(queries), QUERY_ROWS):
-            rows = [self.row[q] for q in queries[at : at + QUERY_ROWS]]
-            rows = [r[r >= 0] for r in rows]
-            wanted = np.zeros((len(rows), len(self.common)))
-            for flags, r in zip(wanted, rows):
-                common = self.common_row[r]
-                flags[common[common >= 0]] = 1.0
-            sums = wanted @ self.common
-            for base, r in zip(sums, rows):
-                yield self._one(base, r[self.common_row[r] < 0], top, n_blocks)
-
-    def _one(self, scores, rare, top, n_blocks):
-        bounds = np.maximum.reduceat(scores, np.arange(0, len(scores), BLOCK))
-        first = self.cells[rare]
-        cells = _ranges(None, first, self.cells[rare + 1] - first)
-        blocks = self.cell_block[cells]
-        bounds = bounds + np.bincount(blocks, self.cell_max[cells], n_blocks)
-        order = np.argsort(-bounds, kind="stable")
-        found_docs, found_scores, threshold, done, step = [], [], 0.0, 0, 8
-        while done < len(order):
-            chosen = order[done : done + step]
-            chosen = chosen[bounds[chosen] >= max(threshold - 1e-9, 1e-300)]
-            if not len(chosen):
-                break
-            take = np.zeros(n_blocks, bool)
-            take[chosen] = True
-            inside = cells[take[blocks]]
-            start = self.cell_start[inside]
-            at = _ranges(None, start, self.cell_start[inside + 1] - start)
-            local = np.empty(n_blocks, np.int64)
-            local[chosen] = np.arange(len(chosen))
-            posted = self.docs[at].astype(np.int64)
-            slot = local[posted // BLOCK] * BLOCK + posted % BLOCK
-            extra = np.bincount(slot, self.gain[at], len(chosen) * BLOCK)
-            grid = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            valid = grid < len(scores)
-            docs, value = grid[valid], scores[grid[valid]] + extra[valid]
-            found_docs.append(docs)
-            found_scores.append(value)
-            joined = np.concatenate(found_scores)
-            if len(joined) >= top:
-                threshold = np.partition(joined, len(joined) - top)[len(joined) - top]
-            done += step
-            step = len(order)
-        if not found_docs:
-            return np.empty(0, np.int64), np.empty(0)
-        docs, value = np.concatenate(found_docs), np.round(np.concatenate(found_scores), 9)
-        kept = (value > 0) & (value >= np.round(threshold, 9))
-        docs, value = docs[kept], value[kept]
-        order = np.lexsort((self.doc_ids[docs], ~self.known[docs], -value))[:top]
-        return docs[order], value[order]
-
-
-def _ranges(values, first, sizes):
-    """``values`` (or the places themselves) of several ranges, one after the other."""
-    if not len(sizes):
-        return np.empty(0, np.int64) if values is None else values[:0]
+            batch = queries[at : at + QUERY_ROWS]
+            words = self.row[np.concatenate(batch)]
+            query = np.repeat(np.arange(len(batch)), [len(q) for q in batch])[words >= 0]
+            words = words[words >= 0]
+            scores = np.zeros((len(batch), n_blocks * size))
+            blocks = scores.reshape(len(batch), n_blocks, size)
+            common = self.common_row[words]
+            wanted = np.zeros((len(batch), len(self.common)))
+            wanted[query[common >= 0], common[common >= 0]] = 1.0
+            np.matmul(wanted, self.common, out=scores[:, :n])
+            query, words = query[common < 0], words[common < 0]
+            reached = floor[at : at + QUERY_ROWS]
+            bound = scores.max(1) + np.bincount(query, self.largest[words], len(batch))
+            alive = (bound >= reached - SLACK)[query]
+            self._add(scores, query[alive], words[alive])
+            peaks = blocks.max(2)
+            if n_blocks >= top:
+                # So many blocks have a document of that score.
+                np.maximum(reached, np.partition(peaks, n_blocks - top, 1)[:, n_blocks - top], out=reached)
+            limit = np.maximum(reached - SLACK, 1e-300)
+            query, block = np.nonzero(peaks >= limit[:, None])
+            near = blocks[query, block]
+            cell, place = np.nonzero(near >= limit[query, None])
+            yield at + query[cell], block[cell] * size + place, near[cell, place]
+
+    def _add(self, scores, query, words):
+        """Add to each query's row of ``scores`` what its rare words contribute."""
+        width = scores.shape[1]
+        sizes, start = self.sizes[words], self.start[words]
+        for low, high in _strips(sizes):
+            first, last = int(query[low]), int(query[high - 1]) + 1
+            at = _ranges(start[low:high], sizes[low:high])
+            slot = np.repeat((query[low:high] - first) * width, sizes[low:high])
+            slot += self.docs[at]
+            part = scores[first:last]
+            part += np.bincount(slot, self.gain[at], part.size).reshape(part.shape)
+
+
+class Best:
+    """The best documents of each query over the shards of a task."""
+
+    def __init__(self, n_queries, top):
+        self.top, self.floor = top, np.zeros(n_queries)
+        self.held = [np.empty(0, kind) for kind in (np.int64, np.int64, bool, np.float64)]
+
+    def add(self, shard, queries):
+        found = [self.held]
+        for query, docs, scores in shard.best(queries, self.top, self.floor):
+            found.append(self._cut(query, shard.doc_ids[docs], shard.known[docs], np.round(scores, 9)))
+        query, _, _, scores = self.held = self._cut(*map(np.concatenate, zip(*found)))
+        last = np.arange(self.top - 1, len(query))
+        full = last[query[last] == query[last - self.top + 1]]
+        self.floor[query[full]] = np.maximum(self.floor[query[full]], scores[full])
+
+    def _cut(self, query, doc_ids, known, scores):
+        order = np.lexsort((doc_ids, ~known, -scores, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = (rank < self.top) & (scores[order] > 0)
+        return [query[kept], *(column[order][kept] for column in (doc_ids, known, scores))]
+
+
+def _ranges(first, sizes):
+    """The places of several ranges, one after the other."""
     ends = np.cumsum(sizes)
-    at = np.arange(int(ends[-1])) + np.repeat(first - (ends - sizes), sizes)
-    return at if values is None else values[at]
+    at = np.repeat(first - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return at
+
+
+def _strips(sizes):
+    """Bounds of runs of ranges with ``STRIP`` places, or up to one range more."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    low = 0
+    for high in np.searchsorted(ends, np.arange(STRIP, total + STRIP, STRIP), "left").tolist():
+        high = min(high + 1, len(ends))
+        if high > low:
+            yield low, high
+            low = high
 
 
 def _rows(batches):
@@ -260,31 +285,52 @@ def _forget():
 def _count_task(block):
     def task(batches):
         _forget()
+        vocabulary, total = block.value[1], None
         for row in _rows(batches):
-            word, docs = document_counts(*places(row, block.value[1]))
-            yield {"word": word, "docs": docs}
+            word, docs = document_counts(*places(row, vocabulary))
+            total = np.zeros(len(vocabulary), "<i8") if total is None else total
+            total[word] += docs
+        if total is not None:
+            for part, at in enumerate(range(0, len(total), COUNTED)):
+                yield {"part": [part], "docs": [total[at : at + COUNTED].tobytes()]}
 
     return task
 
 
+def _sum_counts(table):
+    total = sum(np.frombuffer(docs.as_buffer(), "<i8") for docs in table.column("docs"))
+    return pa.table({"part": table.column("part")[:1], "docs": pa.array([total.tobytes()], pa.binary())})
+
+
 def _search_task(block, weights, mean_length, top):
     def task(batches):
         _forget()
         ids, vocabulary, queries = block.value
+        best = None
         for row in _rows(batches):
-            shard = IndexShard(row, vocabulary, weights.value, mean_length)
-            out = [[], [], [], [], []]
-            for number, (docs, scores) in enumerate(shard.best(queries, top)):
-                out[0] += [ids[number]] * len(docs)
-                out[1] += [number] * len(docs)
-                out[2] += shard.doc_ids[docs].tolist()
-                out[3] += shard.known[docs].tolist()
-                out[4] += scores.tolist()
-            yield dict(zip(("query_id", "query_no", "doc_id", "known", "score"), out))
+            best = best or Best(len(queries), top)
+            best.add(IndexShard(row, vocabulary, weights.value, mean_length), queries)
+        if best:
+            query, doc_ids, known, scores = best.held
+            yield {
+                "query_id": [ids[number] for number in query.tolist()],
+                "query_no": query,
+                "doc_id": doc_ids,
+                "known": known,
+                "score": scores,
+            }
 
     return task
 
 
+def _query_task(batches):
+    for batch in batches:
+        yield {
+            "doc_id": batch.column("doc_id"),
+            "terms": [np.unique(words_of(data)).astype("<u8").tobytes() for data in utf8(batch.column("text"))],
+        }
+
+
 def query_blocks(queries, most=QUERY_WORDS):
     """Blocks of (ids, vocabulary, word numbers of each query), read one block at a time."""
     ids, words, size = [], [], 0
@@ -293,8 +339,9 @@ def query_blocks(queries, most=QUERY_WORDS):
         vocabulary = np.unique(np.concatenate(words))
         return ids, vocabulary, [np.searchsorted(vocabulary, w).astype("<i4") for w in words]
 
-    for row in queries.select("doc_id", "text").toLocalIterator():
-        terms = np.unique(words_of(row["text"].encode() if row["text"] is not None else None))
+    hashed = in_arrow(queries.select("doc_id", "text"), _query_task, "doc_id bigint, terms binary")
+    for row in session.cut(hashed, "queries").toLocalIterator():
+        terms = np.frombuffer(row["terms"], "<u8")
         if ids and size + len(terms) > most:
             yield block()
             ids, words, size = [], [], 0
@@ -305,6 +352,24 @@ def query_blocks(queries, most=QUERY_WORDS):
         yield block()
 
 
+@contextmanager
+def _one_row_batches(spark):
+    """Arrow batches of a row each, as a shard is a row of many megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _dealt(index):
+    """The index in fewer partitions, where there are many: a task sums up and ranks over its shards."""
+    parts = index.rdd.getNumPartitions()
+    return index.coalesce(max(2 * index.sparkSession.sparkContext.defaultParallelism, -(-parts // TASK_PARTS)))
+
+
 def search(index, queries, top=TOP):
     """Rows (query_id, rank, doc_id, score) of the best ``top`` documents of each query."""
     spark = index.sparkSession
@@ -320,19 +385,15 @@ def search(index, queries, top=TOP):
     parts = []
     for block in query_blocks(queries):
         held = spark.sparkContext.broadcast(block)
-        counted = in_arrow(index.select("terms", "starts"), _count_task(held), "word bigint, docs bigint")
-        weights = np.zeros(len(block[1]))
-        # At most one row per word of the block.
-        sums = counted.groupBy("word").agg(F.sum("docs").alias("docs")).toPandas()
-        n = sums["docs"].to_numpy(np.float64)
-        weights[sums["word"].to_numpy()] = np.log1p((n_docs - n + 0.5) / (n + 0.5))
-        task = _search_task(held, spark.sparkContext.broadcast(weights), max(n_words, 1) / max(n_docs, 1), top)
-        hits = in_arrow(index, task, HITS)
-        order = [F.desc("score"), F.desc("known"), "doc_id"]
-        ranked = hits.withColumn(
-            "rank", F.row_number().over(Window.partitionBy("query_no").orderBy(*order))
-        )
-        parts.append(session.cut(ranked.filter(F.col("rank") <= top), "hits"))
+        with _one_row_batches(spark):
+            weights = spark.sparkContext.broadcast(_weights(index, held, n_docs))
+            task = _search_task(held, weights, max(n_words, 1) / max(n_docs, 1), top)
+            hits = in_arrow(_dealt(index), task, HITS)
+            order = [F.desc("score"), F.desc("known"), "doc_id"]
+            ranked = hits.withColumn(
+                "rank", F.row_number().over(Window.partitionBy("query_no").orderBy(*order))
+            )
+            parts.append(session.cut(ranked.filter(F.col("rank") <= top), "hits"))
     if not parts:
         parts = [spark.createDataFrame([], f"{HITS}, rank int")]
     found = parts[0]
@@ -343,6 +404,19 @@ def search(index, queries, top=TOP):
     )
 
 
+def _weights(index, block, n_docs):
+    """The weight of each word of a block's vocabulary over all shards."""
+    schema = "part bigint, docs binary"
+    counted = in_arrow(_dealt(index).select("terms", "starts"), _count_task(block), schema)
+    # One number per word of the block.
+    sums = counted.groupBy("part").applyInArrow(_sum_counts, schema).collect()
+    n = np.zeros(len(block.value[1]))
+    for row in sums:
+        docs = np.frombuffer(row["docs"], "<i8")
+        n[row["part"] * COUNTED : row["part"] * COUNTED + len(docs)] = docs
+    return np.where(n > 0, np.log1p((n_docs - n + 0.5) / (n + 0.5)), 0.0)
+
+
 def op6_bm25_topk(spark, sf_dir):
     docs = documents(spark, sf_dir)
     found = search(build_index(docs), docs.filter(F.col("doc_id") % EVERY == 0))

@@ -231,6 +231,52 @@ def test_search_holds_few_bytes_for_a_posting(monkeypatch):
     assert indexing < 46 and searching < 60
 
 
+def shard_batches(texts, per_shard):
+    """Index shards of ``per_shard`` documents, one in a batch."""
+    import pyarrow as pa
+
+    for at in range(0, len(texts), per_shard):
+        some = texts[at : at + per_shard]
+        rows = {"doc_id": range(at, at + len(some)), "text": some}
+        (columns,) = topk_search._index_task(iter([pa.RecordBatch.from_pydict(rows)]))
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def test_a_task_sums_up_and_ranks_over_its_shards():
+    """However many shards a task has, it gives one count for a word and ``top`` hits for a query."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, rng.integers(0, 90)) if w < 5000) for _ in range(700)]
+    texts[650:] = texts[40:90]
+    found = [np.unique(topk_search.words_of(t.encode())) for t in texts]
+    vocabulary = np.unique(np.concatenate(found))
+    queries = [np.searchsorted(vocabulary, words).astype("<i4") for words in found[::7]]
+    block = SimpleNamespace(value=(list(range(0, 700, 7)), vocabulary, queries))
+    counts = np.bincount(np.searchsorted(vocabulary, np.concatenate(found)))
+    weights = SimpleNamespace(value=np.log1p((700 - counts + 0.5) / (counts + 0.5)))
+    mean = np.mean([len(t.split()) for t in texts])
+    shards = list(shard_batches(texts, 100))
+    (counted,) = topk_search._count_task(block)(iter(shards))
+    assert np.array_equal(np.frombuffer(counted["docs"][0], "<i8"), counts)
+    (hits,) = topk_search._search_task(block, weights, mean, 10)(iter(shards))
+    mine = list(zip(*(np.asarray(hits[k]).tolist() for k in ("query_id", "doc_id", "score"))))
+    wanted = []
+    for query_id, words in zip(block.value[0], queries):
+        scores = np.zeros(len(texts))
+        for doc, text in enumerate(texts):
+            held = topk_search.words_of(text.encode())
+            for word in words:
+                tf = int((held == vocabulary[word]).sum())
+                norm = 1.2 * (0.25 + 0.75 * len(held) / mean)
+                scores[doc] += weights.value[word] * tf * 2.2 / (tf + norm)
+        scores = np.round(scores, 9)
+        best = np.lexsort((np.arange(len(texts)), -scores))[:10]
+        wanted += [(query_id, doc, scores[doc]) for doc in best.tolist() if scores[doc] > 0]
+    assert [r[:2] for r in mine] == [r[:2] for r in wanted]
+    assert np.allclose([r[2] for r in mine], [r[2] for r in wanted], atol=2e-9)
+
+
 def test_search_of_awkward_rows(spark):
     frame = X.awkward(spark)
     queries = frame.filter("doc_id is not null").select("doc_id", "text")
