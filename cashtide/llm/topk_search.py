@@ -20,6 +20,7 @@ whose words occur. Repeated rows are documents, and queries, of their own; rows
 documents but no queries. An empty table gives an empty result; further columns are ignored.
 """
 
+from collections import Counter
 from contextlib import contextmanager
 
 import numpy as np
@@ -35,13 +36,15 @@ K1, B = 1.2, 0.75
 TOP = 10
 EVERY = 100
 #: Documents and postings of one shard, documents of one block at most.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16_384, 16_000_000, 64
-#: Query words answered together, and queries scored together in a shard.
-QUERY_WORDS, QUERY_ROWS = 4_000_000, 128
+SHARD_DOCS, SHARD_POSTINGS, BLOCK = 2048, 2_000_000, 64
+#: Documents and postings up to which shards are searched as one.
+JOINED_DOCS, JOINED_POSTINGS = 16_384, 6_000_000
+#: Query words answered together; queries in one matrix product of a shard, and ranked together.
+QUERY_WORDS, QUERY_ROWS, SCORE_ROWS = 4_000_000, 512, 64
 #: Words in at least this share of a shard get a dense row; at most so many, and so many numbers.
-COMMON, COMMON_WORDS, COMMON_CELLS = 0.06, 4096, 1 << 23
+COMMON, COMMON_WORDS, COMMON_CELLS = 0.05, 4096, 1 << 24
 #: Postings that are worked out or added up at once.
-STRIP = 1 << 16
+STRIP = 1 << 15
 #: Words whose counts travel together; partitions of the index for one task, beyond two tasks a core.
 COUNTED, TASK_PARTS = 1 << 14, 8
 #: Scores this much apart may be equal when rounded.
@@ -55,10 +58,18 @@ SHARD = (
 HITS = "query_id bigint, query_no bigint, doc_id bigint, known boolean, score double"
 
 
+HASH = xxhash.xxh3_64_intdigest
+
+
+def _split(data):
+    """The words of a text: runs without ASCII white space, A-Z lower-cased."""
+    return (data or b"").lower().split()
+
+
 def words_of(data):
-    """Hashes of the words of a text: runs without ASCII white space, A-Z lower-cased."""
-    number = worker_state("search_words", lambda: Memo(xxhash.xxh3_64_intdigest, REMEMBERED))
-    return np.array([number[w] for w in (data or b"").lower().split()], np.uint64)
+    """Hashes of the words of a text."""
+    number = worker_state("search_words", lambda: Memo(HASH, REMEMBERED))
+    return np.array([number[w] for w in _split(data)], np.uint64)
 
 
 def _cell(values, kind):
@@ -92,9 +103,10 @@ def _index_task(batches):
     held, postings = [], 0
     for batch in batches:
         for doc_id, data in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
-            words = words_of(data)
-            terms, counts = np.unique(words, return_counts=True)
-            held.append((doc_id, len(words), terms, counts.astype("<u4")))
+            counts = Counter(_split(data))
+            terms = np.fromiter(map(HASH, counts), np.uint64, len(counts))
+            counts = np.fromiter(counts.values(), "<u4", len(counts))
+            held.append((doc_id, int(counts.sum()), terms, counts))
             postings += len(terms)
             if len(held) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
                 yield _packed(held)
@@ -112,10 +124,15 @@ def places(row, vocabulary):
     """Where the words of a vocabulary are among a shard's terms (-1: nowhere), and where the
     postings of its terms start."""
     terms, starts = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["starts"], "<i8")
-    at = np.searchsorted(terms, vocabulary)
-    at[at == len(terms)] = 0
-    found = terms[at] == vocabulary if len(terms) else np.zeros(len(vocabulary), bool)
-    return np.where(found, at, -1), starts
+    place = np.full(len(vocabulary), -1)
+    if len(terms) < len(vocabulary):
+        at = np.searchsorted(vocabulary, terms)
+        found = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == terms)
+        place[at[found]] = found
+    elif len(terms):
+        at = np.minimum(np.searchsorted(terms, vocabulary), len(terms) - 1)
+        place = np.where(terms[at] == vocabulary, at, -1)
+    return place, starts
 
 
 def document_counts(place, starts):
@@ -125,26 +142,32 @@ def document_counts(place, starts):
     return held, starts[at + 1] - starts[at]
 
 
-class IndexShard:
-    """One shard with the vocabulary of a block of queries.
+class IndexShards:
+    """Some shards, as one, with the vocabulary of a block of queries.
 
     Postings outlive ``__init__`` as contributions alone: in a dense row for a common word, one after
     the other for a rare one. They are worked out a strip at a time, so that no step holds more than
     a strip.
     """
 
-    def __init__(self, row, vocabulary, weight, mean_length):
-        def column(name, kind):
+    def __init__(self, rows, vocabulary, weight, mean_length):
+        def column(row, name, kind):
             return np.frombuffer(row[name], kind)
 
-        self.doc_ids = column("doc_ids", "<i8")
-        self.known = column("known", np.uint8).astype(bool)
-        n = len(self.doc_ids)
-        place, starts = places(row, vocabulary)
-        held, sizes = document_counts(place, starts)
-        first = starts[place[held]]
-        norm = K1 * (1 - B + B * column("lengths", "<i8") / mean_length)
-        docs, counts = column("docs", "<u2"), column("counts", "<u4")
+        self.doc_ids = np.concatenate([column(row, "doc_ids", "<i8") for row in rows])
+        self.known = np.concatenate([column(row, "known", np.uint8) for row in rows]).astype(bool)
+        lengths = np.concatenate([column(row, "lengths", "<i8") for row in rows])
+        self.norm = K1 * (1 - B + B * lengths / mean_length)
+        n, parts, offset, sizes = len(lengths), [], 0, np.zeros(len(vocabulary), np.int64)
+        for row in rows:
+            place, starts = places(row, vocabulary)
+            held, held_sizes = document_counts(place, starts)
+            sizes[held] += held_sizes
+            docs, counts = column(row, "docs", "<u2"), column(row, "counts", "<u4")
+            parts.append((held, held_sizes, starts[place[held]], docs, counts, offset))
+            offset += len(row["lengths"]) // 8
+        held = np.flatnonzero(sizes)
+        sizes, self.weight = sizes[held], weight[held]
         self.row = np.full(len(weight), -1, np.int32)
         self.row[held] = np.arange(len(held))
         common = np.flatnonzero(sizes >= COMMON * n)
@@ -153,65 +176,98 @@ class IndexShard:
             common = np.sort(common[np.argsort(-sizes[common], kind="stable")[:most]])
         self.common_row = np.full(len(held), -1)
         self.common_row[common] = np.arange(len(common))
-        self.common = np.zeros((len(common), n))
-
-        def gains(words):
-            """Documents and contributions of all postings of some of the words held."""
-            at = _ranges(first[words], sizes[words])
-            doc, tf = docs[at], counts[at].astype(np.float64)
-            own = np.repeat(weight[held[words]], sizes[words])
-            return doc, own * tf * (K1 + 1) / (tf + norm[doc])
-
-        for at, word in enumerate(common.tolist()):
-            doc, gain = gains(slice(word, word + 1))
-            self.common[at, doc] = gain
+        # Frequencies, and contributions in single precision, of the common words.
+        highest = max((int(part[4].max()) for part in parts if len(part[4])), default=0)
+        self.tf = np.zeros((len(common), n), np.min_scalar_type(highest))
+        self.near = np.zeros((len(common), n), np.float32)
         # Postings of a rare word lie from its start on; a common one has none here.
-        rare = np.flatnonzero(self.common_row < 0)
         self.sizes = np.where(self.common_row < 0, sizes, 0)
         self.start = np.cumsum(self.sizes) - self.sizes
         self.docs, self.gain = np.empty(int(self.sizes.sum()), "<u2"), np.empty(int(self.sizes.sum()))
         self.largest = np.zeros(len(held))
-        for low, high in _strips(sizes[rare]):
-            words = rare[low:high]
-            doc, gain = gains(words)
-            start = int(self.start[words[0]])
-            self.docs[start : start + len(doc)], self.gain[start : start + len(doc)] = doc, gain
-            self.largest[words] = np.maximum.reduceat(gain, self.start[words] - start)
+        fill = self.start.copy()
+        for held, held_sizes, first, docs, counts, offset in parts:
+            for low, high in _strips(held_sizes):
+                words, sizes = self.row[held[low:high]], held_sizes[low:high]
+                at = _ranges(first[low:high], sizes)
+                doc, tf = docs[at].astype(np.int64) + offset, counts[at]
+                gain = self._gain(np.repeat(words, sizes), doc, tf)
+                row = np.repeat(self.common_row[words], sizes)
+                dense = row >= 0
+                self.tf[row[dense], doc[dense]] = tf[dense]
+                self.near[row[dense], doc[dense]] = gain[dense]
+                rare = self.common_row[words] < 0
+                words, sizes = words[rare], sizes[rare]
+                if len(words):
+                    doc, gain, to = doc[~dense], gain[~dense], _ranges(fill[words], sizes)
+                    self.docs[to], self.gain[to] = doc, gain
+                    largest = np.maximum.reduceat(gain, np.cumsum(sizes) - sizes)
+                    self.largest[words] = np.maximum(self.largest[words], largest)
+                    fill[words] += sizes
+
+    def _gain(self, words, docs, counts):
+        """What words contribute to documents that hold them so many times."""
+        tf = counts.astype(np.float64)
+        return self.weight[words] * tf * (K1 + 1) / (tf + self.norm[docs])
 
     def best(self, queries, top, floor):
-        """For a batch of queries (word numbers) at a time: their numbers, places and scores of what
-        may be among their best documents.
+        """For some queries (word numbers) at a time: their numbers, places and scores of what may be
+        among their best documents.
 
         ``floor`` has a score for each query that ``top`` documents are known to reach; it is raised.
         """
-        n = len(self.doc_ids)
-        size = max(1, min(BLOCK, n // (4 * top)))
-        n_blocks = -(-n // size)
         for at in range(0, len(queries), QUERY_ROWS):
             batch = queries[at : at + QUERY_ROWS]
             words = self.row[np.concatenate(batch)]
             query = np.repeat(np.arange(len(batch)), [len(q) for q in batch])[words >= 0]
             words = words[words >= 0]
-            scores = np.zeros((len(batch), n_blocks * size))
-            blocks = scores.reshape(len(batch), n_blocks, size)
-            common = self.common_row[words]
-            wanted = np.zeros((len(batch), len(self.common)))
-            wanted[query[common >= 0], common[common >= 0]] = 1.0
-            np.matmul(wanted, self.common, out=scores[:, :n])
-            query, words = query[common < 0], words[common < 0]
-            reached = floor[at : at + QUERY_ROWS]
-            bound = scores.max(1) + np.bincount(query, self.largest[words], len(batch))
-            alive = (bound >= reached - SLACK)[query]
-            self._add(scores, query[alive], words[alive])
-            peaks = blocks.max(2)
-            if n_blocks >= top:
-                # So many blocks have a document of that score.
-                np.maximum(reached, np.partition(peaks, n_blocks - top, 1)[:, n_blocks - top], out=reached)
-            limit = np.maximum(reached - SLACK, 1e-300)
-            query, block = np.nonzero(peaks >= limit[:, None])
-            near = blocks[query, block]
-            cell, place = np.nonzero(near >= limit[query, None])
-            yield at + query[cell], block[cell] * size + place, near[cell, place]
+            dense = self.common_row[words] >= 0
+            wanted = np.zeros((len(batch), len(self.near)), np.float32)
+            wanted[query[dense], self.common_row[words[dense]]] = 1.0
+            near = wanted @ self.near
+            for low in range(0, len(batch), SCORE_ROWS):
+                mine = slice(*np.searchsorted(query, [low, low + SCORE_ROWS]))
+                q, places, scores = self._best(
+                    near[low : low + SCORE_ROWS],
+                    query[mine] - low,
+                    words[mine],
+                    top,
+                    floor[at + low : at + min(low + SCORE_ROWS, len(batch))],
+                )
+                yield at + low + q, places, scores
+
+    def _best(self, near, query, words, top, floor):
+        """The same for a few queries. ``near`` has their common words' sums in single precision."""
+        rows, n = near.shape
+        size = max(1, min(BLOCK, n // (4 * top)))
+        n_blocks = -(-n // size)
+        scores = np.zeros((rows, n_blocks * size))
+        scores[:, :n] = near
+        blocks = scores.reshape(rows, n_blocks, size)
+        common = self.common_row[words]
+        rare = common < 0
+        most = scores.max(1)
+        # Rounding to 24 bits moves a sum of k terms by less than k parts in 2 ** 24 of it.
+        slack = SLACK + (np.bincount(query[~rare], minlength=rows) + 2) * most * 2.0**-23
+        bound = most + np.bincount(query[rare], self.largest[words[rare]], rows)
+        rare &= (bound >= floor - slack)[query]
+        self._add(scores, query[rare], words[rare])
+        peaks = blocks.max(2)
+        if n_blocks >= top:
+            # So many blocks have a document of that score.
+            reached = np.partition(peaks, n_blocks - top, 1)[:, n_blocks - top] - slack
+            np.maximum(floor, reached, out=floor)
+        limit = np.maximum(floor - slack, 1e-300)
+        row, block = np.nonzero(peaks >= limit[:, None])
+        cell, place = np.nonzero(blocks[row, block] >= limit[row, None])
+        row, place = row[cell], block[cell] * size + place
+        # What is left has its common words' sum put right.
+        words, begin = words[common >= 0], np.searchsorted(query[common >= 0], np.arange(rows + 1))
+        sizes = np.diff(begin)[row]
+        words, doc = words[_ranges(begin[row], sizes)], np.repeat(place, sizes)
+        gain = self._gain(words, doc, self.tf[self.common_row[words], doc])
+        exact = np.bincount(np.repeat(np.arange(len(row)), sizes), gain, len(row))
+        return row, place, exact + (scores[row, place] - near[row, place])
 
     def _add(self, scores, query, words):
         """Add to each query's row of ``scores`` what its rare words contribute."""
@@ -221,9 +277,10 @@ class IndexShard:
             first, last = int(query[low]), int(query[high - 1]) + 1
             at = _ranges(start[low:high], sizes[low:high])
             slot = np.repeat((query[low:high] - first) * width, sizes[low:high])
-            slot += self.docs[at]
+            # Clipping leaves these places as they are, and spares a look at each.
+            slot += self.docs.take(at, mode="clip")
             part = scores[first:last]
-            part += np.bincount(slot, self.gain[at], part.size).reshape(part.shape)
+            part += np.bincount(slot, self.gain.take(at, mode="clip"), part.size).reshape(part.shape)
 
 
 class Best:
@@ -273,8 +330,29 @@ def _strips(sizes):
 def _rows(batches):
     """Rows of binary columns as buffers over their batch."""
     for batch in batches:
-        for at in range(len(batch)):
-            yield {name: batch.column(name)[at].as_buffer() for name in batch.schema.names}
+        names = batch.schema.names
+        rows = [{name: batch.column(name)[at].as_buffer() for name in names} for at in range(len(batch))]
+        del batch
+        while rows:
+            yield rows.pop(0)
+
+
+def _together(rows):
+    """Lists of rows with about so many documents and postings as are searched as one.
+
+    A list is given before the next row is read, so that rows that are done with can go.
+    """
+    held, docs, postings = [], [], []
+    for row in rows:
+        held.append(row)
+        docs.append(len(row["lengths"]) // 8)
+        postings.append(len(row["docs"]) // 2)
+        del row
+        if sum(docs) + max(docs) > JOINED_DOCS or sum(postings) + max(postings) > JOINED_POSTINGS:
+            yield held
+            held, docs, postings = [], [], []
+    if held:
+        yield held
 
 
 def _forget():
@@ -307,9 +385,12 @@ def _search_task(block, weights, mean_length, top):
         _forget()
         ids, vocabulary, queries = block.value
         best = None
-        for row in _rows(batches):
+        for rows in _together(_rows(batches)):
             best = best or Best(len(queries), top)
-            best.add(IndexShard(row, vocabulary, weights.value, mean_length), queries)
+            shards = IndexShards(rows, vocabulary, weights.value, mean_length)
+            rows.clear()
+            best.add(shards, queries)
+            del shards
         if best:
             query, doc_ids, known, scores = best.held
             yield {
@@ -353,15 +434,17 @@ def query_blocks(queries, most=QUERY_WORDS):
 
 
 @contextmanager
-def _one_row_batches(spark):
-    """Arrow batches of a row each, as a shard is a row of many megabytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "1")
+def _row_by_row(spark):
+    """Read a row at a time, as a shard is a row of megabytes."""
+    keys = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = {key: spark.conf.get(key) for key in keys}
     try:
+        for key in keys:
+            spark.conf.set(key, "1")
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _dealt(index):
@@ -385,7 +468,7 @@ def search(index, queries, top=TOP):
     parts = []
     for block in query_blocks(queries):
         held = spark.sparkContext.broadcast(block)
-        with _one_row_batches(spark):
+        with _row_by_row(spark):
             weights = spark.sparkContext.broadcast(_weights(index, held, n_docs))
             task = _search_task(held, weights, max(n_words, 1) / max(n_docs, 1), top)
             hits = in_arrow(_dealt(index), task, HITS)

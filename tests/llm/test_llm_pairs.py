@@ -242,10 +242,12 @@ def shard_batches(texts, per_shard):
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def test_a_task_sums_up_and_ranks_over_its_shards():
+def test_a_task_sums_up_and_ranks_over_its_shards(monkeypatch):
     """However many shards a task has, it gives one count for a word and ``top`` hits for a query."""
     from types import SimpleNamespace
 
+    monkeypatch.setattr(topk_search, "JOINED_DOCS", 250, raising=False)
+    monkeypatch.setattr(topk_search, "STRIP", 1 << 10)
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, rng.integers(0, 90)) if w < 5000) for _ in range(700)]
     texts[650:] = texts[40:90]
